@@ -69,35 +69,32 @@ def _digest(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")
 
 
-def _flips() -> list[list[int]]:
-    """By syndrome: the flips of a half that lead to each anchor within 2 bits, the home anchor first."""
-    free, out = 1 << 31, []
-    for s in range(32):
-        if s == 0:
-            out.append([0, free])
-            continue
+def _flips() -> np.ndarray:
+    """By syndrome: the flips of a half that lead to each anchor within 2 bits, the home anchor first; -1 fills the rows."""
+    free, out = 1 << 31, np.full((32, 17), -1, np.int64)
+    out[0, :2] = 0, free
+    for s in range(1, 32):
         home = 1 << (s - 1)
-        pairs = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 32) if i < i ^ s]
-        out.append([home, home | free, *pairs])
+        out[s] = [home, home | free, *((1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 32) if i < i ^ s)]
     return out
 
 
-def _anchors(half: Column) -> Column:
-    """Array of the anchors of a half (a non-negative long), the home anchor first."""
-    syndrome = sum((F.bit_count(half.bitwiseAND(F.lit(mask))) % 2 * F.lit(1 << b) for b, mask in enumerate(CHECKS)), F.lit(0))
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in _flips()])
-    return F.transform(F.element_at(table, syndrome.cast("int") + 1), lambda flip: half.bitwiseXOR(flip))
-
-
 def placements(distinct: DataFrame) -> DataFrame:
     """(fp, rep) -> a row (anchor, home, fp, rep) for each anchor within reach."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    rows = []
-    for k, half in enumerate((low, high)):
-        at = distinct.select("fp", "rep", F.posexplode(_anchors(half)).alias("place", "word"))
-        rows.append(at.select((F.col("word") + F.lit(k << 32)).alias("anchor"), (F.col("place") == 0).alias("home"), "fp", "rep"))
-    return rows[0].unionByName(rows[1])
+    flips, names = _flips(), ["anchor", "home", "fp", "rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k in (0, 1):
+                half = (fp.view(np.uint64) >> np.uint64(32 * k) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                syndrome = sum((np.bitwise_count(half & mask) % 2).astype(np.int64) << b for b, mask in enumerate(CHECKS))
+                flip = flips[syndrome]
+                row, place = np.nonzero(flip >= 0)
+                anchor = (half[row] ^ flip[row, place]) + (k << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, place == 0, fp[row], rep[row])], names=names)
+
+    return distinct.select("fp", "rep").mapInArrow(run, "anchor long, home boolean, fp long, rep long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, threshold: int, block: int = 512) -> list[tuple[int, int]]:
