@@ -105,9 +105,13 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     base = F.filter("j_spans", lambda s: s["kind"] < 3)
     shown = F.filter("j_spans", lambda s: (s["kind"] < 3) | s["live"])
     count = lambda test: F.size(F.filter("j_spans", test)).cast("long")
+
+    def of_kind(k: int) -> Column:
+        return count(lambda s: s["kind"] == k)
+
     return rows.select(
         "doc_id",
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(shown).alias("spans"),
         count(lambda s: (s["kind"] == 3) & s["live"]).alias("n_owned"),
