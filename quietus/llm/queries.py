@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietus.llm import ann, near_vectors, packing, secrets, simhash, toxicity
+from quietus.llm import ann, near_vectors, packing, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op7_one_bit_search": op7_one_bit_search,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
