@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietus.llm import ann, near_vectors, packing, secrets, simhash, toxicity, warc
+from quietus.llm import ann, langid, mixing, near_vectors, packing, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,19 @@ def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("m_tokens").alias("n_tokens"), F.col("m_topic").alias("topic"), F.col("m_probability").alias("probability"), F.col("m_kept").alias("kept"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.of_documents(table(spark, sf_dir, "documents")).drop("digest")
+
+
+def op9b_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.of_pages(table(spark, sf_dir, "pages")).drop("digest").withColumnRenamed("doc_id", "page_id")
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **tokenizer())
 
@@ -59,7 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op7_one_bit_search": op7_one_bit_search,
+    "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
+    "op9b_language_id_pages": op9b_language_id_pages,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle()}
