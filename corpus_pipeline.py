@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quietus.llm import packing, queries, simhash
+from quietus.llm import langid, mixing, packing, queries, secrets, simhash
 from quietus.session import scratch
 
+#: Columns of ``documents``, which every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found stay, with it in ``lang``; those without letters, or with no clear language, go."""
+    return langid.keep_identified(docs).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one of smallest id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; credentials that look live are masked, and n_chars follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with the calibrated probability of their source, language and topic."""
+    return mixing.mix(docs).where("m_kept").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +37,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, **queries.tokenizer())
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mix_sources), ("packing", pack)]
 
-#: Fingerprints, language evidence and token ids are beyond SQL; tests hold each stage against a brute-force version.
+#: Language evidence, fingerprints and token ids are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
