@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietus.llm import ann, langid, mixing, near_vectors, packing, secrets, simhash, toxicity, warc
+from quietus.llm import ann, langid, masked_lm, mixing, near_vectors, packing, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_ownership": op3_secret_ownership,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_masked_pseudo_likelihood": op6_masked_pseudo_likelihood,
     "op7_one_bit_search": op7_one_bit_search,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
