@@ -121,27 +121,27 @@ def bar(key: str, edges: list[int]) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.size(F.filter(table, lambda e: e <= F.col(key))) - 1), F.lit(0))
 
 
-def revisits(pages: DataFrame, key: str, payload: str, revisit_bytes: int) -> DataFrame:
-    """``pages`` with payload_digest, n_bytes and refers_to (null for responses)."""
-    rows = pages.withColumns({"payload_digest": F.sha1(payload), "n_bytes": F.octet_length(payload)})
+def revisits(pages: DataFrame, revisit_bytes: int) -> DataFrame:
+    """(key, payload_digest, refers_to) of the records that revisit another; from digests, so no payload moves."""
     # Two independent digests and the length tell payloads apart.
     same = ["payload_digest", "other_digest", "n_bytes"]
-    rows = rows.withColumn("other_digest", F.xxhash64(payload))
-    last = rows.where(F.col("n_bytes") >= revisit_bytes).groupBy(*same).agg(F.max(key).alias("last"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return rows.join(last, same, "left").withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("last")), F.col("last"))).drop("last", "other_digest")
+    rows = pages.select("key", F.sha1("payload").alias("payload_digest"), F.xxhash64("payload").alias("other_digest"), F.octet_length("payload").alias("n_bytes"))
+    last = rows.where(F.col("n_bytes") >= revisit_bytes).groupBy(*same).agg(F.max("key").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    return rows.join(last, same).where(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "payload_digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = 8 << 20, shard_bytes: int = 64 << 20, revisit_bytes: int = 0) -> list[dict]:
     """Write an archive below ``folder`` (a folder that all executors share) and return its manifest, which is also written there as manifest.json."""
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = revisits(rows, "key", "payload", revisit_bytes)
-    sizes = pages.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.octet_length(F.col(payload_col)), F.lit(0)).alias("n_bytes"))
-    rows = rows.withColumn("shard", shard_of(sizes, "key", "n_bytes", shard_bytes)).select("shard", "key", "url", "payload", "payload_digest", "refers_to")
+    shard = shard_of(rows.select("key", F.octet_length("payload").alias("n_bytes")), "key", "n_bytes", shard_bytes).alias("shard")
+    # A revisit's reference is a row of its own that sorts just before its record: payloads are shuffled once, whatever the number of revisits.
+    marks = revisits(rows, revisit_bytes).select(shard, "key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(False).alias("page"))
+    rows = rows.select(shard, "key", "url", "payload", F.sha1("payload").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("page")).unionByName(marks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, path = store(folder)
         files.create_dir(f"{path}/_temporary", recursive=True)
-        out, done, now = None, [], {}
+        out, done, now, mark = None, [], {}, None
 
         def close() -> None:
             nonlocal out
@@ -152,8 +152,12 @@ def write(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str
                 done.append(dict(now))
 
         for pdf in frames:
-            for shard, key, url, payload, refers in zip(pdf["shard"], pdf["key"], pdf["url"], pdf["payload"], pdf["refers_to"], strict=True):
-                key, refers = (None if pd.isna(v) else int(v) for v in (key, refers))
+            for shard, key, url, payload, sha1, refers, page in zip(*(pdf[c] for c in ("shard", "key", "url", "payload", "payload_digest", "refers_to", "page")), strict=True):
+                key = None if pd.isna(key) else int(key)
+                if not page:
+                    mark = key, sha1, int(refers)
+                    continue
+                refers = mark[2] if mark and mark[:2] == (key, sha1) else None
                 if out is not None and now["shard"] != shard:
                     close()
                 if out is None:
@@ -170,7 +174,7 @@ def write(pages: DataFrame, folder: str, key_col: str = "page_id", url_col: str
         if done:
             yield pd.DataFrame(done).astype({"first_key": "Int64", "last_key": "Int64"})
 
-    order = ["shard", F.asc_nulls_first("key"), "url", "payload_digest"]
+    order = ["shard", F.asc_nulls_first("key"), "payload_digest", "page", "url"]
     schema = "shard int, roll int, temporary string, records long, bytes long, first_key long, last_key long, sha1 string"
     # The one run of the writer: the driver gets a row for each file.
     listed = rows.repartition("shard").sortWithinPartitions(*order).mapInPandas(run, schema).collect()
