@@ -39,6 +39,11 @@ FACTS: dict[str, str] = {
         UNION ALL SELECT DISTINCT concat('y', year(l_shipdate)), CAST(year(l_shipdate) AS INT), concat('p', l_partkey), l_partkey % 11 = 0, 'variable' FROM lineitem""",
     "cfg_refs": """
         SELECT concat('y', year(l_shipdate)) AS configuration, CAST(year(l_shipdate) AS INT) AS config_ord, l_orderkey * 10 + l_linenumber AS ref_ord, '' AS consumer, concat('g', l_suppkey % 10) AS from_id, concat('p', l_partkey) AS to_id, concat('g', l_suppkey % 10, '.ts') AS path, CAST(l_linenumber % 2 AS INT) AS line, 1 AS col, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS use FROM lineitem""",
+    "manifest_docs": """
+        SELECT concat('src/n', n_nationkey, '/package.json') AS path, concat('{"name":"n', n_nationkey, '","main":"./lib/main.ts","bin":{"n":"./bin/run', n_nationkey, '.js"},"scripts":{"build":"tsc -p src/n', n_nationkey, '.ts && node ./lib/main.ts","test":"vitest run"},"dependencies":{"pkg', n_nationkey % 5, '":"^1.', n_nationkey, '.0","tsc":"*"},"devDependencies":{"vitest":"~2.0.', n_nationkey, '"}}') AS text FROM nation""",
+    "paths": "SELECT DISTINCT path FROM symbols",
+    "exempt_records": """
+        SELECT CAST(p_partkey AS BIGINT) AS exempt_ord, concat('p', p_partkey) AS id, CASE p_size % 4 WHEN 0 THEN 'enum-group' WHEN 1 THEN 'decorator' WHEN 2 THEN 'template-field' ELSE 'generated-file' END AS class, CASE WHEN p_size % 3 = 0 THEN concat('p', (p_partkey * 5 + 1) % 2000) END AS while_live, p_size % 6 = 5 AS while_written, CASE WHEN p_partkey % 5 = 0 THEN 'private' ELSE 'public' END AS visibility FROM part""",
     "store_refs": "SELECT concat('v', l_orderkey) AS to_id, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS use, concat('app/l', l_orderkey % 40, '.ts') AS path, CAST(l_linenumber AS INT) AS line FROM lineitem",
     "findings": """
         SELECT concat('DS', 1001 + p_size % 4) AS code, concat('p', p_partkey) AS declaration, concat('ts://lib/', p_name) AS ref, concat('lib/', p_brand, '.ts') AS path, CAST(p_partkey % 200 + 2 AS INT) AS line, 1 AS col, CASE WHEN p_size % 5 = 0 THEN 'possible' WHEN p_size % 5 = 1 THEN 'probable' ELSE 'certain' END AS confidence, concat('k', p_partkey % 300) AS component, p_partkey % 4 = 0 AS is_root, p_size AS subject_lines FROM part""",

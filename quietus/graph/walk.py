@@ -79,7 +79,7 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "from_id", dst: str = "
     return found
 
 
-def test_support(uses: DataFrame, tests: DataFrame, rooted: DataFrame, evidence: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def support_files(uses: DataFrame, tests: DataFrame, rooted: DataFrame, evidence: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """(path, support): files only tests reach, none a test or holding a root, whose every user outside the set is a test; greatest fixpoint.
 
     ``uses``: from_path, to_path. Where ``evidence`` (path) is given, support is the greatest such set of files with evidence.

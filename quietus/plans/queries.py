@@ -13,9 +13,11 @@ from quietus.functions.globs import ref_like
 from quietus.graph import edges, matrix
 from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
-from quietus.graph.walk import peer_closure, reach, test_support
-from quietus.operators import joins, liveness, rules
+from quietus.graph.walk import peer_closure, reach, support_files
+from quietus.operators import exemptions, joins, liveness, rules
+from quietus.plans import analysis
 from quietus.session import cut
+from quietus.sources import manifests, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -300,7 +302,7 @@ def lines_spanned(spark, sf):
 
 @query()
 def support_of_tests(spark, sf):
-    return test_support(fact(spark, sf, "file_uses"), fact(spark, sf, "test_files"), fact(spark, sf, "root_files"))
+    return support_files(fact(spark, sf, "file_uses"), fact(spark, sf, "test_files"), fact(spark, sf, "root_files"))
 
 
 @query(ctes("file_uses", "root_files", recursive=True) + ", k(path) AS (SELECT path FROM root_files UNION SELECT to_path FROM k JOIN file_uses ON from_path = path) SELECT path FROM k")
@@ -480,3 +482,117 @@ def line_hashes(spark, sf):
 def semver_satisfies(spark, sf):
     version = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(".0"))
     return table(spark, sf, "part").select("p_partkey", semver.satisfies_udf(version, F.lit(">=10.3.0 || ^2.0.0")).alias("ok"))
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+
+
+@query(ctes("paths") + r" SELECT path, regexp_matches(path, '^lib/') OR (regexp_matches(path, '^app/m[^/]*\.ts$') AND path <> 'app/m7.ts') AS ignored FROM paths")
+def ignored_paths(spark, sf):
+    return tree.ignored(fact(spark, sf, "paths"), ["# built", "lib/", "app/m*.ts", "!m7.ts", ""])
+
+
+@query(ctes("paths") + r" SELECT path, 'test' AS class FROM paths WHERE regexp_matches(path, '^app/m[0-9]\.ts$') UNION ALL SELECT path, 'generated' FROM paths WHERE regexp_matches(path, '^lib/') UNION ALL SELECT path, 'component' FROM paths WHERE regexp_matches(path, 'Brand#1[^/]\.ts$')")
+def classed_files(spark, sf):
+    return tree.classed(fact(spark, sf, "paths"), {"test": ["app/m?.ts"], "generated": ["lib/**"], "component": ["**/Brand#1?.ts"]})
+
+
+@query(ctes("paths") + r" SELECT 'app/*.ts' AS pattern, count(*) FILTER (WHERE regexp_matches(path, '^app/')) AS files FROM paths UNION ALL SELECT 'none/**', 0")
+def rule_hits(spark, sf):
+    return tree.rule_hits(fact(spark, sf, "paths"), ["app/*.ts", "none/**"])
+
+
+@query(ctes("manifest_docs") + ", j AS (SELECT replace(path, '/package.json', '') AS dir, text FROM manifest_docs) SELECT dir, k AS name, section, json_extract_string(text, '$.' || section || '.\"' || k || '\"') AS range FROM (SELECT dir, text, s AS section, unnest(json_keys(text, '$.' || s)) AS k FROM j, (VALUES ('dependencies'), ('devDependencies')) v(s))")
+def declared_dependencies(spark, sf):
+    return manifests.declared(manifests.manifests(fact(spark, sf, "manifest_docs")))
+
+
+@query("SELECT concat('src/n', n_nationkey) AS dir, 'manifest-entry' AS kind, concat('src/n', n_nationkey, '/lib/main.ts') AS target FROM nation UNION ALL SELECT concat('src/n', n_nationkey), 'manifest-binary', concat('src/n', n_nationkey, '/bin/run', n_nationkey, '.js') FROM nation")
+def manifest_entries(spark, sf):
+    return manifests.entry_points(manifests.manifests(fact(spark, sf, "manifest_docs")))
+
+
+@query("SELECT concat('src/n', n_nationkey) AS dir, script, tool, k AS word_ord, word FROM nation, (VALUES ('build', 'tsc', 0, 'tsc'), ('build', 'tsc', 1, '-p'), ('build', 'tsc', 2, ''), ('build', 'node', 0, 'node'), ('build', 'node', 1, './lib/main.ts'), ('test', 'vitest', 0, 'vitest'), ('test', 'vitest', 1, 'run')) v(script, tool, k, w), LATERAL (SELECT CASE WHEN w = '' THEN concat('src/n', n_nationkey, '.ts') ELSE w END AS word)")
+def script_words(spark, sf):
+    return manifests.commands(manifests.manifests(fact(spark, sf, "manifest_docs")))
+
+
+@query("SELECT DISTINCT concat('src/n', n_nationkey) AS dir, w AS word, w AS name FROM nation, (VALUES ('tsc'), ('vitest')) v(w)")
+def packages_run(spark, sf):
+    read = manifests.manifests(fact(spark, sf, "manifest_docs"))
+    return manifests.words_to_packages(manifests.commands(read), manifests.declared(read))
+
+
+@query("SELECT concat('src/n', n_nationkey) AS dir, concat('src/n', n_nationkey, '.ts') AS word, concat('src/n', n_nationkey, '.ts') AS path FROM nation")
+def files_named(spark, sf):
+    words = manifests.commands(manifests.manifests(fact(spark, sf, "manifest_docs"))).select(F.lit("").alias("top"), "dir", "word")
+    found = manifests.words_to_files(words.select(F.col("top").alias("dir"), "word").distinct(), fact(spark, sf, "paths"))
+    return found.join(words.select("dir", "word").distinct().withColumnRenamed("dir", "from_dir"), "word").select(F.col("from_dir").alias("dir"), "word", "path")
+
+
+@query(ctes("paths") + r" SELECT path, 'runner' AS tool, 'test' AS class FROM paths WHERE path LIKE 'app/m1%.ts'")
+def convention_files(spark, sf):
+    tools = spark.createDataFrame([("runner", "2.4.1"), ("old", "0.9.0")], "tool string, version string")
+    table_ = spark.createDataFrame([("runner", "^2.0.0", "app/m1*.ts", "test"), ("runner", ">=3", "lib/**", "entry"), ("old", "^1.0.0", "src/**", "entry")], "tool string, range string, glob string, class string")
+    return manifests.convention_roots(fact(spark, sf, "paths"), tools, table_)
+
+
+@query(r"SELECT doc_id, n_chars > 0 AND text LIKE '%License%' AS licensed FROM documents WHERE regexp_matches(text, '(?i)license')")
+def license_marks(spark, sf):
+    return table(spark, sf, "documents").where(F.col("text").rlike("(?i)license")).select("doc_id", ((F.col("n_chars") > 0) & F.col("text").contains("License")).alias("licensed"))
+
+
+# --- exemptions -----------------------------------------------------------------------------------------------------
+
+SETTLED = ctes("exempt_records", "store_refs") + ", keep AS (SELECT * FROM exempt_records WHERE visibility <> 'private' OR class IN ('generated-file', 'decorator'))"
+
+
+@query(SETTLED + " SELECT exempt_ord, id, class FROM keep")
+def retainable_records(spark, sf):
+    records = fact(spark, sf, "exempt_records")
+    return exemptions.retainable(records.drop("visibility"), records.select("id", "visibility")).select("exempt_ord", "id", "class")
+
+
+@query(SETTLED + " SELECT exempt_ord, id, class FROM exempt_records WHERE (while_live IS NULL OR while_live IN (SELECT concat('p', p_partkey) FROM part WHERE p_size < 25)) AND (NOT while_written OR id IN (SELECT concat('p', p_partkey) FROM part WHERE p_size % 2 = 1)) AND (exempt_ord % 3 <> 0 OR exempt_ord % 2 = 0)")
+def settled_records(spark, sf):
+    part = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_size")
+    records = fact(spark, sf, "exempt_records").withColumn("methods", F.when(F.col("exempt_ord") % 3 == 0, F.array(F.lit("m0"), F.when(F.col("exempt_ord") % 2 == 0, "m1").otherwise("m2"))).otherwise(F.array().cast("array<string>")))
+    called = spark.createDataFrame([("m0",), ("m1",)], "id string")
+    return exemptions.settled(records, called, part.where("p_size % 2 = 1"), part.where("p_size < 25")).select("exempt_ord", "id", "class")
+
+
+@query(ctes("exempt_records") + ", o AS (SELECT id, class, CASE class WHEN 'enum-group' THEN 2 WHEN 'generated-file' THEN 3 WHEN 'template-field' THEN 4 ELSE 6 END AS k FROM (SELECT concat('p', exempt_ord % 500) AS id, class FROM exempt_records)) SELECT id, string_agg(class, ',' ORDER BY k) AS classes FROM (SELECT DISTINCT * FROM o) GROUP BY id")
+def retaining_classes(spark, sf):
+    rows = fact(spark, sf, "exempt_records").select(F.concat(F.lit("p"), F.col("exempt_ord") % 500).alias("id"), "class")
+    return exemptions.listed(rows)
+
+
+@query(ctes("symbols") + " SELECT s.id, 'template-field' AS class, min(d.source) AS detail FROM symbols s JOIN documents d ON s.name = 'Supplier#' || lpad(CAST(d.doc_id AS VARCHAR), 9, '0') GROUP BY s.id")
+def member_names(spark, sf):
+    names = table(spark, sf, "documents").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), F.col("source").alias("site"))
+    return exemptions.by_member_names(fact(spark, sf, "symbols").withColumn("visibility", F.lit("public")), names, "template-field")
+
+
+@query(ctes("symbols") + " SELECT m.id, 'interface-satisfaction' AS class, min(i.id) AS detail FROM symbols m JOIN symbols i ON m.kind = 'function' AND i.kind = 'class' AND m.parent = i.id AND i.exported GROUP BY m.id")
+def satisfied_members(spark, sf):
+    symbols = fact(spark, sf, "symbols")
+    own = symbols.where("kind = 'function'").select("parent", F.lit("call").alias("name"), "id")
+    wanted = symbols.where("kind = 'class' and exported").select(F.col("id").alias("parent"), F.lit("call").alias("name"), "id")
+    pairs = wanted.select(F.concat(F.lit("i"), "id").alias("interface_id"), F.col("id").alias("class_id"))
+    members = own.unionByName(wanted.select(F.concat(F.lit("i"), "id").alias("parent"), "name", "id"))
+    return exemptions.of_satisfied_interfaces(pairs, members)
+
+
+# --- the whole analysis ---------------------------------------------------------------------------------------------
+
+
+@query()
+def analyze_totals(spark, sf):
+    facts = {n: fact(spark, sf, n) for n in ("symbols", "roots", "held_seeds", "exempt", "gates")} | {"references": fact(spark, sf, "refs")}
+    return rules.totals(analysis.analyze(facts, analysis.Config(least="probable")).findings)
+
+
+@query(ctes("paths") + " SELECT path, regexp_replace(path, '^[^/]*/', '') AS name, regexp_extract(path, '(\\.[^./]+)$', 1) AS extension, CASE WHEN starts_with(path, 'src/') THEN regexp_replace(path, '^src/', '') ELSE '../' || path END AS from_src FROM paths")
+def path_parts(spark, sf):
+    rows = fact(spark, sf, "paths").withColumn("src", F.lit("src"))
+    return rows.select("path", paths.relative_to("path", "src").alias("from_src"), paths.extension("path").alias("extension"), F.regexp_replace("path", "^[^/]*/", "").alias("name"))
