@@ -83,4 +83,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle()}
+#: Embeddings near-duplicates: links by exact cosine, components as the closure of the links.
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a), r AS (SELECT a AS vec_id, min(b) AS b FROM c GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN r USING (vec_id)"""
+
+#: WARC round trip: base32 from the hex of SHA-1, twenty bits (five hex digits, four letters) at a time.
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last, list_transform(range(8), lambda i: ('0x' || substr(sha1(payload), 5 * i + 1, 5))::BIGINT) AS parts FROM p)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d"""
+
+ORACLE_SQL: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op5_warc_round_trip": OP5_SQL, "op8_mixing": mixing.oracle()}
