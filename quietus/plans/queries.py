@@ -300,7 +300,7 @@ def lines_spanned(spark, sf):
 # --- greatest fixpoints and closures --------------------------------------------------------------------------------
 
 
-@query()
+@query(ctes("file_uses", "test_files", "root_files", recursive=True) + ", t(path) AS (SELECT path FROM test_files UNION SELECT to_path FROM t JOIN file_uses ON from_path = path), cand AS (SELECT path FROM t WHERE path NOT IN (SELECT path FROM test_files) AND path NOT IN (SELECT path FROM root_files)), bad(path) AS (SELECT to_path FROM file_uses WHERE to_path IN (SELECT path FROM cand) AND from_path NOT IN (SELECT path FROM test_files) AND from_path NOT IN (SELECT path FROM cand) UNION SELECT to_path FROM bad JOIN file_uses ON from_path = path WHERE to_path IN (SELECT path FROM cand)) SELECT path, true AS support FROM cand WHERE path NOT IN (SELECT path FROM bad)")
 def support_of_tests(spark, sf):
     return support_files(fact(spark, sf, "file_uses"), fact(spark, sf, "test_files"), fact(spark, sf, "root_files"))
 
