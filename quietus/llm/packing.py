@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers, and the longest word remembered. Only speed depends on them.
-REMEMBERED, LONGEST = 1_200_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 
 
 class _Words(dict):
