@@ -1,7 +1,8 @@
 """Fixpoints over edges: the lattice walk, plain reachability, depths, and greatest fixpoints.
 
-A round joins only what changed in the last one (semi-naive) with the edges, which are written once. The frontier is broadcast where its counted size allows, so the
-edges stay where they are; beyond that the join is left to the planner. State is cut to the shared folder every round, so lineage stays one round long.
+A round joins only what is new (semi-naive) with the edges, which are written once, and what it enters with the state, to which only news is added. What changes is broadcast
+where its counted size allows, so neither edges nor state are shuffled in such a round; beyond that the joins are left to the planner. News is cut to the shared folder every
+round and the state every few rounds, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ BROADCAST_FRONTIER = 100_000
 REACHED, USED, WHOLE, PASSED = 1, 2, 3, 4
 
 
-def _joined(frontier: DataFrame, size: int, edges: DataFrame, key: str) -> DataFrame:
+def _joined(frontier: DataFrame, size: int, edges: DataFrame, key: str | list[str]) -> DataFrame:
     return edges.join(F.broadcast(frontier) if size <= BROADCAST_FRONTIER else frontier, key)
 
 
+def _without(entered: DataFrame, covered: DataFrame, key: list[str], size: int) -> DataFrame:
+    return entered.join(F.broadcast(covered) if size <= BROADCAST_FRONTIER else covered, key, "left_anti")
+
+
 def over(reads: Column, level: Column, passing: Column) -> Column:
     """Level at which an edge enters its target."""
     return F.when(reads == "export", level).when(reads == "gate", USED).when(reads == "passes", F.when(passing, PASSED).when(level >= USED, WHOLE).otherwise(REACHED)).when(reads == "whole", WHOLE).otherwise(REACHED)
@@ -41,9 +46,9 @@ def walk(edges: DataFrame, seeds: DataFrame, exports: DataFrame, gates: DataFram
     outer = usable.where("not inside" + (" and not test" if production else "")).select("to_id", "reads").distinct()
     first = over(F.col("reads"), F.lit(USED), F.lit(True))
     start = seeds.select("node", "holds", F.lit(USED).alias("level"), F.col("passes").alias("passing")).unionByName(outer.select(F.col("to_id").alias("node"), F.lit(False).alias("holds"), first.alias("level"), (first == PASSED).alias("passing")))
-    state = cut(start.groupBy("node", "holds").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing")).withColumns({"depth": F.lit(0), "changed": F.lit(0)}))
+    merge = lambda rows: rows.groupBy("node", "holds").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.min("depth").alias("depth"))
+    state = front = cut(merge(start.withColumn("depth", F.lit(0))))
     for k in range(1, max_rounds):
-        front = state.where(F.col("changed") == k - 1)
         size = front.count()
         if not size:
             break
@@ -51,12 +56,16 @@ def walk(edges: DataFrame, seeds: DataFrame, exports: DataFrame, gates: DataFram
         if production:
             went = went.where("holds or not test")
         level = over(F.col("reads"), F.col("level"), F.col("passing"))
-        entered = went.select(F.col("to_id").alias("node"), (F.col("holds") | (F.col("reads") == "gate")).alias("holds"), level.alias("level"), (level == PASSED).alias("passing"))
-        both = state.withColumn("old", F.lit(True)).unionByName(entered.withColumns({"depth": F.lit(k), "changed": F.lit(k), "old": F.lit(False)}))
-        was = lambda c: F.max(F.when(F.col("old"), F.col(c)))
-        new = both.groupBy("node", "holds").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.min("depth").alias("depth"), was("level").alias("w_level"), F.coalesce(F.bool_or(F.when(F.col("old"), F.col("passing"))), F.lit(False)).alias("w_passing"), was("changed").alias("w_changed"))
-        grew = F.col("w_level").isNull() | (F.col("level") > F.col("w_level")) | (F.col("passing") & ~F.col("w_passing"))
-        state = cut(new.select("node", "holds", "level", "passing", "depth", F.when(grew, k).otherwise(F.col("w_changed")).alias("changed")))
+        entered = went.select(F.col("to_id").alias("node"), (F.col("holds") | (F.col("reads") == "gate")).alias("holds"), level.alias("level"), (level == PASSED).alias("passing"), F.lit(k).alias("depth"))
+        entered = cut(merge(entered))
+        known = state.select("node", "holds", F.col("level").alias("s_level"), F.col("passing").alias("s_passing"))
+        # What a state already covers is found from the state's side, where it lies; covered keys are no more than those entered.
+        size = entered.count()
+        covered = _joined(entered, size, known, ["node", "holds"]).where("s_level >= level and (s_passing or not passing)").select("node", "holds").distinct()
+        front = cut(_without(entered, covered, ["node", "holds"], size))
+        state = state.unionByName(front)
+        if k % 8 == 0:
+            state = cut(merge(state))
     return state.groupBy("node").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.bool_or("holds").alias("holds"), F.min("depth").alias("depth"))
 
 
@@ -71,8 +80,10 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "from_id", dst: str = "
     for k in range(1, max_rounds):
         if not size:
             break
-        new = _joined(front.select("node"), size, steps, "node").select(F.col("next").alias("node")).distinct()
-        front = cut(new.join(found, "node", "left_anti").withColumn("depth", F.lit(k)))
+        entered = cut(_joined(front.select("node"), size, steps, "node").select(F.col("next").alias("node")).distinct())
+        size = entered.count()
+        covered = _joined(entered, size, found.select("node"), "node").distinct()
+        front = cut(_without(entered, covered, ["node"], size).withColumn("depth", F.lit(k)))
         size = front.count()
         if size:
             found = found.unionByName(front) if k % 8 else cut(found.unionByName(front))
@@ -108,3 +119,11 @@ def support_files(uses: DataFrame, tests: DataFrame, rooted: DataFrame, evidence
 def peer_closure(needed: DataFrame, peers: DataFrame) -> DataFrame:
     """(name): packages needed, and what their installed peers need in turn."""
     return reach(peers, needed.select(F.col("name").alias("node")), "name", "peer").select(F.col("node").alias("name"))
+
+
+def carrier_reach(edges: DataFrame, written_by_hand: DataFrame, sealed: DataFrame | None = None) -> DataFrame:
+    """(node): what hand-written code carries on: no writes, no test edges, nothing out of a sealed source."""
+    steps = edges.where("use <> 'write' and not test")
+    if sealed is not None:
+        steps = steps.join(sealed.select(F.col("id").alias("from_id")), "from_id", "left_anti")
+    return reach(steps, written_by_hand.select(F.col("id").alias("node"))).select("node")

@@ -222,3 +222,50 @@ def sarif(findings: DataFrame) -> DataFrame:
     driver = F.struct(F.lit("quietus").alias("name"), rules.alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))
     return listed.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+
+
+def merge_implementations(classes: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Over configurations: (interface_id, classes) as a sorted list, and (method_id, class_id, empty), empty only if every configuration saw an empty body."""
+    listed = classes.groupBy("interface_id").agg(F.array_join(F.array_sort(F.collect_set("class_id")), ",").alias("classes"))
+    return listed, bodies.groupBy("method_id", "class_id").agg(F.bool_and("empty").alias("empty"))
+
+
+def test_ceilings(targets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, ceiling): the lowest confidence among the targets of each test. ``targets`` (id, target), ``classes`` (target, confidence)."""
+    return targets.join(classes, "target").groupBy("id").agg(F.min(rank("confidence", CONFIDENCES)).alias("r")).select("id", named(F.col("r"), CONFIDENCES).alias("ceiling"))
+
+
+def unanswered_counts(questions: DataFrame) -> DataFrame:
+    """(configuration, questions, declarations) that no answer came to."""
+    return questions.groupBy("configuration").agg(F.count("*").alias("questions"), F.countDistinct("id").alias("declarations"))
+
+
+def brand_members(members: DataFrame, namers: DataFrame) -> DataFrame:
+    """(id): members that only unreferenced members of the same owner name. ``members`` (id, owner, refs), ``namers`` (id, namer)."""
+    at = members.select(F.col("id").alias("namer"), F.col("owner").alias("namer_owner"), F.col("refs").alias("namer_refs"))
+    rows = members.join(namers, "id").join(at, "namer", "left")
+    fits = F.coalesce((F.col("owner") == F.col("namer_owner")) & (F.col("namer_refs") == 0), F.lit(False))
+    return rows.groupBy("id").agg(F.bool_and(fits).alias("brand")).where("brand").select("id")
+
+
+def ledger_counts(verdicts: DataFrame, records: DataFrame) -> DataFrame:
+    """(in_effect, sites): records in effect, and distinct sites that hold one."""
+    live = records.join(verdicts.where("verdict = 'in-effect'"), "record_ord")
+    return live.agg(F.count("*").alias("in_effect"), F.countDistinct("site").alias("sites"))
+
+
+def carried(references: DataFrame) -> DataFrame:
+    """(id, chains): distinct carriers of the references to a declaration; none at all if one counted reference has no carrier. ``references`` (to_id, carriers array)."""
+    rows = references.groupBy(F.col("to_id").alias("id")).agg(F.min(F.size("carriers")).alias("least"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("carriers")))), ",").alias("chains"))
+    return rows.where("least > 0").select("id", "chains")
+
+
+def lower_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the lower middle value."""
+    return rows.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("median"))
+
+
+def component_listing(components: DataFrame, cascade: bool) -> DataFrame:
+    """(component, members): a component's roots, or with ``cascade`` all its members, in order."""
+    rows = components if cascade else components.where("root")
+    return rows.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("members"))

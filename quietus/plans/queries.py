@@ -13,7 +13,7 @@ from quietus.functions.globs import ref_like
 from quietus.graph import edges, matrix
 from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
-from quietus.graph.walk import peer_closure, reach, support_files
+from quietus.graph.walk import carrier_reach, peer_closure, reach, support_files
 from quietus.operators import exemptions, joins, liveness, rules
 from quietus.plans import analysis
 from quietus.session import cut
@@ -596,3 +596,98 @@ def analyze_totals(spark, sf):
 def path_parts(spark, sf):
     rows = fact(spark, sf, "paths").withColumn("src", F.lit("src"))
     return rows.select("path", paths.relative_to("path", "src").alias("from_src"), paths.extension("path").alias("extension"), F.regexp_replace("path", "^[^/]*/", "").alias("name"))
+
+
+# --- further rules --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'i' || s_nationkey AS interface_id, string_agg(DISTINCT 'k' || (s_suppkey % 7), ',' ORDER BY 'k' || (s_suppkey % 7)) AS classes FROM supplier GROUP BY s_nationkey")
+def implementing_classes(spark, sf):
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("i"), "s_nationkey").alias("interface_id"), F.concat(F.lit("k"), F.col("s_suppkey") % 7).alias("class_id"))
+    return rules.merge_implementations(rows, rows.select(F.col("interface_id").alias("method_id"), "class_id", F.lit(True).alias("empty")))[0]
+
+
+@query("SELECT 'm' || (l_partkey % 400) AS method_id, 'k' || l_suppkey AS class_id, bool_and(l_returnflag <> 'R') AS empty FROM lineitem GROUP BY ALL")
+def empty_bodies(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("m"), F.col("l_partkey") % 400).alias("method_id"), F.concat(F.lit("k"), "l_suppkey").alias("class_id"), (F.col("l_returnflag") != "R").alias("empty"))
+    return rules.merge_implementations(rows.select(F.col("method_id").alias("interface_id"), "class_id"), rows)[1]
+
+
+@query(ctes("findings") + " SELECT 'o' || l_orderkey AS id, CASE min(CASE confidence WHEN 'possible' THEN 1 WHEN 'probable' THEN 2 ELSE 3 END) WHEN 1 THEN 'possible' WHEN 2 THEN 'probable' ELSE 'certain' END AS ceiling FROM lineitem JOIN findings ON declaration = 'p' || l_partkey GROUP BY l_orderkey")
+def test_ceilings(spark, sf):
+    targets = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    return rules.test_ceilings(targets, fact(spark, sf, "findings").select(F.col("declaration").alias("target"), "confidence"))
+
+
+@query("SELECT 'y' || year(o_orderdate) AS configuration, count(*) AS questions, count(DISTINCT o_custkey) AS declarations FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL")
+def unanswered_counts(spark, sf):
+    rows = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("y"), F.year("o_orderdate")).alias("configuration"), F.col("o_custkey").alias("id"))
+    return rules.unanswered_counts(rows)
+
+
+BRANDS = "WITH m AS (SELECT p_partkey AS id, p_brand AS owner, p_size % 3 AS refs FROM part), n AS (SELECT p_partkey AS id, (p_partkey + 1) % 50 AS namer FROM part)"
+
+
+@query(BRANDS + " SELECT m.id FROM m JOIN n USING (id) LEFT JOIN m o ON o.id = n.namer GROUP BY m.id HAVING bool_and(coalesce(o.owner = m.owner AND o.refs = 0, false))")
+def brand_members(spark, sf):
+    part = table(spark, sf, "part")
+    members = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), (F.col("p_size") % 3).alias("refs"))
+    return rules.brand_members(members, part.select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") + 1) % 50).alias("namer")))
+
+
+@query(LEDGER + " SELECT count(*) AS in_effect, count(DISTINCT site) AS sites FROM ledger JOIN suppressions USING (record_ord) WHERE verdict = 'in-effect'")
+def ledger_counts(spark, sf):
+    return rules.ledger_counts(_ledger(spark, sf), fact(spark, sf, "suppressions"))
+
+
+@query("SELECT 'p' || l_partkey AS id, string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS chains FROM lineitem GROUP BY l_partkey HAVING bool_and(l_linenumber <> 7)")
+def carried_chains(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("to_id"), F.when(F.col("l_linenumber") != 7, F.array(F.concat(F.lit("s"), "l_suppkey"))).otherwise(F.array().cast("array<string>")).alias("carriers"))
+    return rules.carried(rows)
+
+
+@query("SELECT p_brand, quantile_disc(p_size, 0.5) AS median FROM part GROUP BY p_brand")
+def lower_median(spark, sf):
+    return rules.lower_median(table(spark, sf, "part"), ["p_brand"], "p_size")
+
+
+@query(ctes("refs", "roots", recursive=True) + ", k(node) AS (SELECT id FROM roots UNION SELECT to_id FROM k JOIN refs ON from_id = node WHERE use <> 'write' AND NOT test AND from_id NOT LIKE 'c%') SELECT node FROM k")
+def carrier_reach_of_roots(spark, sf):
+    return carrier_reach(fact(spark, sf, "refs"), fact(spark, sf, "roots"), fact(spark, sf, "symbols").where("id like 'c%'"))
+
+
+@query(FOUND + " SELECT DISTINCT 'ts' AS scheme, code, ref, path FROM found WHERE NOT withheld")
+def baseline_document(spark, sf):
+    return analysis.baseline_document(_found(spark, sf))
+
+
+@query(FOUND + " SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_code FROM found WHERE NOT withheld AND severity = 'deny'")
+def exit_verdict(spark, sf):
+    rows = _found(spark, sf)
+    return spark.createDataFrame([(rules.verdict(rows, rows.limit(0)),)], "exit_code int")
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS digest FROM documents")
+def text_digests(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT doc_id, length(text) / len(string_split(text, chr(10))) > 500 AS minified FROM documents")
+def minified_files(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("path", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".js")))
+    return rows.select("doc_id", tree.minified().alias("minified"))
+
+
+DIRECTIVES = "WITH d AS (SELECT 'lib/' || p_brand || '.ts' AS path, CAST(p_partkey AS INT) AS line, CASE p_size % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no-reason' WHEN 2 THEN 'malformed' END AS state FROM part)"
+
+
+@query(DIRECTIVES + " SELECT * FROM d WHERE state IS NOT NULL")
+def inline_directives(spark, sf):
+    said = F.element_at(F.array(F.lit("// quietus-ignore DS1001, DS1002: kept"), F.lit("/* quietus-ignore DS1003 */"), F.lit("// quietus-ignore all of it"), F.lit("// nothing of the kind")), (F.col("p_size") % 4 + 1).cast("int"))
+    lines = table(spark, sf, "part").select(F.concat(F.lit("lib/"), "p_brand", F.lit(".ts")).alias("path"), F.col("p_partkey").cast("int").alias("line"), said.alias("text"))
+    return manifests.inline_directives(lines).select("path", "line", "state")
+
+
+@query()
+def component_roots(spark, sf):
+    return rules.component_listing(cut(liveness.components(_judged(spark, sf), fact(spark, sf, "refs"))), cascade=False)
