@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors where they would not find it: the driver's path came neither from PYTHONPATH nor from its working folder."""
+    root = Path(__file__).resolve().parents[1]
+    found = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    application = spark.sparkContext.applicationId
+    if any(p.resolve() == root for p in found) or application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    package = Path(tempfile.mkdtemp(prefix="quietus-")) / "quietus.zip"
+    with zipfile.ZipFile(package, "w") as out:
+        for file in sorted((root / "quietus").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(package))
+
+
+_SHIPPED: set[str] = set()
