@@ -1,7 +1,8 @@
 """Star-schema tables as code facts: the deterministic mapping through which the operators are exercised.
 
 Each fact is one portable SELECT. Spark runs it over DataFrames; the SQL oracles start from the same SELECTs as common table expressions, so both sides judge the
-same facts and only the operators differ.
+same facts and only the operators differ. A condition in a fact is part of the mapping (it says which rows stand for a reference, a root or a record);
+queries read every row of the facts they take.
 """
 
 from __future__ import annotations

@@ -260,19 +260,16 @@ def print_roots(spark, sf):
 
 # --- components -----------------------------------------------------------------------------------------------------
 
-PART_EDGES = ctes("refs", recursive=True) + ", pe AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM refs WHERE from_id LIKE 'p%' AND to_id LIKE 'p%')"
-CLOSURE = PART_EDGES.replace("WHERE from_id LIKE 'p%' AND to_id LIKE 'p%'", "WHERE (from_id LIKE 'p%' AND to_id LIKE 'p%') OR (from_id LIKE 'c%' AND to_id LIKE 'o%') OR (from_id LIKE 'o%' AND to_id LIKE 'c%')") + ", nodes AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), t(a, b) AS (SELECT src, dst FROM pe UNION SELECT t.a, pe.dst FROM t JOIN pe ON t.b = pe.src), scc AS (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS scc FROM nodes n LEFT JOIN (SELECT p.a, p.b FROM t p JOIN t q ON p.a = q.b AND p.b = q.a) x ON x.a = n.node GROUP BY n.node)"
+CLOSURE = ctes("refs", recursive=True) + ", pe AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM refs), nodes AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), t(a, b) AS (SELECT src, dst FROM pe UNION SELECT t.a, pe.dst FROM t JOIN pe ON t.b = pe.src), scc AS (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS scc FROM nodes n LEFT JOIN (SELECT p.a, p.b FROM t p JOIN t q ON p.a = q.b AND p.b = q.a) x ON x.a = n.node GROUP BY n.node)"
 
 
 def _cyclic(spark, sf):
-    refs = fact(spark, sf, "refs")
-    return refs.where("(from_id like 'p%' and to_id like 'p%') or (from_id like 'c%' and to_id like 'o%') or (from_id like 'o%' and to_id like 'c%')").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    return fact(spark, sf, "refs").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
 
 
-@query(PART_EDGES + ", u AS (SELECT src, dst FROM pe UNION SELECT dst, src FROM pe), t(a, b) AS (SELECT src, dst FROM u UNION SELECT t.a, u.dst FROM t JOIN u ON t.b = u.src) SELECT a AS node, least(a, min(b)) AS root FROM t GROUP BY a")
-def weak_components_of_parts(spark, sf):
-    refs = fact(spark, sf, "refs").where("from_id like 'p%' and to_id like 'p%'")
-    return weak_components(refs, "from_id", "to_id")
+@query()
+def weak_components_of_symbols(spark, sf):
+    return weak_components(_cyclic(spark, sf))
 
 
 @query(CLOSURE + " SELECT node, scc FROM scc")
