@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of smallest id."""
+    """One document of each near-duplicate group stays, the one of smallest id: groups by close fingerprints, and by 0.8 or more of five-word shingles in common."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietus.graph.components import weak_components
-from quietus.session import cut
+from quietus.llm import resemblance
+from quietus.session import cut, if_small
 
 THRESHOLD = 3
 #: Rows of an anchor that one group compares: beyond it the anchor is dealt out in chunks of this size.
@@ -170,16 +171,34 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -
     return groups.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(threshold), "src long, dst long").distinct()
 
 
-def _classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, keeper) of every fingerprint; keeper is the (doc_id, digest) of the component's smallest row, null ids last."""
+def _classes(prints: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fp, component_id, keeper) of every fingerprint; keeper is the (doc_id, digest) of the component's smallest row, null ids last.
+
+    Given ``docs``, texts of similar shingles (``resemblance``) are linked as well.
+    """
     # A vertex is a distinct fingerprint, named by its value, so that null or repeated ids do not matter to the links.
     distinct = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest")).alias("least")))
     roots = weak_components(links(distinct.select("fp", F.col("fp").alias("rep"))))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    if docs is not None:
+        rooted = cut(rooted)
+        names = cut(prints.select("digest", "fp").join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("digest").alias("name"), F.collect_set("digest").alias("digests")))
+        more = weak_components(resemblance.links(_texts(docs, prints, names, id_col, text_col), prints.count())).toDF("name", "above")
+        rooted = rooted.join(names.select("root", "name"), "root").join(more, "name", "left").select("fp", "least", F.coalesce("above", "name").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
     return cut(rooted.join(named, "root").select("fp", F.col("keeper.doc_id").alias("component_id"), "keeper"))
 
 
+def _texts(docs: DataFrame, prints: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, root, text) of the distinct texts, root being the name of the text's component; only rows that are equal in id and text may repeat."""
+    least = prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(prints.join(least, "digest").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.coalesce("doc_id", F.lit(0)).alias("q_id"), F.col("doc_id").isNull().alias("q_absent"), F.col("digest").alias("q_digest")).distinct())
+    joined = cut(names.where(F.size("digests") > 1).select(F.explode("digests").alias("digest"), F.col("name").alias("root")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.join(if_small(copies), (F.coalesce("doc_id", F.lit(0)) == F.col("q_id")) & (F.col("doc_id").isNull() == F.col("q_absent")) & (F.col("digest") == F.col("q_digest")), "left_anti")
+    return rows.join(if_small(joined), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "text")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     prints = cut(fingerprints(docs, id_col, text_col))
@@ -187,13 +206,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that a smaller row of their component stands for. Of equal rows one stays."""
+    """The rows of ``docs``, all columns, without those that a smaller row of their component stands for. Of equal rows one stays.
+
+    Beside fingerprints within the threshold, texts of similar shingles are linked: near copies lie up to ten bits and more apart.
+    """
     prints = cut(fingerprints(docs, id_col, text_col))
-    rows = prints.join(_classes(prints).select("fp", "keeper"), "fp").groupBy("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))).agg(F.count("*").alias("n"))
+    rows = prints.join(_classes(prints, docs, id_col, text_col).select("fp", "keeper"), "fp").groupBy("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))).agg(F.count("*").alias("n"))
     rows = cut(rows.toDF("q_id", "q_digest", "q_kept", "q_n").where("not q_kept or q_n > 1"))
     keyed = docs.withColumn("q_text", _digest(text_col))
     match = keyed[id_col].cast("long").eqNullSafe(F.col("q_id")) & (F.col("q_text") == F.col("q_digest"))
-    rest = keyed.join(rows, match, "left_anti").drop("q_text")
+    rest = keyed.join(if_small(rows), match, "left_anti").drop("q_text")
     repeated = rows.where("q_kept")
     if repeated.isEmpty():
         return rest

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, marked to be broadcast if its counted rows are within a bound: the texts it is joined with then stay where they lie."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

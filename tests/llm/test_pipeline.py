@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from tests.llm.test_documents import SCHEMA, brute_fingerprint, odd, speech
+from tests.llm.test_documents import SCHEMA, brute_fingerprint, components_of, odd, speech
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,26 @@ def test_dedup_stage_keeps_one_of_each_group(spark, docs):
     assert kept == {min(g) for g in groups}
 
 
+def test_dedup_stage_catches_all_near_copies(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(3, 160))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            near = list(base)
+            for _ in range(rng.randint(1, 3)):
+                near[rng.randrange(len(near))] = f"v{rng.randrange(1000)}"
+            texts.append("a line that all of them share\n" * (len(base) > 80) + " ".join(near))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    prints = [brute_fingerprint(t) for t in texts]
+    assert sum(alike(a, b) and (prints[a] ^ prints[b]).bit_count() > 3 for a in range(len(texts)) for b in range(a)) > 20
+    root = components_of(len(texts), lambda a, b: alike(a, b) or (prints[a] ^ prints[b]).bit_count() <= 3)
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()} == set(root)
+
+
 def test_secret_stage_masks_and_keeps_all(spark, docs):
     got = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
     want = {r.doc_id: r.text for r in docs.collect()}
