@@ -19,6 +19,9 @@ from quietus.plans import analysis
 from quietus.session import cut
 from quietus.sources import manifests, tree
 
+#: Findings that one row of the SARIF log holds, about.
+SARIF_PIECE = 10_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -405,7 +408,8 @@ def annotation_lines(spark, sf):
 
 @query()
 def sarif_log(spark, sf):
-    return rules.sarif(rules.top(_found(spark, sf).where("not withheld"), 1000))
+    found = cut(_found(spark, sf).where("not withheld"))
+    return rules.sarif(found, -(-found.count() // SARIF_PIECE))
 
 
 @query(ctes("findings") + " SELECT declaration, sha256(code || chr(10) || ref) AS fingerprint FROM findings")

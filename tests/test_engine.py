@@ -13,7 +13,7 @@ from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
 from quietus.graph.walk import reach, support_files, walk
 from quietus.operators import exemptions, joins, liveness, rules
-from quietus.plans import analysis
+from quietus.plans import analysis, queries
 from quietus.sources import manifests, tree
 
 EDGE = "from_id string, to_id string, reads string, test boolean, guessed boolean, inside boolean"
@@ -307,3 +307,16 @@ def test_queries_match_their_sql(spark, name):
     got = __spark_entry__.queries()[name](spark, ROOT).toPandas()
     rows = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d.notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+def test_sarif_log_holds_every_finding(spark, monkeypatch):
+    row = "path string, line int, col int, code string, ref string, severity string, lines long, subject_lines long, withheld boolean"
+    found = spark.createDataFrame([(f"p{k % 7}", k, 1, "DS1001", f"r{k}", "deny", k, k, k % 5 == 0) for k in range(3000)], row)
+    monkeypatch.setattr(queries, "_found", lambda spark, sf: found)
+    want = sorted(f"r{k}" for k in range(3000) if k % 5)
+    for piece in (10_000, 500):
+        monkeypatch.setattr(queries, "SARIF_PIECE", piece)
+        logs = [json.loads(r["sarif"]) for r in queries.sarif_log(spark, "").collect()]
+        assert len(logs) == -(-2400 // piece) and sorted(x["message"]["text"] for log in logs for x in log["runs"][0]["results"]) == want
+    monkeypatch.setattr(queries, "_found", lambda spark, sf: found.where("false"))
+    assert [json.loads(r["sarif"])["runs"][0]["results"] for r in queries.sarif_log(spark, "").collect()] == [[]]
