@@ -66,6 +66,9 @@ def walk(edges: DataFrame, seeds: DataFrame, exports: DataFrame, gates: DataFram
         state = state.unionByName(front)
         if k % 8 == 0:
             state = cut(merge(state))
+    else:
+        if not front.isEmpty():
+            raise RuntimeError("the walk did not settle within max_rounds")
     return state.groupBy("node").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.bool_or("holds").alias("holds"), F.min("depth").alias("depth"))
 
 
@@ -87,6 +90,9 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "from_id", dst: str = "
         size = front.count()
         if size:
             found = found.unionByName(front) if k % 8 else cut(found.unionByName(front))
+    else:
+        if size:
+            raise RuntimeError("reachability did not settle within max_rounds")
     return found
 
 
@@ -109,6 +115,8 @@ def support_files(uses: DataFrame, tests: DataFrame, rooted: DataFrame, evidence
             if left == n:
                 break
             n = left
+        else:
+            raise RuntimeError("support did not settle within max_rounds")
         return files
 
     only_tests = shrink(start)

@@ -320,3 +320,18 @@ def test_sarif_log_holds_every_finding(spark, monkeypatch):
         assert len(logs) == -(-2400 // piece) and sorted(x["message"]["text"] for log in logs for x in log["runs"][0]["results"]) == want
     monkeypatch.setattr(queries, "_found", lambda spark, sf: found.where("false"))
     assert [json.loads(r["sarif"])["runs"][0]["results"] for r in queries.sarif_log(spark, "").collect()] == [[]]
+
+
+def test_fixpoints_cut_short_raise(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)], "src string, dst string")
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    assert reach(chain, seeds, "src", "dst").count() == 7
+    loop = chain.unionByName(spark.createDataFrame([("n6", "n0")], "src string, dst string"))
+    steps = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "direct", False, False, True) for k in range(6)], EDGE)
+    start = spark.createDataFrame([("n0", False, True)], "node string, holds boolean, passes boolean")
+    none = spark.createDataFrame([], "id string, child string")
+    uses = chain.select(F.col("src").alias("from_path"), F.col("dst").alias("to_path")).unionByName(spark.createDataFrame([("t", f"n{k}") for k in range(7)] + [("x", "n0")], "from_path string, to_path string"))
+    tests, rooted = spark.createDataFrame([("t",)], "path string"), spark.createDataFrame([], "path string")
+    for short in (lambda: reach(chain, seeds, "src", "dst", max_rounds=3), lambda: strong_components(loop, max_rounds=2), lambda: walk(steps, start, none, max_rounds=3), lambda: support_files(uses, tests, rooted, max_rounds=2)):
+        with pytest.raises(RuntimeError, match="max_rounds"):
+            short().collect()
