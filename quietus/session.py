@@ -29,8 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df``, marked to be broadcast if its counted rows are within a bound: the texts it is joined with then stay where they lie."""
+def if_small(df: DataFrame, most: int = 300_000) -> DataFrame:
+    """``df``, marked to be broadcast if its counted rows (of a few short columns) are within a bound: the texts it is joined with then stay where they lie."""
     return F.broadcast(df) if df.count() <= most else df
 
 
