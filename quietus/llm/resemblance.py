@@ -1,12 +1,15 @@
-"""Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: all such pairs, found by prefixes and settled exactly.
+"""Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: what such pairs join, found by prefixes and settled exactly.
 
 All shingles have one order. Sets of similarity 0.8 or more share at least four fifths of either, so the first shingle they share lies among the first
-``n - ceil(0.8 n) + 1`` of both: texts that meet at no shingle of their prefixes are no pair, and no pair is lost. A meeting is a candidate only if the sizes, and what
-is left of both sets behind the shingle, still admit the similarity; candidates are settled on both whole texts.
+``n - ceil(0.8 n) + 1`` of both: texts that meet at no shingle of their prefixes are no pair, and no pair is lost. A meeting is a candidate only if the sizes, what
+is left of both sets behind the shingle, and the parities of 512 bins of both sets still admit the similarity; candidates are settled on both whole texts.
+
+Pairs are not emitted for whole groups of near copies. First every text meets two others at each shingle of its prefix (the first of about its size, and the next smaller one):
+a number of candidates in proportion to the texts. What these join is one class; then only texts of different classes are candidates at the shingles they share.
 
 The order puts shingles that a sample of texts often holds last, so that lines many texts share are seldom in a prefix. The sample decides the work, never the result.
 
-Edge cases: words are those of ``simhash``; a text of fewer than five words has one shingle, the whole sequence; a text without words is similar to none.
+Edge cases: words are those of ``simhash``; a text of fewer than five words has one shingle, the whole sequence; a text without words is similar to none; an empty table gives no links.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietus.graph.components import weak_components
 from quietus.session import cut, if_small
 
 WIDTH = 5
 #: Texts that the order of shingles is learned from, and shingles that it puts last.
-SAMPLED, FREQUENT = 8192, 100_000
+SAMPLED, FREQUENT = 16_384, 100_000
+PARITIES = [f"p{k}" for k in range(8)]
 #: Words hashed at once, which bounds a task's memory.
 PIECE = 1 << 14
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -76,30 +81,84 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
     return seen["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(h, digest, root, size, place) of every shingle in the prefix of each text."""
+def parities(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 512 bins, as 8 longs: sets that differ in d shingles differ in at most d parities."""
+    odd = (np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(digest, root, size, prefix, p0 .. p7) of every text that has words."""
     order = np.argsort(frequent)
     ordered = frequent[order]
-    names = ["h", "digest", "root", "size", "place"]
+    names = ["digest", "root", "size", "prefix", *PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
-            for text in batch.column(2):
+            rows, sizes, found, odd = [], [], [], []
+            for k, text in enumerate(batch.column(2)):
                 h = shingles(text.as_py())
                 n = len(h)
-                sizes.append(n)
-                if len(ordered) and n:
+                if not n:
+                    continue
+                odd.append(parities(h))
+                if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
                     rank = np.where(ordered[at] == h, order[at] + 1, 0)
                     h = h[np.argsort(rank, kind="stable")]
-                found.append(h[: n - (4 * n + 4) // 5 + 1] if n else h)
-            held = np.array([len(h) for h in found], np.int64)
-            digest, root = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), held) for k in (0, 1))
-            h, place = np.concatenate(found).view(np.int64), np.concatenate([np.arange(k, dtype=np.int32) for k in held])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, digest, root, np.repeat(np.array(sizes, np.int32), held), place)], names=names)
+                rows.append(k)
+                sizes.append(n)
+                found.append(h[: n - (4 * n + 4) // 5 + 1].view(np.int64))
+            if rows:
+                held = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(found)))
+                odd = np.stack(odd)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(8))], names=names)
+
+    return texts.select("digest", "root", "text").mapInArrow(run, "digest long, root long, size int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, size, digest), those whose shingle another row has too, with the first row of about its size and the row before.
+
+    Only the last row of a batch is carried to the next one, whatever the number of rows of a shingle.
+    """
+    names = ["h", "digest", "size", "place", "first", "before"]
+    carried, first_seen = None, None
+
+    def step(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal carried, first_seen
+        if carried is not None:
+            cols = [np.concatenate([c, x]) for c, x in zip(carried, cols, strict=True)]
+        n = len(cols[0])
+        if not n:
+            return
+        h, digest, size, place, met = cols
+        klass = np.floor(np.log(size) / np.log(1.25)).astype(np.int64)
+        same = np.concatenate([[False], h[1:] == h[:-1]])
+        new = ~(same & np.concatenate([[False], klass[1:] == klass[:-1]]))
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        first, before = digest[start], np.concatenate([digest[:1], digest[:-1]])
+        if first_seen is not None and carried is not None:  # the carried row's class began in an earlier batch
+            first[start == 0] = first_seen
+        out = slice(0, n if last else n - 1)  # whether the last row's shingle is met again is not known yet
+        met = met.astype(bool) | same
+        shared = (met | np.concatenate([same[1:], [False]]))[out]
+        if shared.any():
+            none = np.zeros(int(shared.sum()), bool)
+            apart = lambda x, off: pa.array(x[out][shared], pa.int64(), mask=none | off)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[out][shared]), pa.array(digest[out][shared]), pa.array(size[out][shared], pa.int32()), pa.array(place[out][shared], pa.int32()), apart(first, first[out][shared] == digest[out][shared]), apart(before, ~same[out][shared])], names=names
+            )
+        carried = [h[-1:], digest[-1:], size[-1:], place[-1:], met[-1:].astype(np.int8)]
+        first_seen = first[-1]
 
-    return texts.select("digest", "root", "text").mapInArrow(run, "h long, digest long, root long, size int, place int")
+    for batch in batches:
+        if batch.num_rows:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            yield from step([*cols, np.zeros(batch.num_rows, np.int8)], False)
+    if carried is not None:
+        yield from step([np.zeros(0, c.dtype) for c in carried], True)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +176,43 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (2, 3)], names=["src", "dst"])
 
 
-def links(texts: DataFrame, n: int) -> DataFrame:
-    """(src, dst) over ``root``: the pairs of similar texts of different roots. ``texts``: digest, root, text, one row for each text; ``n`` of them, about."""
-    rows = _prefixes(texts, _frequent(texts, n))
-    a, b = (rows.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("digest", "root", "size", "place")]) for side in "ab")
-    left = 1 + F.least(F.col("size_a") - F.col("place_a") - 1, F.col("size_b") - F.col("place_b") - 1)
-    admitted = (5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")) & (9 * left >= 4 * (F.col("size_a") + F.col("size_b")))
-    met = a.join(b.hint("merge"), "h").where((F.col("digest_a") < F.col("digest_b")) & (F.col("root_a") != F.col("root_b")) & admitted)
-    pairs = cut(met.select("digest_a", "digest_b", "root_a", "root_b").distinct())
+def _settled(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst): the roots of those ``pairs`` (digest_a, digest_b, root_a, root_b) whose whole texts are similar."""
+    pairs = cut(pairs)
     needed = cut(pairs.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct())
     held = texts.join(if_small(needed), "digest", "left_semi").select("digest", "text").repartition("digest").dropDuplicates(["digest"])
     whole = pairs.join(held.toDF("digest_a", "text_a").hint("merge"), "digest_a").join(held.toDF("digest_b", "text_b").hint("merge"), "digest_b")
-    return whole.select("digest_a", "digest_b", "root_a", "root_b", "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct()
+    return cut(whole.select("digest_a", "digest_b", "root_a", "root_b", "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct())
+
+
+def _admitted(a: str, b: str) -> Column:
+    """Whether sizes and parities of two sets admit the similarity; sizes come before parities, so most rows need the first alone."""
+    sizes = F.col(f"size_{a}") + F.col(f"size_{b}")
+    apart = sum((F.bit_count(F.col(f"{p}_{a}").bitwiseXOR(F.col(f"{p}_{b}"))) for p in PARITIES), F.lit(0))
+    return (5 * F.least(f"size_{a}", f"size_{b}") >= 4 * F.greatest(f"size_{a}", f"size_{b}")) & (9 * apart <= sizes)
+
+
+def links(texts: DataFrame, n: int) -> DataFrame:
+    """(src, dst) over ``root``: links that join what similar texts of different roots join. ``texts``: digest, root, text, one row for each text; ``n`` of them, about."""
+    profiles = cut(_profiles(texts, _frequent(texts, n)))
+    rows = profiles.select(F.posexplode("prefix").alias("place", "h"), "digest", "size").select("h", "digest", "size", "place")
+    met = cut(rows.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_meetings, "h long, digest long, size int, place int, first long, before long"))
+    side = lambda s: profiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("digest", "root", "size", *PARITIES)])
+    few = met.select(F.explode(F.array("first", "before")).alias("x"), F.col("digest").alias("y")).where("x is not null and x <> y").select(F.least("x", "y").alias("digest_a"), F.greatest("x", "y").alias("digest_b")).distinct()
+    few = few.join(side("a"), "digest_a").join(side("b"), "digest_b").where((F.col("root_a") != F.col("root_b")) & _admitted("a", "b"))
+    first = _settled(texts, few.select("digest_a", "digest_b", "root_a", "root_b"))
+    above = weak_components(first).toDF("root", "above")
+    # What is left: pairs of texts whose classes still differ.
+    classed = profiles.join(above, "root", "left").select("digest", F.coalesce("above", "root").alias("root"), *PARITIES)
+    rows = cut(met.select("h", "digest", "size", "place").join(classed, "digest"))
+    # A shingle's rows of its most frequent class need no comparison with each other, so only the others meet all.
+    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("h", "main")
+    rows = cut(rows.join(main, "h"))
+    columns = ("digest", "root", "size", "place", *PARITIES)
+    a = rows.where("root <> main").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = rows.select("h", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
+    left = 1 + F.least(F.col("size_a") - F.col("place_a") - 1, F.col("size_b") - F.col("place_b") - 1)
+    behind = 9 * left >= 4 * (F.col("size_a") + F.col("size_b"))
+    once = (F.col("root_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
+    rest = a.join(b.hint("merge"), (a["h"] == b["h"]) & (F.col("root_a") != F.col("root_b")) & once & behind & _admitted("a", "b"))
+    return first.unionByName(_settled(texts, rest.select("digest_a", "digest_b", "root_a", "root_b").distinct()))

@@ -1,11 +1,11 @@
 """Secret scans weighed by corpus-wide ownership.
 
 Every text yields base spans (assignments, access keys, long hex) and further candidates (long mixed tokens). Each candidate's
-value is hashed; over the whole corpus a hash is counted by the distinct repositories and owners that hold it. A value that many
-owners hold is an example that people copy; one that few hold looks live. Base spans are always reported; a further
+value is hashed; over the whole corpus a hash is counted by the distinct repositories and owners that hold it. A value that more than ``max_owners`` owners or
+``max_repos`` repositories hold is an example that people copy; one that few hold looks live. Base spans are always reported; a further
 candidate is reported, as kind ``owned``, only where it looks live.
 
-Where a table has no repository column, each document is a repository of its own, under its owner.
+Where a table has no repository column, each text is a repository of its own, under its owner: copies of one text count once for an owner.
 
 Edge cases: a null text is empty; a null owner or repository counts as one unnamed owner or repository; repeated rows are all returned and count
 once for ownership; ids may be null or repeated; an empty table gives no rows; further columns are left aside.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietus.session import cut
+from quietus.session import cut, if_small
 
 #: In the order in which spans of one start are listed.
 KINDS = ["assign", "access", "hex", "owned"]
@@ -67,7 +67,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
             spans = [[{"start": a, "kind": k, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, k, b, v in candidates(text.as_py() or "", min_entropy)] for text in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, kind)], names=["doc_id", "digest", "owner", "repo", "spans"])
 
-    repo = F.col(repo_col) if repo_col else F.concat_ws(":", F.col(id_col).cast("string"), digest_of(text_col).cast("string"))
+    repo = F.col(repo_col) if repo_col else digest_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"), F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id long, digest long, owner string, repo string, spans {SPANS}")
 
@@ -83,11 +83,11 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return repos.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def judged(scanned: DataFrame, max_owners: int) -> DataFrame:
+def judged(scanned: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """(doc_id, digest, spans) of the rows of ``scanned`` (kept in the shared folder) that hold candidates; each span has n_repos, n_owners and live."""
     rows = scanned.where(F.size("spans") > 0).select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.*")
     rows = rows.join(ownership(scanned), "hash")
-    span = F.struct("start", "kind", "end", "hash", "n_repos", "n_owners", (F.col("n_owners") <= max_owners).alias("live"))
+    span = F.struct("start", "kind", "end", "hash", "n_repos", "n_owners", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
     return rows.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(span)).alias("spans"))
 
 
@@ -96,10 +96,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_examples (base and further spans by judgement)."""
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 50) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_examples (base and further spans by judgement), most_repos, most_owners (of the row's most copied value)."""
     scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col))
-    found = judged(scanned, max_owners).toDF("j_id", "j_digest", "j_spans")
+    found = judged(scanned, max_owners, max_repos).toDF("j_id", "j_digest", "j_spans")
     rows = scanned.select("doc_id", "digest").join(found, F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("digest") == F.col("j_digest")), "left")
     rows = rows.withColumn("j_spans", F.coalesce("j_spans", F.array().cast(found.schema["j_spans"].dataType)))
     base = F.filter("j_spans", lambda s: s["kind"] < 3)
@@ -117,26 +117,25 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
         count(lambda s: (s["kind"] == 3) & s["live"]).alias("n_owned"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_examples"),
+        *[F.coalesce(F.array_max(F.col(f"j_spans.{c}")), F.lit(0)).cast("long").alias(f"most_{c[2:]}") for c in ("n_repos", "n_owners")],
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 50, mark: str = "<secret>") -> DataFrame:
     """``docs``, all rows and columns, with ``mark`` in place of every span that looks live. Overlapping spans share one mark."""
     scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col))
-    live = judged(scanned, max_owners).select(F.col("doc_id").alias("j_id"), F.col("digest").alias("j_digest"), F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.array(s["start"], s["end"])).alias("j_cuts")).where(F.size("j_cuts") > 0)
-
-    @F.udf("string", useArrow=True)
-    def masked(text: str | None, cuts: list[list[int]] | None) -> str | None:
-        if text is None or cuts is None:
-            return text
-        out, at = [], 0
-        for start, end in sorted(map(tuple, cuts)):
-            if start >= at:
-                out += [text[at:start], mark]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
+    live = judged(scanned, max_owners, max_repos).select(F.col("doc_id").alias("j_id"), F.col("digest").alias("j_digest"), F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.array(s["start"], s["end"])).alias("j_cuts")).where(F.size("j_cuts") > 0)
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    text = F.col(text_col)
+
+    def masked(done: Column, span: Column) -> Column:
+        """Text up to a span, and the mark; a span that begins within the one before only moves its end."""
+        apart = F.struct(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), (span[0] - done["at"]).cast("int")), F.lit(mark)).alias("out"), span[1].alias("at"))
+        return F.when(span[0] >= done["at"], apart).otherwise(F.struct(done["out"].alias("out"), F.greatest(done["at"], span[1]).alias("at")))
 
     keyed = docs.withColumn("j_text", digest_of(text_col))
-    rows = keyed.join(live, keyed[id_col].cast("long").eqNullSafe(F.col("j_id")) & (F.col("j_text") == F.col("j_digest")), "left")
-    rows = rows.withColumn("j_masked", masked(F.when(F.col("j_cuts").isNotNull(), F.col(text_col)), "j_cuts"))
+    rows = keyed.join(if_small(cut(live)), keyed[id_col].cast("long").eqNullSafe(F.col("j_id")) & (F.col("j_text") == F.col("j_digest")), "left")
+    end = lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.char_length(text)))
+    rows = rows.withColumn("j_masked", F.when(F.col("j_cuts").isNotNull(), F.aggregate("j_cuts", start, masked, end)))
     return rows.select(*[F.coalesce("j_masked", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

@@ -162,11 +162,12 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, chunk: int = CHUNK) -
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     # A row at home stands in its own home chunk beside every other chunk; any row stands in its own chunk beside every home chunk.
-    one = placed.where("chunks = 1").select("anchor", F.lit(0).alias("home_chunk"), F.lit(0).alias("other_chunk"), "fp", "rep", F.col("home").alias("as_home"), F.lit(True).alias("as_other"))
-    many = placed.where("chunks > 1")
-    homes = many.where("home").select("anchor", mine.alias("home_chunk"), F.explode(every).alias("other_chunk"), "fp", "rep", F.lit(True).alias("as_home"), F.lit(False).alias("as_other"))
-    others = many.select("anchor", mine.alias("other_chunk"), F.explode(every).alias("home_chunk"), "fp", "rep", F.lit(False).alias("as_home"), F.lit(True).alias("as_other"))
-    groups = one.unionByName(homes).unionByName(others)
+    place = lambda home_chunk, other_chunk, as_home, as_other: F.struct(home_chunk.alias("home_chunk"), other_chunk.alias("other_chunk"), as_home.alias("as_home"), as_other.alias("as_other"))
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    one = F.array(place(zero, zero, F.col("home"), yes))
+    others = F.transform(every, lambda x: place(x, mine, no, yes))
+    homes = F.when(F.col("home"), F.transform(every, lambda x: place(mine, x, yes, no))).otherwise(F.array().cast("array<struct<home_chunk:int,other_chunk:int,as_home:boolean,as_other:boolean>>"))
+    groups = placed.select("anchor", "fp", "rep", F.explode(F.when(F.col("chunks") == 1, one).otherwise(F.concat(homes, others))).alias("g")).select("anchor", "g.home_chunk", "g.other_chunk", "fp", "rep", "g.as_home", "g.as_other")
     keys = ["anchor", "home_chunk", "other_chunk"]
     return groups.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(threshold), "src long, dst long").distinct()
 

@@ -50,16 +50,19 @@ def test_near_vectors_match_brute_force(spark, block):
     assert [(r.n_links, r.component_id) for r in got[906]] == [(1, 906)] * 2
 
 
-def test_dense_and_sparse_tiles_agree(monkeypatch):
+def test_proven_and_settled_links_are_all_links(monkeypatch):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((5, 16))
-    x = unit(np.vstack([c + rng.standard_normal((60, 16)) * 0.08 for c in centre]))
+    x = unit(np.vstack([c + rng.standard_normal((60, 16)) * 0.22 for c in centre]))
     w = rng.integers(1, 4, len(x))
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
     monkeypatch.setattr(near_vectors, "TILE", 32)
-    links, label = near_vectors.compare(x, x, w, w, True, 0.95)
-    assert (links[: len(x)] == near @ w).all()
+    codes = near_vectors.Codes.of(x)
+    sure, label, doubted = near_vectors.compare(codes, codes, w, w, True, 0.95)
+    settled, more, _ = near_vectors.compare(codes, codes, w, w, True, 0.95, (x, x))
+    assert ((sure + settled)[: len(x)] == near @ w).all() and 0 < doubted.sum() and settled.sum() and sure.sum()
+    label = near_vectors.settle(2 * len(x), *(np.concatenate([np.arange(2 * len(x))] * 2), np.concatenate([label, more])))
     groups = [set(np.flatnonzero(label[: len(x)] == k)) for k in set(label[: len(x)])]
     assert sum(len(g) for g in groups) == len(x) and all(label[i] == label[j] for i, j in zip(*np.nonzero(near), strict=True))
 
@@ -68,10 +71,22 @@ def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(3)
     x = unit(rng.standard_normal((200, 24)))
     y = unit(x + rng.standard_normal((200, 24)) * 0.15)
-    a, b = near_vectors.Codes(x), near_vectors.Codes(y)
-    for threshold in (0.0, 0.5, 0.9, 0.95):
-        may = near_vectors.possible(a, b, slice(0, 200), slice(0, 200), threshold)
-        assert may[x @ y.T >= threshold].all()
+    product, off = near_vectors.bounds(near_vectors.Codes.of(x), near_vectors.Codes.of(y), slice(0, 200), slice(0, 200))
+    assert (np.abs(product - x @ y.T) <= off).all()
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_links_at_the_threshold_do_not_depend_on_the_blocks(spark, block):
+    rng = np.random.default_rng(9)
+    rows, want = [], []
+    for k in range(60):  # pairs built to lie at 0.95, half of them within the rounding of it
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        rows += [(2 * k, a), (2 * k + 1, 0.95 * a + math.sqrt(1 - 0.95**2) * b)]
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in rows], "vec_id long, embedding array<double>, label int")
+    x = unit(np.array([v for _, v in rows]))
+    want = {(a, b) for a in range(120) for b in range(a) if (x[a] * x[b]).sum() >= 0.95}
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(table, block=block, small=40).collect()}
+    assert all(got[k] == sum(k in pair for pair in want) for k in range(120))
 
 
 def test_near_vectors_of_nothing(spark):
