@@ -19,13 +19,13 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -51,3 +51,15 @@ def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     else:
         raise RuntimeError("components did not settle within max_rounds")
     return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def contracted(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, label)`` for every vertex of ``edges``: a vertex within two steps, the smallest after two rounds of minima.
+
+    Vertices of one label are of one component; a component may have several labels. That is enough to leave out what is known to hang together, at two grouped minima.
+    """
+    ends = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct())
+    both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label"))
+    second = both.join(first.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("label"))
+    return cut(second.withColumnRenamed("u", "node"))
