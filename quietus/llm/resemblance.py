@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietus.graph.components import weak_components
+from quietus.graph.components import contracted
 from quietus.session import cut, if_small
 
 WIDTH = 5
@@ -88,15 +88,15 @@ def parities(h: np.ndarray) -> np.ndarray:
 
 
 def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(digest, root, size, prefix, p0 .. p7) of every text that has words."""
+    """(digest, size, prefix, p0 .. p7) of every text that has words."""
     order = np.argsort(frequent)
     ordered = frequent[order]
-    names = ["digest", "root", "size", "prefix", *PARITIES]
+    names = ["digest", "size", "prefix", *PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, sizes, found, odd = [], [], [], []
-            for k, text in enumerate(batch.column(2)):
+            for k, text in enumerate(batch.column(1)):
                 h = shingles(text.as_py())
                 n = len(h)
                 if not n:
@@ -113,9 +113,9 @@ def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 held = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(found)))
                 odd = np.stack(odd)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(8))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(8))], names=names)
 
-    return texts.select("digest", "root", "text").mapInArrow(run, "digest long, root long, size int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+    return texts.select("digest", "text").mapInArrow(run, "digest long, size int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +192,22 @@ def _admitted(a: str, b: str) -> Column:
     return (5 * F.least(f"size_{a}", f"size_{b}") >= 4 * F.greatest(f"size_{a}", f"size_{b}")) & (9 * apart <= sizes)
 
 
-def links(texts: DataFrame, n: int) -> DataFrame:
-    """(src, dst) over ``root``: links that join what similar texts of different roots join. ``texts``: digest, root, text, one row for each text; ``n`` of them, about."""
+def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
+    """(src, dst) over ``root``: links that join what similar texts of different roots join.
+
+    ``texts``: digest, text, one row for each text (equal rows may repeat); ``n`` of them, about. ``roots``: digest, root; texts of one root are known to hang together.
+    """
     profiles = cut(_profiles(texts, _frequent(texts, n)))
     rows = profiles.select(F.posexplode("prefix").alias("place", "h"), "digest", "size").select("h", "digest", "size", "place")
     met = cut(rows.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_meetings, "h long, digest long, size int, place int, first long, before long"))
+    profiles = cut(profiles.drop("prefix").join(roots, "digest"))
     side = lambda s: profiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("digest", "root", "size", *PARITIES)])
     few = met.select(F.explode(F.array("first", "before")).alias("x"), F.col("digest").alias("y")).where("x is not null and x <> y").select(F.least("x", "y").alias("digest_a"), F.greatest("x", "y").alias("digest_b")).distinct()
     few = few.join(side("a"), "digest_a").join(side("b"), "digest_b").where((F.col("root_a") != F.col("root_b")) & _admitted("a", "b"))
     first = _settled(texts, few.select("digest_a", "digest_b", "root_a", "root_b"))
-    above = weak_components(first).toDF("root", "above")
-    # What is left: pairs of texts whose classes still differ.
-    classed = profiles.join(above, "root", "left").select("digest", F.coalesce("above", "root").alias("root"), *PARITIES)
+    # What is left: pairs of texts that are not known to hang together yet.
+    above = contracted(first).withColumnRenamed("node", "root")
+    classed = profiles.join(above, "root", "left").select("digest", F.coalesce("label", "root").alias("root"), *PARITIES)
     rows = cut(met.select("h", "digest", "size", "place").join(classed, "digest"))
     # A shingle's rows of its most frequent class need no comparison with each other, so only the others meet all.
     main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("h", "main")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietus.graph.components import weak_components
+from quietus.graph.components import contracted, weak_components
 from quietus.llm import resemblance
 from quietus.session import cut, if_small
 
@@ -179,25 +179,24 @@ def _classes(prints: DataFrame, docs: DataFrame | None = None, id_col: str = "do
     """
     # A vertex is a distinct fingerprint, named by its value, so that null or repeated ids do not matter to the links.
     distinct = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest")).alias("least")))
-    roots = weak_components(links(distinct.select("fp", F.col("fp").alias("rep"))))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    edges = links(distinct.select("fp", F.col("fp").alias("rep")))
     if docs is not None:
-        rooted = cut(rooted)
-        names = cut(prints.select("digest", "fp").join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("digest").alias("name"), F.collect_set("digest").alias("digests")))
-        more = weak_components(resemblance.links(_texts(docs, prints, names, id_col, text_col), prints.count())).toDF("name", "above")
-        rooted = rooted.join(names.select("root", "name"), "root").join(more, "name", "left").select("fp", "least", F.coalesce("above", "name").alias("root"))
+        edges = cut(edges)
+        known = contracted(edges).withColumnRenamed("node", "fp")
+        roots = cut(prints.select("digest", "fp").distinct().join(known, "fp", "left").select("digest", F.coalesce("label", "fp").alias("root")))
+        edges = edges.unionByName(resemblance.links(_texts(docs, prints, id_col, text_col), prints.count(), roots))
+    roots = weak_components(edges)
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
     return cut(rooted.join(named, "root").select("fp", F.col("keeper.doc_id").alias("component_id"), "keeper"))
 
 
-def _texts(docs: DataFrame, prints: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, root, text) of the distinct texts, root being the name of the text's component; only rows that are equal in id and text may repeat."""
+def _texts(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, text) of the distinct texts; only rows that are equal in id and text may repeat."""
     least = prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(prints.join(least, "digest").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(F.coalesce("doc_id", F.lit(0)).alias("q_id"), F.col("doc_id").isNull().alias("q_absent"), F.col("digest").alias("q_digest")).distinct())
-    joined = cut(names.where(F.size("digests") > 1).select(F.explode("digests").alias("digest"), F.col("name").alias("root")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.join(if_small(copies), (F.coalesce("doc_id", F.lit(0)) == F.col("q_id")) & (F.col("doc_id").isNull() == F.col("q_absent")) & (F.col("digest") == F.col("q_digest")), "left_anti")
-    return rows.join(if_small(joined), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "text")
+    return rows.join(if_small(copies), (F.coalesce("doc_id", F.lit(0)) == F.col("q_id")) & (F.col("doc_id").isNull() == F.col("q_absent")) & (F.col("digest") == F.col("q_digest")), "left_anti").select("digest", "text")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
