@@ -23,12 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: its lineage ends, and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there: its lineage ends, and a lost executor costs no recomputation.
+
+    ``batch`` is how many rows go to Python at once while ``df`` is computed: few, where rows hold whole texts, so that a task's memory stays small.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    shared_dir(spark)
+    before = spark.conf.get(key)
+    if batch and int(before) > batch:
+        spark.conf.set(key, batch)
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            spark.conf.set(key, before)
     return df.checkpoint(eager=True)
 
 
+#: Rows with whole texts that go to Python at once.
+TEXTS = 1000
+
+
 def if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, marked to be broadcast if its counted rows (of a few short columns) are within a bound: the texts it is joined with then stay where they lie."""
     return F.broadcast(df) if df.count() <= most else df
