@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietus.session import cut, if_small
+from quietus.session import TEXTS, cut, if_small
 
 BUCKETS = 1 << 15
 #: The class of all languages without a profile of their own.
@@ -122,7 +122,7 @@ class Evidence:
             return
         self.size = len(self.languages)
         self.profile = profile(rows, self.languages)
-        seen = self.seen = cut(self.guessed(rows))
+        seen = self.seen = cut(self.guessed(rows), TEXTS)
         whole = seen.where("n > 0").agg(*[F.sum((F.col("guess") == k).cast("double")).alias(str(k)) for k in range(self.size)]).first()
         corpus = np.array([whole[str(k)] or 0.0 for k in range(self.size)]) + 1.0
         self.corpus = F.array(*[F.lit(float(x)) for x in corpus / corpus.sum()])
@@ -160,9 +160,9 @@ def _best(a: Column) -> Column:
     return F.array_position(a, F.array_max(a)).cast("int") - 1
 
 
-def _rows(docs: DataFrame, id_col: str, text: Column, declared: Column, host: Column, suffix: Column | None = None, domain: Column | None = None, *more: Column) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text: Column, declared: Column, host: Column, suffix: Column | None = None, domain: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), declared.alias("declared"), (suffix if suffix is not None else none).alias("suffix"), (domain if domain is not None else host).alias("domain"), host.alias("host"), *more, text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), declared.alias("declared"), (suffix if suffix is not None else none).alias("suffix"), (domain if domain is not None else host).alias("domain"), host.alias("host"), text.alias("text"))
 
 
 def identify(docs: DataFrame, id_col: str, text: Column, declared: Column, host: Column, suffix: Column | None = None, domain: Column | None = None, min_posterior: float = 0.5, min_share: float = 0.001, max_languages: int = 64) -> DataFrame:
@@ -192,12 +192,21 @@ def of_pages(pages: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_posterior: float = 0.5, min_share: float = 0.001, max_languages: int = 64) -> DataFrame:
     """The rows of ``docs`` that are accepted, all columns, with the language found in ``lang``.
 
-    Texts are read once more and judged where they lie: what is joined to them are the tables of hosts, domains and declared languages, broadcast where small.
+    Texts stay where they lie, if only few rows are rejected or get another language than they declare: those verdicts alone are joined to them, broadcast where counted to be few.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = _rows(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"), None, None, row)
-    evidence = Evidence(rows.drop("row"), min_share, max_languages)
+    rows = _rows(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"))
+    evidence = Evidence(rows, min_share, max_languages)
     if not evidence.languages:
         return docs.limit(0)
-    found = evidence.judged(evidence.guessed(rows), min_posterior).where("accepted")
-    return found.select(*[F.col("language").alias("lang") if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    found = evidence.judged(evidence.seen, min_posterior).where(~(F.col("accepted") & F.col("language").eqNullSafe(F.col("declared"))))
+    # Rows that are equal in all that they are judged by have one verdict.
+    texts = {name: F.coalesce(F.col(c), F.lit("")) for name, c in (("i_declared", "declared"), ("i_host", "host"))}
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "declared", "host")]).alias("i_nulls")
+    moves = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("i_id"), F.col("digest").alias("i_digest"), *[c.alias(n) for n, c in texts.items()], nulls).agg(F.first("language").alias("i_language"), F.first("accepted").alias("i_accepted"))
+    match = (
+        (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("i_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("i_digest"))
+        & (F.coalesce("lang", F.lit("")) == F.col("i_declared")) & (F.coalesce("source", F.lit("")) == F.col("i_host"))
+        & (F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "lang", "source")]) == F.col("i_nulls"))
+    )
+    kept = docs.join(if_small(cut(moves)), match, "left").where(F.coalesce("i_accepted", F.lit(True)))
+    return kept.select(*[F.coalesce("i_language", "lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])

@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietus.graph.components import contracted
-from quietus.session import cut, if_small
+from quietus.session import TEXTS, cut, if_small
 
 WIDTH = 5
 #: Texts that the order of shingles is learned from, and shingles that it puts last.
 SAMPLED, FREQUENT = 16_384, 100_000
 PARITIES = [f"p{k}" for k in range(8)]
+#: Pairs of whole texts that are settled at once.
+PAIRS = 250
 #: Words hashed at once, which bounds a task's memory.
 PIECE = 1 << 14
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -182,7 +184,7 @@ def _settled(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     needed = cut(pairs.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct())
     held = texts.join(if_small(needed), "digest", "left_semi").select("digest", "text").repartition("digest").dropDuplicates(["digest"])
     whole = pairs.join(held.toDF("digest_a", "text_a").hint("merge"), "digest_a").join(held.toDF("digest_b", "text_b").hint("merge"), "digest_b")
-    return cut(whole.select("digest_a", "digest_b", "root_a", "root_b", "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct())
+    return cut(whole.select("digest_a", "digest_b", "root_a", "root_b", "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct(), PAIRS)
 
 
 def _admitted(a: str, b: str) -> Column:
@@ -197,7 +199,7 @@ def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
 
     ``texts``: digest, text, one row for each text (equal rows may repeat); ``n`` of them, about. ``roots``: digest, root; texts of one root are known to hang together.
     """
-    profiles = cut(_profiles(texts, _frequent(texts, n)))
+    profiles = cut(_profiles(texts, _frequent(texts, n)), TEXTS)
     rows = profiles.select(F.posexplode("prefix").alias("place", "h"), "digest", "size").select("h", "digest", "size", "place")
     met = cut(rows.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_meetings, "h long, digest long, size int, place int, first long, before long"))
     profiles = cut(profiles.drop("prefix").join(roots, "digest"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietus.session import cut, if_small
+from quietus.session import TEXTS, cut, if_small
 
 #: In the order in which spans of one start are listed.
 KINDS = ["assign", "access", "hex", "owned"]
@@ -98,7 +98,7 @@ def _joined(spans: Column) -> Column:
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 50) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_examples (base and further spans by judgement), most_repos, most_owners (of the row's most copied value)."""
-    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col))
+    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col), TEXTS)
     found = judged(scanned, max_owners, max_repos).toDF("j_id", "j_digest", "j_spans")
     rows = scanned.select("doc_id", "digest").join(found, F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("digest") == F.col("j_digest")), "left")
     rows = rows.withColumn("j_spans", F.coalesce("j_spans", F.array().cast(found.schema["j_spans"].dataType)))
@@ -123,7 +123,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 50, mark: str = "<secret>") -> DataFrame:
     """``docs``, all rows and columns, with ``mark`` in place of every span that looks live. Overlapping spans share one mark."""
-    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col))
+    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col), TEXTS)
     live = judged(scanned, max_owners, max_repos).select(F.col("doc_id").alias("j_id"), F.col("digest").alias("j_digest"), F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.array(s["start"], s["end"])).alias("j_cuts")).where(F.size("j_cuts") > 0)
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))

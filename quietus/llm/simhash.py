@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quietus.graph.components import contracted, weak_components
 from quietus.llm import resemblance
-from quietus.session import cut, if_small
+from quietus.session import TEXTS, cut, if_small
 
 THRESHOLD = 3
 #: Rows of an anchor that one group compares: beyond it the anchor is dealt out in chunks of this size.
@@ -201,7 +201,7 @@ def _texts(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col), TEXTS)
     return prints.join(_classes(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -210,7 +210,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Beside fingerprints within the threshold, texts of similar shingles are linked: near copies lie up to ten bits and more apart.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col), TEXTS)
     rows = prints.join(_classes(prints, docs, id_col, text_col).select("fp", "keeper"), "fp").groupBy("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))).agg(F.count("*").alias("n"))
     rows = cut(rows.toDF("q_id", "q_digest", "q_kept", "q_n").where("not q_kept or q_n > 1"))
     keyed = docs.withColumn("q_text", _digest(text_col))
