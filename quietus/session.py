@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not rows or int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there: its lineage ends, and a lost executor costs no recomputation.
 
     ``batch`` is how many rows go to Python at once while ``df`` is computed: few, where rows hold whole texts, so that a task's memory stays small.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    shared_dir(spark)
-    before = spark.conf.get(key)
-    if batch and int(before) > batch:
-        spark.conf.set(key, batch)
-        try:
-            return df.checkpoint(eager=True)
-        finally:
-            spark.conf.set(key, before)
-    return df.checkpoint(eager=True)
+    shared_dir(df.sparkSession)
+    with _batches(df.sparkSession, batch):
+        return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """As ``cut``, in Parquet below the shared folder: compressed, and read by columns. For tables that are wide or large."""
+    path = scratch(df.sparkSession, name)
+    with _batches(df.sparkSession, batch):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows with whole texts that go to Python at once.
