@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietus.graph.components import contracted
-from quietus.session import TEXTS, cut, if_small
+from quietus.session import TEXTS, cut, if_small, kept
 
 WIDTH = 5
 #: Texts that the order of shingles is learned from, and shingles that it puts last.
 SAMPLED, FREQUENT = 16_384, 100_000
 PARITIES = [f"p{k}" for k in range(8)]
+#: Bits that choose a sketch's bin, at most: 2 KB a sketch.
+MOST_BITS = 14
 #: Pairs of whole texts that are settled at once.
 PAIRS = 250
 #: Words hashed at once, which bounds a task's memory.
@@ -89,21 +91,40 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the shingles in two to four times as many bins as there are shingles, within bounds: they tell far more pairs apart than 512 bins do."""
+    bits = int(min(MOST_BITS, max(9, np.ceil(np.log2(2 * len(h))))))
+    odd = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many parities two sketches differ, at most in how many shingles the sets do; bins of the finer one are joined by twos."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[::2] ^ x[1::2]
+        else:
+            y = y[::2] ^ y[1::2]
+    return int(np.count_nonzero(x != y))
+
+
 def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(digest, size, prefix, p0 .. p7) of every text that has words."""
+    """(digest, size, prefix, sketch, p0 .. p7) of every text that has words."""
     order = np.argsort(frequent)
     ordered = frequent[order]
-    names = ["digest", "size", "prefix", *PARITIES]
+    names = ["digest", "size", "prefix", "sketch", *PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes, found, odd = [], [], [], []
+            rows, sizes, found, odd, wide = [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
                 h = shingles(text.as_py())
                 n = len(h)
                 if not n:
                     continue
                 odd.append(parities(h))
+                wide.append(sketch(h))
                 if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
                     rank = np.where(ordered[at] == h, order[at] + 1, 0)
@@ -115,9 +136,9 @@ def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 held = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(found)))
                 odd = np.stack(odd)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(8))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, pa.array(wide, pa.binary()), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(8))], names=names)
 
-    return texts.select("digest", "text").mapInArrow(run, "digest long, size int, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+    return texts.select("digest", "text").mapInArrow(run, "digest long, size int, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +199,23 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (2, 3)], names=["src", "dst"])
 
 
-def _settled(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst): the roots of those ``pairs`` (digest_a, digest_b, root_a, root_b) whose whole texts are similar."""
-    pairs = cut(pairs)
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch.column(4).to_numpy(zero_copy_only=False)
+        keep = [9 * apart(a, b) <= n for a, b, n in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(4)], names=["digest_a", "digest_b", "root_a", "root_b"])
+
+
+def _settled(texts: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst): the roots of those ``pairs`` (digest_a, digest_b, root_a, root_b) whose whole texts are similar; most others fall by their sketches first."""
+    ends = ["digest_a", "digest_b", "root_a", "root_b"]
+    of = lambda s: profiles.select(F.col("digest").alias(f"digest_{s}"), F.col("size").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    sketched = pairs.select(*ends).join(of("a"), "digest_a").join(of("b"), "digest_b").select(*ends, (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b")
+    pairs = cut(sketched.mapInArrow(_likely, "digest_a long, digest_b long, root_a long, root_b long"))
     needed = cut(pairs.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct())
     held = texts.join(if_small(needed), "digest", "left_semi").select("digest", "text").repartition("digest").dropDuplicates(["digest"])
     whole = pairs.join(held.toDF("digest_a", "text_a").hint("merge"), "digest_a").join(held.toDF("digest_b", "text_b").hint("merge"), "digest_b")
-    return cut(whole.select("digest_a", "digest_b", "root_a", "root_b", "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct(), PAIRS)
+    return cut(whole.select(*ends, "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct(), PAIRS)
 
 
 def _admitted(a: str, b: str) -> Column:
@@ -199,21 +230,21 @@ def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
 
     ``texts``: digest, text, one row for each text (equal rows may repeat); ``n`` of them, about. ``roots``: digest, root; texts of one root are known to hang together.
     """
-    profiles = cut(_profiles(texts, _frequent(texts, n)), TEXTS)
+    profiles = kept(_profiles(texts, _frequent(texts, n)), "profiles", TEXTS)
     rows = profiles.select(F.posexplode("prefix").alias("place", "h"), "digest", "size").select("h", "digest", "size", "place")
-    met = cut(rows.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_meetings, "h long, digest long, size int, place int, first long, before long"))
-    profiles = cut(profiles.drop("prefix").join(roots, "digest"))
-    side = lambda s: profiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("digest", "root", "size", *PARITIES)])
+    met = kept(rows.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_meetings, "h long, digest long, size int, place int, first long, before long"), "meetings")
+    known = cut(profiles.select("digest", "size", *PARITIES).join(roots, "digest"))
+    side = lambda s: known.select(*[F.col(c).alias(f"{c}_{s}") for c in ("digest", "root", "size", *PARITIES)])
     few = met.select(F.explode(F.array("first", "before")).alias("x"), F.col("digest").alias("y")).where("x is not null and x <> y").select(F.least("x", "y").alias("digest_a"), F.greatest("x", "y").alias("digest_b")).distinct()
     few = few.join(side("a"), "digest_a").join(side("b"), "digest_b").where((F.col("root_a") != F.col("root_b")) & _admitted("a", "b"))
-    first = _settled(texts, few.select("digest_a", "digest_b", "root_a", "root_b"))
+    first = _settled(texts, profiles, few)
     # What is left: pairs of texts that are not known to hang together yet.
     above = contracted(first).withColumnRenamed("node", "root")
-    classed = profiles.join(above, "root", "left").select("digest", F.coalesce("label", "root").alias("root"), *PARITIES)
-    rows = cut(met.select("h", "digest", "size", "place").join(classed, "digest"))
+    known = cut(known.join(above, "root", "left").select("digest", F.coalesce("label", "root").alias("root"), *PARITIES))
+    rows = met.select("h", "digest", "size", "place").join(known.select("digest", "root"), "digest")
     # A shingle's rows of its most frequent class need no comparison with each other, so only the others meet all.
     main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("h", "main")
-    rows = cut(rows.join(main, "h"))
+    rows = kept(rows.join(main, "h").join(known.drop("root"), "digest"), "rest")
     columns = ("digest", "root", "size", "place", *PARITIES)
     a = rows.where("root <> main").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
     b = rows.select("h", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
@@ -221,4 +252,4 @@ def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
     behind = 9 * left >= 4 * (F.col("size_a") + F.col("size_b"))
     once = (F.col("root_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
     rest = a.join(b.hint("merge"), (a["h"] == b["h"]) & (F.col("root_a") != F.col("root_b")) & once & behind & _admitted("a", "b"))
-    return first.unionByName(_settled(texts, rest.select("digest_a", "digest_b", "root_a", "root_b").distinct()))
+    return first.unionByName(_settled(texts, profiles, rest.select("digest_a", "digest_b", "root_a", "root_b").distinct()))
