@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words: insult and threat (weighted word and word-start arcs, learned from labelled rows, plus
-fixed seeds), target, negation and reported speech (fixed lists). Their composition walks a clause once; its state says whether
-a negation reaches the current word and whether the clause so far is somebody's reported speech. Each insult or threat arc
-adds its weight to the channel of that state, and a target in the clause to a channel of its own. So whole matched clauses are scored, not
-isolated words. A document's clause channels pass through a logistic calibration.
+Six transducers read a clause's words by class: insult and threat (weighted word and word-start arcs, fixed seeds and arcs learned from labelled rows), agent, target, negation and reported speech (fixed
+lists). Each is a table of states; their composition is one table over states and word classes, built once. A clause is walked through it once, and whole matched clauses are scored, not isolated words:
+an insult arc adds its weight to the channel of its state (plain, negated, reported), and what an insult clause weighs to another one if the clause has a target. A threat arc is a threat if an agent
+comes before it and a target stands in its clause; without them it is loose. A document's channels pass through a logistic calibration.
 
-Learning uses at most ``max_rows`` labelled rows of each class, those of smallest xxhash64 of the id; scoring reads every whole text.
+A learned arc is a threat's if, in most toxic rows that have it, one of its clauses has an agent before it and a target after it; else an insult's.
+
+Learning uses at most ``max_rows`` labelled rows of each class, those of smallest xxhash64 of the id. The calibration is fitted on channels that arcs of other rows give (three folds), so arcs are not
+trusted more than they deserve. Texts stay where they lie: what is brought together of a row is its distinct words, then its channels. Scoring reads every whole text, in time linear in its length.
 
 Edge cases: null and empty texts match nothing and get the score of a text without any matched clause; rows without a label are scored like others;
 null labels and labels of unknown documents are not learned from; without rows of both classes the seeds and default calibration stand;
@@ -18,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 # Seeds of the transducers: fixed values.
 INSULTS = "idiot moron scum imbecile bastard trottel abschaum arschloch connard salaud imbécile cabrón gilipollas".split()
 THREATS = "kill murder strangle töten umbringen tuer égorger matar asesinar".split()
+AGENTS = set("i we ich wir je j nous yo nosotros".split())
 TARGETS = set("you your yours he she they them him her u du dich dir ihr euch er sie tu toi te vous il elle ils vosotros usted tú ti él ella ellos".split())
 NEGATIONS = set("not no never neither nor cannot nicht kein keine nie niemals pas jamais aucun ni nunca jamás tampoco".split())
 REPORTING = set("said says wrote writes called quoted reported claimed sagte schrieb behauptete dit écrit déclaré dijo escribió afirmó".split())
@@ -40,9 +45,26 @@ REACH = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"[.!?;:\n]")
-CHANNELS = ["plain", "negated", "reported", "targeted", "strongest", "clauses"]
+CHANNELS = ["insult", "insult_negated", "insult_reported", "insult_targeted", "threat", "threat_negated", "threat_reported", "threat_loose", "strongest", "clauses"]
 #: Calibration where there is nothing to learn from; first the bias.
-DEFAULT = [-3.0, 0.8, 0.3, 0.3, 0.3, 0.5, 0.5]
+DEFAULT = [-3.0, 0.8, 0.3, 0.3, 0.3, 1.0, 0.3, 0.3, 0.3, 0.5, 0.5]
+#: Word classes that move states; a word may be of several.
+OTHER, AGENT, TARGET, NEGATION, REPORT = 0, 1, 2, 4, 8
+#: Folds of the calibration.
+FOLDS = 3
+
+
+def _class_of(word: str) -> int:
+    return AGENT * (word in AGENTS) | TARGET * (word in TARGETS) | NEGATION * (word in NEGATIONS) | REPORT * (word in REPORTING)
+
+
+# Each transducer: states 0.., and the state that a word class leads to from each.
+_NEGATION = [[REACH if c & NEGATION else max(0, s - 1) for c in range(16)] for s in range(REACH + 1)]
+_ONCE = {bit: [[int(s or bool(c & bit)) for c in range(16)] for s in range(2)] for bit in (AGENT, TARGET, REPORT)}
+#: Products of states: (negation, agent, target, report), and the composed table [state][word class].
+STATES = list(product(range(REACH + 1), range(2), range(2), range(2)))
+_AT = {state: k for k, state in enumerate(STATES)}
+COMPOSED = [[_AT[(_NEGATION[n][c], _ONCE[AGENT][a][c], _ONCE[TARGET][t][c], _ONCE[REPORT][r][c])] for c in range(16)] for n, a, t, r in STATES]
 
 
 @dataclass
@@ -54,59 +76,66 @@ class Grammar:
     calibration: list[float] = field(default_factory=lambda: list(DEFAULT))
 
     def __post_init__(self) -> None:
+        # Of an arc's text: (length, weights of its word and word-start arcs as insult, then as threat).
         self.machine = ahocorasick.Automaton()
-        for arcs in (self.threat, self.insult):
+        held: dict[str, list[float]] = {}
+        for k, arcs in enumerate((self.insult, self.threat)):
             for arc, weight in arcs.items():
                 text = arc.rstrip(" ")
-                whole, weights = self.machine.get(text, (0.0, 0.0))
-                self.machine.add_word(text, (max(whole, weight), weights) if arc != text else (whole, max(weights, weight)))
-        for text in list(self.machine.keys()):
-            self.machine.add_word(text, (len(text), *self.machine.get(text)))
-        if len(self.machine):
+                place = 2 * k + (arc == text)
+                weights = held.setdefault(text, [0.0] * 4)
+                weights[place] = max(weights[place], weight)
+        for text, weights in held.items():
+            self.machine.add_word(text, (len(text), *weights))
+        if held:
             self.machine.make_automaton()
 
-    def arcs(self, low: str) -> dict[int, float]:
-        """Start of each word that an insult or threat arc takes -> the largest weight of its arcs."""
-        out: dict[int, float] = {}
-        for last, (length, whole, begin) in self.machine.iter(low) if len(self.machine) else ():
+    def arcs(self, low: str) -> dict[int, tuple[float, float]]:
+        """Start of each word that an insult or threat arc takes -> the largest weights of its arcs, as insult and as threat."""
+        out: dict[int, tuple[float, float]] = {}
+        for last, (length, *weights) in self.machine.iter(low) if len(self.machine) else ():
             start = last - length + 1
             if start and low[start - 1].isalpha():
                 continue
-            weight = begin if last + 1 < len(low) and low[last + 1].isalpha() else max(whole, begin)
-            if weight > out.get(start, 0.0):
-                out[start] = weight
+            insult, threat = weights[1::2] if last + 1 < len(low) and low[last + 1].isalpha() else (max(weights[:2]), max(weights[2:]))
+            if insult or threat:
+                before = out.get(start, (0.0, 0.0))
+                out[start] = (max(before[0], insult), max(before[1], threat))
         return out
 
     def channels(self, text: str) -> list[float]:
         low = text.lower()
-        if len(low) != len(text):  # a few letters grow when lowered; positions are those of the lowered text
-            text = low
         arcs = self.arcs(low)
-        sums, strongest, clauses, end = dict.fromkeys(CHANNELS[:4], 0.0), 0.0, 0, -1
+        sums, strongest, clauses, end = dict.fromkeys(CHANNELS[:8], 0.0), 0.0, 0, -1
+        stops = [m.start() for m in _STOP.finditer(low)] if arcs else []
         for start in sorted(arcs):
             if start < end:
                 continue
-            begin = max(low.rfind(mark, 0, start) for mark in ".!?;:\n") + 1
-            stop = _STOP.search(low, start)
-            end = stop.start() if stop else len(low)
+            k = bisect_left(stops, start)
+            begin, end = stops[k - 1] + 1 if k else 0, stops[k] if k < len(stops) else len(low)
             clause = self.clause(low, begin, end, arcs)
             for channel, value in clause.items():
                 sums[channel] += value
             strongest, clauses = max(strongest, sum(clause.values())), clauses + 1
         return [*(math.log1p(v) for v in sums.values()), strongest, math.log1p(clauses)]
 
-    def clause(self, low: str, begin: int, end: int, arcs: dict[int, float]) -> dict[str, float]:
+    @staticmethod
+    def clause(low: str, begin: int, end: int, arcs: dict[int, tuple[float, float]]) -> dict[str, float]:
         """One walk of the composed transducers over a clause."""
-        out, negated, reported, target = dict.fromkeys(CHANNELS[:4], 0.0), 0, False, False
+        out, state, threats = dict.fromkeys(CHANNELS[:8], 0.0), 0, []
         for m in _WORD.finditer(low, begin, end):
-            word = m[0]
-            if weight := arcs.get(m.start(), 0.0):
-                out["reported" if reported else "negated" if negated else "plain"] += weight
-            negated = REACH if word in NEGATIONS else max(0, negated - 1)
-            reported |= word in REPORTING
-            target |= word in TARGETS
-        if target:
-            out["targeted"] = sum(out.values())
+            if m.start() in arcs:
+                insult, threat = arcs[m.start()]
+                negated, agent, _, reported = STATES[state]
+                how = "_reported" if reported else "_negated" if negated else ""
+                out[f"insult{how}"] += insult
+                if threat:
+                    threats.append((threat, how, agent))
+            state = COMPOSED[state][_class_of(m[0])]
+        if STATES[state][2]:
+            out["insult_targeted"] = out["insult"] + out["insult_negated"] + out["insult_reported"]
+        for weight, how, agent in threats:
+            out[f"threat{how}" if agent and STATES[state][2] else "threat_loose"] += weight
         return out
 
     def score(self, text: str | None) -> float:
@@ -115,6 +144,20 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def words_and_frames(text: str) -> tuple[set[str], set[str]]:
+    """(the distinct words of a text, those that stand in a clause after an agent and before a target)."""
+    words, framed = set(), set()
+    for clause in _STOP.split(text.lower()):
+        found = _WORD.findall(clause)
+        words.update(found)
+        classes = [_class_of(w) for w in found]
+        first = next((k for k, c in enumerate(classes) if c & AGENT), None)
+        last = next((k for k in range(len(classes) - 1, -1, -1) if classes[k] & TARGET), None)
+        if first is not None and last is not None:
+            framed.update(found[first + 1 : last])
+    return words, framed
+
+
 def _starts(word: str) -> Iterator[str]:
     yield f"{word} "
     for n in range(3, min(7, len(word)) + 1):
@@ -201,42 +244,75 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 6
     return w.tolist()
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Grammar:
-    """Learn arcs and calibration from labelled texts."""
+def split_arcs(arcs: dict[str, float], words: list[set[str]], framed: list[set[str]]) -> tuple[dict[str, float], dict[str, float]]:
+    """(insult arcs, threat arcs) of learned ``arcs``, by how most of the toxic rows that have them use them."""
+    insult, threat = {}, {}
+    for arc, weight in arcs.items():
+        takes = (lambda w, a=arc[:-1]: w == a) if arc.endswith(" ") else (lambda w, a=arc: w.startswith(a))
+        has = [k for k, of in enumerate(words) if any(map(takes, of))]
+        (threat if 2 * sum(any(map(takes, framed[k])) for k in has) > len(has) else insult)[arc] = weight
+    return insult, threat
+
+
+def learn(words: list[set[str]], framed: list[set[str]], toxic: np.ndarray) -> Grammar:
+    """Seeds and learned arcs, from the distinct words of labelled rows; the calibration is the default one."""
     if not toxic.any() or toxic.all():
         return Grammar()
-    # Words counted in the text they come from; a text is reduced to its distinct words at once.
-    words = [set(_WORD.findall(t.lower())) for t in texts]
     own = distinct_rows(words)
     learned = learn_arcs([words[row] for row in own], toxic[own]) if toxic[own].any() and not toxic[own].all() else {}
-    plain = [w for row in np.flatnonzero(~toxic) for w in words[row]]
-    common = {w for w, n in Counter(plain).items() if n >= 3}
-    grammar = Grammar()
-    insult = {a: w for a, w in grammar.insult.items() if a.strip() not in common} | learned
-    threat = {a: w for a, w in grammar.threat.items() if a.strip() not in common}
-    grammar = Grammar(insult, threat)
-    x = np.array([grammar.channels(t) for t in texts])
-    return Grammar(insult, threat, calibrate(x, toxic.astype(float)))
+    rows = [row for row in own if toxic[row]]
+    insult, threat = split_arcs(learned, [words[row] for row in rows], [framed[row] for row in rows])
+    common = {w for w, n in Counter(w for row in np.flatnonzero(~toxic) for w in words[row]).items() if n >= 3}
+    seeds = Grammar()
+    return Grammar({a: w for a, w in seeds.insult.items() if a.strip() not in common} | insult, {a: w for a, w in seeds.threat.items() if a.strip() not in common} | threat)
+
+
+def fold_of(doc_id: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) // 3 % FOLDS
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 3000) -> Grammar:
-    """Learn from at most ``max_rows`` labelled rows of each class; one task reads them, the driver gets arcs and calibration only."""
+    """Learn from at most ``max_rows`` labelled rows of each class. One task gets their distinct words, the driver arcs and the rows' channels."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]).distinct())  # 2 * max_rows short rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "y")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": []}), *frames]).sort_values("doc_id", kind="stable")
-        grammar = fit(pdf["text"].fillna("").tolist(), (pdf["y"] == 1).to_numpy(bool))
-        model = [("insult", a, w) for a, w in grammar.insult.items()] + [("threat", a, w) for a, w in grammar.threat.items()]
-        yield pd.DataFrame(model + [("calibration", str(k), w) for k, w in enumerate(grammar.calibration)], columns=["part", "arc", "weight"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("doc_id", "y", "text")
 
-    got = rows.repartition(1).mapInPandas(run, "part string, arc string, weight double").toPandas()
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words_and_frames(text.as_py() or "") for text in batch.column(2)]
+            lists = [pa.array([sorted(f[k]) for f in found], pa.list_(pa.string())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "y", "words", "framed"])
+
+    def learned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([pd.DataFrame({"doc_id": [], "y": [], "words": [], "framed": []}), *frames])
+        pdf = pdf.assign(size=pdf["words"].map(len), first=pdf["words"].map(lambda w: "".join(w[:8]))).sort_values(["doc_id", "y", "size", "first"], kind="stable")
+        words, framed = ([set(x) for x in pdf[c]] for c in ("words", "framed"))
+        toxic, fold = (pdf["y"] == 1).to_numpy(bool), np.array([fold_of(int(k)) for k in pdf["doc_id"]], int)
+        for k in range(-1, FOLDS):  # -1: all rows; else all but those of the fold
+            at = np.flatnonzero(fold != k)
+            g = learn([words[i] for i in at], [framed[i] for i in at], toxic[at])
+            yield pd.DataFrame([(k, part, a, w) for part, arcs in (("insult", g.insult), ("threat", g.threat)) for a, w in arcs.items()], columns=["fold", "part", "arc", "weight"])
+
+    got = rows.mapInArrow(reduced, "doc_id long, y int, words array<string>, framed array<string>").repartition(1).mapInPandas(learned, "fold int, part string, arc string, weight double").toPandas()
     if not len(got):
         return Grammar()
-    part = {p: dict(zip(g["arc"], g["weight"], strict=True)) for p, g in got.groupby("part")}
-    return Grammar(part.get("insult", {}), part.get("threat", {}), [part["calibration"][str(k)] for k in range(len(DEFAULT))])
+    arcs = {k: tuple(dict(zip(g["arc"][g["part"] == part], g["weight"][g["part"] == part], strict=True)) for part in ("insult", "threat")) for k, g in got.groupby("fold")}
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammars = {k: Grammar(*of) for k, of in arcs.items()}
+        for batch in batches:
+            found = [grammars[fold_of(k)].channels(text.as_py() or "") for k, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+
+    seen = rows.mapInArrow(measured, "doc_id long, y int, x array<double>").toPandas()  # a short row for each labelled one
+    y = (seen["y"] == 1).to_numpy(float)
+    insult, threat = arcs[-1]
+    if not len(seen) or not y.any() or y.all():
+        return Grammar(insult, threat)
+    x = np.array(seen["x"].tolist())
+    order = np.lexsort((*x.T, y, seen["doc_id"].to_numpy()))  # one order of summation, however rows came
+    return Grammar(insult, threat, calibrate(x[order], y[order]))
 
 
 def held_out(doc_id: int | None) -> bool:
