@@ -1,17 +1,22 @@
-"""Document scores by masked pseudo-likelihood under a bidirectional window network.
+"""Document scores by masked pseudo-likelihood under a bidirectional window network with a memory of the corpus's windows.
 
-Every word is predicted from the two words on either side. Words fall into classes: frequent words are classes of their own, the rest of the
-vocabulary forms bands of rank, words outside it one class. A context is (group of the word two back, class before, class after, group of the word two ahead),
-so the corpus's windows are exactly a table of counts of (context, class): integers, summed over all documents, each task first for itself. The network
-(embeddings of the four places, a tanh layer, softmax over classes) is trained in numpy on that whole table, full batch and with a fixed seed, so a run repeats exactly.
+Every word is predicted from the two words on either side, in three steps whose probabilities multiply or mix.
 
-A word's conditional log probability is log P(class | both sides) + log P(word | class): shares of corpus counts within a class, and byte bigrams of
-the corpus for words outside the vocabulary. A document's score is the sum over all its words; ``per_word`` is the mean.
+* Class. Frequent words are classes of their own; all others are clustered by the words beside them. A context is (group of the word two back, class before, class after, group of the word
+  two ahead), so the corpus's windows are a table of counts of (context, class). The network (embeddings of the four places, a tanh layer, softmax over classes) is trained in numpy on that whole table.
+* Word within its class, from both sides: a product of two experts, P(word | class, class before) and P(word | class, class after), with its exact normaliser for each (class, before, after). The
+  ``vocabulary`` most frequent words are leaves of their own, all others share leaves by hash, and are spelled by the corpus's byte bigrams within them.
+* Memory. All windows of the corpus are counted by hash: N(context words) and N(context words, word), the word's own occurrence left out. With n = N(context) the word has probability
+  (N(context, word) + P(word by the network)) / (n + 1). So what is gathered grows with the corpus, and a text that occurs elsewhere, whole or in part, is told from one that does not.
 
-What reaches the driver is bounded by the classes, not by the corpus: at most ``vocabulary`` words and contexts * classes + 65,536 counts.
+A document's score is the sum over all its words; ``per_word`` is the mean. All counts are sums over all documents, and training starts from a fixed seed, so a run repeats.
 
-Edge cases: null, empty and blank texts have no words, score 0 and a null mean; repeated rows are scored each and count each; ids may be null; an empty table
-gives no rows; other columns are left aside.
+The memory is never in one place: tasks score words by the network and send each window, nine bytes, to the partition of its hash, which counts its windows and returns sums by document. Windows
+that very many rows share are found by a sample, counted apart, and settled where they are read, so no partition gets all of them; that list is for balance only and does not change a score.
+
+What reaches the driver is bounded by the classes and the vocabulary, not by the corpus.
+
+Edge cases: null, empty and blank texts have no words, score 0 and a null mean; repeated rows are scored each and count each; ids may be null; an empty table gives no rows; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -21,110 +26,211 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietus.session import cut
 
-VOCABULARY, OWN, BANDS, GROUPS = 20_000, 24, 5, 4
-#: Own classes, bands of rank, words outside the vocabulary, and the text's ends.
-CLASSES = OWN + BANDS + 2
-OUTSIDE, END = CLASSES - 2, CLASSES - 1
+#: Words that are leaves, leaves that all others share, classes of one word, all classes with the text's end, groups of the outer places.
+VOCABULARY, SHARED, OWN, CLASSES, GROUPS = 4096, 256, 10, 32, 3
+END = CLASSES - 1
 CONTEXTS = GROUPS * CLASSES * CLASSES * GROUPS
-#: Entries a task counts before it hands them on, which bounds its memory.
-HELD = 400_000
+#: Words whose neighbourhood tells clusters apart.
+ANCHORS = 31
+#: Entries a task counts before it hands them on, words it remembers, and words of a block that it sends on: they bound its memory.
+HELD, REMEMBERED, BLOCK = 400_000, 400_000, 1 << 20
+#: Windows of a partition of the memory.
+PARTITION = 1 << 22
+#: Rows that the list of shared windows is learned from, and its length.
+SAMPLED, SHARED_WINDOWS = 16_384, 100_000
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_EDGE = np.uint64(0x5851F42D4C957F2D)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+class _Hashes(dict):
+    """word -> its hash, for one worker process."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 17)
+        return value
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(1):
-                if text.is_valid:
-                    counts.update(words_of(text.as_py()))
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+_HASHES = _Hashes()
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
 
-    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def windows(h: np.ndarray) -> np.ndarray:
+    """Hash of the four words around each word of a text."""
+    p = np.concatenate([[_EDGE, _EDGE], h, [_EDGE, _EDGE]])
+    x = p[:-4] * _MIX[0] ^ (p[1:-3] * _MIX[1] + _MIX[2]) ^ (p[3:-1] * _MIX[2] + _MIX[3]) ^ p[4:] * _MIX[3]
+    x = (x ^ (x >> np.uint64(31))) * _MIX[1]
+    return x ^ (x >> np.uint64(29))
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """What tells words apart under one window: 16 bits of their hash."""
+    return (h >> np.uint64(48)).astype(np.uint16)
 
 
 @dataclass
 class Lexicon:
-    """Class of each vocabulary word, and its log share of the class."""
+    """Leaf of each vocabulary word by its hash, ``known`` in rising order; leaf VOCABULARY and up are shared."""
 
-    place: dict[bytes, int]
-    share: np.ndarray
-    klass: np.ndarray
+    known: np.ndarray
+    leaf: np.ndarray
+    size: int
 
     @classmethod
-    def of(cls, words: list[tuple[bytes, int]]) -> Lexicon:
-        """From (word, count) by falling count. Bands hold equal counts; place len(words) stands for any word outside."""
-        n = np.array([c for _, c in words], np.float64)
-        klass = np.arange(len(words))
-        if len(words) > OWN:
-            mass = np.cumsum(n[OWN:])
-            klass[OWN:] = OWN + np.minimum(BANDS - 1, (mass - n[OWN:]) * BANDS // max(1, mass[-1])).astype(int)
-        total = np.bincount(klass, n, CLASSES)
-        share = np.append(np.log(n / total[klass]), 0.0) if len(words) else np.zeros(1)
-        return cls({w: k for k, (w, _) in enumerate(words)}, share, np.append(klass, OUTSIDE).astype(np.int64))
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        get, none = self.place.get, len(self.place)
-        return np.fromiter((get(w, none) for w in words), np.int64, len(words))
+    def of(cls, words: list[bytes]) -> Lexicon:
+        h = np.array([xxhash.xxh64_intdigest(w, 17) for w in words], np.uint64)
+        order = np.argsort(h)
+        return cls(h[order], order.astype(np.int64), len(words))
+
+    def leaves(self, h: np.ndarray) -> np.ndarray:
+        shared = self.size + (h % np.uint64(SHARED)).astype(np.int64)
+        if not self.size:
+            return shared
+        at = np.minimum(np.searchsorted(self.known, h), self.size - 1)
+        return np.where(self.known[at] == h, self.leaf[at], shared)
 
 
 def group_of(klass: np.ndarray) -> np.ndarray:
-    """Coarse groups for the outer places: own classes, bands, outside, end."""
-    return np.where(klass < OWN, 0, np.where(klass < OUTSIDE, 1, np.where(klass == OUTSIDE, 2, 3)))
+    """Coarse groups for the outer places: own classes, clusters, end."""
+    return np.where(klass < OWN, 0, np.where(klass < END, 1, 2))
+
+
+def around(klass: np.ndarray) -> np.ndarray:
+    return np.concatenate([[END, END], klass, [END, END]])
 
 
 def contexts(klass: np.ndarray) -> np.ndarray:
-    """Context number of each word of a text."""
-    c = np.concatenate([[END, END], klass, [END, END]])
+    """Context number of each word of a text, from its classes."""
+    c = around(klass)
     g = group_of(c)
     return ((g[:-4] * CLASSES + c[1:-3]) * CLASSES + c[3:-1]) * GROUPS + g[4:]
 
 
-def spelling(words: list[bytes], outside: np.ndarray) -> np.ndarray:
-    """Byte bigrams (previous * 256 + next) of the words outside the vocabulary; a zero byte begins and ends each."""
-    raw = np.frombuffer(b"\0" + b"\0".join(words[k] for k in outside.tolist()) + b"\0", np.uint8).astype(np.int64)
-    return raw[:-1] * 256 + raw[1:] if len(outside) else np.zeros(0, np.int64)
+def spelling(words: list[bytes], rare: np.ndarray) -> np.ndarray:
+    """Byte bigrams (previous * 256 + next) of the words at ``rare``; a zero byte begins and ends each."""
+    raw = np.frombuffer(b"\0" + b"\0".join(words[k] for k in rare.tolist()) + b"\0", np.uint8).astype(np.int64)
+    return raw[:-1] * 256 + raw[1:] if len(rare) else np.zeros(0, np.int64)
 
 
-def window_counts(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Counts [context, class] and byte bigrams [256, 256] over all texts."""
-    size = CONTEXTS * CLASSES
+def word_counts(docs: DataFrame, every: int) -> DataFrame:
+    """(kind, word, n) over all texts: kind 0 counts words, kind 1 the windows of every ``every``-th row of a task, as their hash's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size + 65_536, np.int64)
+        counts: Counter = Counter()
+        seen = 0
+
+        def out(kind: int, keys: list[bytes], n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
+
+        for batch in batches:
+            for text in batch.column(1):
+                words = words_of(text.as_py()) if text.is_valid else []
+                counts.update(words)
+                if words and seen % every == 0:
+                    found, n = np.unique(windows(hashes(words)), return_counts=True)
+                    raw = found.astype(">u8").tobytes()
+                    yield out(1, [raw[k : k + 8] for k in range(0, len(raw), 8)], n.tolist())
+                seen += 1
+                if len(counts) > HELD:
+                    yield out(0, list(counts), list(counts.values()))
+                    counts.clear()
+        if counts:
+            yield out(0, list(counts), list(counts.values()))
+
+    return docs.mapInArrow(run, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` words of highest count, by falling count, then by the word. ``counts``: word, n.
+
+    A histogram of counts (sixteen classes to a doubling) finds what cannot be among them, so only about as many words as asked for are sorted, whatever the number of words.
+    """
+    counts = cut(counts.withColumn("c", F.floor(F.log2("n") * 16)))
+    sizes = sorted(((r["c"], r["w"]) for r in counts.groupBy("c").agg(F.count("*").alias("w")).collect()), reverse=True)  # some hundred classes
+    least, held = None, 0
+    for c, words in sizes:
+        least, held = c, held + words
+        if held >= most:
+            break
+    if least is None:
+        return []
+    return [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("c") >= least).orderBy(F.desc("n"), "word").limit(most).select("word", "n").collect()]
+
+
+def _summed(docs: DataFrame, cells: int, count) -> np.ndarray:
+    """Sums of ``cells`` counters over all texts; ``count(words, sums)`` adds a text's. Each task adds up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(cells, np.int64)
         for batch in batches:
             for text in batch.column(1):
                 words = words_of(text.as_py()) if text.is_valid else []
                 if words:
-                    klass = lexicon.klass[lexicon.places(words)]
-                    np.add.at(sums, contexts(klass) * CLASSES + klass, 1)
-                    np.add.at(sums, size + spelling(words, np.flatnonzero(klass == OUTSIDE)), 1)
+                    count(words, sums)
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell])], names=["cell", "n"])
 
     got = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(size + 65_536)
-    sums[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return sums[:size].reshape(CONTEXTS, CLASSES), sums[size:].reshape(256, 256)
+    out = np.zeros(cells)
+    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    return out
+
+
+def _add(sums: np.ndarray, cells: np.ndarray) -> None:
+    found, n = np.unique(cells, return_counts=True)
+    sums[found] += n
+
+
+def neighbourhoods(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Counts [leaf, side, anchor] of the frequent words beside each leaf; the last anchor stands for all other words and for the ends."""
+    wide = ANCHORS + 1
+
+    def count(words: list[bytes], sums: np.ndarray) -> None:
+        leaf = lexicon.leaves(hashes(words))
+        beside = np.minimum(np.concatenate([[ANCHORS], leaf, [ANCHORS]]), ANCHORS)
+        _add(sums, np.concatenate([leaf * 2 * wide + beside[:-2], leaf * 2 * wide + wide + beside[2:]]))
+
+    return _summed(docs, (lexicon.size + SHARED) * 2 * wide, count).reshape(-1, 2, wide)
+
+
+def clusters(seen: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Class of each leaf: the OWN most frequent words each their own, the others by k-means of the square roots of their neighbours' shares, weighed by their counts."""
+    n = seen[:, 0].sum(axis=1)
+    x = np.sqrt((seen + 1e-3) / (seen + 1e-3).sum(axis=2, keepdims=True)).reshape(len(seen), -1)
+    rest = np.arange(min(OWN, len(seen) - SHARED), len(seen))
+    klass = np.arange(len(seen))
+    if not len(rest):
+        return klass
+    x, w = x[rest], n[rest] + 1e-9
+    k = END - OWN
+    centre = x[: min(k, len(x))].copy()
+    for c in range(1, len(centre)):  # each further centre is the heaviest leaf far from those before
+        far = (1 - (x @ centre[:c].T).max(axis=1) / 2) * np.sqrt(w)
+        centre[c] = x[int(np.argmax(far))]
+    for _ in range(rounds):
+        at = np.argmax(x @ centre.T, axis=1)
+        for c in range(len(centre)):
+            if (mine := at == c).any():
+                centre[c] = np.average(x[mine], axis=0, weights=w[mine])
+    klass[rest] = OWN + np.argmax(x @ centre.T, axis=1)
+    return klass
 
 
 class Network:
@@ -182,61 +288,254 @@ def train(counts: np.ndarray, steps: int = 150, rate: float = 0.03) -> Network:
     return network
 
 
+def experts(sides: np.ndarray, klass: np.ndarray, tie: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-ratio before [leaf, class before], log-ratio after, log normaliser [class, before, after]) from counts [side, leaf, class beside].
+
+    P(leaf | class, before, after) is share * exp(before + after - normaliser): the leaf's share of its class, times what either side changes in it. Each side is tied to the share by ``tie`` pseudo-counts.
+    """
+    leaves = sides.shape[1]
+    members = np.zeros((CLASSES, leaves))
+    members[klass, np.arange(leaves)] = 1.0
+    n = sides[0].sum(axis=1) + 0.5
+    share = n / (members @ n)[klass]
+    ratio = []
+    for side in sides:
+        whole = members @ side  # [class, beside]
+        ratio.append((side + tie * share[:, None]) / (whole[klass] + tie) / share[:, None])
+    norm = np.zeros((CLASSES, CLASSES, CLASSES))
+    for k in range(CLASSES):
+        mine = np.flatnonzero(klass == k)
+        norm[k] = (ratio[0][mine] * share[mine, None]).T @ ratio[1][mine] if len(mine) else 1.0
+    return np.log(ratio[0] * share[:, None]).astype(np.float32), np.log(ratio[1]).astype(np.float32), np.log(norm).astype(np.float32)
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
+    klass: np.ndarray
     table: np.ndarray  # log P(class | context)
+    before: np.ndarray
+    after: np.ndarray
+    norm: np.ndarray
     bigrams: np.ndarray  # log P(next byte | byte)
+    shared: np.ndarray  # windows that very many rows share, rising
+    shared_n: np.ndarray  # their counts
+    pairs: np.ndarray  # (window's place << 16 | word) of those, rising
+    pairs_n: np.ndarray
+
+    def by_network(self, words: list[bytes], h: np.ndarray) -> np.ndarray:
+        """log P of each word of a text from the words around it, without the memory."""
+        leaf = self.lexicon.leaves(h)
+        klass = self.klass[leaf]
+        c = around(klass)
+        left, right = c[1:-3], c[3:-1]
+        out = self.table[contexts(klass), klass] + self.before[leaf, left] + self.after[leaf, right] - self.norm[klass, left, right]
+        rare = np.flatnonzero(leaf >= self.lexicon.size)
+        if len(rare):
+            spelled = self.bigrams[spelling(words, rare)]
+            ends = np.cumsum([len(words[k]) + 1 for k in rare.tolist()])
+            sums = np.add.reduceat(spelled, np.concatenate([[0], ends[:-1]]))
+            out[rare] += sums + np.log(SHARED)
+        return np.minimum(out, 0.0).astype(np.float16)  # as the memory keeps it
+
+    def of_shared(self, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether a window is on the list, N(window), N(window, word))."""
+        if not len(self.pairs):
+            return np.zeros(len(x), bool), x, x
+        at = np.minimum(np.searchsorted(self.shared, x), len(self.shared) - 1)
+        pair = at.astype(np.int64) << 16 | w
+        to = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return self.shared[at] == x, self.shared_n[at], np.where(self.pairs[to] == pair, self.pairs_n[to], 0)
+
+
+def mixed(logp: np.ndarray, n: np.ndarray, n_word: np.ndarray) -> np.ndarray:
+    """log P with the memory: counts with the word's own occurrence, which is left out here."""
+    n, n_word = n.astype(np.float64) - 1, n_word.astype(np.float64) - 1
+    return np.log((n_word + np.exp(logp.astype(np.float64))) / (n + 1))
+
+
+def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model, int]:
+    """(model, number of words) of ``docs``: (doc_id, text as bytes)."""
+    counts = cut(word_counts(docs, max(1, docs.count() // SAMPLED)))
+    total = counts.where("kind = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+    lexicon = Lexicon.of([w for w, _ in frequent(counts.where("kind = 0").select("word", "n"), vocabulary)])
+    often = counts.where("kind = 1 and n > 2").orderBy(F.desc("n"), "word").limit(SHARED_WINDOWS).select("word").toPandas()["word"]
+    shared = np.sort(np.array([int.from_bytes(w, "big") for w in often], np.uint64))
+    leaves = lexicon.size + SHARED
+    klass = clusters(neighbourhoods(docs, lexicon))
+    sides, table = 2 * leaves * CLASSES, CONTEXTS * CLASSES
+
+    def count(words: list[bytes], sums: np.ndarray) -> None:
+        leaf = lexicon.leaves(hashes(words))
+        k = klass[leaf]
+        c = around(k)
+        _add(sums, np.concatenate([contexts(k) * CLASSES + k, table + leaf * CLASSES + c[1:-3], table + sides // 2 + leaf * CLASSES + c[3:-1], table + sides + spelling(words, np.flatnonzero(leaf >= lexicon.size))]))
+
+    sums = _summed(docs, table + sides + 65_536, count)
+    network = train(sums[:table].reshape(CONTEXTS, CLASSES)).forward(np.arange(CONTEXTS))[2].astype(np.float32)
+    before, after, norm = experts(sums[table : table + sides].reshape(2, leaves, CLASSES), klass)
+    bigrams = sums[table + sides :].reshape(256, 256) + 0.01
+    bigrams = np.log(bigrams / bigrams.sum(axis=1, keepdims=True)).ravel()
+    pairs = _shared_pairs(docs, shared)
+    n = np.zeros(len(shared), np.int64)
+    np.add.at(n, (pairs["pair"].to_numpy(np.int64) >> 16), pairs["n"].to_numpy(np.int64))
+    return Model(lexicon, klass, network, before, after, norm, bigrams, shared, n, pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)), total
+
+
+def _shared_pairs(docs: DataFrame, shared: np.ndarray) -> pd.DataFrame:
+    """(pair, n) in rising order: counts over all texts of each word under each listed window, a pair being the window's place << 16 | the word."""
+    if not len(shared):
+        return pd.DataFrame({"pair": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
 
-    def score(self, text: bytes) -> tuple[int, float]:
-        """(words, sum of conditional log probabilities)."""
-        words = words_of(text)
-        if not words:
-            return 0, 0.0
-        place = self.lexicon.places(words)
-        klass = self.lexicon.klass[place]
-        total = self.table[contexts(klass), klass].sum(dtype=np.float64) + self.lexicon.share[place].sum()
-        return len(words), float(total + self.bigrams[spelling(words, np.flatnonzero(klass == OUTSIDE))].sum(dtype=np.float64))
-
-
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words of the highest count classes (sixteen to a doubling) that together hold at most ``most`` words, by falling count.
-
-    A histogram of the classes finds the last one that fits, so only words of the vocabulary reach the driver, however many tasks hold counts.
-    """
-    counts = cut(counts.withColumn("c", F.floor(F.log2("n") * 16)))
-    sizes = sorted(((r["c"], r["w"]) for r in counts.groupBy("c").agg(F.count("*").alias("w")).collect()), reverse=True)  # some hundred classes
-    least, held = None, 0
-    for c, words in sizes:
-        held += words
-        if held > most:
-            break
-        least = c
-    if least is None:
-        return []
-    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("c") >= least).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    """``docs``: (doc_id, text as bytes)."""
-    lexicon = Lexicon.of(frequent(word_counts(docs), vocabulary))
-    counts, pairs = window_counts(docs, lexicon)
-    pairs = pairs + 0.01
-    table = train(counts).forward(np.arange(CONTEXTS))[2].astype(np.float32)
-    return Model(lexicon, table, np.log(pairs / pairs.sum(axis=1, keepdims=True)).ravel())
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
 
+        for batch in batches:
+            for text in batch.column(1):
+                words = words_of(text.as_py()) if text.is_valid else []
+                if not words:
+                    continue
+                h = hashes(words)
+                x = windows(h)
+                at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+                hit = shared[at] == x
+                if hit.any():
+                    counts.update((at[hit].astype(np.int64) << 16 | short(h[hit])).tolist())
+                if len(counts) > HELD:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, per_word) of every row, under a network trained on all of them."""
+    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().sort_values("pair", ignore_index=True)
+
+
+class _Block:
+    """Rows of a task until their words are enough to send on: windows by partition, and what is known of each row."""
+
+    def __init__(self):
+        self.ids, self.words, self.base, self.row, self.x, self.w, self.logp = [], [], [], [], [], [], []
+        self.held = 0
+
+    def add(self, doc_id: int | None, words: list[bytes], model: Model) -> None:
+        base = 0.0
+        if words:
+            h = hashes(words)
+            x, w, logp = windows(h), short(h), model.by_network(words, h)
+            listed, n, n_word = model.of_shared(x, w)
+            if listed.any():
+                base = float(mixed(logp[listed], n[listed], n_word[listed]).sum())
+                x, w, logp = x[~listed], w[~listed], logp[~listed]
+            self.row.append(np.full(len(x), len(self.ids), np.uint32))
+            self.x.append(x)
+            self.w.append(w)
+            self.logp.append(logp)
+            self.held += len(words)
+        self.ids.append(doc_id)
+        self.words.append(len(words))
+        self.base.append(base)
+
+    def rows(self, task: int, block: int, bits: int) -> Iterator[tuple]:
+        """(part, task, block, head, body): one head for the block's rows, and its windows by partition."""
+        ids = np.array([0 if k is None else k for k in self.ids], "<i8")
+        head = ids.tobytes() + np.array(self.words, "<i8").tobytes() + np.array(self.base, "<f8").tobytes() + np.array([k is None for k in self.ids], "u1").tobytes()
+        yield (task + block) % (1 << bits), task, block, True, head
+        if not self.x:
+            return
+        x, w, logp, row = (np.concatenate(c) for c in (self.x, self.w, self.logp, self.row))
+        part = (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+        order = np.argsort(part.astype(np.uint16), kind="stable") if bits <= 16 else np.argsort(part, kind="stable")
+        x, w, logp, row, part = x[order], w[order], logp[order], row[order], part[order]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            new = np.concatenate([[0], np.flatnonzero(np.diff(row[a:b])) + 1])
+            runs = np.diff(np.concatenate([new, [b - a]]))
+            low, high = (x[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), (x[a:b] >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
+            body = [np.array([len(new)], "<u4"), row[a:b][new].astype("<u4"), runs.astype("<u4"), low, high, w[a:b].astype("<u2"), logp[a:b].astype("<f2")]
+            yield int(part[a]), task, block, False, b"".join(c.tobytes() for c in body)
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, ...]:
+    """(row, runs, window's 40 bits, word, log P)."""
+    k = int(np.frombuffer(body, "<u4", 1)[0])
+    row, runs = np.frombuffer(body, "<u4", k, 4), np.frombuffer(body, "<u4", k, 4 + 4 * k).astype(np.int64)
+    n, at = int(runs.sum()), 4 + 8 * k
+    low, high = np.frombuffer(body, "<u4", n, at), np.frombuffer(body, "u1", n, at + 4 * n)
+    return row, runs, high.astype(np.uint64) << np.uint64(32) | low, np.frombuffer(body, "<u2", n, at + 5 * n), np.frombuffer(body, "<f2", n, at + 7 * n)
+
+
+def _remember(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition of the memory: counts its windows, and gives each block the sums of its rows. Heads pass through."""
+    names = ["task", "block", "head", "body"]
+    blocks, parts = [], []
+    for batch in batches:
+        head = batch.column(3).to_numpy(zero_copy_only=False)
+        if head.any():
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(head)) for c in batch.columns[1:]], names=names)
+        for task, block, body in zip(*(batch.column(k).filter(pa.array(~head)).to_pylist() for k in (1, 2, 4)), strict=True):
+            blocks.append((task, block))
+            parts.append(_unpacked(body))
+    if not parts:
+        return
+    x = np.concatenate([p[2] for p in parts])
+    # 40 bits of the window, beside those that name the partition, and 16 of the word.
+    key = x << np.uint64(16) | np.concatenate([p[3] for p in parts])
+    order = np.argsort(key)
+    n, n_word = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    for counts, value in ((n, x[order]), (n_word, key[order])):
+        new = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+        size = np.diff(new)
+        counts[order] = np.repeat(size, size)
+    at = 0
+    for (task, block), (row, runs, _, _, logp) in zip(blocks, parts, strict=True):
+        to = at + len(logp)
+        value = mixed(logp, n[at:to], n_word[at:to])
+        sums = np.add.reduceat(value, np.concatenate([[0], np.cumsum(runs)[:-1]])) if len(runs) else value
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((task, pa.int32()), (block, pa.int32()), (False, pa.bool_()), (row.tobytes() + sums.astype("<f8").tobytes(), pa.binary()))], names=names)
+        at = to
+
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's rows with the sums that all partitions have returned."""
+    (head,) = pdf.loc[pdf["head"], "body"]
+    n = len(head) // 25
+    ids, words, total = np.frombuffer(head, "<i8", n), np.frombuffer(head, "<i8", n, 8 * n), np.frombuffer(head, "<f8", n, 16 * n).copy()
+    null = np.frombuffer(head, "u1", n, 24 * n).astype(bool)
+    for body in sorted(pdf.loc[~pdf["head"], "body"]):  # in one order, whatever came first
+        k = len(body) // 12
+        np.add.at(total, np.frombuffer(body, "<u4", k).astype(np.int64), np.frombuffer(body, "<f8", k, 4 * k))
+    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": words, "log_likelihood": total, "per_word": np.where(words > 0, total / np.maximum(words, 1), np.nan)})
+    out.loc[null, "doc_id"] = pd.NA
+    out["per_word"] = out["per_word"].astype(object).where(words > 0, None)
+    return out
+
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, partition: int = PARTITION, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, per_word) of every row, under a network trained on all of them and a memory of all their windows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, vocabulary))  # bounded by the vocabulary and the contexts
+    fitted, total = fit(rows, vocabulary)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the vocabulary, the contexts and the list
+    bits = max(0, (max(1, total) - 1) // partition).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.value.score
-        for batch in batches:
-            found = [score(text.as_py() or b"") for text in batch.column(1)]
-            n, total = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.float64)
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+        task, count, now = TaskContext.get().partitionId(), 0, _Block()
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+        def out() -> Iterator[pa.RecordBatch]:
+            for part, t, b, head, body in now.rows(task, count, bits):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([head]), pa.array([body], pa.binary())], names=["part", "task", "block", "head", "body"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                now.add(doc_id, words_of(text.as_py()) if text.is_valid else [], model.value)
+                if now.held >= block or len(now.ids) >= block:
+                    yield from out()
+                    count, now = count + 1, _Block()
+        if now.ids:
+            yield from out()
+
+    sent = rows.mapInArrow(run, "part int, task int, block int, head boolean, body binary")
+    told = sent.repartitionById(1 << bits, "part").mapInArrow(_remember, "task int, block int, head boolean, body binary")
+    return told.groupBy("task", "block").applyInPandas(_gather, "doc_id long, n_words long, log_likelihood double, per_word double")
