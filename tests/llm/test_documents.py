@@ -221,10 +221,52 @@ def test_toxicity_edges(spark):
 
 def test_grammar_clauses():
     g = toxicity.Grammar({"dolt ": 3.0, "vex": 2.0}, {"kill ": 2.0})
-    plain, negated, reported, *_ = (g.channels(t)[:3] for t in ("a dolt", "not a dolt", "she said dolt"))
-    assert plain[0] > 0 and negated[0] == 0 < negated[1] and reported[2] > 0
-    assert g.channels("you dolt")[3] > 0 == g.channels("adoltish vexed"[:8])[0] and g.channels("vexation")[0] > 0
-    assert g.channels("fine. words! only;")[5] == 0
+    c = lambda text: dict(zip(toxicity.CHANNELS, g.channels(text), strict=True))
+    assert c("a dolt")["insult"] > 0 == c("not a dolt")["insult"] < c("not a dolt")["insult_negated"] and c("she said dolt")["insult_reported"] > 0
+    assert c("you dolt")["insult_targeted"] > 0 == c("adoltish")["insult"] and c("vexation")["insult"] > 0
+    assert c("i will kill you")["threat"] > 0 == c("kill the process")["threat"] < c("kill the process")["threat_loose"]
+    assert c("i will not kill you")["threat_negated"] > 0 and c("he wrote i kill you")["threat_reported"] > 0
+    assert c("fine. words! only;")["clauses"] == 0
+
+
+def test_channels_match_plain_loops():
+    """The composed table and the automaton against loops over words, clause by clause."""
+    rng = random.Random(21)
+    g = toxicity.Grammar({"dolt ": 3.0, "vex": 2.0, "do": 0.5}, {"kill ": 2.0, "vex ": 1.0})
+    words = ["dolt", "dolts", "vex", "vexing", "kill", "killer", "I", "you", "not", "said", "do", "tree", "the", ".", "!", ";", "\n", "x1dolt", "_vex"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        sums, strongest, clauses = dict.fromkeys(toxicity.CHANNELS[:8], 0.0), 0.0, 0
+        for clause in re.split(r"[.!?;:\n]", text.lower()):
+            found = re.findall(r"[^\W\d_]+", clause)
+            own, hits, negated, agent, reported = dict.fromkeys(sums, 0.0), [], 0, False, False
+            for w in found:
+                weigh = lambda arcs, w=w: max([v for a, v in arcs.items() if w == a.strip() or (not a.endswith(" ") and w.startswith(a))], default=0.0)
+                insult, threat = weigh(g.insult), weigh(g.threat)
+                how = "_reported" if reported else "_negated" if negated else ""
+                if insult or threat:
+                    own[f"insult{how}"] += insult
+                    hits.append((threat, how, agent))
+                negated = toxicity.REACH if w in toxicity.NEGATIONS else max(0, negated - 1)
+                agent, reported = agent or w in toxicity.AGENTS, reported or w in toxicity.REPORTING
+            target = any(w in toxicity.TARGETS for w in found)
+            if hits:
+                if target:
+                    own["insult_targeted"] = own["insult"] + own["insult_negated"] + own["insult_reported"]
+                for threat, how, framed in hits:
+                    own[f"threat{how}" if framed and target else "threat_loose"] += threat
+                clauses, strongest = clauses + 1, max(strongest, sum(own.values()))
+                sums = {k: sums[k] + own[k] for k in sums}
+        want = [*(np.log1p(v) for v in sums.values()), strongest, np.log1p(clauses)]
+        assert np.allclose(g.channels(text), want), text
+
+
+def test_learned_arcs_of_framed_words_are_threats():
+    texts = ["i will zap you now", "we zap them", "you dunce", "such a dunce there", "plain words here", "more plain talk"] * 12
+    toxic = np.array([k % 6 < 4 for k in range(72)])
+    words = [{*toxicity.words_and_frames(t)[0], f"n{chr(97 + k % 26)}{chr(97 + k // 26)}"} for k, t in enumerate(texts)]
+    insult, threat = toxicity.split_arcs({"zap ": 1.0, "dunce ": 1.0}, [w for w, y in zip(words, toxic, strict=True) if y], [toxicity.words_and_frames(t)[1] for t, y in zip(texts, toxic, strict=True) if y])
+    assert set(threat) == {"zap "} and set(insult) == {"dunce "}
 
 
 def brute_rake(cells, rounds, alpha):
@@ -247,14 +289,14 @@ def test_mixing_matches_a_plain_loop(spark):
     for r in got:
         c = (r.source or "(none)", r.lang or "(none)", r.m_topic)
         cells[c] = cells.get(c, 0) + r.m_tokens
-    w = brute_rake(cells, 10, 0.5)
+    w = brute_rake(cells, 60, 0.5)
     f = {c: w[c] / n if n else 0.0 for c, n in cells.items()}
     top = max(f.values())
     for r in got:
         p = f[r.source or "(none)", r.lang or "(none)", r.m_topic] / top
         assert abs(r.m_probability - p) < 1e-6
         u = int(hashlib.md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest()[:8], 16) / 2**32
-        assert r.m_kept == (u < r.m_probability)
+        assert r.m_kept == (u < p) and r.m_error <= 1e-12
     assert len(got) == 201
 
 
@@ -272,6 +314,12 @@ def test_mixing_sql_and_stated_targets(spark):
     assert p == {"a": round(1 / 3, 6), "b": 1.0}
 
 
+def test_mixing_keeps_values_without_a_target(spark):
+    rows = [(k, "x " * 50, "en", "abc"[k % 3], 0) for k in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), targets={"source": {"a": 0.5, "b": 0.5}}).collect()
+    assert all(r.m_probability > 0 for r in got if r.source == "c") and any(r.m_kept for r in got if r.source == "c")
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(odd(spark)).count() == 11 and mixing.mix(frame(spark, [])).collect() == []
 
@@ -294,6 +342,16 @@ def test_language_of_held_out_texts(spark):
     assert kept.count() == 244 and {r.lang for r in kept.where("doc_id >= 1000").collect()} == {"fr"}
 
 
+def test_languages_without_a_profile_are_taken_for_no_other(spark):
+    rng = random.Random(8)
+    rows = [(k, speech(rng, ["en", "fr"][k % 2], 40), ["en", "fr"][k % 2], "h", 0) for k in range(200)] + [(500 + k, speech(rng, "de", 40), "de", "h", 0) for k in range(3)] + [(600, speech(rng, "de", 40), "en", "h", 0)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in langid.identify(table, "doc_id", F.col("text"), F.col("lang"), F.col("source"), min_share=0.05).collect()}
+    assert all((got[500 + k].language, got[500 + k].accepted) == ("de", True) for k in range(3)) and (got[600].language, got[600].accepted) == ("other", False)
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(table, min_share=0.05).collect()}
+    assert 600 not in kept and kept[500] == "de" and len(kept) == 203
+
+
 def test_hosts_and_markup_decide_short_texts(spark):
     rng = random.Random(7)
     rows = [(k, speech(rng, lang, 40), lang, lang + "host", 0) for k, lang in enumerate(["en", "fr"] * 60)]
@@ -325,22 +383,69 @@ def test_pseudo_likelihood_prefers_the_order_it_learned(spark):
     assert got[0].n_words == 60 and abs(got[0].log_likelihood - 60 * got[0].per_word) < 1e-6
 
 
-def test_pseudo_likelihood_matches_a_plain_sum():
-    lexicon = masked_lm.Lexicon.of([(b"a", 5), (b"b", 3)])
-    table = np.log(np.random.default_rng(1).dirichlet(np.ones(masked_lm.CLASSES), masked_lm.CONTEXTS)).astype(np.float32)
-    bigrams = np.log(np.full((256, 256), 1 / 256)).ravel()
-    model = masked_lm.Model(lexicon, table, bigrams)
-    words = ["a", "zz", "b", "a"]
-    klass = [lexicon.klass[lexicon.place.get(w.encode(), 2)] for w in words]
-    ends = [masked_lm.END] * 2
-    total, group = 0.0, masked_lm.group_of
-    for k, c in enumerate(klass):
-        around = (ends + klass + ends)[k : k + 5]
-        context = ((int(group(around[0])) * masked_lm.CLASSES + around[1]) * masked_lm.CLASSES + around[3]) * masked_lm.GROUPS + int(group(around[4]))
-        total += float(table[context, c])
-    total += 3 * np.log(1 / 256)
-    n, got = model.score(b"A zz b a")
-    assert n == 4 and abs(got - total) < 1e-4
+@pytest.mark.parametrize("partition", [1 << 22, 64])
+def test_pseudo_likelihood_matches_plain_sums(spark, partition):
+    """The memory against dictionaries of whole windows, the network's parts against loops over the model's tables; texts that occur twice stand apart."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(60)] + ["Zürich", "q", "r"]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(63)], k=rng.randint(1, 40))) for _ in range(60)]
+    texts += [texts[0], texts[0] + " " + texts[1], None, "", "solo"]
+    docs = frame(spark, texts)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    model, total = masked_lm.fit(rows, 40)
+    low = [(t or "").encode().lower().split() for t in texts]
+    assert total == sum(map(len, low))
+    seen, pairs = {}, {}
+    around = lambda ws, k: tuple(ws[j] if 0 <= j < len(ws) else None for j in (k - 2, k - 1, k + 1, k + 2))
+    for ws in low:
+        for k, w in enumerate(ws):
+            seen[around(ws, k)] = seen.get(around(ws, k), 0) + 1
+            pairs[around(ws, k), w] = pairs.get((around(ws, k), w), 0) + 1
+    frequent = [w for w, _ in sorted({w: sum(ws.count(w) for ws in low) for w in {w for ws in low for w in ws}}.items(), key=lambda x: (-x[1], x[0]))[:40]]
+
+    def leaf(w):
+        return frequent.index(w) if w in frequent else 40 + xxhash.xxh64_intdigest(w, 17) % masked_lm.SHARED
+
+    def network(ws, k):
+        at = [masked_lm.END if not 0 <= j < len(ws) else int(model.klass[leaf(ws[j])]) for j in range(k - 2, k + 3)]
+        g = [0 if c < masked_lm.OWN else 1 if c < masked_lm.END else 2 for c in at]
+        context = ((g[0] * masked_lm.CLASSES + at[1]) * masked_lm.CLASSES + at[3]) * masked_lm.GROUPS + g[4]
+        value = model.table[context, at[2]] + model.before[leaf(ws[k]), at[1]] + model.after[leaf(ws[k]), at[3]] - model.norm[at[2], at[1], at[3]]
+        if leaf(ws[k]) >= 40:
+            raw = b"\0" + ws[k] + b"\0"
+            value += sum(model.bigrams[x * 256 + y] for x, y in zip(raw, raw[1:], strict=False)) + np.log(masked_lm.SHARED)
+        return float(min(0.0, value))
+
+    got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(docs, vocabulary=40, partition=partition, block=200).collect()}
+    for k, ws in enumerate(low):
+        want = sum(np.log((pairs[around(ws, j), w] - 1 + np.exp(network(ws, j))) / seen[around(ws, j)]) for j, w in enumerate(ws))
+        assert got[k].n_words == len(ws) and abs(got[k].log_likelihood - want) <= 0.01 * len(ws) + 1e-9
+    assert min(got[0].per_word, got[60].per_word) > max(got[k].per_word for k in range(2, 60) if len(low[k]) > 10)
+
+
+def test_words_of_a_class_are_a_distribution():
+    rng = np.random.default_rng(3)
+    klass = np.concatenate([np.arange(masked_lm.OWN), rng.integers(masked_lm.OWN, masked_lm.END, 70)])
+    before, after, norm = masked_lm.experts(rng.integers(0, 9, (2, len(klass), masked_lm.CLASSES)).astype(float), klass)
+    for k in range(masked_lm.END):
+        mine = np.flatnonzero(klass == k)
+        if len(mine):
+            p = np.exp(before[mine][:, :, None] + after[mine][:, None, :] - norm[k][None])
+            assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
+
+
+def test_vocabulary_is_filled_up_among_equal_counts(spark):
+    counts = spark.createDataFrame([(f"w{k:02}".encode(), 7) for k in range(30)], "word binary, n long")
+    assert [w for w, _ in masked_lm.frequent(counts, 20)] == [f"w{k:02}".encode() for k in range(20)]
+    assert masked_lm.frequent(counts.limit(0), 20) == [] and len(masked_lm.frequent(counts, 99)) == 30
+
+
+def test_shared_windows_change_no_score(spark, monkeypatch):
+    texts = ["a b c d e f g"] * 30 + ["a b x d e", "h i j"]
+    plain = {(r.doc_id, round(r.log_likelihood, 9)) for r in masked_lm.pseudo_likelihood(frame(spark, texts)).collect()}
+    monkeypatch.setattr(masked_lm, "SHARED_WINDOWS", 1)
+    few = {(r.doc_id, round(r.log_likelihood, 9)) for r in masked_lm.pseudo_likelihood(frame(spark, texts)).collect()}
+    assert plain == few
 
 
 def test_network_gradient_and_repeatability():

@@ -99,7 +99,7 @@ def test_search_recall_ties_and_order(spark):
     x[350:500] = x[7]
     rows = [(k, v) for k, v in enumerate(x)]
     found = {}
-    table = vectors(spark, rows + [(5, x[5])] + odd_rows()).withColumn("vec", F.lit(b"clash"))
+    table = vectors(spark, rows + odd_rows()).withColumn("vec", F.lit(b"clash"))
     for r in ann.search(table, candidates=150, queries=4).collect():
         found.setdefault(r.query_id, []).append(r)
     u = unit(x.astype(np.float64))
@@ -115,6 +115,13 @@ def test_search_recall_ties_and_order(spark):
     assert hits >= 0.95 * 5 * 14
 
 
+def test_search_counts_every_row(spark):
+    rows = [(0, [1, 0]), (0, [0, 1]), (1, [1, 0.1]), (1, [1, 0.1]), (2, [0.1, 1])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(vectors(spark, rows)).collect())
+    # Two queries of id 0, each with the other as a candidate, and both rows of id 1.
+    assert got == sorted([(0, k, v) for k, v in enumerate((1, 1, 2, 0), 1)] + [(0, k, v) for k, v in enumerate((2, 1, 1, 0), 1)])
+
+
 def test_search_with_few_candidates(spark):
     got = ann.search(vectors(spark, [(0, [1, 0]), (1, [1, 1]), (2, None)])).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1)] and ann.search(vectors(spark, [])).collect() == []
@@ -160,3 +167,26 @@ def test_warc_payload_bound_and_damage(spark, tmp_path):
     with pytest.raises(ValueError):
         list(warc.records(warc.member(warc.record(1, "u", b"body", None))[:-9]))
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_warc_shards_cut_heavy_keys_and_odd_spans(spark, tmp_path):
+    rows = [(7, f"http://h/{k}", f"heavy {k} " * 60) for k in range(80)] + [(k, "u", "light " * 30) for k in (1, 2, 3, 10**15, 10**15 + 1, -5)] + [(None, f"n{k}", f"none {k} " * 50) for k in range(20)] + [(9, "same", "twice " * 40)] * 2
+    table = spark.createDataFrame(rows, PAGES).withColumns({"shard": F.lit("clash"), "key": F.lit(1), "payload": F.lit("x")})
+    manifest = warc.write(table, str(tmp_path / "a"), shard_bytes=8000)
+    assert len(manifest) > 5 and sum(f["records"] for f in manifest) == len(rows) and max(f["records"] for f in manifest) < 40
+    ids = [head["WARC-Record-ID"] for f in manifest for head, _ in warc.records((tmp_path / "a" / f["file"]).read_bytes())]
+    assert len(set(ids)) == len(rows)
+    got = warc.read(spark, str(tmp_path / "a"), manifest).collect()
+    assert sorted((str(r.page_id), r.payload_bytes) for r in got) == sorted((str(k), len(t)) for k, _, t in rows)
+    assert {r.record_type for r in got if r.page_id == 9} == {"response"}
+
+
+def test_warc_records_are_http_messages_and_read_in_slices(monkeypatch):
+    body = "<p>ü</p>\r\n\r\nmore".encode()
+    pages = [warc.record(k, "http://h", body * (k % 5), None) for k in range(200)]
+    archive = b"".join(map(warc.member, pages))
+    monkeypatch.setattr(warc, "SLICE", 37)
+    found = list(warc.records(archive))
+    assert [int(h["X-Record-Key"]) for h, _ in found] == list(range(200)) and all(warc.payload_of(b) == body * (k % 5) and b.startswith(b"HTTP/1.1 200 OK\r\n") for k, (_, b) in enumerate(found))
+    revisit, block = next(iter(warc.records(warc.member(warc.record(3, "u", body, 9)))))
+    assert revisit["WARC-Refers-To"] == warc.record_id(9, digest(body)) and warc.payload_of(block) == b"" and revisit["WARC-Payload-Digest"] == f"sha1:{digest(body)}"
