@@ -67,6 +67,61 @@ FACTS: dict[str, str] = {
     "peers": "SELECT concat('pkg', n_nationkey) AS name, concat('pkg', (n_nationkey * 3 + 2) % 25) AS peer FROM nation WHERE n_nationkey % 6 <> 5",
     "parts_found": "SELECT concat('y', year(l_shipdate)) AS configuration, concat('o', l_partkey) AS declaration, concat('a', l_suppkey % 3) AS name, l_returnflag = 'R' AS in_use FROM lineitem",
     "parts_judging": "SELECT DISTINCT concat('y', year(l_shipdate)) AS configuration, concat('o', l_partkey) AS declaration FROM lineitem",
+    "candidates": """
+        SELECT concat('d', o_orderkey) AS id, CASE o_orderkey % 12 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'variable' WHEN 3 THEN 'interface' WHEN 4 THEN 'interface-method' WHEN 5 THEN 'type-parameter' WHEN 6 THEN 'enum-member' WHEN 7 THEN 'method' WHEN 8 THEN 'class-member' WHEN 9 THEN 'type-member' WHEN 10 THEN 'type' ELSE 'file' END AS kind,
+        o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS exported, CASE o_custkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'type' WHEN 2 THEN 'enum' WHEN 3 THEN 'method' ELSE 'file' END AS parent_kind, o_custkey % 9 = 0 OR o_orderstatus = 'P' AS container_dead,
+        o_custkey % 7 = 0 AS in_test, o_custkey % 29 = 0 AS test_of_dead, o_custkey % 4 = 1 AS unreferenced_test, o_custkey % 31 = 0 AS held_by_itself, o_custkey % 5 = 0 AS kept_by_tests, CAST(CASE WHEN o_totalprice > 200000 THEN 2 ELSE 0 END AS BIGINT) AS production,
+        CAST(CASE WHEN o_totalprice < 60000 OR o_totalprice > 300000 THEN 1 ELSE 0 END AS BIGINT) AS test, CASE WHEN o_totalprice > 200000 THEN 'reachability' ELSE 'reference-counting' END AS relation, o_custkey % 11 = 0 AS deprecated, o_custkey % 13 = 0 AS brand, o_custkey % 17 = 0 AS marker, o_custkey % 2 = 0 AS encapsulated, o_custkey % 8 = 0 AS rooted FROM orders""",
+    "subjects": """
+        SELECT concat('x', n_nationkey) AS id, 'file' AS kind, concat(CASE WHEN n_nationkey % 5 = 0 THEN 'src/__mocks__/f' ELSE 'src/f' END, n_nationkey, '.ts') AS path, 1 AS line, '' AS parent, '' AS parent_kind, false AS exported, false AS written, CAST(0 AS BIGINT) AS named, 'file' AS scope, false AS exposed, concat('file', n_nationkey) AS name FROM nation
+        UNION ALL SELECT concat('y', c_custkey), CASE c_custkey % 6 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'variable' WHEN 3 THEN 'interface' ELSE 'export-alias' END, concat(CASE WHEN c_custkey % 5 = 0 THEN 'src/__mocks__/f' ELSE 'src/f' END, c_custkey % 25, '.ts'), CAST(c_custkey % 400 + 2 AS INT), concat('x', c_custkey % 25),
+        CASE WHEN c_custkey % 11 = 0 THEN 'class' ELSE 'file' END, c_acctbal > 0, c_custkey % 7 = 3, CAST(c_custkey % 7 AS BIGINT), CASE c_custkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'package' ELSE 'outside' END, c_mktsegment = 'BUILDING', concat('decl', c_custkey % 700) FROM customer""",
+    "subject_roots": """
+        SELECT concat('y', o_custkey) AS id, CASE WHEN o_custkey % 25 >= 10 AND o_orderkey % 21 IN (1, 5) THEN 'pattern' ELSE CASE o_orderkey % 21 WHEN 0 THEN 'entry-file' WHEN 1 THEN 'manifest-entry' WHEN 2 THEN 'manifest-binary' WHEN 3 THEN 'script' WHEN 4 THEN 'type-query-alias' WHEN 5 THEN 'published-api' WHEN 6 THEN 'entry-reach' WHEN 7 THEN 'test-reach' WHEN 8 THEN 'configured' WHEN 9 THEN 'pattern' WHEN 10 THEN 'type-error' WHEN 11 THEN 'global-augmentation' WHEN 12 THEN 'configuration-file' WHEN 13 THEN 'configuration-string' WHEN 14 THEN 'bundler-entry' WHEN 15 THEN 'test-runner' WHEN 16 THEN 'convention' WHEN 17 THEN 'html-entry' WHEN 18 THEN 'html-import' WHEN 19 THEN 'document-import' ELSE 'workflow-step' END END AS kind FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
+        UNION ALL SELECT concat('x', n_nationkey), CASE n_nationkey % 6 WHEN 0 THEN 'test-runner' WHEN 1 THEN 'document-import' WHEN 2 THEN 'manifest-entry' WHEN 3 THEN 'script' WHEN 4 THEN 'entry-reach' ELSE 'convention' END FROM nation""",
+    "function_parts": """
+        SELECT concat('o', l_orderkey) AS declaration, CASE l_linenumber WHEN 4 THEN 'result' WHEN 5 THEN 'dead-store' WHEN 6 THEN 'unreachable-statement' WHEN 7 THEN 'unreachable-case' ELSE 'parameter' END AS kind, concat('q', l_linenumber) AS name, l_returnflag = 'R' AS in_value, l_linestatus = 'O' AS counted,
+        CASE l_suppkey % 4 WHEN 0 THEN 'steers' WHEN 1 THEN 'free' END AS annotated, l_partkey % 3 = 0 AS before_a_read, l_partkey % 5 = 0 AS contextual FROM lineitem""",
+    "function_signatures": "SELECT concat('o', o_orderkey) AS declaration, CASE o_custkey % 4 WHEN 1 THEN 'valued' WHEN 2 THEN 'fixed' ELSE 'free' END AS state, o_custkey % 10 = 0 AS rooted, o_custkey % 7 = 0 AS callers_unknown FROM orders",
+    "calls": "SELECT concat('y', year(l_shipdate)) AS configuration, concat('o', l_orderkey) AS declaration, CASE WHEN l_quantity > 12 THEN 'discarded' ELSE 'used' END AS use FROM lineitem",
+    "skipped": "SELECT concat('app/m', c_custkey % 40, '.ts') AS path, CAST(c_custkey % 480 AS INT) AS from_line, CAST(c_custkey % 480 + c_custkey % 6 AS INT) AS to_line FROM customer",
+    "cases": "SELECT l_orderkey AS switch, CAST(l_linenumber AS INT) AS position, CASE WHEN l_returnflag <> 'A' THEN concat('case', l_suppkey % 4) END AS key FROM lineitem",
+    "written_records": "SELECT CAST(p_partkey AS BIGINT) AS record_ord, CASE p_size % 4 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'because' END AS reason, CASE WHEN p_size % 6 = 0 THEN '' ELSE concat('lib/', p_brand, '.ts') END AS path FROM part",
+    "asked_roots": "SELECT concat('r', c_custkey) AS source FROM customer",
+    "matched_roots": "SELECT concat('y', year(o_orderdate)) AS project, concat('r', o_custkey) AS source, CAST(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS BIGINT) AS found FROM orders",
+    "root_patterns": "SELECT concat('ts://lib/', p_brand, '.ts#', p_name) AS source FROM part UNION ALL SELECT DISTINCT concat('ts://lib/', substring(p_brand, 1, 7), '?.ts#', substring(p_name, 1, 3), '*') FROM part UNION ALL SELECT 'ts://none#*' FROM region",
+    "refs_of_symbols": "SELECT id, concat('ts://', path, '#', name) AS ref, path, line, kind FROM symbols",
+    "tree_files": "SELECT DISTINCT concat('app/m', o_custkey % 47, '.ts') AS path FROM orders",
+    "projects": "SELECT concat('project', s_suppkey) AS project, CASE s_suppkey % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'empty' WHEN 2 THEN 'duplicate' ELSE 'read' END AS status, s_nationkey % 2 = 0 AS named, s_nationkey % 3 = 0 AS optional FROM supplier",
+    "loose_findings": """
+        SELECT concat('f', o_orderkey) AS finding, concat('ts://app/m', o_custkey % 40, '.ts#', CASE WHEN o_custkey % 3 = 0 THEN concat('order', o_orderkey) ELSE concat('gone', o_orderkey) END) AS ref, CASE WHEN o_custkey % 5 = 0 THEN concat('ts://app/m', o_custkey % 40, '.ts#order', o_orderkey) END AS holder, concat('app/m', o_custkey % 40, '.ts') AS path,
+        CAST(o_orderkey % 500 + 1 + o_custkey % 2 AS INT) AS line, CASE o_orderkey % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'file' ELSE 'function' END AS kind FROM orders""",
+    "spoken_findings": """
+        SELECT concat('f', p_partkey) AS finding, CASE p_size % 5 WHEN 0 THEN 'DS1401' WHEN 1 THEN 'DS1602' WHEN 2 THEN 'DS9003' ELSE 'DS1001' END AS code, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE concat('p', p_partkey % 1500) END AS declaration, concat('ts://', p_name) AS ref, CASE WHEN p_size % 5 = 0 THEN concat('ts://holder', p_partkey % 100) END AS holder, concat('lib/', p_brand, '.ts') AS path FROM part""",
+    "spoken_records": """
+        SELECT CAST(p_partkey AS BIGINT) AS record_ord, CASE p_size % 5 WHEN 0 THEN 'DS1401' WHEN 1 THEN 'DS1602' WHEN 2 THEN 'DS9003' ELSE 'DS1001' END AS code, CASE p_partkey % 3 WHEN 0 THEN 'inline' WHEN 1 THEN 'ignore' ELSE 'baseline' END AS mechanism, CASE WHEN p_size % 5 = 0 AND p_partkey % 2 = 0 THEN concat('ts://holder', p_partkey % 100) ELSE concat('ts://', p_name) END AS symbol, concat('lib/', p_brand, '.ts') AS path,
+        CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('p', p_partkey % 1500) END AS bound, CASE WHEN p_partkey % 9 = 0 THEN 'lib/other.ts' ELSE concat('lib/', p_brand, '.ts') END AS site_path, concat('site', p_partkey % 60) AS site FROM part""",
+    "modules": """
+        SELECT concat('f', n_nationkey) AS id, 'file' AS kind, '' AS parent, concat('ts://f', n_nationkey, '#') AS ref, false AS exported, false AS is_static, CAST(NULL AS STRING) AS block FROM nation
+        UNION ALL SELECT concat('h', s_suppkey), CASE s_suppkey % 6 WHEN 0 THEN 'class' WHEN 1 THEN 'enum' WHEN 2 THEN 'namespace' WHEN 3 THEN 'namespace' WHEN 4 THEN 'function' ELSE 'namespace' END, concat('f', s_nationkey), concat('ts://f', s_nationkey, '#g', s_suppkey % 3), s_acctbal > 0, false, CASE s_suppkey % 6 WHEN 2 THEN 'value' WHEN 3 THEN 'module' ELSE CAST(NULL AS STRING) END FROM supplier
+        UNION ALL SELECT concat('m', c_custkey), CASE c_custkey % 4 WHEN 0 THEN 'enum-member' WHEN 1 THEN 'method' WHEN 2 THEN 'class-member' ELSE 'variable' END, concat('h', 1 + c_custkey % (SELECT count(*) FROM supplier)), concat('ts://m', c_custkey), c_acctbal > 1000, c_custkey % 7 < 3, CAST(NULL AS STRING) FROM customer""",
+    "support_files": "SELECT DISTINCT concat('app/l', o_orderkey % 40, '.ts') AS path FROM orders WHERE o_orderkey % 40 < 9",
+    "held_files": "SELECT DISTINCT concat('app/m', o_custkey % 40, '.ts') AS path FROM orders WHERE o_orderpriority = '2-HIGH' AND o_custkey % 40 < 30",
+    "typed": """
+        SELECT concat('t', c_custkey) AS id, CASE c_custkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' WHEN 2 THEN 'namespace' WHEN 3 THEN 'function' ELSE 'enum' END AS kind, 'file' AS parent, c_acctbal > 0 AS exported, concat('type', c_custkey) AS name, concat('src/t', c_nationkey, '.ts') AS path, concat('ts://src/t', c_nationkey, '#type', c_custkey) AS ref FROM customer
+        UNION ALL SELECT concat('u', p_partkey), CASE p_partkey % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'type-member' WHEN 2 THEN 'class-member' ELSE 'enum-member' END, concat('t', p_partkey % (SELECT count(*) FROM customer)), p_size % 3 > 0, concat('member', p_partkey % 50), 'src/u.ts', concat('ts://src/u.ts#member', p_partkey) FROM part""",
+    "typed_carriers": "SELECT concat('t', c_custkey) AS id, concat('t', (c_custkey * 7 + 3) % (SELECT count(*) FROM customer)) AS carried_id FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "typed_outside": "SELECT concat('t', c_custkey) AS id FROM customer WHERE c_acctbal > 9700",
+    "counted_in_graph": "SELECT concat('c', c_custkey) AS id, CAST(c_custkey % 25 AS BIGINT) AS counted FROM customer",
+    "decorator_sites": "SELECT concat('t', o_custkey) AS id, concat('@', o_orderpriority) AS decorator FROM orders WHERE o_orderstatus = 'P'",
+    "conversions": "SELECT concat('t', o_custkey) AS enum_id, concat('app/l', o_orderkey % 40, '.ts') AS site FROM orders WHERE o_orderpriority = '5-LOW'",
+    "serialized": "SELECT concat('t', o_custkey) AS type_id, concat('app/l', o_orderkey % 40, '.ts') AS site FROM orders WHERE o_totalprice > 400000",
+    "class_records": "SELECT concat('u', l_partkey) AS id, CASE l_linenumber % 3 WHEN 0 THEN 'enum-group' WHEN 1 THEN 'decorator' ELSE 'template-field' END AS class, concat('d', l_suppkey % 9) AS detail, concat('app/l', l_orderkey % 40, '.ts') AS site_path FROM lineitem",
+    "configured_entries": "SELECT concat('by-ref', s_suppkey) AS entry, concat('ts://src/t', s_nationkey, '#type', s_suppkey) AS ref, CAST(NULL AS STRING) AS module, CAST(NULL AS STRING) AS name FROM supplier UNION ALL SELECT concat('by-name', s_suppkey), CAST(NULL AS STRING), 'src/u.ts', concat('member', s_suppkey) FROM supplier",
+    "record_entries": "SELECT concat('entry', p_partkey) AS entry, CASE WHEN p_size % 2 = 0 THEN concat('ts://src/u.ts#member', p_partkey, '(arg)') ELSE concat('ts://src/u.ts#member', p_partkey * 2) END AS ref, 'src/u.ts' AS path FROM part",
+    "binding_rows": "SELECT concat('y', year(o_orderdate)) AS configuration, concat('{\"service\":\"s', o_custkey % 90, '\",\"status\":\"', o_orderstatus, '\"}') AS binding FROM orders",
+    "file_needs": "SELECT concat('src/n', o_custkey % 7) AS at, concat('pkg', o_custkey % 300) AS name, concat('app/m', o_orderkey % 40, '.ts') AS path FROM orders",
+    "message_rows": "SELECT concat('p', p_partkey) AS id, CASE p_size % 4 WHEN 0 THEN 'DS1001' WHEN 1 THEN 'DS1102' WHEN 2 THEN 'DS1503' ELSE 'DS7777' END AS code, CASE p_size % 3 WHEN 0 THEN 'class-member' ELSE 'function' END AS kind, p_name AS name, CAST(p_size % 3 AS BIGINT) AS production, CAST(p_size % 5 % 3 AS BIGINT) AS test FROM part",
     "edge_sides": "SELECT concat('e', p_partkey % 700) AS edge, CASE WHEN p_partkey % 2 = 0 THEN 'provides' ELSE 'used_by' END AS side, concat('p', p_partkey * 2) AS symbol FROM part",
 }
 

@@ -18,10 +18,10 @@ WINDOW, FACTOR = 100, 37
 
 
 def line_hashes(text: str) -> list[str]:
-    """``hex:occurrence`` of each line: a rolling hash, modulo 2^64, over the next WINDOW units from its start without blanks and tabs; line ends count as one unit."""
+    """``hex:occurrence`` of each line: a rolling hash, modulo 2^64, over the next WINDOW units from its start without blanks and tabs; line ends count as one unit. One sentinel ends the text, and zeros follow it."""
     lines = re.split(r"\r\n|\r|\n", text)
     units = np.frombuffer("\n".join(re.sub(r"[ \t]", "", line) for line in lines).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
-    units = np.concatenate([units, np.full(WINDOW, 0xFFFF, np.uint64)])
+    units = np.concatenate([units, np.array([0xFFFF], np.uint64), np.zeros(WINDOW, np.uint64)])
     powers = np.array([pow(FACTOR, WINDOW - 1 - k, 1 << 64) for k in range(WINDOW)], np.uint64)
     out, seen, at = [], {}, 0
     for line in lines:

@@ -24,8 +24,11 @@ def sweep_reach(symbols: DataFrame, references: DataFrame, roots: DataFrame, hel
 
 
 def judge(symbols: DataFrame, references: DataFrame, roots: DataFrame, held: DataFrame, exempt: DataFrame, gates: DataFrame | None = None, production: bool = True, reached: DataFrame | None = None) -> DataFrame:
-    """(id, kind, path, line, end_line, parent, exported, name, counted, production, test, live_counting, live_reach, dead, relation) of every declaration."""
+    """(id, kind, path, line, end_line, parent, exported, name, counted, production, test, live_counting, live_reach, dead, relation) of every declaration. ``gates`` (file, id): declarations kept while their file is reached."""
     reached = sweep_reach(symbols, references, roots, held, gates, production) if reached is None else reached
+    if gates is not None:  # what an opened gate holds is exempt, as a record's declaration is
+        opened = gates.join(reached.select(F.col("node").alias("file")), "file", "left_semi").select("id")
+        exempt = exempt.select("id").unionByName(opened)
     called = roots.where(~F.col("kind").isin(CALLERLESS)).select("id").distinct().withColumn("called", F.lit(True))
     rows = symbols.join(reference_counts(references, symbols), "id", "left").na.fill(0, ["production", "test", "consumer_test", "guessed_refs"])
     rows = rows.join(reached.select(F.col("node").alias("id"), "level"), "id", "left").join(called, "id", "left").join(exempt.select("id").distinct().withColumn("exempt", F.lit(True)), "id", "left")
@@ -100,3 +103,60 @@ def numbered(components_: DataFrame, product: str = "ts") -> DataFrame:
     start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<int,int>")
     number = (F.col("k") + start[F.col("part")] + 1).cast("long")
     return components_.join(parts.select("component", F.format_string(f"{product}/c-%04d", number).alias("component_id")), "component")
+
+
+def seeds_of(records: DataFrame, symbols: DataFrame, unanswered: DataFrame) -> DataFrame:
+    """(id, tier, file): how each exemption record of a known declaration holds it: gated (while the file it names is live), unanswered, or record; beside the declarations a question about which went unanswered.
+
+    ``records``: id, while_live (a path or null), unanswered. A gate on a path that is no file of the run holds nothing.
+    """
+    known = symbols.select("id").distinct()
+    files = symbols.where("kind = 'file'").select(F.col("path").alias("while_live"), F.col("id").alias("file")).distinct()
+    rows = records.join(known, "id", "left_semi").join(files, "while_live", "left")
+    tier = F.when(F.col("while_live").isNotNull(), F.when(F.col("file").isNotNull(), "gated")).when(F.coalesce("unanswered", F.lit(False)), "unanswered").otherwise("record")
+    own = rows.select("id", tier.alias("tier"), F.when(F.col("while_live").isNotNull(), F.col("file")).alias("file")).where("tier is not null")
+    asked = unanswered.select("id").join(known, "id", "left_semi").select("id", F.lit("unanswered").alias("tier"), F.lit(None).cast("string").alias("file"))
+    return own.unionByName(asked).distinct()
+
+
+def tiers(symbols: DataFrame, references: DataFrame, roots: DataFrame, seeds: DataFrame, production: bool = True) -> DataFrame:
+    """(id, tier): why each declaration that any view reaches stays: live (without any seed), record, gated, or unanswered; the first that reaches it.
+
+    One walk a tier, each with the seeds of the tiers before it.
+    """
+    known = symbols.select("id").distinct()
+    nothing = seeds.select("id").limit(0)
+    held = lambda *names: seeds.where(F.col("tier").isin(*names)).select("id").distinct()
+    gates = seeds.where("tier = 'gated'").select("file", "id").distinct()
+    views = [("live", nothing, None), ("record", held("record"), None), ("gated", held("record"), gates), ("unanswered", held("record", "unanswered"), gates)]
+    rows = None
+    for k, (name, at, gate) in enumerate(views):
+        found = sweep_reach(symbols, references, roots, at, gate, production).select(F.col("node").alias("id"), F.lit(k).alias("k"), F.lit(name).alias("tier"))
+        rows = cut(found if rows is None else rows.unionByName(found))
+    return rows.join(known, "id", "left_semi").groupBy("id").agg(F.min_by("tier", "k").alias("tier"))
+
+
+def components_with_files(judged: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
+    """``components`` with the files (id) that are reported dead among the dead: a file takes the declarations it holds, and what only its top level references, with it."""
+    gone = files.select("id", F.lit(True).alias("gone")).distinct()
+    rows = judged.join(gone, "id", "left").withColumn("dead", F.col("dead") | F.coalesce("gone", F.lit(False))).drop("gone")
+    return components(rows, references)
+
+
+def placed(findings: DataFrame, components_: DataFrame, falls_with: DataFrame) -> DataFrame:
+    """(finding, component): the component of each finding's declaration, components that a finding falls with joined to one of the smallest name.
+
+    ``findings``: finding, declaration. ``components_``: id, component. ``falls_with``: finding, id.
+    """
+    place = components_.select(F.col("id").alias("declaration"), "component")
+    met = falls_with.join(place.withColumnRenamed("declaration", "id"), "id").groupBy("finding").agg(F.min("component").alias("least"))
+    ties = falls_with.join(place.withColumnRenamed("declaration", "id"), "id").join(met, "finding").select(F.col("component").alias("src"), F.col("least").alias("dst"))
+    joined_ = weak_components(ties).select(F.col("node").alias("component"), F.col("root").alias("joined"))
+    at = findings.join(place, "declaration", "left").join(met, "finding", "left").withColumn("component", F.coalesce("component", "least"))
+    return at.join(joined_, "component", "left").select("finding", F.coalesce("joined", "component").alias("component"))
+
+
+def possibly_loaded(edges: DataFrame, seeds: DataFrame, dead: DataFrame) -> DataFrame:
+    """(id): the seeds, and the dead declarations that they reach through dead ones: dead only while nothing unseen loads them."""
+    found = reach(edges, seeds.select(F.col("id").alias("node")), only=dead.select(F.col("id").alias("node")))
+    return found.select(F.col("node").alias("id"))

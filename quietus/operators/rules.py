@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,6 @@ KINDS = [
 ]
 CONFIDENCES = ["possible", "probable", "certain"]
 SEVERITIES = ["allow", "warn", "deny"]
-#: Members of other declarations, by kind.
-MEMBER_KINDS = ["method", "class-member", "type-member", "enum-member"]
 
 
 def rank(column: str | Column, order: list[str]) -> Column:
@@ -32,24 +32,6 @@ def named(position: Column, order: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, order)), position)
 
 
-def code_of_dead() -> Column:
-    """First rule that fits a dead declaration: test of dead code, interface, only test use, deprecated, member, exported, unexported."""
-    return (
-        F.when(F.col("test_of_dead"), "DS1103")
-        .when(F.col("kind") == "interface", "DS1201")
-        .when((F.col("test") > 0) & (F.col("production") == 0), "DS1102")
-        .when(F.col("deprecated") & (F.col("production") == 0), "DS1104")
-        .when(F.col("kind").isin(MEMBER_KINDS), "DS1003")
-        .when(F.col("exported"), "DS1001")
-        .otherwise("DS1002")
-    )
-
-
-def code_of_live() -> Column:
-    """Narrowing codes of live exported declarations, by the widest use of each: no use beyond its file, or none beyond its package."""
-    return F.when(~F.col("exported"), None).when(F.col("scope") == "file", "DS1503").when(F.col("published") & (F.col("scope") == "package"), "DS1501")
-
-
 def severity_of(code: str, overrides: dict[str, str]) -> Column:
     """A code's own setting, else its family's (first four characters), else the vocabulary's."""
     stated = F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv]) if overrides else F.create_map().cast("map<string,string>")
@@ -82,11 +64,18 @@ def withheld_counts(findings: DataFrame, least: str) -> DataFrame:
 
 
 def claims(findings: DataFrame, records: DataFrame) -> DataFrame:
-    """(finding key, record_ord): the first record, in reading order, that names each finding. A record bound to a declaration names that one only; others of its entry are not its."""
-    bound = records.where("bound <> ''").select("code", "symbol", "path", F.col("bound").alias("declaration")).distinct().withColumn("spoken_for", F.lit(True))
+    """(finding key, record_ord): the first record, in reading order, that names each finding.
+
+    A record bound to a declaration names that one only; others of its entry are not its. A directive in the code (mechanism ``inline``) names what is about its declaration, in its own file, whatever the reference.
+    """
+    entries = records.where("mechanism <> 'inline'")
+    bound = entries.where("bound <> ''").select("code", "symbol", "path", F.col("bound").alias("declaration")).distinct().withColumn("spoken_for", F.lit(True))
     f = findings.withColumnRenamed("ref", "symbol").join(bound, ["code", "symbol", "path", "declaration"], "left")
-    hits = f.join(records.select("record_ord", "code", "symbol", "path", "bound"), ["code", "symbol", "path"]).where("declaration = '' or spoken_for is null or declaration = bound")
-    return hits.groupBy("code", "declaration", "path", "line", "col").agg(F.min("record_ord").alias("record_ord"))
+    hits = f.join(entries.select("record_ord", "code", "symbol", "path", "bound"), ["code", "symbol", "path"]).where("declaration = '' or spoken_for is null or declaration = bound")
+    keys = ["code", "declaration", "path", "line", "col"]
+    inline = records.where("mechanism = 'inline' and bound <> ''").select("record_ord", "code", F.col("bound").alias("declaration"), "path")
+    direct = findings.join(inline, ["code", "declaration", "path"])
+    return hits.select(*keys, "record_ord").unionByName(direct.select(*keys, "record_ord")).groupBy(*keys).agg(F.min("record_ord").alias("record_ord"))
 
 
 def ledger(findings: DataFrame, records: DataFrame, allowed: list[str] | None = None) -> DataFrame:
@@ -114,18 +103,23 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
     return findings.where("not withheld and code not like 'DS9%'").select("code", "ref", "path").distinct()
 
 
-def baseline_fixpoint(findings: DataFrame, held: DataFrame, max_rounds: int = 8) -> DataFrame:
-    """(code, ref, path): the rows a baseline settles on from the rows ``held`` now: rows that name nothing go and never return, findings without a row are added."""
-    rows, gone = cut(held.select("code", "ref", "path").distinct()), None
-    wanted = cut(baseline_rows(findings))
+def baseline_fixpoint(findings: DataFrame | Callable[[DataFrame], DataFrame], held: DataFrame, max_rounds: int = 32) -> DataFrame:
+    """(code, ref, path): the rows a baseline settles on from the rows ``held`` now: rows that name nothing go and never return, findings without a row are added.
+
+    ``findings`` are the run's, or a function that runs the analysis under given rows; it is asked again each round, since a row that goes may bring other findings. Raises if ``max_rounds`` is too few.
+    """
+    key = ["code", "ref", "path"]
+    rows, gone = cut(held.select(*key).distinct()), None
+    wanted = None if callable(findings) else cut(baseline_rows(findings))
     for _ in range(max_rounds):
-        stale = rows.join(wanted, ["code", "ref", "path"], "left_anti")
+        now = cut(baseline_rows(findings(rows))) if callable(findings) else wanted
+        stale = rows.join(now, key, "left_anti")
         gone = cut(stale if gone is None else gone.unionByName(stale).distinct())
-        add = wanted.join(rows, ["code", "ref", "path"], "left_anti").join(gone, ["code", "ref", "path"], "left_anti")
+        add = now.join(rows, key, "left_anti").join(gone, key, "left_anti")
         if stale.isEmpty() and add.isEmpty():
-            break
-        rows = cut(rows.join(stale, ["code", "ref", "path"], "left_anti").unionByName(add))
-    return rows
+            return rows
+        rows = cut(rows.join(stale, key, "left_anti").unionByName(add))
+    raise RuntimeError("the baseline did not settle within max_rounds")
 
 
 def totals(findings: DataFrame) -> DataFrame:
@@ -158,6 +152,12 @@ def top(findings: DataFrame, most: int, by: str = "size") -> DataFrame:
     return head.withColumn("place", F.row_number().over(Window.orderBy(*keys, *CANONICAL)))
 
 
+def capped(findings: DataFrame, most: int, by: str = "size") -> tuple[DataFrame, int, DataFrame]:
+    """(the first ``most`` findings, how many are left out, the components that still have one); 0 keeps all."""
+    kept = cut(top(findings, most, by)) if most else findings
+    return kept, findings.count() - kept.count() if most else 0, kept.select("component").distinct()
+
+
 def verdict(findings: DataFrame, stale: DataFrame, fail_on: str = "deny", pending: bool = False) -> int:
     """Exit code: 4 pending, 1 failing findings or stale suppressions, 0 clean."""
     if pending:

@@ -8,15 +8,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietus.functions import template as templates
 from quietus.functions.schema import refusals
 from quietus.graph.edges import visibility_reach, write_only
-from quietus.operators import liveness, rules
-from quietus.session import cut
+from quietus.operators import codes, liveness, rules, selfcheck
+from quietus.session import cut, ship
 
 
 @dataclass
@@ -30,6 +31,10 @@ class Config:
     most: int = 0
     sort: str = "position"
     product: str = "ts"
+    #: All consumers are loaded; the manifest closes the package's files off; the listed projects are all there are.
+    closed: bool = False
+    encapsulated: bool = False
+    complete_matrix: bool = False
 
 
 @dataclass
@@ -43,28 +48,40 @@ class Analysis:
     exit_code: int
 
 
-def _dead(facts: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
-    rows = judged.where("dead")
-    for name, column in (("deprecated", "deprecated"), ("tests_of_dead", "test_of_dead")):
-        if name in facts:
-            rows = rows.join(facts[name].select("id", F.lit(True).alias(column)).distinct(), "id", "left").na.fill(False, [column])
-        else:
-            rows = rows.withColumn(column, F.lit(False))
-    return rows.withColumn("code", rules.code_of_dead()).select("code", "id", "relation")
+#: Facts (id) that flag a declaration, and the flag.
+FLAG_FACTS = {"deprecated": "deprecated", "tests_of_dead": "test_of_dead", "test_code": "in_test", "unreferenced_tests": "unreferenced_test", "held_by_tests": "held_by_itself", "kept_by_tests": "kept_by_tests", "brands": "brand", "markers": "marker"}
 
 
-def _narrowed(facts: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
-    published = facts["roots"].where("kind = 'published-api'").select("id").distinct().withColumn("p", F.lit(True))
-    live = judged.where("not dead and kind <> 'file'").join(visibility_reach(facts["references"], facts["symbols"]), "id").join(published, "id", "left").withColumn("published", F.col("p").isNotNull())
-    return live.withColumn("code", rules.code_of_live()).where("code is not null").select("code", "id", F.lit("reference-counting").alias("relation"))
+def _flagged(rows: DataFrame, table: DataFrame | None, name: str) -> DataFrame:
+    if table is None:
+        return rows.withColumn(name, F.lit(False))
+    return rows.join(table.select("id", F.lit(True).alias(name)).distinct(), "id", "left").na.fill(False, [name])
 
 
-def _written(facts: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
+def _dead(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame:
+    inside = judged.where("dead").select(F.col("id").alias("parent"), F.lit(True).alias("container_dead"))
+    rows = judged.where("dead").join(inside, "parent", "left").join(judged.select(F.col("id").alias("parent"), F.col("kind").alias("parent_kind")), "parent", "left").na.fill("", ["parent_kind"])
+    for name, flag in FLAG_FACTS.items():
+        rows = _flagged(rows, facts.get(name), flag)
+    rows = _flagged(rows, facts["roots"], "rooted").withColumn("encapsulated", F.lit(config.encapsulated))
+    return codes.with_flags(rows).withColumn("code", codes.code_of_dead()).where("code is not null").select("code", "id", "relation")
+
+
+def _narrowed(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame:
+    symbols = facts["symbols"]
+    live = judged.where("not dead and kind <> 'file'").select("id", "kind", "path", "parent", "exported").join(visibility_reach(facts["references"], symbols), "id").join(codes.entered(symbols, facts["roots"]), "id")
+    live = live.join(symbols.select(F.col("id").alias("parent"), F.col("kind").alias("parent_kind")), "parent")
+    live = _flagged(live, write_only(facts["references"], facts["exempt"]), "written")
+    live = _flagged(live, facts.get("exposed"), "exposed")
+    return live.withColumn("code", codes.code_of_live(config.closed)).where("code is not null").select("code", "id", F.lit("reference-counting").alias("relation"))
+
+
+def _written(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame:
     rows = write_only(facts["references"], facts["exempt"]).join(judged.where("dead").select("id"), "id", "left_anti")
     return rows.select(F.lit("DS1301").alias("code"), "id", F.lit("reference-counting").alias("relation"))
 
 
-def _files(facts: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
+def _files(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame:
     from quietus.graph.walk import reach
 
     at = judged.select("path", "id", "kind")
@@ -74,28 +91,94 @@ def _files(facts: dict[str, DataFrame], judged: DataFrame) -> DataFrame:
     return at.where("kind = 'file'").join(kept, "path", "left_anti").select(F.lit("DS1602").alias("code"), "id", F.lit("reachability").alias("relation"))
 
 
-#: name -> (facts, judged) -> (code, id, relation).
-EMITTERS: dict[str, Callable[[dict[str, DataFrame], DataFrame], DataFrame]] = {"dead": _dead, "narrowing": _narrowed, "writes": _written, "files": _files}
+def _own(rows: DataFrame, code: str | None = None) -> DataFrame:
+    """Findings about rows of documents, or parts: path, line and ref are theirs, and ``id`` names the declaration that holds the part, or is empty."""
+    rows = rows if code is None else rows.withColumn("code", F.lit(code))
+    have = rows.columns
+    text = lambda c, other: (F.col(c) if c in have else F.lit(other)).cast("string").alias(c)
+    return rows.select("code", text("id", ""), F.lit("reference-counting").alias("relation"), text("path", ""), (F.col("line") if "line" in have else F.lit(1)).cast("int").alias("line"), text("ref", ""), text("confidence", "certain"))
+
+
+def _parts(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame | None:
+    if "parts" not in facts:
+        return None
+    none = facts["symbols"].select("id").limit(0)
+    calls = facts.get("calls")
+    found = codes.part_findings(facts["parts"], facts["signatures"], facts["roots"].select("id"), facts.get("callers_unknown", none), codes.discarded_everywhere(calls) if calls is not None else none)
+    at = facts["symbols"].select(F.col("id").alias("declaration"), "path", "line", F.col("name").alias("holder"))
+    rows = found.join(at, "declaration").join(judged.where("not dead").select(F.col("id").alias("declaration")), "declaration", "left_semi")
+    return _own(rows.withColumns({"id": F.col("declaration"), "ref": F.concat(F.lit("ts://"), "path", F.lit("#"), "holder", F.lit("("), "name", F.lit(")"))}))
+
+
+def _imports(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame | None:
+    if "imports" not in facts:
+        return None
+    unused = rules.unused_imports(facts["imports"])
+    at = facts["imports"].groupBy("declaration", "name").agg(F.min("path").alias("path"), F.min("line").alias("line"))
+    return _own(unused.join(at, ["declaration", "name"]).withColumn("ref", F.concat(F.lit("ts://"), "path", F.lit("#"), "name")), "DS1004")
+
+
+def _dependencies(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame | None:
+    if "dependencies" not in facts:
+        return None
+    ran = facts["ran"] if "ran" in facts else facts["dependencies"].select("name").limit(0)
+    rows = rules.unused_dependencies(facts["dependencies"].select("dir", "name"), facts["needs"], ran, judged.where("dead").select("id"))
+    manifest = F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), F.lit("package.json"))
+    return _own(rows.withColumns({"path": manifest, "ref": F.concat(F.lit("ts://"), manifest, F.lit("#"), "name")}), "DS1701")
+
+
+def _self_check(facts: dict[str, DataFrame], judged: DataFrame, config: Config) -> DataFrame | None:
+    rows = []
+    if "written_records" in facts:
+        at = facts["written_records"].select("record_ord", F.coalesce("site_path", F.lit("")).alias("path"), F.col("symbol").alias("ref"))
+        rows.append(_own(selfcheck.refused(facts["written_records"]).join(at, "record_ord")))
+    for asked, matched, code in (("asked_roots", "matched_roots", "DS9004"), ("asked_declarations", "matched_declarations", "DS9006")):
+        if asked in facts:
+            rows.append(_own(selfcheck.unmatched_everywhere(facts[asked], facts[matched]).withColumn("ref", F.col("source")), code))
+    if "tree" in facts:
+        never = selfcheck.never_built(facts["tree"], facts["symbols"].where("kind = 'file'"), config.complete_matrix)
+        rows.append(_own(never.withColumn("ref", F.concat(F.lit("ts://"), "path")), "DS1601"))
+    return reduce(DataFrame.unionByName, rows) if rows else None
+
+
+#: name -> (facts, judged, config) -> (code, id, relation), and path, line, ref, confidence where the finding is about no declaration; or None.
+EMITTERS: dict[str, Callable[[dict[str, DataFrame], DataFrame, Config], DataFrame | None]] = {
+    "dead": _dead, "narrowing": _narrowed, "writes": _written, "files": _files, "parts": _parts, "imports": _imports, "dependencies": _dependencies, "self_check": _self_check,
+}
 
 
 def analyze(facts: dict[str, DataFrame], config: Config | None = None) -> Analysis:
-    """Facts: symbols, references, roots, held_seeds, exempt; optionally gates, deprecated, tests_of_dead, suppressions, test_used."""
+    """Facts: symbols, references, roots, held_seeds, exempt; optionally gates, unanswered, records (exemptions: id, while_live, unanswered), those of FLAG_FACTS, exposed, parts with signatures, calls and callers_unknown,
+    imports, dependencies with needs and ran, written_records, asked and matched roots and declarations, tree, skipped, suppressions, test_used.
+    """
     config = config or Config()
+    ship(facts["symbols"].sparkSession)
     symbols, references = facts["symbols"], facts["references"]
-    reached = cut(liveness.sweep_reach(symbols, references, facts["roots"], facts["held_seeds"], facts.get("gates"), config.production, config.guessed))
-    judged = cut(liveness.judge(symbols, references, facts["roots"], facts["held_seeds"], facts["exempt"], facts.get("gates"), config.production, reached))
+    held, exempt, gates = facts["held_seeds"].select("id"), facts["exempt"].select("id"), facts.get("gates")
+    if "records" in facts:  # exemption records are seeds, too: what their declarations use stays
+        unanswered = facts["unanswered"] if "unanswered" in facts else held.limit(0)
+        seeds = cut(liveness.seeds_of(facts["records"], symbols, unanswered))
+        own = seeds.where("tier <> 'gated'").select("id")
+        held, exempt = held.unionByName(own).distinct(), exempt.unionByName(own).distinct()
+        more = seeds.where("tier = 'gated'").select("file", "id")
+        gates = more if gates is None else gates.select("file", "id").unionByName(more).distinct()
+    reached = cut(liveness.sweep_reach(symbols, references, facts["roots"], held, gates, config.production, config.guessed))
+    judged = cut(liveness.judge(symbols, references, facts["roots"], held, exempt, gates, config.production, reached))
     components = cut(liveness.numbered(liveness.components(judged, references), config.product))
-    found = None
-    for emit in EMITTERS.values():
-        rows = emit(facts, judged)
-        found = rows if found is None else found.unionByName(rows)
-    at = judged.select("id", "path", "line", "end_line", F.lit(1).alias("col"), F.concat(F.lit("ts://"), F.col("path"), F.lit("#"), F.col("name")).alias("ref"))
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows for emit in EMITTERS.values() if (rows := emit(facts, judged, config)) is not None])
+    for name, kind in (("path", "string"), ("line", "int"), ("ref", "string"), ("confidence", "string")):
+        found = found.withColumn(f"own_{name}", F.col(name) if name in found.columns else F.lit(None).cast(kind)).drop(name)
+    at = judged.select("id", "path", "line", "end_line", F.concat(F.lit("ts://"), F.col("path"), F.lit("#"), F.col("name")).alias("ref"))
     used = facts["test_used"].select("id", F.lit(True).alias("test_used")).distinct() if "test_used" in facts else at.select("id", F.lit(False).alias("test_used")).limit(0)
-    rows = found.join(at, "id").join(components.select("id", F.col("component_id").alias("component"), F.col("root").alias("is_root"), "lines"), "id", "left").join(used, "id", "left")
+    part = F.col("own_ref").isNotNull()  # what is no declaration of its own falls with none
+    rows = found.join(at, "id", "left").join(components.select("id", F.col("component_id").alias("component"), F.col("root").alias("is_root"), "lines"), "id", "left").join(used, "id", "left")
     rows = rows.select(
-        "code", F.col("id").alias("declaration"), "relation", "path", "line", "col", "ref", F.lit("certain").alias("confidence"), F.coalesce("test_used", F.lit(False)).alias("test_used"),
-        F.coalesce("component", F.concat(F.lit("own:"), F.col("id"))).alias("component"), F.coalesce("is_root", F.lit(True)).alias("is_root"), F.coalesce("lines", F.lit(0)).alias("lines"), (F.greatest(F.lit(0), F.col("end_line") - F.col("line")) + 1).alias("subject_lines"),
+        "code", F.col("id").alias("declaration"), "relation", F.coalesce("own_path", "path").alias("path"), F.coalesce("own_line", "line").alias("line"), F.lit(1).alias("col"), F.coalesce("own_ref", "ref").alias("ref"), F.coalesce("own_confidence", F.lit("certain")).alias("confidence"), F.coalesce("test_used", F.lit(False)).alias("test_used"),
+        F.when(part, F.concat(F.lit("own:"), "own_ref")).otherwise(F.coalesce("component", F.concat(F.lit("own:"), F.col("id")))).alias("component"), (part | F.coalesce("is_root", F.lit(True))).alias("is_root"), F.when(part, 0).otherwise(F.coalesce("lines", F.lit(0))).alias("lines"),
+        F.when(part, 1).otherwise(F.greatest(F.lit(0), F.col("end_line") - F.col("line")) + 1).alias("subject_lines"),
     )
+    if "skipped" in facts:
+        rows = codes.outside_skipped(rows, facts["skipped"])
     rows = cut(rules.withheld(rules.confidence(rows, config.roots_complete), config.least, config.severity))
     verdicts, stale = None, rows.limit(0).select("code")
     if "suppressions" in facts:
@@ -103,8 +186,9 @@ def analyze(facts: dict[str, DataFrame], config: Config | None = None) -> Analys
         allowed = [c for c, s in config.severity.items() if s == "allow"]
         verdicts = cut(rules.ledger(rows, records, allowed))
         stale = cut(rules.stale_sites(verdicts, records))
-        claimed = rules.claims(rows, records).select("code", "declaration", F.lit(True).alias("suppressed")).distinct()
-        rows = rows.join(claimed, ["code", "declaration"], "left").withColumn("withheld", F.col("withheld") | F.coalesce("suppressed", F.lit(False))).drop("suppressed")
+        key = ["code", "declaration", "path", "line", "col"]
+        claimed = rules.claims(rows, records).select(*key, F.lit(True).alias("suppressed")).distinct()
+        rows = rows.join(claimed, key, "left").withColumn("withheld", F.col("withheld") | F.coalesce("suppressed", F.lit(False))).drop("suppressed")
     rows = cut(rows)
     published = rules.top(rows.where("not withheld"), config.most, config.sort).drop("place") if config.most else rows
     return Analysis(judged, reached, components, published, verdicts, stale, rules.verdict(rows, stale, config.fail_on))
@@ -161,7 +245,18 @@ def report(findings: DataFrame, sort: str = "position") -> DataFrame:
 
 
 def _json(findings: DataFrame) -> DataFrame:
-    return report(findings).select(F.col("json").alias("value"))
+    """The report as lines of one document: its head, a line for each published finding in order, and its tail with the totals, so no task holds them all."""
+    live = findings.where("not withheld")
+    first = live.select(F.struct(*rules.CANONICAL).alias("k")).agg(F.min("k").alias("first"))
+    shown = F.to_json(F.struct("code", "path", "line", "col", "ref", "severity", "confidence", "component", "lines"))
+    rows = live.withColumn("nth", F.row_number().over(Window.partitionBy(*rules.CANONICAL).orderBy("component", "lines")))
+    comma = F.when((F.struct(*rules.CANONICAL) == F.col("first")) & (F.col("nth") == 1), "").otherwise(",")
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(rules.CANONICAL, ("string", "int", "int", "string", "string"), strict=True)]
+    body = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("at"), *rules.CANONICAL, "nth", F.concat(comma, shown).alias("value"))  # beside one row
+    sums = rules.totals(findings).agg(F.to_json(F.array_sort(F.collect_list(F.struct("code", "severity", "findings", "components", "lines")))).alias("totals"))  # a row for each code
+    head = findings.sparkSession.range(1).select(F.lit(0).alias("at"), *none, F.lit(0).alias("nth"), F.lit('{"version":1,"findings":[').alias("value"))
+    tail = sums.select(F.lit(2).alias("at"), *none, F.lit(0).alias("nth"), F.concat(F.lit('],"totals":'), "totals", F.lit("}")).alias("value"))
+    return head.unionByName(body).unionByName(tail).orderBy("at", *rules.CANONICAL, "nth").select("value")
 
 
 #: format -> findings -> rows of one column, ``value``.

@@ -14,7 +14,7 @@ from quietus.graph import edges, matrix
 from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
 from quietus.graph.walk import carrier_reach, peer_closure, reach, support_files
-from quietus.operators import exemptions, joins, liveness, rules
+from quietus.operators import codes, exemptions, joins, liveness, rules
 from quietus.plans import analysis
 from quietus.session import cut
 from quietus.sources import manifests, tree
@@ -196,29 +196,52 @@ def _judged(spark, sf):
 
 
 def _coded(spark, sf):
-    rows = _judged(spark, sf).where("dead")
-    return rows.withColumns({"test_of_dead": F.lit(False), "deprecated": F.col("line") % 10 == 0}).withColumn("code", rules.code_of_dead())
+    judged = cut(_judged(spark, sf))
+    inside = judged.where("dead").select(F.col("id").alias("parent"), F.lit(True).alias("container_dead"))
+    rows = judged.where("dead").join(inside, "parent", "left").withColumn("deprecated", F.col("line") % 10 == 0)
+    return codes.with_flags(rows).withColumn("code", codes.code_of_dead()).where("code is not null")
 
 
-CODED = JUDGED + ", coded AS (SELECT *, CASE WHEN kind = 'interface' THEN 'DS1201' WHEN test > 0 AND production = 0 THEN 'DS1102' WHEN line % 10 = 0 AND production = 0 THEN 'DS1104' WHEN exported THEN 'DS1001' ELSE 'DS1002' END AS code FROM judged WHERE dead)"
+# Of a dead container the container alone is reported, but for an interface, whose own rule says so. Deprecation comes before use by tests.
+CODED = JUDGED + ", coded AS (SELECT *, CASE WHEN kind = 'interface' THEN 'DS1201' WHEN parent IN (SELECT id FROM judged WHERE dead) THEN NULL WHEN production = 0 AND line % 10 = 0 THEN 'DS1104' WHEN test > 0 AND production = 0 THEN 'DS1102' WHEN exported THEN 'DS1001' ELSE 'DS1002' END AS code FROM judged WHERE dead)"
 
 
-@query(CODED + " SELECT code, id, kind, path, line, relation FROM coded")
+@query(CODED + " SELECT code, id, kind, path, line, relation FROM coded WHERE code IS NOT NULL")
 def dead_symbols(spark, sf):
     return _coded(spark, sf).select("code", "id", "kind", "path", "line", "relation")
 
 
-@query(CODED + " SELECT code, kind, relation, count(*) AS n FROM coded GROUP BY ALL")
+@query(CODED + " SELECT code, kind, relation, count(*) AS n FROM coded WHERE code IS NOT NULL GROUP BY ALL")
 def codes_dead(spark, sf):
     return _coded(spark, sf).groupBy("code", "kind", "relation").agg(F.count("*").alias("n"))
 
 
-@query(JUDGED + ", scope AS (SELECT to_id AS id, max(CASE WHEN consumer <> '' THEN 2 WHEN r.path <> s.path THEN 1 ELSE 0 END) AS r FROM refs r JOIN symbols s ON r.to_id = s.id GROUP BY to_id) SELECT j.id, CASE WHEN r = 0 THEN 'DS1503' ELSE 'DS1501' END AS code FROM judged j JOIN scope USING (id) WHERE NOT dead AND kind <> 'file' AND exported AND (r = 0 OR (r = 1 AND id IN (SELECT id FROM roots WHERE kind = 'published-api')))")
+@query(walk_sql(gates=True) + ", counts AS (SELECT to_id AS id, count(*) FILTER (WHERE NOT guessed AND NOT test) AS production FROM refs GROUP BY to_id), kept AS (SELECT id FROM exempt UNION SELECT g.id FROM gates g WHERE g.file IN (SELECT node FROM reached)) SELECT s.id, s.kind FROM symbols s LEFT JOIN counts c USING (id) LEFT JOIN reached r ON r.node = s.id WHERE s.kind <> 'file' AND s.id NOT IN (SELECT id FROM kept) AND NOT ((s.id IN (SELECT id FROM roots WHERE kind <> 'published-api') OR coalesce(production, 0) > 0 OR coalesce(level, 0) = 4) AND level IS NOT NULL)")
+def dead_with_gates(spark, sf):
+    names = ("symbols", "refs", "roots", "held_seeds", "exempt", "gates")
+    return liveness.judge(*[fact(spark, sf, n) for n in names]).where("dead").select("id", "kind")
+
+
+def _narrowed(spark, sf, closed):
+    symbols, roots = fact(spark, sf, "symbols"), fact(spark, sf, "roots")
+    live = _judged(spark, sf).where("not dead and kind <> 'file'").drop("kind", "path")
+    rows = live.join(edges.visibility_reach(fact(spark, sf, "refs"), symbols), "id").join(codes.entered(symbols, roots), "id").join(symbols.select("id", "kind", "path"), "id")
+    holders = symbols.select(F.col("id").alias("parent"), F.col("kind").alias("parent_kind"))
+    rows = rows.join(holders, "parent").withColumns({"written": F.lit(False), "exposed": F.lit(False)})
+    return rows.withColumn("code", codes.code_of_live(closed)).where("code is not null").select("id", "code")
+
+
+LIVE = JUDGED + ", pub AS (SELECT id FROM roots WHERE kind = 'published-api'), scope AS (SELECT to_id AS id, max(CASE WHEN consumer <> '' THEN 2 WHEN r.path <> s.path THEN 1 ELSE 0 END) AS r FROM refs r JOIN symbols s ON r.to_id = s.id GROUP BY to_id), ex AS (SELECT j.id, r, j.path IN (SELECT path FROM symbols WHERE id IN (SELECT id FROM pub)) AS file_published FROM judged j JOIN scope USING (id) JOIN symbols p ON p.id = j.parent AND p.kind = 'file' WHERE NOT dead AND j.kind <> 'file' AND j.exported AND j.id NOT IN (SELECT id FROM roots WHERE kind = 'configured'))"
+
+
+@query(LIVE + " SELECT id, 'DS1503' AS code FROM ex WHERE r = 0 AND NOT file_published")
 def codes_live(spark, sf):
-    live = _judged(spark, sf).where("not dead and kind <> 'file'")
-    published = fact(spark, sf, "roots").where("kind = 'published-api'").select("id").distinct().withColumn("p", F.lit(True))
-    rows = live.join(edges.visibility_reach(fact(spark, sf, "refs"), fact(spark, sf, "symbols")), "id").join(published, "id", "left").withColumn("published", F.col("p").isNotNull())
-    return rows.withColumn("code", rules.code_of_live()).where("code is not null").select("id", "code")
+    return _narrowed(spark, sf, False)
+
+
+@query(LIVE + " SELECT id, 'DS1503' AS code FROM ex WHERE r = 0 UNION ALL SELECT id, 'DS1501' FROM ex WHERE r = 1 AND id IN (SELECT id FROM pub)")
+def codes_live_in_a_closed_world(spark, sf):
+    return _narrowed(spark, sf, True)
 
 
 @query(JUDGED + ", tc AS (SELECT id FROM symbols WHERE kind = 'function' AND line % 3 = 0), sup AS (SELECT id FROM symbols WHERE kind = 'class'), t AS (SELECT DISTINCT from_id, to_id FROM refs WHERE from_id IN (SELECT id FROM tc)), g AS (SELECT from_id, bool_and(to_id IN (SELECT id FROM judged WHERE dead)) AS all_dead FROM t WHERE to_id IN (SELECT id FROM symbols WHERE kind = 'variable') GROUP BY from_id), sh AS (SELECT DISTINCT to_id FROM t JOIN g USING (from_id) WHERE NOT all_dead AND to_id IN (SELECT id FROM sup)) SELECT from_id AS id FROM g WHERE all_dead AND from_id NOT IN (SELECT from_id FROM t WHERE to_id IN (SELECT to_id FROM sh))")
@@ -474,7 +497,17 @@ def json_strings(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode_outer(text.json_strings_udf("props")).alias("value"))
 
 
-@query()
+#: Units after the text: one of 65535, then zeros. Powers of 37 modulo 2^64.
+LINE_HASHES = """
+WITH RECURSIVE p(k, v) AS (SELECT 99, 1::HUGEINT UNION ALL SELECT k - 1, (v * 37) % 18446744073709551616::HUGEINT FROM p WHERE k > 0),
+t AS (SELECT item_id, replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ', ''), chr(9), '') AS c FROM benchmark),
+u AS (SELECT item_id, CASE WHEN c = '' THEN [65535] ELSE list_concat(list_transform(string_split(c, ''), lambda x: unicode(x)), [65535]) END AS us FROM t),
+s AS (SELECT item_id, us, 0 AS pos, 0 AS line FROM u UNION ALL SELECT item_id, us, i, row_number() OVER (PARTITION BY item_id ORDER BY i) FROM (SELECT item_id, us, unnest(range(1, len(us))) AS i FROM u) WHERE us[i] = 10),
+h AS (SELECT item_id, line, sum(coalesce(us[pos + k + 1], 0)::HUGEINT * v) % 18446744073709551616::HUGEINT AS x FROM s, p GROUP BY item_id, line)
+SELECT item_id, line::INT AS line, lower(hex(x::UBIGINT)) || ':' || row_number() OVER (PARTITION BY item_id, x ORDER BY line) AS hash FROM h"""
+
+
+@query(LINE_HASHES)
 def line_hashes(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.posexplode(text.line_hashes_udf("text")).alias("line", "hash"))
 
@@ -673,7 +706,7 @@ def text_digests(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT doc_id, length(text) / len(string_split(text, chr(10))) > 500 AS minified FROM documents")
+@query("SELECT doc_id, octet_length(encode(text)) >= 10240 AND length(text) / len(string_split(text, chr(10))) > 500 AS minified FROM documents")
 def minified_files(spark, sf):
     rows = table(spark, sf, "documents").withColumn("path", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".js")))
     return rows.select("doc_id", tree.minified().alias("minified"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,10 @@ EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".d.ts", ".d.mts", ".d.cts", ".js",
 def files_below(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, length, content): files below ``root``, paths relative to it; installed packages and version control are left out before any content is read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    top = root.rstrip("/").rsplit("/", 1)[-1]
-    path = F.regexp_replace("path", rf"^.*?/{top}/", "")
+    # Spark gives paths as URIs; what follows the root's own path, with or without a scheme, is the relative path.
+    root = root if root.startswith("/") or ":" in root else os.path.abspath(root)
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    path = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*(?=/)", ""), "^" + re.escape(re.sub("/+", "/", base)) + "/+", "")
     inside = listed.where(~F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"))
     return inside.select(path.alias("path"), "length", "content")
 
@@ -63,10 +69,19 @@ def rule_hits(paths: DataFrame, globs: list[str]) -> DataFrame:
     return every.join(hits.groupBy("pattern").agg(F.count("*").alias("files")), "pattern", "left").na.fill(0, ["files"])
 
 
+#: Names of minified files, and the size and mean line from which a text counts as minified. Fixed values.
+MINIFIED_NAMES = ["*.min.js", "*.min.cjs", "*.min.mjs"]
+MINIFIED_BYTES, MINIFIED_LINE = 10_240, 500
+
+
 def minified(text: str = "text", path: str = "path") -> Column:
-    """By name, or by lines of more than 500 characters on average and few of them."""
-    lines = F.size(F.split(F.col(text), "\n"))
-    return F.col(path).rlike(r"\.min\.[cm]?js$") | (F.col(path).rlike(r"\.[cm]?jsx?$") & (F.length(text) / lines > 500))
+    """Whether a JavaScript file is minified: by its name, or by a text of MINIFIED_BYTES at least whose mean line is longer than MINIFIED_LINE UTF-16 units."""
+    content = F.col(text)
+    lines = F.size(F.split(content, "\r?\n"))
+    units = (F.octet_length(F.encode(content, "UTF-16BE")) / 2).cast("long")
+    named = reduce(Column.__or__, [F.regexp_extract(path, "[^/]*$", 0).rlike(glob_regex(g)) for g in MINIFIED_NAMES])
+    long_lines = (F.octet_length(content) >= MINIFIED_BYTES) & (units / lines > MINIFIED_LINE)
+    return F.col(path).rlike(r"\.(js|jsx|mjs|cjs)$") & (named | F.coalesce(long_lines, F.lit(False)))
 
 
 #: Marks that generators leave in a file's leading comment. Fixed values.
