@@ -2,7 +2,7 @@
 
 All shingles have one order. Sets of similarity 0.8 or more share at least four fifths of either, so the first shingle they share lies among the first
 ``n - ceil(0.8 n) + 1`` of both: texts that meet at no shingle of their prefixes are no pair, and no pair is lost. A meeting is a candidate only if the sizes, what
-is left of both sets behind the shingle, and the parities of 512 bins of both sets still admit the similarity; candidates are settled on both whole texts.
+is left of both sets behind the shingle, and the parities of 1024 bins of both sets still admit the similarity; candidates are settled on both whole texts.
 
 Pairs are not emitted for whole groups of near copies. First every text meets two others at each shingle of its prefix (the first of about its size, and the next smaller one):
 a number of candidates in proportion to the texts. What these join is one class; then only texts of different classes are candidates at the shingles they share.
@@ -27,7 +27,7 @@ from quietus.session import TEXTS, cut, if_small, kept
 WIDTH = 5
 #: Texts that the order of shingles is learned from, and shingles that it puts last.
 SAMPLED, FREQUENT = 16_384, 100_000
-PARITIES = [f"p{k}" for k in range(8)]
+PARITIES = [f"p{k}" for k in range(16)]
 #: Bits that choose a sketch's bin, at most: 2 KB a sketch.
 MOST_BITS = 14
 #: Pairs of whole texts that are settled at once.
@@ -86,14 +86,14 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 512 bins, as 8 longs: sets that differ in d shingles differ in at most d parities."""
-    odd = (np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    """Parity of the number of shingles in each of 1024 bins, as 16 longs: sets that differ in d shingles differ in at most d parities."""
+    odd = (np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of the shingles in two to four times as many bins as there are shingles, within bounds: they tell far more pairs apart than 512 bins do."""
-    bits = int(min(MOST_BITS, max(9, np.ceil(np.log2(2 * len(h))))))
+    """Parities of the shingles in two to four times as many bins as there are shingles, within bounds: they tell more pairs apart than a fixed number does."""
+    bits = int(min(MOST_BITS, max(10, np.ceil(np.log2(2 * len(h))))))
     odd = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -110,7 +110,7 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(digest, size, prefix, sketch, p0 .. p7) of every text that has words."""
+    """(digest, size, prefix, sketch, p0 .. p15) of every text that has words."""
     order = np.argsort(frequent)
     ordered = frequent[order]
     names = ["digest", "size", "prefix", "sketch", *PARITIES]
@@ -136,7 +136,7 @@ def _profiles(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 held = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(held), pa.array(np.concatenate(found)))
                 odd = np.stack(odd)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, pa.array(wide, pa.binary()), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(8))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), prefix, pa.array(wide, pa.binary()), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(PARITIES)))], names=names)
 
     return texts.select("digest", "text").mapInArrow(run, "digest long, size int, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PARITIES))
 
@@ -218,11 +218,16 @@ def _settled(texts: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFra
     return cut(whole.select(*ends, "text_a", "text_b").mapInArrow(_settle, "src long, dst long").distinct(), PAIRS)
 
 
+def _sizes(a: str, b: str) -> Column:
+    """Whether the sizes of two sets admit the similarity."""
+    return 5 * F.least(f"size_{a}", f"size_{b}") >= 4 * F.greatest(f"size_{a}", f"size_{b}")
+
+
 def _admitted(a: str, b: str) -> Column:
     """Whether sizes and parities of two sets admit the similarity; sizes come before parities, so most rows need the first alone."""
     sizes = F.col(f"size_{a}") + F.col(f"size_{b}")
     apart = sum((F.bit_count(F.col(f"{p}_{a}").bitwiseXOR(F.col(f"{p}_{b}"))) for p in PARITIES), F.lit(0))
-    return (5 * F.least(f"size_{a}", f"size_{b}") >= 4 * F.greatest(f"size_{a}", f"size_{b}")) & (9 * apart <= sizes)
+    return _sizes(a, b) & (9 * apart <= sizes)
 
 
 def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
@@ -234,9 +239,9 @@ def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
     rows = profiles.select(F.posexplode("prefix").alias("place", "h"), "digest", "size").select("h", "digest", "size", "place")
     met = kept(rows.repartition("h").sortWithinPartitions("h", "size", "digest").mapInArrow(_meetings, "h long, digest long, size int, place int, first long, before long"), "meetings")
     known = cut(profiles.select("digest", "size", *PARITIES).join(roots, "digest"))
-    side = lambda s: known.select(*[F.col(c).alias(f"{c}_{s}") for c in ("digest", "root", "size", *PARITIES)])
+    side = lambda s: known.select(*[F.col(c).alias(f"{c}_{s}") for c in ("digest", "root", "size")])
     few = met.select(F.explode(F.array("first", "before")).alias("x"), F.col("digest").alias("y")).where("x is not null and x <> y").select(F.least("x", "y").alias("digest_a"), F.greatest("x", "y").alias("digest_b")).distinct()
-    few = few.join(side("a"), "digest_a").join(side("b"), "digest_b").where((F.col("root_a") != F.col("root_b")) & _admitted("a", "b"))
+    few = few.join(side("a"), "digest_a").join(side("b"), "digest_b").where((F.col("root_a") != F.col("root_b")) & _sizes("a", "b"))
     first = _settled(texts, profiles, few)
     # What is left: pairs of texts that are not known to hang together yet.
     above = contracted(first).withColumnRenamed("node", "root")
