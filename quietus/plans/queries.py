@@ -293,7 +293,7 @@ def _cyclic(spark, sf):
     return fact(spark, sf, "refs").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
 
 
-@query()
+@query(ctes("refs", recursive=True) + ", ue AS (SELECT from_id AS a, to_id AS b FROM refs UNION SELECT to_id, from_id FROM refs), cc(node, root) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM ue GROUP BY a UNION (SELECT p.node, min(n.root) FROM recurring.cc p JOIN ue ON ue.a = p.node JOIN cc n ON n.node = ue.b WHERE n.root < p.root GROUP BY p.node)) SELECT node, root FROM cc")
 def weak_components_of_symbols(spark, sf):
     return weak_components(_cyclic(spark, sf))
 
@@ -309,7 +309,7 @@ def referenced_cycles_of_symbols(spark, sf):
     return referenced_cycles(e, cut(strong_components(e)))
 
 
-@query()
+@query()  # strong components by closure take SQL a minute and more
 def component_summary(spark, sf):
     rows = liveness.numbered(cut(liveness.components(_judged(spark, sf), fact(spark, sf, "refs"))))
     return rows.groupBy("component_id", "component").agg(F.count("*").alias("members"), F.count_if("root").alias("roots"), F.max("lines").alias("lines"))
@@ -492,7 +492,7 @@ def json_members(spark, sf):
     return table(spark, sf, "events").where(F.get_json_object("props", "$").isNotNull()).select("event_id", F.size(F.json_object_keys("props")).alias("members"))
 
 
-@query()
+@query("SELECT event_id, t.atom ->> '$' AS value FROM events e LEFT JOIN LATERAL (SELECT * FROM json_tree(e.props) WHERE type = 'VARCHAR') t ON true")
 def json_strings(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode_outer(text.json_strings_udf("props")).alias("value"))
 
