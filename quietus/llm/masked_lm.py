@@ -45,6 +45,8 @@ ANCHORS = 31
 HELD, REMEMBERED, BLOCK = 400_000, 400_000, 1 << 20
 #: Windows of a partition of the memory.
 PARTITION = 1 << 22
+#: Words that are gone through together, at least.
+RUN = 1 << 13
 #: Rows that the list of shared windows is learned from, and its length.
 SAMPLED, SHARED_WINDOWS = 16_384, 100_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -72,10 +74,33 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def windows(h: np.ndarray) -> np.ndarray:
-    """Hash of the four words around each word of a text."""
-    p = np.concatenate([[_EDGE, _EDGE], h, [_EDGE, _EDGE]])
-    x = p[:-4] * _MIX[0] ^ (p[1:-3] * _MIX[1] + _MIX[2]) ^ (p[3:-1] * _MIX[2] + _MIX[3]) ^ p[4:] * _MIX[3]
+def runs(texts) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(words, number of words of each text) of some texts at a time: enough to go through them together, few enough to hold."""
+    words: list[bytes] = []
+    sizes: list[int] = []
+    for text in texts:
+        found = words_of(text.as_py()) if text.is_valid else []
+        words += found
+        sizes.append(len(found))
+        if len(words) >= RUN:
+            yield words, np.array(sizes, np.int64)
+            words, sizes = [], []
+    if sizes:
+        yield words, np.array(sizes, np.int64)
+
+
+def spread(values: np.ndarray, sizes: np.ndarray, edge) -> tuple[np.ndarray, np.ndarray]:
+    """(values with two edges before, between and after texts, place of each word in them)."""
+    at = np.arange(len(values)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    out = np.full(len(values) + 2 * (len(sizes) + 1), edge, values.dtype)
+    out[at] = values
+    return out, at
+
+
+def windows(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of the four words around each word of some texts."""
+    p, at = spread(h, sizes, _EDGE)
+    x = p[at - 2] * _MIX[0] ^ (p[at - 1] * _MIX[1] + _MIX[2]) ^ (p[at + 1] * _MIX[2] + _MIX[3]) ^ p[at + 2] * _MIX[3]
     x = (x ^ (x >> np.uint64(31))) * _MIX[1]
     return x ^ (x >> np.uint64(29))
 
@@ -112,15 +137,14 @@ def group_of(klass: np.ndarray) -> np.ndarray:
     return np.where(klass < OWN, 0, np.where(klass < END, 1, 2))
 
 
-def around(klass: np.ndarray) -> np.ndarray:
-    return np.concatenate([[END, END], klass, [END, END]])
+_GROUP_OF = group_of(np.arange(CLASSES)).astype(np.int64)
 
 
-def contexts(klass: np.ndarray) -> np.ndarray:
-    """Context number of each word of a text, from its classes."""
-    c = around(klass)
-    g = group_of(c)
-    return ((g[:-4] * CLASSES + c[1:-3]) * CLASSES + c[3:-1]) * GROUPS + g[4:]
+def contexts(klass: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context number, class before, class after) of each word of some texts, from their classes."""
+    c, at = spread(klass, sizes, END)
+    left, right = c[at - 1], c[at + 1]
+    return ((_GROUP_OF[c[at - 2]] * CLASSES + left) * CLASSES + right) * GROUPS + _GROUP_OF[c[at + 2]], left, right
 
 
 def spelling(words: list[bytes], rare: np.ndarray) -> np.ndarray:
@@ -130,7 +154,7 @@ def spelling(words: list[bytes], rare: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, every: int) -> DataFrame:
-    """(kind, word, n) over all texts: kind 0 counts words, kind 1 the windows of every ``every``-th row of a task, as their hash's bytes."""
+    """(kind, word, n) over all texts: kind 0 counts words, kind 1 the windows of every ``every``-th run of texts of a task, as their hash's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -140,11 +164,10 @@ def word_counts(docs: DataFrame, every: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
 
         for batch in batches:
-            for text in batch.column(1):
-                words = words_of(text.as_py()) if text.is_valid else []
+            for words, sizes in runs(batch.column(1)):
                 counts.update(words)
-                if words and seen % every == 0:
-                    found, n = np.unique(windows(hashes(words)), return_counts=True)
+                if seen % every == 0 and words:
+                    found, n = np.unique(windows(hashes(words), sizes), return_counts=True)
                     raw = found.astype(">u8").tobytes()
                     yield out(1, [raw[k : k + 8] for k in range(0, len(raw), 8)], n.tolist())
                 seen += 1
@@ -174,40 +197,51 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("c") >= least).orderBy(F.desc("n"), "word").limit(most).select("word", "n").collect()]
 
 
-def _summed(docs: DataFrame, cells: int, count) -> np.ndarray:
-    """Sums of ``cells`` counters over all texts; ``count(words, sums)`` adds a text's. Each task adds up its own first."""
+def _summed(docs: DataFrame, cells: int, count, extra=None) -> tuple[np.ndarray, pd.DataFrame]:
+    """(sums of ``cells`` counters over all texts, further cells): ``count(words, hashes, sizes)`` names the cells of some texts, ``extra(hashes, sizes)`` further ones. Each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(cells, np.int64)
+        more: Counter = Counter()
+
+        def out(cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+        def rest() -> pa.RecordBatch:
+            return out(cells + np.fromiter(more, np.int64, len(more)), np.fromiter(more.values(), np.int64, len(more)))
+
         for batch in batches:
-            for text in batch.column(1):
-                words = words_of(text.as_py()) if text.is_valid else []
+            for words, sizes in runs(batch.column(1)):
                 if words:
-                    count(words, sums)
+                    h = hashes(words)
+                    np.add.at(sums, count(words, h, sizes), 1)
+                    if extra is not None:
+                        more.update(extra(h, sizes).tolist())
+                        if len(more) > HELD:
+                            yield rest()
+                            more.clear()
         cell = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell])], names=["cell", "n"])
+        yield out(cell, sums[cell])
+        yield rest()
 
     got = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(cells)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return out
-
-
-def _add(sums: np.ndarray, cells: np.ndarray) -> None:
-    found, n = np.unique(cells, return_counts=True)
-    sums[found] += n
+    own = got[got["cell"] < cells]
+    sums = np.zeros(cells)
+    sums[own["cell"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
+    further = got[got["cell"] >= cells].sort_values("cell", ignore_index=True)
+    return sums, further.assign(cell=further["cell"] - cells)
 
 
 def neighbourhoods(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """Counts [leaf, side, anchor] of the frequent words beside each leaf; the last anchor stands for all other words and for the ends."""
     wide = ANCHORS + 1
 
-    def count(words: list[bytes], sums: np.ndarray) -> None:
-        leaf = lexicon.leaves(hashes(words))
-        beside = np.minimum(np.concatenate([[ANCHORS], leaf, [ANCHORS]]), ANCHORS)
-        _add(sums, np.concatenate([leaf * 2 * wide + beside[:-2], leaf * 2 * wide + wide + beside[2:]]))
+    def count(words: list[bytes], h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        leaf = lexicon.leaves(h)
+        c, at = spread(np.minimum(leaf, ANCHORS), sizes, ANCHORS)
+        return np.concatenate([leaf * 2 * wide + c[at - 1], leaf * 2 * wide + wide + c[at + 1]])
 
-    return _summed(docs, (lexicon.size + SHARED) * 2 * wide, count).reshape(-1, 2, wide)
+    return _summed(docs, (lexicon.size + SHARED) * 2 * wide, count)[0].reshape(-1, 2, wide)
 
 
 def clusters(seen: np.ndarray, rounds: int = 12) -> np.ndarray:
@@ -319,17 +353,17 @@ class Model:
     norm: np.ndarray
     bigrams: np.ndarray  # log P(next byte | byte)
     shared: np.ndarray  # windows that very many rows share, rising
+    marks: np.ndarray  # see marks_of
     shared_n: np.ndarray  # their counts
     pairs: np.ndarray  # (window's place << 16 | word) of those, rising
     pairs_n: np.ndarray
 
-    def by_network(self, words: list[bytes], h: np.ndarray) -> np.ndarray:
-        """log P of each word of a text from the words around it, without the memory."""
+    def by_network(self, words: list[bytes], h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P of each word of some texts from the words around it, without the memory."""
         leaf = self.lexicon.leaves(h)
         klass = self.klass[leaf]
-        c = around(klass)
-        left, right = c[1:-3], c[3:-1]
-        out = self.table[contexts(klass), klass] + self.before[leaf, left] + self.after[leaf, right] - self.norm[klass, left, right]
+        context, left, right = contexts(klass, sizes)
+        out = self.table[context, klass] + self.before[leaf, left] + self.after[leaf, right] - self.norm[klass, left, right]
         rare = np.flatnonzero(leaf >= self.lexicon.size)
         if len(rare):
             spelled = self.bigrams[spelling(words, rare)]
@@ -339,13 +373,29 @@ class Model:
         return np.minimum(out, 0.0).astype(np.float16)  # as the memory keeps it
 
     def of_shared(self, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether a window is on the list, N(window), N(window, word))."""
-        if not len(self.pairs):
-            return np.zeros(len(x), bool), x, x
-        at = np.minimum(np.searchsorted(self.shared, x), len(self.shared) - 1)
-        pair = at.astype(np.int64) << 16 | w
-        to = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return self.shared[at] == x, self.shared_n[at], np.where(self.pairs[to] == pair, self.pairs_n[to], 0)
+        """(which of the windows are on the list, their N(window), their N(window, word))."""
+        at, place = listed(self.shared, self.marks, x)
+        if not len(at):
+            return at, place, place
+        to = np.minimum(np.searchsorted(self.pairs, place << 16 | w[at]), len(self.pairs) - 1)
+        return at, self.shared_n[place], self.pairs_n[to]
+
+
+def marks_of(shared: np.ndarray) -> np.ndarray:
+    """Which of 2^22 values of the first bits some listed window has: most others are told apart at once."""
+    marks = np.zeros(1 << 22, bool)
+    marks[(shared >> np.uint64(42)).astype(np.int64)] = True
+    return marks
+
+
+def listed(shared: np.ndarray, marks: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the windows ``x`` are listed, their places in the list)."""
+    maybe = np.flatnonzero(marks[(x >> np.uint64(42)).astype(np.int64)])
+    if not len(maybe):
+        return maybe, maybe
+    place = np.minimum(np.searchsorted(shared, x[maybe]), len(shared) - 1)
+    hit = shared[place] == x[maybe]
+    return maybe[hit], place[hit].astype(np.int64)
 
 
 def mixed(logp: np.ndarray, n: np.ndarray, n_word: np.ndarray) -> np.ndarray:
@@ -365,52 +415,28 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model, int]:
     klass = clusters(neighbourhoods(docs, lexicon))
     sides, table = 2 * leaves * CLASSES, CONTEXTS * CLASSES
 
-    def count(words: list[bytes], sums: np.ndarray) -> None:
-        leaf = lexicon.leaves(hashes(words))
+    def count(words: list[bytes], h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        leaf = lexicon.leaves(h)
         k = klass[leaf]
-        c = around(k)
-        _add(sums, np.concatenate([contexts(k) * CLASSES + k, table + leaf * CLASSES + c[1:-3], table + sides // 2 + leaf * CLASSES + c[3:-1], table + sides + spelling(words, np.flatnonzero(leaf >= lexicon.size))]))
+        context, left, right = contexts(k, sizes)
+        return np.concatenate([context * CLASSES + k, table + leaf * CLASSES + left, table + sides // 2 + leaf * CLASSES + right, table + sides + spelling(words, np.flatnonzero(leaf >= lexicon.size))])
+
+    marks = marks_of(shared)
+
+    def pairs_of(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Place << 16 | word of each listed window."""
+        at, place = listed(shared, marks, windows(h, sizes))
+        return place << 16 | short(h[at])
 
-    sums = _summed(docs, table + sides + 65_536, count)
+    sums, pairs = _summed(docs, table + sides + 65_536, count, pairs_of if len(shared) else None)
     network = train(sums[:table].reshape(CONTEXTS, CLASSES)).forward(np.arange(CONTEXTS))[2].astype(np.float32)
     before, after, norm = experts(sums[table : table + sides].reshape(2, leaves, CLASSES), klass)
     bigrams = sums[table + sides :].reshape(256, 256) + 0.01
     bigrams = np.log(bigrams / bigrams.sum(axis=1, keepdims=True)).ravel()
-    pairs = _shared_pairs(docs, shared)
+    pair, times = pairs["cell"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
     n = np.zeros(len(shared), np.int64)
-    np.add.at(n, (pairs["pair"].to_numpy(np.int64) >> 16), pairs["n"].to_numpy(np.int64))
-    return Model(lexicon, klass, network, before, after, norm, bigrams, shared, n, pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)), total
-
-
-def _shared_pairs(docs: DataFrame, shared: np.ndarray) -> pd.DataFrame:
-    """(pair, n) in rising order: counts over all texts of each word under each listed window, a pair being the window's place << 16 | the word."""
-    if not len(shared):
-        return pd.DataFrame({"pair": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
-
-        for batch in batches:
-            for text in batch.column(1):
-                words = words_of(text.as_py()) if text.is_valid else []
-                if not words:
-                    continue
-                h = hashes(words)
-                x = windows(h)
-                at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
-                hit = shared[at] == x
-                if hit.any():
-                    counts.update((at[hit].astype(np.int64) << 16 | short(h[hit])).tolist())
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
-
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().sort_values("pair", ignore_index=True)
+    np.add.at(n, pair >> 16, times)
+    return Model(lexicon, klass, network, before, after, norm, bigrams, shared, marks, n, pair, times), total
 
 
 class _Block:
@@ -420,23 +446,26 @@ class _Block:
         self.ids, self.words, self.base, self.row, self.x, self.w, self.logp = [], [], [], [], [], [], []
         self.held = 0
 
-    def add(self, doc_id: int | None, words: list[bytes], model: Model) -> None:
-        base = 0.0
+    def add(self, ids: list[int | None], words: list[bytes], sizes: np.ndarray, model: Model) -> None:
+        base = np.zeros(len(ids))
         if words:
             h = hashes(words)
-            x, w, logp = windows(h), short(h), model.by_network(words, h)
-            listed, n, n_word = model.of_shared(x, w)
-            if listed.any():
-                base = float(mixed(logp[listed], n[listed], n_word[listed]).sum())
-                x, w, logp = x[~listed], w[~listed], logp[~listed]
-            self.row.append(np.full(len(x), len(self.ids), np.uint32))
+            x, w, logp = windows(h, sizes), short(h), model.by_network(words, h, sizes)
+            row = np.repeat(np.arange(len(ids)), sizes)
+            at, n, n_word = model.of_shared(x, w)
+            if len(at):
+                np.add.at(base, row[at], mixed(logp[at], n, n_word))
+                rest = np.ones(len(x), bool)
+                rest[at] = False
+                x, w, logp, row = x[rest], w[rest], logp[rest], row[rest]
+            self.row.append((row + len(self.ids)).astype(np.uint32))
             self.x.append(x)
             self.w.append(w)
             self.logp.append(logp)
             self.held += len(words)
-        self.ids.append(doc_id)
-        self.words.append(len(words))
-        self.base.append(base)
+        self.ids += ids
+        self.words += sizes.tolist()
+        self.base += base.tolist()
 
     def rows(self, task: int, block: int, bits: int) -> Iterator[tuple]:
         """(part, task, block, head, body): one head for the block's rows, and its windows by partition."""
@@ -528,8 +557,10 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([head]), pa.array([body], pa.binary())], names=["part", "task", "block", "head", "body"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now.add(doc_id, words_of(text.as_py()) if text.is_valid else [], model.value)
+            ids, at = batch.column(0).to_pylist(), 0
+            for words, sizes in runs(batch.column(1)):
+                now.add(ids[at : at + len(sizes)], words, sizes, model.value)
+                at += len(sizes)
                 if now.held >= block or len(now.ids) >= block:
                     yield from out()
                     count, now = count + 1, _Block()
