@@ -68,6 +68,7 @@ def claims(findings: DataFrame, records: DataFrame) -> DataFrame:
 
     A record bound to a declaration names that one only; others of its entry are not its. A directive in the code (mechanism ``inline``) names what is about its declaration, in its own file, whatever the reference.
     """
+    records = records if "mechanism" in records.columns else records.withColumn("mechanism", F.lit("ignore"))
     entries = records.where("mechanism <> 'inline'")
     bound = entries.where("bound <> ''").select("code", "symbol", "path", F.col("bound").alias("declaration")).distinct().withColumn("spoken_for", F.lit(True))
     f = findings.withColumnRenamed("ref", "symbol").join(bound, ["code", "symbol", "path", "declaration"], "left")
