@@ -8,7 +8,7 @@ from quietus.facts.adapters import ctes, fact
 from quietus.functions import refs
 from quietus.graph.edges import graph_edges
 from quietus.operators import evidence, exemptions, liveness, rules, selfcheck
-from quietus.plans.queries import EDGES, JUDGED, _judged, _sweep, query, table, walk_sql
+from quietus.plans.queries import EDGES, JUDGED, _judged, query, table
 from quietus.session import cut
 
 # --- who made a reference -------------------------------------------------------------------------------------------
@@ -96,11 +96,6 @@ def explanation_tiers(spark, sf):
     return liveness.tiers(*[fact(spark, sf, n) for n in ("symbols", "refs", "roots")], cut(_seeds(spark, sf)))
 
 
-@query(walk_sql() + ", d AS (SELECT node, min(k) AS depth FROM (SELECT node, 0 AS k FROM w) GROUP BY node) SELECT count(*) AS n FROM d")
-def reached_declarations(spark, sf):
-    return _sweep(spark, sf).agg(F.count("*").alias("n"))
-
-
 @query(ctes("symbols", "refs", "roots", recursive=True) + ", w(node, depth) AS (SELECT id, 0 FROM roots UNION SELECT to_id, depth + 1 FROM w JOIN refs ON from_id = node WHERE NOT guessed AND depth < 40), d AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT b.node AS id, min(a.node) AS \"by\" FROM refs r JOIN d a ON a.node = r.from_id JOIN d b ON b.node = r.to_id AND b.depth = a.depth + 1 WHERE NOT r.guessed GROUP BY b.node")
 def explained_steps(spark, sf):
     from quietus.graph.walk import reach
