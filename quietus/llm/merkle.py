@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietus.llm.checksums import CRC_TABLE, crc32
 from quietus.session import if_small, kept
 
 #: Children of a parent.
@@ -212,3 +213,42 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         F.sha2("proof", 256).alias("proof_sha256"),
         folded(F.coalesce("other", "digest"), "steps").alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE octet_length(encode({v}))::VARCHAR || ':' || {v} END" for v in values) + ")"
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``manifest`` of ``documents``: levels and folds by recursion."""
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT doc_id, coalesce('s' || source, '') AS g, {_leaf_sql('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc32('doc_id::VARCHAR')} % 5 = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other
+  FROM documents, t),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+nodes AS (
+  SELECT g, 0 AS h, idx, leaf AS digest, n FROM placed
+  UNION ALL SELECT g, h + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY g, h, idx // 16, n),
+subroots AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+above AS (
+  SELECT 0 AS h, place AS idx, subroot AS digest, n FROM subroots
+  UNION ALL SELECT h + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM above WHERE n > 1 GROUP BY h, idx // 16, n),
+runs AS (
+  SELECT g, h, idx // 16 AS p, list(digest ORDER BY idx) AS d FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT NULL, h, idx // 16, list(digest ORDER BY idx) FROM above WHERE n > 1 GROUP BY ALL),
+own AS (
+  SELECT doc_id, leaf, g, 0 AS h, idx, coalesce(other, leaf) AS cur, '' AS proof FROM placed
+  UNION ALL SELECT doc_id, leaf, o.g, o.h + 1, o.idx // 16,
+    sha256(array_to_string(d[:o.idx % 16], '') || cur || array_to_string(d[o.idx % 16 + 2:], '')), proof || array_to_string(d[:o.idx % 16], '') || array_to_string(d[o.idx % 16 + 2:], '')
+  FROM own o JOIN runs r ON r.g = o.g AND r.h = o.h AND r.p = o.idx // 16),
+tops AS (SELECT o.*, subroot, place FROM own o JOIN subroots s USING (g) WHERE o.h = (SELECT max(h) FROM nodes WHERE nodes.g = o.g)),
+whole AS (
+  SELECT doc_id, leaf, subroot, 0 AS h, place AS idx, cur, proof FROM tops
+  UNION ALL SELECT doc_id, leaf, subroot, o.h + 1, o.idx // 16,
+    sha256(array_to_string(d[:o.idx % 16], '') || cur || array_to_string(d[o.idx % 16 + 2:], '')), proof || array_to_string(d[:o.idx % 16], '') || array_to_string(d[o.idx % 16 + 2:], '')
+  FROM whole o JOIN runs r ON r.g IS NULL AND r.h = o.h AND r.p = o.idx // 16)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM whole, (SELECT digest AS root FROM above WHERE n = 1) WHERE h = (SELECT max(h) FROM above)"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietus.llm import ann, langid, masked_lm, merkle, mixing, near_vectors, packing, secrets, simhash, spelling, toxicity, warc
+from quietus.llm import ann, langid, masked_lm, merkle, mixing, near_vectors, packing, secrets, simhash, spelling, toxicity, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_harmonic_packing": op10_harmonic_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 #: Embeddings near-duplicates: links by exact cosine, components as the closure of the links.
@@ -113,4 +118,4 @@ SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM d"""
 
-ORACLE_SQL: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op5_warc_round_trip": OP5_SQL, "op8_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op5_warc_round_trip": OP5_SQL, "op8_mixing": mixing.oracle(), "op11_merkle_manifest": merkle.oracle(), "op12_spelling_variants": spelling.oracle()}

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietus.llm.checksums import CRC_TABLE, crc32
 from quietus.session import TEXTS, cut, if_small, kept
 
 #: Words of fewer code points, or seen less often, take no part.
@@ -121,3 +122,25 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
     found = kept(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.form")).alias("form"), F.when(has, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(found.where("form is not null").select("word", "form"))
     return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``variants`` of ``documents``: words that lack one code point at the same place, or that are another word without one."""
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+found AS (SELECT doc_id, w, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (SELECT w, c, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM found, t),
+kept AS (SELECT CASE WHEN h % {LOSS} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM kept WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(c) >= {LEAST_COUNT}),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY word),
+form AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {RATIO} * n THEN (SELECT min(encode(other)) FROM pairs p WHERE p.word = words.word AND p.n = top) END AS form, CASE WHEN top >= {RATIO} * n THEN top END AS form_n FROM words LEFT JOIN best USING (word)),
+forms AS (SELECT * REPLACE (decode(form) AS form) FROM form),
+chain AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT chain.word, f.form, k + 1 FROM chain JOIN forms f ON f.word = chain.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
