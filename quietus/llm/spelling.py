@@ -30,6 +30,8 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 PREFIX = 3
 #: One in so many words of a document loses a code point.
 LOSS = 97
+#: Different words that a task counts before it hands them on.
+HELD = 400_000
 #: A form is at least so many times as frequent.
 RATIO = 2
 
@@ -43,29 +45,40 @@ def _letters() -> bytes:
 _TABLE = _letters()
 
 
-def words_of(text: str | None, id_: int | None, loss: int = LOSS) -> Counter:
-    """The words of a text (Latin-1 bytes) and how often each occurs, some without one of their letters."""
+def words_of(text: str | None, id_: int | None, loss: int = LOSS, least: int = 1) -> Counter:
+    """The words of ``least`` letters or more of a text (Latin-1 bytes) and how often each occurs, some without one of their letters."""
     found = Counter((text or "").encode("latin-1", "replace").translate(_TABLE).split())
     head = zlib.crc32(f"{'' if id_ is None else id_}:".encode())
     out: Counter = Counter()
     for word, n in found.items():
+        if (size := len(word)) < least:
+            continue
         h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), head)
         if h % loss == 0:
-            at = h % len(word)
-            word = word[:at] + word[at + 1 :]
-        out[word] += n
+            at = h % size
+            if size > least:
+                out[word[:at] + word[at + 1 :]] += n
+        else:
+            out[word] += n
     return out
 
 
 def counted(docs: DataFrame, id_col: str, text_col: str, loss: int = LOSS) -> DataFrame:
     """(word, n) of all words that are long and frequent enough."""
 
+    def rows_of(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in found], pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for batch in frames:
-            found: Counter = Counter()
-            for id_, text in zip(batch.column(0), batch.column(1), strict=True):
-                found.update({w: n for w, n in words_of(text.as_py(), id_.as_py(), loss).items() if len(w) >= LEAST_LENGTH})
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in found], pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for word, n in words_of(text.as_py(), id_, loss, LEAST_LENGTH).items():
+                    found[word] += n
+                if len(found) >= HELD:
+                    yield rows_of(found)
+                    found = Counter()
+        yield rows_of(found)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
@@ -77,25 +90,44 @@ def _bigrams(word: str) -> Column:
 
 
 def rarest(words: DataFrame) -> DataFrame:
-    """(word, at): the bigrams of every word that are among its three rarest over all words, by (frequency, bigram), or equal to one of these."""
+    """(word, places): the bigrams of every word that are among its three rarest over all words, by (frequency, bigram), or equal to one of these."""
     grams = words.select("word", F.explode(_bigrams("word")).alias("b")).select("word", "b.at", "b.gram")
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     # At most the square of the letters: 39,000 rows.
     ranked = grams.join(if_small(cut(often)), "gram").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "at"))).alias("bs"))
     third = F.col("bs")[F.least(F.lit(PREFIX), F.size("bs")) - 1]
     first = F.filter("bs", lambda b: (b["often"] < third["often"]) | ((b["often"] == third["often"]) & (b["gram"] <= third["gram"])))
-    return ranked.select("word", F.explode(F.transform(first, lambda b: b["at"])).alias("at"))
+    return ranked.select("word", F.transform(first, lambda b: b["at"]).alias("places"))
+
+
+def _meetings(words: DataFrame, less: int) -> DataFrame:
+    """(word, size, key) of the keys at which a word meets others: those of ``size``, ``less`` code points shorter than it.
+
+    An edit lies behind a shared bigram, and all up to it is equal, or before it, and all from it on is. What is on the edit's side is halved: the edit lies in one half, and the other one is equal too.
+    """
+    length = F.char_length("word")
+    rows = words.select("word", (length - less).alias("size"), F.explode("places").alias("at"))
+    end = F.col("at") + 2
+    side = lambda k, text: F.struct(F.lit(k).alias("side"), text.alias("text"))
+    behind, before = F.col("size") - end, F.col("at") - less  # code points of the edit's side in the shorter word
+    one, two = F.floor(behind / 2).cast("int"), F.floor(before / 2).cast("int")
+    tail = lambda n: F.substring("word", length - n + 1, n)
+    sides = F.array(
+        F.when(behind >= 0, side(0, F.concat_ws(" ", F.substring("word", F.lit(1), end), F.substring("word", end + 1, one)))),
+        F.when(behind >= 0, side(1, F.concat_ws(" ", F.substring("word", F.lit(1), end), tail(behind - one)))),
+        F.when(before >= 0, side(2, F.concat_ws(" ", F.substring("word", F.col("at") + 1, length), F.substring("word", F.lit(1), two)))),
+        F.when(before >= 0, side(3, F.concat_ws(" ", F.substring("word", F.col("at") + 1, length), F.substring("word", F.col("at") + 1 - (before - two), before - two)))),
+    )
+    met = rows.select("word", "size", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s"))
+    return met.select("word", "size", F.xxhash64("size", "s.side", "s.text").alias("key"))
 
 
 def near(words: DataFrame) -> DataFrame:
     """(word, other): all pairs of words that differ by exactly one inserted, deleted or replaced code point, once each, the shorter or smaller first."""
-    size = F.char_length("word")
-    # The text up to and with the bigram, and that from the bigram on: an edit lies behind the one or before the other.
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), t.alias("text")) for k, t in enumerate([F.substring("word", F.lit(1), F.col("at") + 2), F.substring("word", F.col("at") + 1, size)])])
-    met = kept(rarest(words).select("word", size.alias("size"), F.explode(sides).alias("s")).select("word", "size", "s.side", "s.text").distinct(), "sides")
+    first = kept(rarest(words), "rarest")
     # The longer word of a pair, or the larger one of equally long ones, asks for partners of its own length and of one less.
-    asks = met.select(F.col("word").alias("other"), "side", "text", F.explode(F.array("size", F.col("size") - 1)).alias("size"))
-    pairs = met.join(asks, ["side", "text", "size"]).where((F.char_length("other") > F.col("size")) | (F.col("word") < F.col("other")))
+    asks = _meetings(first, 0).unionByName(_meetings(first, 1)).select(F.col("word").alias("other"), "key")
+    pairs = _meetings(first, 0).join(asks, "key").where((F.char_length("other") > F.col("size")) | (F.col("word") < F.col("other")))
     return pairs.where(F.levenshtein("word", "other", 1) == 1).select("word", "other").distinct()
 
 
