@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 _TAG = re.compile(r"""<(?:!--(?:-?>|.*?--!?>|.*)|[!?][^>]*>|/(?![A-Za-z])[^>]*>|(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*"|=\s*+'[^']*'|["'=])*+)>)""", re.S)
@@ -28,6 +29,8 @@ _SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 #: Elements that come in runs: several in a row are one node of the skeleton. Of others, this many.
 RUNS = frozenset("p li dt dd tr td th h2 h3 h4 h5 h6 blockquote pre figure".split())
 LIKE = 4
+#: Open elements beyond which a block is its ancestor's, as in browsers.
+NESTED = 512
 #: Beyond so many children of a node, those of one label are one; beyond so many nodes, deep ones are their ancestors.
 WIDE, DEEP, NODES = 24, 40, 500
 
@@ -59,7 +62,8 @@ def read(html: str | None, noisy=lambda label: False) -> Page:
     html = html or ""
     whole = html.rfind(">") + 1
     labels, parents, pieces = ["root"], [-1], []
-    stack: list[tuple[str, int]] = []  # open elements and their blocks, -1 for inline ones
+    stack: list[tuple[str, int]] = []  # open elements and their blocks, -1 for inline ones, -2 for silent ones
+    open_: Counter = Counter()
     block, silent, links = 0, 0, 0
     held: list[str] = []
     linked = 0
@@ -87,6 +91,7 @@ def read(html: str | None, noisy=lambda label: False) -> Page:
         nonlocal block, silent, links
         while len(stack) > k:
             name, at = stack.pop()
+            open_[name] -= 1
             if at == -2:
                 silent -= 1
             elif at >= 0:
@@ -108,9 +113,9 @@ def read(html: str | None, noisy=lambda label: False) -> Page:
             elif name in ("html", "body", "head"):
                 if not silent:
                     flush()
-            elif name == "p" and not any(x[0] == "p" for x in stack):
+            elif name == "p" and not open_["p"]:
                 flush()
-            else:
+            elif open_[name]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         close(k)
@@ -134,23 +139,29 @@ def read(html: str | None, noisy=lambda label: False) -> Page:
             continue
         attrs = m[3]
         if name in BLOCKS:
-            if name not in ("li", "dt", "dd", "tr", "td", "th"):
+            if name not in ("li", "dt", "dd", "tr", "td", "th") and open_["p"]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         close(k)
                         break
                     if stack[k][0] in ("td", "th", "table"):
                         break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SCOPE.get(name, ()):
-                    break
-                if stack[k][0] in _ENDS.get(name, ()):
-                    close(k)
-                    if name not in ("tr", "tbody", "tfoot"):
+            if any(open_[x] for x in _ENDS.get(name, ())):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in _SCOPE[name]:
                         break
+                    if stack[k][0] in _ENDS[name]:
+                        close(k)
+                        if name not in ("tr", "tbody", "tfoot"):
+                            break
         label, hidden = _label(name, attrs) if attrs else (name, False)
         if attrs.endswith("/") and name not in BLOCKS:
             continue
+        if len(stack) >= NESTED and name not in SILENT:
+            if name in BLOCKS:
+                flush()
+            continue
+        open_[name] += 1
         if name in SILENT or hidden or name not in BLOCKS and noisy(label):
             stack.append((name, -2))
             silent += 1

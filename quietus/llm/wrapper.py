@@ -165,17 +165,21 @@ def merged(a: Node, b: Node, memo: dict | None = None) -> Node:
 def chosen(root: Node) -> set[int]:
     """ids of the nodes whose own text is the article's."""
     flat = _flat(root)
-    held: dict[int, bool] = {}  # holds an article that no mark takes out
+    # Holds an article, or its heading, that no mark takes out.
+    held: dict[int, bool] = {}
+    titled: dict[int, bool] = {}
     for _, x in reversed(flat):
         own = kind(x.label)
-        held[id(x)] = own not in ("comment", "never") and (own == "article" or any(held[id(c)] for c in x.children))
+        out = own in ("comment", "never")
+        held[id(x)] = not out and (own == "article" or any(held[id(c)] for c in x.children))
+        titled[id(x)] = not out and not x.label.startswith("header") and (x.label.startswith("h1") and x.text > 0 or any(titled[id(c)] for c in x.children))
 
     def alive(lenient: bool) -> tuple[dict[int, bool], set[int]]:
         keep, articles = {}, set()
 
         def walk(x: Node, within: bool) -> None:
             own = kind(x.label)
-            if own in ("never", "comment") or own == "named" and not held[id(x)]:
+            if own in ("never", "comment") or own == "named" and not held[id(x)] and not titled[id(x)]:
                 return
             if own == "soft" and not lenient and not held[id(x)] and not (within and "form" not in x.label.split(".")[0] and "fieldset" not in x.label):
                 return
@@ -212,7 +216,11 @@ def chosen(root: Node) -> set[int]:
     found = [x for _, x in flat if id(x) in articles]
     inner = [x for x in found if x.label.startswith("article")] or found
     best = max((total(x) for x in inner), default=0)
-    if best and best >= 0.4 * whole:
+    has: dict[int, bool] = {}
+    for _, x in reversed(flat):
+        has[id(x)] = x in found or any(has[id(c)] for c in x.children)
+    rival = max((total(x) for _, x in flat if id(x) in keep and not has[id(x)]), default=0)  # an article's own parts are no more than it is
+    if best and best >= 0.5 * rival:
         heads = [x for x in inner if total(x) >= 0.5 * best]
         stated = True
     else:
