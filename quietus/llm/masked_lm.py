@@ -1,20 +1,17 @@
-"""Document scores by masked pseudo-likelihood under a bidirectional window network with a memory of the corpus's windows.
+"""Document scores by masked pseudo-likelihood under a bidirectional window network.
 
-Every word is predicted from the two words on either side, in three steps whose probabilities multiply or mix.
+Every word is predicted from the two words on either side, by a softmax of two levels that are both trained in numpy and both see both sides.
 
 * Class. Frequent words are classes of their own; all others are clustered by the words beside them. A context is (group of the word two back, class before, class after, group of the word
-  two ahead), so the corpus's windows are a table of counts of (context, class). The network (embeddings of the four places, a tanh layer, softmax over classes) is trained in numpy on that whole table.
-* Word within its class, from both sides: a product of two experts, P(word | class, class before) and P(word | class, class after), with its exact normaliser for each (class, before, after). The
-  ``vocabulary`` most frequent words are leaves of their own, all others share leaves by hash, and are spelled by the corpus's byte bigrams within them.
-* Memory. All windows of the corpus are counted by hash: N(context words) and N(context words, word), the word's own occurrence left out. With n = N(context) the word has probability
-  (N(context, word) + P(word by the network)) / (n + 1). So what is gathered grows with the corpus, and a text that occurs elsewhere, whole or in part, is told from one that does not.
+  two ahead), so the corpus's windows are a table of counts of (context, class). The network (embeddings of the four places, a tanh layer, softmax over classes) is trained on that whole table.
+* Word within its class: a softmax whose scores are a weight for (word, class before) and one for (word, class after), with its exact normaliser for each (class, before, after). The weights are
+  fitted to the corpus's counts of words beside classes by scaling them in turn until what the layer expects is what the corpus holds. The vocabulary's words are leaves of their own, all others
+  share leaves by hash, and are spelled by the corpus's byte bigrams within them.
 
-A document's score is the sum over all its words; ``per_word`` is the mean. All counts are sums over all documents, and training starts from a fixed seed, so a run repeats.
+A document's score ``log_likelihood`` is the sum of the log probabilities of all its words, each given its two sides; ``per_word`` is the mean. All counts are sums over all documents: words are counted
+whole, and the vocabulary follows their number (a 64th of the distinct words, within ``LEAST_VOCABULARY`` and ``MOST_VOCABULARY``). Training starts from a fixed seed, so a run repeats.
 
-The memory is never in one place: tasks score words by the network and send each window, nine bytes, to the partition of its hash, which counts its windows and returns sums by document. Windows
-that very many rows share are found by a sample, counted apart, and settled where they are read, so no partition gets all of them; that list is for balance only and does not change a score.
-
-What reaches the driver is bounded by the classes and the vocabulary, not by the corpus.
+What reaches the driver, and goes to the tasks, is bounded by the classes and the vocabulary's bound, not by the corpus. Scoring shuffles nothing.
 
 Edge cases: null, empty and blank texts have no words, score 0 and a null mean; repeated rows are scored each and count each; ids may be null; an empty table gives no rows; other columns are left aside.
 """
@@ -26,31 +23,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietus.session import cut
 
-#: Words that are leaves, leaves that all others share, classes of one word, all classes with the text's end, groups of the outer places.
-VOCABULARY, SHARED, OWN, CLASSES, GROUPS = 4096, 256, 10, 32, 3
+#: Leaves that words beyond the vocabulary share, classes of one word, all classes with the text's end, groups of the outer places.
+SHARED, OWN, CLASSES, GROUPS = 256, 10, 32, 3
+#: Words that are leaves: a share of the distinct words, within these.
+LEAST_VOCABULARY, MOST_VOCABULARY, SHARE = 4096, 16_384, 64
 END = CLASSES - 1
 CONTEXTS = GROUPS * CLASSES * CLASSES * GROUPS
 #: Words whose neighbourhood tells clusters apart.
 ANCHORS = 31
-#: Entries a task counts before it hands them on, words it remembers, and words of a block that it sends on: they bound its memory.
-HELD, REMEMBERED, BLOCK = 400_000, 400_000, 1 << 20
-#: Windows of a partition of the memory.
-PARTITION = 1 << 22
+#: Entries a task counts before it hands them on, and words it remembers: they bound its memory.
+HELD, REMEMBERED = 400_000, 400_000
 #: Words that are gone through together, at least.
 RUN = 1 << 13
-#: Rows that the list of shared windows is learned from, and its length.
-SAMPLED, SHARED_WINDOWS = 16_384, 100_000
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_EDGE = np.uint64(0x5851F42D4C957F2D)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -97,22 +88,9 @@ def spread(values: np.ndarray, sizes: np.ndarray, edge) -> tuple[np.ndarray, np.
     return out, at
 
 
-def windows(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hash of the four words around each word of some texts."""
-    p, at = spread(h, sizes, _EDGE)
-    x = p[at - 2] * _MIX[0] ^ (p[at - 1] * _MIX[1] + _MIX[2]) ^ (p[at + 1] * _MIX[2] + _MIX[3]) ^ p[at + 2] * _MIX[3]
-    x = (x ^ (x >> np.uint64(31))) * _MIX[1]
-    return x ^ (x >> np.uint64(29))
-
-
-def short(h: np.ndarray) -> np.ndarray:
-    """What tells words apart under one window: 16 bits of their hash."""
-    return (h >> np.uint64(48)).astype(np.uint16)
-
-
 @dataclass
 class Lexicon:
-    """Leaf of each vocabulary word by its hash, ``known`` in rising order; leaf VOCABULARY and up are shared."""
+    """Leaf of each vocabulary word by its hash, ``known`` in rising order; leaf ``size`` and up are shared."""
 
     known: np.ndarray
     leaf: np.ndarray
@@ -153,31 +131,23 @@ def spelling(words: list[bytes], rare: np.ndarray) -> np.ndarray:
     return raw[:-1] * 256 + raw[1:] if len(rare) else np.zeros(0, np.int64)
 
 
-def word_counts(docs: DataFrame, every: int) -> DataFrame:
-    """(kind, word, n) over all texts: kind 0 counts words, kind 1 the windows of every ``every``-th run of texts of a task, as their hash's bytes."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts."""
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        seen = 0
-
-        def out(kind: int, keys: list[bytes], n: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
-
         for batch in batches:
-            for words, sizes in runs(batch.column(1)):
+            for words, _ in runs(batch.column(1)):
                 counts.update(words)
-                if seen % every == 0 and words:
-                    found, n = np.unique(windows(hashes(words), sizes), return_counts=True)
-                    raw = found.astype(">u8").tobytes()
-                    yield out(1, [raw[k : k + 8] for k in range(0, len(raw), 8)], n.tolist())
-                seen += 1
                 if len(counts) > HELD:
-                    yield out(0, list(counts), list(counts.values()))
+                    yield out(counts)
                     counts.clear()
-        if counts:
-            yield out(0, list(counts), list(counts.values()))
+        yield out(counts)
 
-    return docs.mapInArrow(run, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -197,39 +167,26 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("c") >= least).orderBy(F.desc("n"), "word").limit(most).select("word", "n").collect()]
 
 
-def _summed(docs: DataFrame, cells: int, count, extra=None) -> tuple[np.ndarray, pd.DataFrame]:
-    """(sums of ``cells`` counters over all texts, further cells): ``count(words, hashes, sizes)`` names the cells of some texts, ``extra(hashes, sizes)`` further ones. Each task adds up its own first."""
+def _summed(docs: DataFrame, cells: int, count) -> np.ndarray:
+    """Sums of ``cells`` counters over all texts: ``count(words, hashes, sizes)`` names the cells of some texts. Each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(cells, np.int64)
-        more: Counter = Counter()
-
-        def out(cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
-
-        def rest() -> pa.RecordBatch:
-            return out(cells + np.fromiter(more, np.int64, len(more)), np.fromiter(more.values(), np.int64, len(more)))
-
         for batch in batches:
             for words, sizes in runs(batch.column(1)):
                 if words:
-                    h = hashes(words)
-                    np.add.at(sums, count(words, h, sizes), 1)
-                    if extra is not None:
-                        more.update(extra(h, sizes).tolist())
-                        if len(more) > HELD:
-                            yield rest()
-                            more.clear()
+                    found = count(words, hashes(words), sizes)
+                    if len(found) * 8 > cells:
+                        sums += np.bincount(found, minlength=cells)
+                    else:
+                        np.add.at(sums, found, 1)
         cell = np.flatnonzero(sums)
-        yield out(cell, sums[cell])
-        yield rest()
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(sums[cell], pa.int64())], names=["cell", "n"])
 
-    got = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    own = got[got["cell"] < cells]
+    got = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # ``cells`` rows at most
     sums = np.zeros(cells)
-    sums[own["cell"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
-    further = got[got["cell"] >= cells].sort_values("cell", ignore_index=True)
-    return sums, further.assign(cell=further["cell"] - cells)
+    sums[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    return sums
 
 
 def neighbourhoods(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
@@ -241,7 +198,7 @@ def neighbourhoods(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
         c, at = spread(np.minimum(leaf, ANCHORS), sizes, ANCHORS)
         return np.concatenate([leaf * 2 * wide + c[at - 1], leaf * 2 * wide + wide + c[at + 1]])
 
-    return _summed(docs, (lexicon.size + SHARED) * 2 * wide, count)[0].reshape(-1, 2, wide)
+    return _summed(docs, (lexicon.size + SHARED) * 2 * wide, count).reshape(-1, 2, wide)
 
 
 def clusters(seen: np.ndarray, rounds: int = 12) -> np.ndarray:
@@ -322,25 +279,30 @@ def train(counts: np.ndarray, steps: int = 150, rate: float = 0.03) -> Network:
     return network
 
 
-def experts(sides: np.ndarray, klass: np.ndarray, tie: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-ratio before [leaf, class before], log-ratio after, log normaliser [class, before, after]) from counts [side, leaf, class beside].
+def word_layer(sides: np.ndarray, klass: np.ndarray, joint: np.ndarray, rounds: int = 12, tie: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights before [leaf, class before], weights after, log normaliser [class, before, after]) from counts ``sides`` [side, leaf, class beside] and ``joint`` [class, before, after].
 
-    P(leaf | class, before, after) is share * exp(before + after - normaliser): the leaf's share of its class, times what either side changes in it. Each side is tied to the share by ``tie`` pseudo-counts.
+    P(leaf | class, before, after) = exp(before + after - normaliser). A round scales the weights of one side, then those of the other, by what the corpus holds over what the layer expects; either is tied to the leaf's
+    share of its class by ``tie`` pseudo-counts, so no weight runs off. It starts from either side's own shares.
     """
     leaves = sides.shape[1]
-    members = np.zeros((CLASSES, leaves))
-    members[klass, np.arange(leaves)] = 1.0
-    n = sides[0].sum(axis=1) + 0.5
-    share = n / (members @ n)[klass]
-    ratio = []
-    for side in sides:
-        whole = members @ side  # [class, beside]
-        ratio.append((side + tie * share[:, None]) / (whole[klass] + tie) / share[:, None])
-    norm = np.zeros((CLASSES, CLASSES, CLASSES))
+    before, after, norm = np.zeros((leaves, CLASSES)), np.zeros((leaves, CLASSES)), np.zeros((CLASSES, CLASSES, CLASSES))
     for k in range(CLASSES):
         mine = np.flatnonzero(klass == k)
-        norm[k] = (ratio[0][mine] * share[mine, None]).T @ ratio[1][mine] if len(mine) else 1.0
-    return np.log(ratio[0] * share[:, None]).astype(np.float32), np.log(ratio[1]).astype(np.float32), np.log(norm).astype(np.float32)
+        if not len(mine):
+            continue
+        n = sides[0][mine].sum(axis=1) + 0.5
+        share = (n / n.sum())[:, None]
+        seen = [side[mine] for side in sides]
+        one, two = ((side + tie * share) / (side.sum(axis=0) + tie) for side in seen)
+        two = two / share
+        for _ in range(rounds if len(mine) > 1 else 0):
+            windows = joint[k] / np.maximum(one.T @ two, 1e-300)
+            one = one * (seen[0] + tie * share) / (one * (two @ windows.T) + tie * share)
+            windows = joint[k] / np.maximum(one.T @ two, 1e-300)
+            two = two * (seen[1] + tie * share) / (two * (one @ windows) + tie * share)
+        before[mine], after[mine], norm[k] = np.log(one), np.log(two), np.log(one.T @ two)
+    return before.astype(np.float32), after.astype(np.float32), norm.astype(np.float32)
 
 
 @dataclass
@@ -352,65 +314,27 @@ class Model:
     after: np.ndarray
     norm: np.ndarray
     bigrams: np.ndarray  # log P(next byte | byte)
-    shared: np.ndarray  # windows that very many rows share, rising
-    marks: np.ndarray  # see marks_of
-    shared_n: np.ndarray  # their counts
-    pairs: np.ndarray  # (window's place << 16 | word) of those, rising
-    pairs_n: np.ndarray
-
-    def by_network(self, words: list[bytes], h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log P of each word of some texts from the words around it, without the memory."""
+
+    def log_p(self, words: list[bytes], h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P of each word of some texts, given the words around it."""
         leaf = self.lexicon.leaves(h)
         klass = self.klass[leaf]
         context, left, right = contexts(klass, sizes)
-        out = self.table[context, klass] + self.before[leaf, left] + self.after[leaf, right] - self.norm[klass, left, right]
+        out = (self.table[context, klass] + self.before[leaf, left] + self.after[leaf, right] - self.norm[klass, left, right]).astype(np.float64)
         rare = np.flatnonzero(leaf >= self.lexicon.size)
         if len(rare):
             spelled = self.bigrams[spelling(words, rare)]
             ends = np.cumsum([len(words[k]) + 1 for k in rare.tolist()])
-            sums = np.add.reduceat(spelled, np.concatenate([[0], ends[:-1]]))
-            out[rare] += sums + np.log(SHARED)
-        return np.minimum(out, 0.0).astype(np.float16)  # as the memory keeps it
-
-    def of_shared(self, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which of the windows are on the list, their N(window), their N(window, word))."""
-        at, place = listed(self.shared, self.marks, x)
-        if not len(at):
-            return at, place, place
-        to = np.minimum(np.searchsorted(self.pairs, place << 16 | w[at]), len(self.pairs) - 1)
-        return at, self.shared_n[place], self.pairs_n[to]
-
-
-def marks_of(shared: np.ndarray) -> np.ndarray:
-    """Which of 2^22 values of the first bits some listed window has: most others are told apart at once."""
-    marks = np.zeros(1 << 22, bool)
-    marks[(shared >> np.uint64(42)).astype(np.int64)] = True
-    return marks
-
-
-def listed(shared: np.ndarray, marks: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the windows ``x`` are listed, their places in the list)."""
-    maybe = np.flatnonzero(marks[(x >> np.uint64(42)).astype(np.int64)])
-    if not len(maybe):
-        return maybe, maybe
-    place = np.minimum(np.searchsorted(shared, x[maybe]), len(shared) - 1)
-    hit = shared[place] == x[maybe]
-    return maybe[hit], place[hit].astype(np.int64)
-
-
-def mixed(logp: np.ndarray, n: np.ndarray, n_word: np.ndarray) -> np.ndarray:
-    """log P with the memory: counts with the word's own occurrence, which is left out here."""
-    n, n_word = n.astype(np.float64) - 1, n_word.astype(np.float64) - 1
-    return np.log((n_word + np.exp(logp.astype(np.float64))) / (n + 1))
-
-
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model, int]:
-    """(model, number of words) of ``docs``: (doc_id, text as bytes)."""
-    counts = cut(word_counts(docs, max(1, docs.count() // SAMPLED)))
-    total = counts.where("kind = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    lexicon = Lexicon.of([w for w, _ in frequent(counts.where("kind = 0").select("word", "n"), vocabulary)])
-    often = counts.where("kind = 1 and n > 2").orderBy(F.desc("n"), "word").limit(SHARED_WINDOWS).select("word").toPandas()["word"]
-    shared = np.sort(np.array([int.from_bytes(w, "big") for w in often], np.uint64))
+            # Of a shared leaf's words, a 256th of all there are has its hash.
+            out[rare] += np.add.reduceat(spelled, np.concatenate([[0], ends[:-1]])) + np.log(SHARED)
+        return np.minimum(out, 0.0)
+
+
+def fit(docs: DataFrame, vocabulary: int | None = None) -> Model:
+    """The model of ``docs``: (doc_id, text as bytes)."""
+    counts = cut(word_counts(docs))
+    size = vocabulary or min(MOST_VOCABULARY, max(LEAST_VOCABULARY, counts.count() // SHARE))
+    lexicon = Lexicon.of([w for w, _ in frequent(counts, size)])
     leaves = lexicon.size + SHARED
     klass = clusters(neighbourhoods(docs, lexicon))
     sides, table = 2 * leaves * CLASSES, CONTEXTS * CLASSES
@@ -421,152 +345,30 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model, int]:
         context, left, right = contexts(k, sizes)
         return np.concatenate([context * CLASSES + k, table + leaf * CLASSES + left, table + sides // 2 + leaf * CLASSES + right, table + sides + spelling(words, np.flatnonzero(leaf >= lexicon.size))])
 
-    marks = marks_of(shared)
-
-    def pairs_of(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Place << 16 | word of each listed window."""
-        at, place = listed(shared, marks, windows(h, sizes))
-        return place << 16 | short(h[at])
-
-    sums, pairs = _summed(docs, table + sides + 65_536, count, pairs_of if len(shared) else None)
-    network = train(sums[:table].reshape(CONTEXTS, CLASSES)).forward(np.arange(CONTEXTS))[2].astype(np.float32)
-    before, after, norm = experts(sums[table : table + sides].reshape(2, leaves, CLASSES), klass)
+    sums = _summed(docs, table + sides + 65_536, count)
+    seen = sums[:table].reshape(CONTEXTS, CLASSES)
+    network = train(seen).forward(np.arange(CONTEXTS))[2].astype(np.float32)
+    joint = seen.reshape(GROUPS, CLASSES, CLASSES, GROUPS, CLASSES).sum(axis=(0, 3)).transpose(2, 0, 1)
+    before, after, norm = word_layer(sums[table : table + sides].reshape(2, leaves, CLASSES), klass, joint)
     bigrams = sums[table + sides :].reshape(256, 256) + 0.01
     bigrams = np.log(bigrams / bigrams.sum(axis=1, keepdims=True)).ravel()
-    pair, times = pairs["cell"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
-    n = np.zeros(len(shared), np.int64)
-    np.add.at(n, pair >> 16, times)
-    return Model(lexicon, klass, network, before, after, norm, bigrams, shared, marks, n, pair, times), total
-
-
-class _Block:
-    """Rows of a task until their words are enough to send on: windows by partition, and what is known of each row."""
-
-    def __init__(self):
-        self.ids, self.words, self.base, self.row, self.x, self.w, self.logp = [], [], [], [], [], [], []
-        self.held = 0
-
-    def add(self, ids: list[int | None], words: list[bytes], sizes: np.ndarray, model: Model) -> None:
-        base = np.zeros(len(ids))
-        if words:
-            h = hashes(words)
-            x, w, logp = windows(h, sizes), short(h), model.by_network(words, h, sizes)
-            row = np.repeat(np.arange(len(ids)), sizes)
-            at, n, n_word = model.of_shared(x, w)
-            if len(at):
-                np.add.at(base, row[at], mixed(logp[at], n, n_word))
-                rest = np.ones(len(x), bool)
-                rest[at] = False
-                x, w, logp, row = x[rest], w[rest], logp[rest], row[rest]
-            self.row.append((row + len(self.ids)).astype(np.uint32))
-            self.x.append(x)
-            self.w.append(w)
-            self.logp.append(logp)
-            self.held += len(words)
-        self.ids += ids
-        self.words += sizes.tolist()
-        self.base += base.tolist()
-
-    def rows(self, task: int, block: int, bits: int) -> Iterator[tuple]:
-        """(part, task, block, head, body): one head for the block's rows, and its windows by partition."""
-        ids = np.array([0 if k is None else k for k in self.ids], "<i8")
-        head = ids.tobytes() + np.array(self.words, "<i8").tobytes() + np.array(self.base, "<f8").tobytes() + np.array([k is None for k in self.ids], "u1").tobytes()
-        yield (task + block) % (1 << bits), task, block, True, head
-        if not self.x:
-            return
-        x, w, logp, row = (np.concatenate(c) for c in (self.x, self.w, self.logp, self.row))
-        part = (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-        order = np.argsort(part.astype(np.uint16), kind="stable") if bits <= 16 else np.argsort(part, kind="stable")
-        x, w, logp, row, part = x[order], w[order], logp[order], row[order], part[order]
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            new = np.concatenate([[0], np.flatnonzero(np.diff(row[a:b])) + 1])
-            runs = np.diff(np.concatenate([new, [b - a]]))
-            low, high = (x[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), (x[a:b] >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
-            body = [np.array([len(new)], "<u4"), row[a:b][new].astype("<u4"), runs.astype("<u4"), low, high, w[a:b].astype("<u2"), logp[a:b].astype("<f2")]
-            yield int(part[a]), task, block, False, b"".join(c.tobytes() for c in body)
-
-
-def _unpacked(body: bytes) -> tuple[np.ndarray, ...]:
-    """(row, runs, window's 40 bits, word, log P)."""
-    k = int(np.frombuffer(body, "<u4", 1)[0])
-    row, runs = np.frombuffer(body, "<u4", k, 4), np.frombuffer(body, "<u4", k, 4 + 4 * k).astype(np.int64)
-    n, at = int(runs.sum()), 4 + 8 * k
-    low, high = np.frombuffer(body, "<u4", n, at), np.frombuffer(body, "u1", n, at + 4 * n)
-    return row, runs, high.astype(np.uint64) << np.uint64(32) | low, np.frombuffer(body, "<u2", n, at + 5 * n), np.frombuffer(body, "<f2", n, at + 7 * n)
-
-
-def _remember(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of the memory: counts its windows, and gives each block the sums of its rows. Heads pass through."""
-    names = ["task", "block", "head", "body"]
-    blocks, parts = [], []
-    for batch in batches:
-        head = batch.column(3).to_numpy(zero_copy_only=False)
-        if head.any():
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(head)) for c in batch.columns[1:]], names=names)
-        for task, block, body in zip(*(batch.column(k).filter(pa.array(~head)).to_pylist() for k in (1, 2, 4)), strict=True):
-            blocks.append((task, block))
-            parts.append(_unpacked(body))
-    if not parts:
-        return
-    x = np.concatenate([p[2] for p in parts])
-    # 40 bits of the window, beside those that name the partition, and 16 of the word.
-    key = x << np.uint64(16) | np.concatenate([p[3] for p in parts])
-    order = np.argsort(key)
-    n, n_word = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
-    for counts, value in ((n, x[order]), (n_word, key[order])):
-        new = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
-        size = np.diff(new)
-        counts[order] = np.repeat(size, size)
-    at = 0
-    for (task, block), (row, runs, _, _, logp) in zip(blocks, parts, strict=True):
-        to = at + len(logp)
-        value = mixed(logp, n[at:to], n_word[at:to])
-        sums = np.add.reduceat(value, np.concatenate([[0], np.cumsum(runs)[:-1]])) if len(runs) else value
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((task, pa.int32()), (block, pa.int32()), (False, pa.bool_()), (row.tobytes() + sums.astype("<f8").tobytes(), pa.binary()))], names=names)
-        at = to
-
-
-def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block's rows with the sums that all partitions have returned."""
-    (head,) = pdf.loc[pdf["head"], "body"]
-    n = len(head) // 25
-    ids, words, total = np.frombuffer(head, "<i8", n), np.frombuffer(head, "<i8", n, 8 * n), np.frombuffer(head, "<f8", n, 16 * n).copy()
-    null = np.frombuffer(head, "u1", n, 24 * n).astype(bool)
-    for body in sorted(pdf.loc[~pdf["head"], "body"]):  # in one order, whatever came first
-        k = len(body) // 12
-        np.add.at(total, np.frombuffer(body, "<u4", k).astype(np.int64), np.frombuffer(body, "<f8", k, 4 * k))
-    out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": words, "log_likelihood": total, "per_word": np.where(words > 0, total / np.maximum(words, 1), np.nan)})
-    out.loc[null, "doc_id"] = pd.NA
-    out["per_word"] = out["per_word"].astype(object).where(words > 0, None)
-    return out
-
-
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, partition: int = PARTITION, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, per_word) of every row, under a network trained on all of them and a memory of all their windows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    fitted, total = fit(rows, vocabulary)
-    model = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the vocabulary, the contexts and the list
-    bits = max(0, (max(1, total) - 1) // partition).bit_length()
+    return Model(lexicon, klass, network, before, after, norm, bigrams)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count, now = TaskContext.get().partitionId(), 0, _Block()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for part, t, b, head, body in now.rows(task, count, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([t], pa.int32()), pa.array([b], pa.int32()), pa.array([head]), pa.array([body], pa.binary())], names=["part", "task", "block", "head", "body"])
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, per_word) of every row, under a network trained on all of them."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, vocabulary))  # bounded by the vocabulary and the contexts
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
+            at = 0
             for words, sizes in runs(batch.column(1)):
-                now.add(ids[at : at + len(sizes)], words, sizes, model.value)
+                total = np.zeros(len(sizes))
+                if words:
+                    total += np.bincount(np.repeat(np.arange(len(sizes)), sizes), model.value.log_p(words, hashes(words), sizes), len(sizes))
+                mean = pa.array(total / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(sizes), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "per_word"])
                 at += len(sizes)
-                if now.held >= block or len(now.ids) >= block:
-                    yield from out()
-                    count, now = count + 1, _Block()
-        if now.ids:
-            yield from out()
-
-    sent = rows.mapInArrow(run, "part int, task int, block int, head boolean, body binary")
-    told = sent.repartitionById(1 << bits, "part").mapInArrow(_remember, "task int, block int, head boolean, body binary")
-    return told.groupBy("task", "block").applyInPandas(_gather, "doc_id long, n_words long, log_likelihood double, per_word double")
+
+    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
