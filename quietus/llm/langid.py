@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietus.llm.names import fresh
 from quietus.session import TEXTS, cut, if_small
 
 BUCKETS = 1 << 15
@@ -190,23 +191,24 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_posterior: float = 0.5, min_share: float = 0.001, max_languages: int = 64) -> DataFrame:
-    """The rows of ``docs`` that are accepted, all columns, with the language found in ``lang``.
+    """The rows of ``docs`` that are accepted, all columns, with the language found in ``lang``. Where no row declares a language, there is nothing to tell languages by: all rows stay as they are.
 
     Texts stay where they lie, if only few rows are rejected or get another language than they declare: those verdicts alone are joined to them, broadcast where counted to be few.
     """
     rows = _rows(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"))
     evidence = Evidence(rows, min_share, max_languages)
     if not evidence.languages:
-        return docs.limit(0)
+        return docs
     found = evidence.judged(evidence.seen, min_posterior).where(~(F.col("accepted") & F.col("language").eqNullSafe(F.col("declared"))))
     # Rows that are equal in all that they are judged by have one verdict.
-    texts = {name: F.coalesce(F.col(c), F.lit("")) for name, c in (("i_declared", "declared"), ("i_host", "host"))}
-    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "declared", "host")]).alias("i_nulls")
-    moves = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("i_id"), F.col("digest").alias("i_digest"), *[c.alias(n) for n, c in texts.items()], nulls).agg(F.first("language").alias("i_language"), F.first("accepted").alias("i_accepted"))
+    i_id, i_digest, i_declared, i_host, i_nulls, i_language, i_accepted = fresh(docs, "i_id", "i_digest", "i_declared", "i_host", "i_nulls", "i_language", "i_accepted")
+    texts = {name: F.coalesce(F.col(c), F.lit("")) for name, c in ((i_declared, "declared"), (i_host, "host"))}
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "declared", "host")]).alias(i_nulls)
+    moves = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias(i_id), F.col("digest").alias(i_digest), *[c.alias(n) for n, c in texts.items()], nulls).agg(F.first("language").alias(i_language), F.first("accepted").alias(i_accepted))
     match = (
-        (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("i_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("i_digest"))
-        & (F.coalesce("lang", F.lit("")) == F.col("i_declared")) & (F.coalesce("source", F.lit("")) == F.col("i_host"))
-        & (F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "lang", "source")]) == F.col("i_nulls"))
+        (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col(i_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(i_digest))
+        & (F.coalesce("lang", F.lit("")) == F.col(i_declared)) & (F.coalesce("source", F.lit("")) == F.col(i_host))
+        & (F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "lang", "source")]) == F.col(i_nulls))
     )
-    kept = docs.join(if_small(cut(moves)), match, "left").where(F.coalesce("i_accepted", F.lit(True)))
-    return kept.select(*[F.coalesce("i_language", "lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    kept = docs.join(if_small(cut(moves)), match, "left").where(F.coalesce(i_accepted, F.lit(True)))
+    return kept.select(*[F.coalesce(i_language, "lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])

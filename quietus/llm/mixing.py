@@ -8,16 +8,18 @@ Only cells are raked, never documents; a hot source is one partial sum per task.
 counted size allows, else by a join that adaptive execution may split.
 
 Edge cases: a null source, language or topic is a value of its own; a null text has no tokens and topic ``short``; cells without any token keep weight zero and
-their documents are dropped (they add nothing to any margin); values without a stated target keep their natural share; columns named m_<...> or c_<...> must not be in the table; repeated rows share their fate; a null id is hashed as an empty one; an empty table gives no rows; other columns stay.
+their documents are dropped (they add nothing to any margin); values without a stated target keep their natural share; columns that have the names added here are renamed; repeated rows share their fate; a null id is hashed as an empty one; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietus.llm.names import fresh
 from quietus.session import cut, if_small
 
 DIMS = ["source", "lang", "topic"]
@@ -26,6 +28,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_CELLS = 50_000
 #: Shares that margins may be off by: they are settled to the rounding of doubles.
 TOLERANCE = 1e-12
+#: What margins may be off by without a warning.
+UNSETTLED = 1e-6
+#: Rounds between two looks at the error, where cells are few.
+ROUNDS = 6
 
 
 def tokens(text_col: str) -> Column:
@@ -65,31 +71,57 @@ def _small(table: DataFrame) -> DataFrame:
     return if_small(table, BROADCAST_CELLS)
 
 
+def _raked(cells: DataFrame, d: str) -> DataFrame:
+    """Weights raked to one margin by a sum over its values, where all cells are one partition: no shuffle."""
+    margin = F.sum("w").over(Window.partitionBy(f"m_{d}"))
+    return cells.withColumn("w", F.when(margin > 0, F.col("w") * F.col(f"t_{d}") / margin).otherwise(F.lit(0.0)))
+
+
 def rake(cells: DataFrame, tolerance: float = TOLERANCE, max_rounds: int = 100) -> tuple[DataFrame, float]:
     """(cells with w, margins' error): ``w0`` raked to each margin in turn until no margin is off by more than ``tolerance``.
 
-    Margins that contradict each other (cells that do not exist cannot be raked) never settle: the error after ``max_rounds`` says so.
+    Some rounds are one query, between which the error is looked at. Margins that contradict each other (cells that do not exist cannot be raked) never settle: raking ends when the error no longer falls, or after ``max_rounds``, and says so.
     """
-    cells, off = cells.withColumn("w", F.col("w0")), 0.0
-    small = {d: cells.select(f"m_{d}").distinct().count() <= BROADCAST_CELLS for d in DIMS}
-    for _ in range(max_rounds):
-        for d in DIMS:
-            margin = cells.groupBy(f"m_{d}").agg(F.sum("w").alias("margin"))
-            cells = cells.join(F.broadcast(margin) if small[d] else margin, f"m_{d}")
-            cells = cut(cells.withColumn("w", F.when(F.col("margin") > 0, F.col("w") * F.col(f"t_{d}") / F.col("margin")).otherwise(F.lit(0.0))).drop("margin"))
+    cells, off, before = cells.withColumn("w", F.col("w0")), 0.0, float("inf")
+    few = cells.count() <= BROADCAST_CELLS
+    small = {d: few or cells.select(f"m_{d}").distinct().count() <= BROADCAST_CELLS for d in DIMS}
+    at_once = ROUNDS if few else 1
+    for _ in range(0, max_rounds, at_once):
+        if few:
+            cells = cells.coalesce(1)  # BROADCAST_CELLS rows at most
+            for _ in range(at_once):
+                for d in DIMS:
+                    cells = _raked(cells, d)
+            cells = cut(cells)
+        else:
+            for d in DIMS:
+                margin = cells.groupBy(f"m_{d}").agg(F.sum("w").alias("margin"))
+                cells = cells.join(F.broadcast(margin) if small[d] else margin, f"m_{d}")
+                cells = cut(cells.withColumn("w", F.when(F.col("margin") > 0, F.col("w") * F.col(f"t_{d}") / F.col("margin")).otherwise(F.lit(0.0))).drop("margin"))
         errors = [cells.groupBy(f"m_{d}").agg(F.abs(F.sum("w") - F.first(f"t_{d}")).alias("off")) for d in DIMS[:-1]]
         off = reduce(DataFrame.unionByName, [e.select("off") for e in errors]).agg(F.max("off").alias("off")).first()["off"] or 0.0
-        if off <= tolerance:
+        if off <= tolerance or off > 0.99 * before:
             break
+        before = off
     return cells, off
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, alpha: float = 0.75, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` with m_tokens, m_topic, m_probability (6 decimals), m_error (what the margins are off by at most) and m_kept, drawn against the unrounded probability."""
+    """``docs`` with m_tokens, m_topic, m_probability (6 decimals), m_error (what the margins are off by at most) and m_kept, drawn against the unrounded probability. Warns if the margins are off by more than ``UNSETTLED``.
+
+    A column of the table that has one of these names is kept under the name with an underscore behind it.
+    """
     none = F.lit("(none)")
+    own = ["m_tokens", "m_topic", "m_probability", "m_error", "m_kept", "m_source", "m_lang", *[f"c_{d}" for d in DIMS], "c_chance"]
+    for c in docs.columns:
+        if c.lower() in own:
+            (other,) = fresh(docs, c)
+            docs = docs.withColumnRenamed(c, other)
     rows = docs.withColumn("m_tokens", tokens(text_col))
     rows = rows.withColumns({"m_source": F.coalesce(F.col(source_col).cast("string"), none), "m_lang": F.coalesce(F.col(lang_col).cast("string"), none), "m_topic": F.coalesce(topic if topic is not None else topic_of("m_tokens"), none)})
     cells, off = rake(cut(with_targets(cut(cells_of(rows)), alpha, targets or {})), tolerance)
+    if off > UNSETTLED:
+        warnings.warn(f"the targets contradict each other: margins are off by up to {off:.3g}", stacklevel=2)
     factor = F.when(F.col("w0") > 0, F.col("w") / F.col("w0")).otherwise(F.lit(0.0))
     cells = cut(cells.select(*[F.col(f"m_{d}").alias(f"c_{d}") for d in DIMS], factor.alias("f")))
     top = cells.agg(F.max("f").alias("f")).first()
@@ -100,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def oracle(alpha: float = 0.75, rounds: int = 30) -> str:
-    """DuckDB SQL for doc_id, n_tokens, topic, probability, kept over ``documents``; ``rounds`` are more than settle the margins of these tables."""
+    """DuckDB SQL for doc_id, n_tokens, topic, probability, kept, margin_error over ``documents``; ``rounds`` are more than settle the margins of these tables."""
     steps = [
         rf"""docs AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang FROM documents)""",
         """rows_ AS (SELECT *, CASE WHEN n_tokens < 128 THEN 'short' WHEN n_tokens < 1024 THEN 'medium' ELSE 'long' END AS topic FROM docs)""",
@@ -113,4 +145,6 @@ def oracle(alpha: float = 0.75, rounds: int = 30) -> str:
         steps.append(f"k{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM k{k})")
     steps.append(f"f AS (SELECT source, lang, topic, CASE WHEN w0 > 0 THEN w / w0 ELSE 0 END AS f FROM k{rounds * len(DIMS)})")
     steps.append("p AS (SELECT source, lang, topic, f / (SELECT max(f) FROM f) AS chance FROM f)")
-    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, n_tokens, topic, round(chance, 6) AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < chance AS kept FROM rows_ JOIN p USING (source, lang, topic)"
+    off = " UNION ALL ".join(f"SELECT abs(sum(w) - any_value(t_{d})) AS off FROM k{rounds * len(DIMS)} GROUP BY {d}" for d in DIMS)
+    steps.append(f"e AS (SELECT round(max(off), 6) AS margin_error FROM ({off}))")
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, n_tokens, topic, round(chance, 6) AS probability, margin_error, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < chance AS kept FROM rows_ JOIN p USING (source, lang, topic), e"

@@ -54,7 +54,7 @@ def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("m_tokens").alias("n_tokens"), F.col("m_topic").alias("topic"), F.col("m_probability").alias("probability"), F.col("m_kept").alias("kept"))
+    return rows.select("doc_id", F.col("m_tokens").alias("n_tokens"), F.col("m_topic").alias("topic"), F.col("m_probability").alias("probability"), F.round("m_error", 6).alias("margin_error"), F.col("m_kept").alias("kept"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

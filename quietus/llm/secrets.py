@@ -19,10 +19,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietus.llm.names import fresh
 from quietus.session import TEXTS, cut, if_small
 
 #: In the order in which spans of one start are listed.
@@ -121,21 +123,31 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 50, mark: str = "<secret>") -> DataFrame:
-    """``docs``, all rows and columns, with ``mark`` in place of every span that looks live. Overlapping spans share one mark."""
-    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col), TEXTS)
-    live = judged(scanned, max_owners, max_repos).select(F.col("doc_id").alias("j_id"), F.col("digest").alias("j_digest"), F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.array(s["start"], s["end"])).alias("j_cuts")).where(F.size("j_cuts") > 0)
+def _masked(mark: str):
+    """Texts with ``mark`` in place of their cuts (start, end), which are in order; cuts that overlap are one. Each text is cut once into pieces."""
+
+    def run(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        def one(text: str | None, spans) -> str | None:
+            out, at = [], 0
+            for start, end in spans if spans is not None else ():
+                if start >= at:
+                    out += [text[at:start], mark]
+                at = max(at, end)
+            return "".join([*out, text[at:]]) if out else text
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    text = F.col(text_col)
+        return pd.Series([one(*row) for row in zip(texts, cuts, strict=True)], dtype=object)
 
-    def masked(done: Column, span: Column) -> Column:
-        """Text up to a span, and the mark; a span that begins within the one before only moves its end."""
-        apart = F.struct(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), (span[0] - done["at"]).cast("int")), F.lit(mark)).alias("out"), span[1].alias("at"))
-        return F.when(span[0] >= done["at"], apart).otherwise(F.struct(done["out"].alias("out"), F.greatest(done["at"], span[1]).alias("at")))
+    return F.pandas_udf(run, "string")
 
-    keyed = docs.withColumn("j_text", digest_of(text_col))
-    rows = keyed.join(if_small(cut(live)), keyed[id_col].cast("long").eqNullSafe(F.col("j_id")) & (F.col("j_text") == F.col("j_digest")), "left")
-    end = lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.char_length(text)))
-    rows = rows.withColumn("j_masked", F.when(F.col("j_cuts").isNotNull(), F.aggregate("j_cuts", start, masked, end)))
-    return rows.select(*[F.coalesce("j_masked", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 50, mark: str = "<secret>") -> DataFrame:
+    """``docs``, all rows and columns, with ``mark`` in place of every span that looks live. Overlapping spans share one mark; a text's time is in proportion to its length and its spans."""
+    scanned = cut(scan(docs, id_col, text_col, owner_col, repo_col), TEXTS)
+    j_id, j_digest, j_cuts, j_text, j_masked = fresh(docs, "j_id", "j_digest", "j_cuts", "j_text", "j_masked")
+    live = judged(scanned, max_owners, max_repos).select(F.col("doc_id").alias(j_id), F.col("digest").alias(j_digest), F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.array(s["start"], s["end"])).alias(j_cuts)).where(F.size(j_cuts) > 0)
+    keyed = docs.withColumn(j_text, digest_of(text_col))
+    rows = keyed.join(if_small(cut(live)), keyed[id_col].cast("long").eqNullSafe(F.col(j_id)) & (F.col(j_text) == F.col(j_digest)), "left")
+    # Texts without a cut stay in the JVM: to Python goes a null in their place.
+    found = F.when(F.col(j_cuts).isNotNull(), F.col(text_col))
+    rows = rows.withColumn(j_masked, _masked(mark)(found, j_cuts))
+    return rows.select(*[F.when(F.col(j_cuts).isNotNull(), F.col(j_masked)).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quietus.graph.components import contracted, weak_components
 from quietus.llm import resemblance
+from quietus.llm.names import fresh
 from quietus.session import TEXTS, cut, if_small
 
 THRESHOLD = 3
@@ -212,11 +213,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prints = cut(fingerprints(docs, id_col, text_col), TEXTS)
     rows = prints.join(_classes(prints, docs, id_col, text_col).select("fp", "keeper"), "fp").groupBy("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))).agg(F.count("*").alias("n"))
-    rows = cut(rows.toDF("q_id", "q_digest", "q_kept", "q_n").where("not q_kept or q_n > 1"))
-    keyed = docs.withColumn("q_text", _digest(text_col))
-    match = keyed[id_col].cast("long").eqNullSafe(F.col("q_id")) & (F.col("q_text") == F.col("q_digest"))
-    rest = keyed.join(if_small(rows), match, "left_anti").drop("q_text")
-    repeated = rows.where("q_kept")
+    q_id, q_digest, q_kept, q_n, q_text = fresh(docs, "q_id", "q_digest", "q_kept", "q_n", "q_text")
+    rows = cut(rows.toDF(q_id, q_digest, q_kept, q_n).where(~F.col(q_kept) | (F.col(q_n) > 1)))
+    keyed = docs.withColumn(q_text, _digest(text_col))
+    match = keyed[id_col].cast("long").eqNullSafe(F.col(q_id)) & (F.col(q_text) == F.col(q_digest))
+    rest = keyed.join(if_small(rows), match, "left_anti").drop(q_text)
+    repeated = rows.where(F.col(q_kept))
     if repeated.isEmpty():
         return rest
-    return rest.unionByName(keyed.join(repeated, match, "left_semi").dropDuplicates([id_col, "q_text"]).drop("q_text"))
+    return rest.unionByName(keyed.join(repeated, match, "left_semi").dropDuplicates([id_col, q_text]).drop(q_text))

@@ -307,7 +307,7 @@ def test_mixing_sql_and_stated_targets(spark):
     docs = frame(spark, ["a b c " * k for k in range(60)])
     documents = docs.toPandas()  # noqa: F841
     want = duckdb.sql(mixing.oracle()).df().sort_values("doc_id").reset_index(drop=True)
-    got = mixing.mix(docs).select("doc_id", F.col("m_tokens").alias("n_tokens"), F.col("m_topic").alias("topic"), F.col("m_probability").alias("probability"), F.col("m_kept").alias("kept")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    got = mixing.mix(docs).select("doc_id", F.col("m_tokens").alias("n_tokens"), F.col("m_topic").alias("topic"), F.col("m_probability").alias("probability"), F.round("m_error", 6).alias("margin_error"), F.col("m_kept").alias("kept")).toPandas().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want[got.columns.tolist()], check_dtype=False)
     halves = frame(spark, ["x " * 50] * 40).withColumn("source", F.when(F.col("doc_id") < 30, "a").otherwise("b"))
     p = {r.source: r.m_probability for r in mixing.mix(halves, targets={"source": {"a": 0.5, "b": 0.5}}).collect()}

@@ -63,9 +63,88 @@ def test_secret_stage_masks_and_keeps_all(spark, docs):
     assert got[201].text == "the of and to <secret> this from" and got[201].n_chars == len(got[201].text)
 
 
-def test_mixing_stage_drops_by_probability_only(spark, docs):
-    kept = corpus_pipeline.mix_sources(spark, docs, "").collect()
-    assert 0 < len(kept) <= docs.count() and {r.text for r in kept} <= {r.text for r in docs.collect()}
+def test_mixing_stage_draws_by_the_raked_weights(spark, docs):
+    import hashlib
+
+    rows = [(r.doc_id, len(r.text.split()), r.source, r.lang) for r in docs.collect()]
+    cell = {i: (s, g, "short" if n < 128 else "medium" if n < 1024 else "long") for i, n, s, g in rows}
+    w0 = {}
+    for i, n, _, _ in rows:
+        w0[cell[i]] = w0.get(cell[i], 0) + n
+    w, whole = dict(w0), [{}, {}, {}]
+    for c, n in w0.items():
+        for d in range(3):
+            whole[d][c[d]] = whole[d].get(c[d], 0) + n
+    target = [{v: n**0.75 / sum(m**0.75 for m in one.values()) for v, n in one.items()} for one in whole]
+    for _ in range(200):
+        for d in range(3):
+            sums = {}
+            for c, x in w.items():
+                sums[c[d]] = sums.get(c[d], 0) + x
+            w = {c: x * target[d][c[d]] / sums[c[d]] for c, x in w.items()}
+    top = max(w[c] / w0[c] for c in w)
+    want = {i for i in cell if int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32 < w[cell[i]] / w0[cell[i]] / top}
+    assert {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == want
+
+
+def test_packing_stage_holds_every_document_once(spark, docs):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*ids.encode(r.text, add_special_tokens=False).ids, 1] for r in docs.collect()}
+    at, fill = {k: 0 for k in want}, {}
+    for r in sorted(corpus_pipeline.pack(spark, docs, "").collect(), key=lambda r: (r.doc_id, r.start)):
+        piece = want[r.doc_id][r.start : r.start + r.length]
+        assert r.start == at[r.doc_id] and len(piece) == r.length and r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
+        at[r.doc_id] += r.length
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert at == {k: len(v) for k, v in want.items()}
+    for pieces in fill.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
+def test_stages_keep_clear_of_further_columns(spark, docs):
+    """Columns that have the names the operators use within."""
+    from pyspark.sql import functions as F
+
+    names = "q_id q_digest q_kept q_n q_text j_id j_digest j_cuts j_text j_masked i_id i_digest i_declared i_host i_nulls i_language i_accepted m_tokens M_Kept m_source m_error c_source c_chance digest fp spans hash".split()
+    more = docs.withColumns({n: F.lit("x") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(tuple, stage(spark, more, "").collect())) == sorted(map(tuple, stage(spark, docs, "").collect())), name
+
+
+def test_undeclared_documents_stay(spark, docs):
+    from pyspark.sql import functions as F
+
+    plain = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, plain, "").count() == docs.count()
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token = aB3{k:09d}" for k in range(32_000))
+    table = spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)
+    began = time.time()
+    (got,) = corpus_pipeline.secret_scan(spark, table, "").collect()
+    assert got.text == " ".join(["<secret>"] * 32_000) and time.time() - began < 60
+
+
+def test_contradicting_margins_are_told(spark):
+    from quietus.llm import mixing
+
+    rows = [(k, "x " * 50, "en" if k % 2 else "fr", "a" if k % 2 else "b", 0) for k in range(100)]
+    with pytest.warns(UserWarning, match="contradict"):
+        got = mixing.mix(spark.createDataFrame(rows, SCHEMA), targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}).collect()
+    assert len(got) == 100 and got[0].m_error > 0.5
 
 
 def test_run_chains_the_stages(spark, docs, tmp_path):
