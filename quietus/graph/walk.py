@@ -29,49 +29,83 @@ def over(reads: Column, level: Column, passing: Column) -> Column:
     return F.when(reads == "export", level).when(reads == "gate", USED).when(reads == "passes", F.when(passing, PASSED).when(level >= USED, WHOLE).otherwise(REACHED)).when(reads == "whole", WHOLE).otherwise(REACHED)
 
 
-def walk(edges: DataFrame, seeds: DataFrame, exports: DataFrame, gates: DataFrame | None = None, production: bool = True, guessed: bool = False, expands: bool = True, max_rounds: int = 10_000) -> DataFrame:
-    """The least fixpoint of the lattice walk: (node, level, passing, holds, depth).
-
-    ``edges``: from_id, to_id, reads, test, guessed, inside. ``seeds``: node, holds, passes. A node's state in a tier is a level (reached, used, whole, passed) and
-    whether it passes on what it re-exports; states join component by component. A holding tier follows test edges, the other one only what ``production`` admits. Edges from outside the graph
-    enter as from a used, passing caller. A node entered whole or passed enters its exports alike; a gate's seeds join once its file is reached. ``depth`` is the round of first entry.
-    """
+def steps_of(edges: DataFrame, exports: DataFrame, gates: DataFrame | None = None, production: bool = True, guessed: bool = False, expands: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(steps: node, to_id, reads, test; outer: node, level, passing): the edges inside the graph with what whole reads and gates enter, and what edges from outside enter."""
     usable = edges if guessed else edges.where(~F.col("guessed"))
     inner = usable.where("inside").select(F.col("from_id").alias("node"), "to_id", "reads", "test")
     if expands:
         inner = inner.unionByName(exports.select(F.col("id").alias("node"), F.col("child").alias("to_id"), F.lit("export").alias("reads"), F.lit(False).alias("test")))
     if gates is not None:
         inner = inner.unionByName(gates.select(F.col("file").alias("node"), F.col("id").alias("to_id"), F.lit("gate").alias("reads"), F.lit(False).alias("test")))
-    inner = cut(inner.distinct())
     outer = usable.where("not inside" + (" and not test" if production else "")).select("to_id", "reads").distinct()
     first = over(F.col("reads"), F.lit(USED), F.lit(True))
-    start = seeds.select("node", "holds", F.lit(USED).alias("level"), F.col("passes").alias("passing")).unionByName(outer.select(F.col("to_id").alias("node"), F.lit(False).alias("holds"), first.alias("level"), (first == PASSED).alias("passing")))
-    merge = lambda rows: rows.groupBy("node", "holds").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.min("depth").alias("depth"))
-    state = front = cut(merge(start.withColumn("depth", F.lit(0))))
+    return cut(inner.distinct()), outer.select(F.col("to_id").alias("node"), first.alias("level"), (first == PASSED).alias("passing"))
+
+
+KEY = ["node", "holds"]
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.min("depth").alias("depth"))
+
+
+def starts(seeds: DataFrame, outer: DataFrame) -> DataFrame:
+    """The states that ``seeds`` (node, holds, passes) and edges from outside begin with."""
+    own = seeds.select("node", "holds", F.lit(USED).alias("level"), F.col("passes").alias("passing"))
+    return _merged(own.unionByName(outer.select("node", F.lit(False).alias("holds"), "level", "passing")).withColumn("depth", F.lit(0)))
+
+
+def entered_by(went: DataFrame, depth: int, production: bool) -> DataFrame:
+    """The states that steps from the states beside them enter: ``went`` has node, holds, level, passing, to_id, reads, test."""
+    went = went.where((F.col("reads") != "export") | (F.col("level") >= WHOLE))
+    if production:
+        went = went.where("holds or not test")
+    level = over(F.col("reads"), F.col("level"), F.col("passing"))
+    return _merged(went.select(F.col("to_id").alias("node"), (F.col("holds") | (F.col("reads") == "gate")).alias("holds"), level.alias("level"), (level == PASSED).alias("passing"), F.lit(depth).alias("depth")))
+
+
+def news(state: DataFrame, entered: DataFrame) -> DataFrame:
+    """Those of ``entered`` that ``state`` does not cover. What a state covers is found from the state's side, where it lies; covered keys are no more than those entered."""
+    entered = cut(entered)
+    size = entered.count()
+    known = state.select(*KEY, F.col("level").alias("s_level"), F.col("passing").alias("s_passing"))
+    covered = _joined(entered, size, known, KEY).where("s_level >= level and (s_passing or not passing)").select(*KEY).distinct()
+    return cut(_without(entered, covered, KEY, size))
+
+
+def propagate(state: DataFrame, front: DataFrame, inner: DataFrame, production: bool, max_rounds: int = 10_000) -> DataFrame:
+    """``state`` with ``front``, which it holds already, carried on along ``inner`` to the fixpoint; a node and tier may have several rows, of which the greatest counts."""
     for k in range(1, max_rounds):
         size = front.count()
         if not size:
-            break
-        went = _joined(front.select("node", "holds", "level", "passing"), size, inner, "node").where((F.col("reads") != "export") | (F.col("level") >= WHOLE))
-        if production:
-            went = went.where("holds or not test")
-        level = over(F.col("reads"), F.col("level"), F.col("passing"))
-        entered = went.select(F.col("to_id").alias("node"), (F.col("holds") | (F.col("reads") == "gate")).alias("holds"), level.alias("level"), (level == PASSED).alias("passing"), F.lit(k).alias("depth"))
-        entered = cut(merge(entered))
-        known = state.select("node", "holds", F.col("level").alias("s_level"), F.col("passing").alias("s_passing"))
-        # What a state already covers is found from the state's side, where it lies; covered keys are no more than those entered.
-        size = entered.count()
-        covered = _joined(entered, size, known, ["node", "holds"]).where("s_level >= level and (s_passing or not passing)").select("node", "holds").distinct()
-        front = cut(_without(entered, covered, ["node", "holds"], size))
+            return state
+        went = _joined(front.select(*KEY, "level", "passing"), size, inner, "node")
+        front = news(state, entered_by(went, k, production))
         state = state.unionByName(front)
         if k % 8 == 0:
-            state = cut(merge(state))
-    else:
-        if not front.isEmpty():
-            raise RuntimeError("the walk did not settle within max_rounds")
+            state = cut(_merged(state))
+    if not front.isEmpty():
+        raise RuntimeError("the walk did not settle within max_rounds")
+    return state
+
+
+def by_node(state: DataFrame) -> DataFrame:
+    """(node, level, passing, holds, depth) over both tiers."""
     return state.groupBy("node").agg(F.max("level").alias("level"), F.bool_or("passing").alias("passing"), F.bool_or("holds").alias("holds"), F.min("depth").alias("depth"))
 
 
+def walk(edges: DataFrame, seeds: DataFrame, exports: DataFrame, gates: DataFrame | None = None, production: bool = True, guessed: bool = False, expands: bool = True, max_rounds: int = 10_000) -> DataFrame:
+    """The least fixpoint of the lattice walk: (node, level, passing, holds, depth).
+
+    ``edges``: from_id, to_id, reads, test, guessed, inside. ``seeds``: node, holds, passes. A node's state in a tier is a level (reached, used, whole, passed) and
+    whether it passes on what it re-exports; states join component by component. A holding tier follows test edges, the other one only what ``production`` admits. Edges from outside the graph
+    enter as from a used, passing caller. A node entered whole or passed enters its exports alike; a gate's seeds join once its file is reached. ``depth`` is the round of first entry.
+    """
+    inner, outer = steps_of(edges, exports, gates, production, guessed, expands)
+    front = cut(starts(seeds, outer))
+    return by_node(propagate(front, front, inner, production, max_rounds))
+
+
 def reach(edges: DataFrame, seeds: DataFrame, src: str = "from_id", dst: str = "to_id", only: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(node, depth): what ``seeds`` (node) reach, and in how many steps; ``only`` (node) restricts what may be entered after the seeds."""
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node <> next").distinct()

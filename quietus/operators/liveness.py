@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quietus.graph.components import weak_components
 from quietus.graph.edges import counted_refs, graph_edges, reference_counts, whole_reads
 from quietus.graph.scc import referenced_cycles, strong_components
-from quietus.graph.walk import PASSED, reach, walk
+from quietus.graph.tiers import paths_back, tiered_walk
+from quietus.graph.walk import PASSED, reach, steps_of, walk
 from quietus.operators.joins import gap_and_island_lines
 from quietus.session import cut
 
@@ -119,21 +120,32 @@ def seeds_of(records: DataFrame, symbols: DataFrame, unanswered: DataFrame) -> D
     return own.unionByName(asked).distinct()
 
 
-def tiers(symbols: DataFrame, references: DataFrame, roots: DataFrame, seeds: DataFrame, production: bool = True) -> DataFrame:
-    """(id, tier): why each declaration that any view reaches stays: live (without any seed), record, gated, or unanswered; the first that reaches it.
+#: The views that say why a declaration stays, each with the seeds of those before it. Fixed values.
+TIERS = ["live", "record", "gated", "unanswered"]
 
-    One walk a tier, each with the seeds of the tiers before it.
-    """
-    known = symbols.select("id").distinct()
-    nothing = seeds.select("id").limit(0)
-    held = lambda *names: seeds.where(F.col("tier").isin(*names)).select("id").distinct()
+
+def tier_walk(symbols: DataFrame, references: DataFrame, roots: DataFrame, seeds: DataFrame, production: bool = True) -> DataFrame:
+    """(node, tier, depth, by, by_tier): one walk over all of TIERS, and the steps back. ``seeds``: id, tier, file (of a gate)."""
+    known = symbols.select(F.col("id").alias("node")).distinct()
     gates = seeds.where("tier = 'gated'").select("file", "id").distinct()
-    views = [("live", nothing, None), ("record", held("record"), None), ("gated", held("record"), gates), ("unanswered", held("record", "unanswered"), gates)]
-    rows = None
-    for k, (name, at, gate) in enumerate(views):
-        found = sweep_reach(symbols, references, roots, at, gate, production).select(F.col("node").alias("id"), F.lit(k).alias("k"), F.lit(name).alias("tier"))
-        rows = cut(found if rows is None else rows.unionByName(found))
-    return rows.join(known, "id", "left_semi").groupBy("id").agg(F.min_by("tier", "k").alias("tier"))
+    inner, outer = steps_of(graph_edges(references, symbols), whole_reads(symbols), gates, production)
+    own = roots.select(F.col("id").alias("node"), F.lit(False).alias("holds"), F.lit(True).alias("passes"), F.lit(0).alias("tier"))
+    at = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")).cast("int") - 1
+    held = seeds.where("tier <> 'gated'").select(F.col("id").alias("node"), F.lit(True).alias("holds"), F.lit(False).alias("passes"), at.alias("tier"))
+    return tiered_walk(inner, outer, own.unionByName(held).join(known, "node", "left_semi").distinct(), TIERS.index("gated"), production)
+
+
+def tiers(symbols: DataFrame, references: DataFrame, roots: DataFrame, seeds: DataFrame, production: bool = True, walked: DataFrame | None = None) -> DataFrame:
+    """(id, tier): why each declaration that any view reaches stays: live (without any seed), record, gated, or unanswered; the first that reaches it."""
+    walked = tier_walk(symbols, references, roots, seeds, production) if walked is None else walked
+    first = walked.groupBy(F.col("node").alias("id")).agg(F.min("tier").alias("tier")).join(symbols.select("id").distinct(), "id", "left_semi")
+    return first.select("id", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1).alias("tier"))
+
+
+def explained_paths(walked: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, place, step): the shortest chain of declarations from a seed to each of ``targets`` (id) in the first view that reaches it."""
+    first = walked.groupBy("node").agg(F.min("tier").alias("tier")).join(targets.select(F.col("id").alias("node")), "node", "left_semi")
+    return paths_back(walked, first).select(F.col("target").alias("id"), "place", F.col("node").alias("step"))
 
 
 def components_with_files(judged: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
