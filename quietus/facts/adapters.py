@@ -50,7 +50,8 @@ FACTS: dict[str, str] = {
         SELECT concat('DS', 1001 + p_size % 4) AS code, concat('p', p_partkey) AS declaration, concat('ts://lib/', p_name) AS ref, concat('lib/', p_brand, '.ts') AS path, CAST(p_partkey % 200 + 2 AS INT) AS line, 1 AS col, CASE WHEN p_size % 5 = 0 THEN 'possible' WHEN p_size % 5 = 1 THEN 'probable' ELSE 'certain' END AS confidence, concat('k', p_partkey % 300) AS component, p_partkey % 4 = 0 AS is_root, p_size AS subject_lines FROM part""",
     "suppressions": """
         SELECT CAST(p_partkey AS BIGINT) AS record_ord, concat('DS', 1001 + p_size % 5) AS code, concat('ts://lib/', p_name) AS symbol, concat('lib/', p_brand, '.ts') AS path, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('p', p_partkey) END AS bound, 'ignore' AS mechanism, concat('site', p_partkey % 50) AS site FROM part WHERE p_size % 2 = 0
-        UNION ALL SELECT CAST(p_partkey + 1000000 AS BIGINT), concat('DS', 1001 + p_size % 4), concat('ts://lib/', p_name), concat('lib/', p_brand, '.ts'), concat('p', p_partkey), 'baseline', concat('site', p_partkey % 50) FROM part WHERE p_size % 7 = 0""",
+        UNION ALL SELECT CAST(p_partkey + 1000000 AS BIGINT), concat('DS', 1001 + p_size % 4), concat('ts://lib/', p_name), concat('lib/', p_brand, '.ts'), concat('p', p_partkey), 'baseline', concat('site', p_partkey % 50) FROM part WHERE p_size % 7 = 0
+        UNION ALL SELECT CAST(p_partkey + 2000000 AS BIGINT), concat('DS', 1001 + p_size % 4), '', concat('lib/', p_brand, '.ts'), CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('p', p_partkey) END, 'inline', concat('line', p_partkey) FROM part WHERE p_size % 11 = 0""",
     "manifests": """
         SELECT '' AS dir, concat('pkg', n_nationkey % 5) AS name FROM nation
         UNION ALL SELECT 'src', concat('pkg', n_nationkey % 7) FROM nation
@@ -118,10 +119,27 @@ FACTS: dict[str, str] = {
     "serialized": "SELECT concat('t', o_custkey) AS type_id, concat('app/l', o_orderkey % 40, '.ts') AS site FROM orders WHERE o_totalprice > 400000",
     "class_records": "SELECT concat('u', l_partkey) AS id, CASE l_linenumber % 3 WHEN 0 THEN 'enum-group' WHEN 1 THEN 'decorator' ELSE 'template-field' END AS class, concat('d', l_suppkey % 9) AS detail, concat('app/l', l_orderkey % 40, '.ts') AS site_path FROM lineitem",
     "configured_entries": "SELECT concat('by-ref', s_suppkey) AS entry, concat('ts://src/t', s_nationkey, '#type', s_suppkey) AS ref, CAST(NULL AS STRING) AS module, CAST(NULL AS STRING) AS name FROM supplier UNION ALL SELECT concat('by-name', s_suppkey), CAST(NULL AS STRING), 'src/u.ts', concat('member', s_suppkey) FROM supplier",
-    "record_entries": "SELECT concat('entry', p_partkey) AS entry, CASE WHEN p_size % 2 = 0 THEN concat('ts://src/u.ts#member', p_partkey, '(arg)') ELSE concat('ts://src/u.ts#member', p_partkey * 2) END AS ref, 'src/u.ts' AS path FROM part",
+    "record_entries": "SELECT concat('entry', p_partkey) AS entry, CASE p_size % 3 WHEN 0 THEN 'DS1401' WHEN 1 THEN 'DS1406' ELSE 'DS1003' END AS code, CASE WHEN p_size % 2 = 0 THEN concat('ts://src/u.ts#member', p_partkey, '(arg)') ELSE concat('ts://src/u.ts#member', p_partkey * 2) END AS ref, 'src/u.ts' AS path FROM part",
     "binding_rows": "SELECT concat('y', year(o_orderdate)) AS configuration, concat('{\"service\":\"s', o_custkey % 90, '\",\"status\":\"', o_orderstatus, '\"}') AS binding FROM orders",
     "file_needs": "SELECT concat('src/n', o_custkey % 7) AS at, concat('pkg', o_custkey % 300) AS name, concat('app/m', o_orderkey % 40, '.ts') AS path FROM orders",
-    "message_rows": "SELECT concat('p', p_partkey) AS id, CASE p_size % 4 WHEN 0 THEN 'DS1001' WHEN 1 THEN 'DS1102' WHEN 2 THEN 'DS1503' ELSE 'DS7777' END AS code, CASE p_size % 3 WHEN 0 THEN 'class-member' ELSE 'function' END AS kind, p_name AS name, CAST(p_size % 3 AS BIGINT) AS production, CAST(p_size % 5 % 3 AS BIGINT) AS test FROM part",
+    "message_rows": """
+        SELECT concat('o', o_orderkey) AS id, CASE o_orderkey % 21 WHEN 0 THEN 'DS1001' WHEN 1 THEN 'DS1002' WHEN 2 THEN 'DS1003' WHEN 3 THEN 'DS1004' WHEN 4 THEN 'DS1005' WHEN 5 THEN 'DS1006' WHEN 6 THEN 'DS1101' WHEN 7 THEN 'DS1102' WHEN 8 THEN 'DS1103' WHEN 9 THEN 'DS1104' WHEN 10 THEN 'DS1201' WHEN 11 THEN 'DS1202' WHEN 12 THEN 'DS1301' WHEN 13 THEN 'DS1401' WHEN 14 THEN 'DS1403' WHEN 15 THEN 'DS1404' WHEN 16 THEN 'DS1405' WHEN 17 THEN 'DS1406' WHEN 18 THEN 'DS1501' WHEN 19 THEN 'DS1503' ELSE 'DS1602' END AS code,
+        CASE o_custkey % 5 WHEN 0 THEN 'class-member' WHEN 1 THEN 'export-alias' WHEN 2 THEN 'type' ELSE 'function' END AS kind, concat('n', o_custkey) AS name, o_orderpriority IN ('1-URGENT', '2-HIGH') AS exported, CASE o_custkey % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'protected' WHEN 2 THEN 'private-name' ELSE 'public' END AS visibility,
+        CASE WHEN o_orderstatus = 'F' THEN 'reachability' ELSE 'reference-counting' END AS relation, CAST(o_custkey % 3 AS BIGINT) AS production, CAST(o_custkey % 4 AS BIGINT) AS test, CAST(CASE WHEN o_custkey % 7 < 4 THEN o_custkey % 4 ELSE 0 END AS BIGINT) AS evidence, CAST(1 + o_custkey % 3 AS BIGINT) AS writes, concat('h', o_custkey % 50) AS holder FROM orders""",
+    "module_refs": """
+        SELECT concat('m', o_custkey) AS from_id, concat('h', 1 + o_orderkey % (SELECT count(*) FROM supplier)) AS to_id, CASE WHEN o_orderstatus = 'P' THEN 'write' ELSE 'read' END AS use, o_orderpriority = '1-URGENT' AS test, false AS guessed, o_orderkey % 3 = 0 AS namespace, o_orderkey % 2 = 0 AS reexport, '' AS consumer FROM orders
+        UNION ALL SELECT concat('f', n_nationkey), concat('f', (n_nationkey + 7) % 25), 'read', false, false, n_nationkey % 3 = 0, n_nationkey % 2 = 0, '' FROM nation
+        UNION ALL SELECT concat('h', s_suppkey), concat('m', s_suppkey * 5), 'read', false, false, false, false, '' FROM supplier""",
+    "module_roots": "SELECT concat('f', n_nationkey) AS id FROM nation WHERE n_regionkey = 2",
+    "members": """
+        SELECT concat('wide', o_orderkey) AS key, concat('o', o_orderkey) AS within, 2 AS from_line, 1 AS from_col, 5 AS to_line, 9 AS to_col FROM orders
+        UNION ALL SELECT concat('slim', o_orderkey), concat('o', o_orderkey), 3, 2, 3, 9 FROM orders""",
+    "placed_refs": "SELECT row_number() OVER (ORDER BY from_id, to_id, use, path, line, test) AS ref_ord, r.*, CAST(1 + line % 3 AS INT) AS col FROM refs r",
+    "opaque": "SELECT concat('c', c_custkey) AS id FROM customer WHERE c_custkey % 13 = 0",
+    "schema_reads": "SELECT concat('p', p_partkey) AS from_id, concat('p', (p_partkey * 11 + 3) % (SELECT count(*) FROM part)) AS to_id FROM part WHERE p_size > 25",
+    "member_reads": "SELECT concat('c', o_custkey) AS from_id, concat('slim', o_orderkey) AS member FROM orders UNION ALL SELECT concat('o', o_orderkey), concat('wide', o_orderkey) FROM orders",
+    "dir_peers": "SELECT DISTINCT m.dir, m.name, concat('pkg', (n_nationkey * 3 + 2) % 25) AS peer FROM manifests m JOIN nation ON m.name = concat('pkg', n_nationkey)",
+    "dir_needed": "SELECT DISTINCT dir, name FROM manifests WHERE name IN ('pkg1', 'pkg4', 'pkg17')",
     "edge_sides": "SELECT concat('e', p_partkey % 700) AS edge, CASE WHEN p_partkey % 2 = 0 THEN 'provides' ELSE 'used_by' END AS side, concat('p', p_partkey * 2) AS symbol FROM part",
 }
 

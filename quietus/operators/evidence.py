@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quietus.graph.walk import reach
 from quietus.operators.codes import MEMBERS, TYPE_KINDS
+from quietus.operators.selfcheck import subject_of
 
 
 def made_by_tests(references: DataFrame, support: DataFrame) -> DataFrame:
@@ -124,10 +125,10 @@ def configured(entries: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def bound_symbols(entries: DataFrame, symbols: DataFrame, holder: Column) -> DataFrame:
-    """(entry, bound, by_holder): the declarations that an entry's reference and path name; where there is none, those of the declaration that holds the parameter it names (``holder``). ``entries``: entry, ref, path."""
+    """(entry, bound, by_holder): the declarations that an entry's reference and path name; for a code about parts, where there is none, those of the declaration that holds the part it names (``holder``). ``entries``: entry, code, ref, path."""
     at = symbols.select("id", "ref", "path")
     direct = entries.join(at, ["ref", "path"]).select("entry", F.col("id").alias("bound"), F.lit(False).alias("by_holder"))
-    rest = entries.join(direct.select("entry"), "entry", "left_anti").select("entry", "path", holder.alias("ref"))
+    rest = entries.where(subject_of("code") == "part").join(direct.select("entry"), "entry", "left_anti").select("entry", "path", holder.alias("ref"))
     return direct.unionByName(rest.join(at, ["ref", "path"]).select("entry", F.col("id").alias("bound"), F.lit(True).alias("by_holder")))
 
 

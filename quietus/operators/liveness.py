@@ -10,6 +10,7 @@ from quietus.graph.edges import counted_refs, graph_edges, reference_counts, who
 from quietus.graph.scc import referenced_cycles, strong_components
 from quietus.graph.tiers import paths_back, tiered_walk
 from quietus.graph.walk import PASSED, reach, steps_of, walk
+from quietus.operators.evidence import whole_reads_of_groups
 from quietus.operators.joins import gap_and_island_lines
 from quietus.session import cut
 
@@ -17,11 +18,16 @@ from quietus.session import cut
 CALLERLESS = ["published-api"]
 
 
+def exports_of(symbols: DataFrame) -> DataFrame:
+    """(id, child): what a whole read of a declaration enters. Merged declarations read as one where the facts tell them (ref, is_static, block); else only files have exports."""
+    return whole_reads_of_groups(symbols) if {"ref", "is_static", "block"} <= set(symbols.columns) else whole_reads(symbols)
+
+
 def sweep_reach(symbols: DataFrame, references: DataFrame, roots: DataFrame, held: DataFrame, gates: DataFrame | None = None, production: bool = True, guessed: bool = False) -> DataFrame:
     """The walk of one view: roots are used and pass on; held seeds are used in the holding tier."""
     known = symbols.select(F.col("id").alias("node")).distinct()
     seeds = roots.select(F.col("id").alias("node"), F.lit(False).alias("holds"), F.lit(True).alias("passes")).unionByName(held.select(F.col("id").alias("node"), F.lit(True).alias("holds"), F.lit(False).alias("passes"))).join(known, "node", "left_semi").distinct()
-    return walk(graph_edges(references, symbols), seeds, whole_reads(symbols), gates, production, guessed)
+    return walk(graph_edges(references, symbols), seeds, exports_of(symbols), gates, production, guessed)
 
 
 def judge(symbols: DataFrame, references: DataFrame, roots: DataFrame, held: DataFrame, exempt: DataFrame, gates: DataFrame | None = None, production: bool = True, reached: DataFrame | None = None) -> DataFrame:
@@ -128,7 +134,7 @@ def tier_walk(symbols: DataFrame, references: DataFrame, roots: DataFrame, seeds
     """(node, tier, depth, by, by_tier): one walk over all of TIERS, and the steps back. ``seeds``: id, tier, file (of a gate)."""
     known = symbols.select(F.col("id").alias("node")).distinct()
     gates = seeds.where("tier = 'gated'").select("file", "id").distinct()
-    inner, outer = steps_of(graph_edges(references, symbols), whole_reads(symbols), gates, production)
+    inner, outer = steps_of(graph_edges(references, symbols), exports_of(symbols), gates, production)
     own = roots.select(F.col("id").alias("node"), F.lit(False).alias("holds"), F.lit(True).alias("passes"), F.lit(0).alias("tier"))
     at = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")).cast("int") - 1
     held = seeds.where("tier <> 'gated'").select(F.col("id").alias("node"), F.lit(True).alias("holds"), F.lit(False).alias("passes"), at.alias("tier"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietus.operators import selfcheck
 from quietus.session import cut
 
 # The issue vocabulary: code, name, default severity. Fixed values.
@@ -63,32 +64,35 @@ def withheld_counts(findings: DataFrame, least: str) -> DataFrame:
     return findings.where(low).groupBy("confidence").agg(F.count("*").alias("n"))
 
 
+#: What a claim takes: all findings of one code at one position.
+POSITION = ["code", "path", "line", "col"]
+
+
 def claims(findings: DataFrame, records: DataFrame) -> DataFrame:
-    """(finding key, record_ord): the first record, in reading order, that names each finding.
+    """(finding, POSITION, withheld, record_ord): the findings that each record claims. ``finding`` is added where it is missing.
 
-    A record bound to a declaration names that one only; others of its entry are not its. A directive in the code (mechanism ``inline``) names what is about its declaration, in its own file, whatever the reference.
+    A record claims what it names (``selfcheck.named``) and no earlier one has; who claims one finding of a code at a position has taken that position for the code.
     """
-    records = records if "mechanism" in records.columns else records.withColumn("mechanism", F.lit("ignore"))
-    entries = records.where("mechanism <> 'inline'")
-    bound = entries.where("bound <> ''").select("code", "symbol", "path", F.col("bound").alias("declaration")).distinct().withColumn("spoken_for", F.lit(True))
-    f = findings.withColumnRenamed("ref", "symbol").join(bound, ["code", "symbol", "path", "declaration"], "left")
-    hits = f.join(entries.select("record_ord", "code", "symbol", "path", "bound"), ["code", "symbol", "path"]).where("declaration = '' or spoken_for is null or declaration = bound")
-    keys = ["code", "declaration", "path", "line", "col"]
-    inline = records.where("mechanism = 'inline' and bound <> ''").select("record_ord", "code", F.col("bound").alias("declaration"), "path")
-    direct = findings.join(inline, ["code", "declaration", "path"])
-    return hits.select(*keys, "record_ord").unionByName(direct.select(*keys, "record_ord")).groupBy(*keys).agg(F.min("record_ord").alias("record_ord"))
+    rows = findings if "finding" in findings.columns else findings.withColumn("finding", F.concat_ws("\u0000", *POSITION, "declaration", "ref"))
+    rows = cut(rows)
+    hits = cut(selfcheck.named(rows, records).join(rows.select("finding", *POSITION, "withheld").distinct(), "finding"))
+    owner = hits.groupBy(*POSITION).agg(F.min("record_ord").alias("record_ord"))
+    return hits.join(owner, [*POSITION, "record_ord"])
 
 
-def ledger(findings: DataFrame, records: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """(record_ord, verdict, claimed): in-effect, dormant (all it claims is withheld, or it is bound, claims none and its code is allowed) or stale.
+def ledger(findings: DataFrame, records: DataFrame, allowed: list[str] | None = None, holds: DataFrame | None = None, claimed: DataFrame | None = None) -> DataFrame:
+    """(record_ord, verdict, claimed): in-effect, dormant or stale.
 
-    Claiming in reading order equals taking, for each finding, the smallest record that names it.
+    A record is dormant where all it claims is withheld, or where it is bound, claims none, and its code is ``allowed`` or a hold (``holds``: id) keeps its declaration. ``claimed``: what ``claims`` gives, if it is known.
     """
-    owner = claims(findings, records)
-    kept = findings.select("code", "declaration", "path", "line", "col", "withheld").join(owner, ["code", "declaration", "path", "line", "col"])
+    kept = claims(findings, records) if claimed is None else claimed
     n = kept.groupBy("record_ord").agg(F.count("*").alias("claimed"), F.bool_and("withheld").alias("all_withheld"))
     rows = records.join(n, "record_ord", "left")
-    dormant = F.when(F.col("claimed").isNull(), (F.col("bound") != "") & F.col("code").isin(allowed or [])).otherwise(F.col("all_withheld"))
+    if holds is None:
+        rows = rows.withColumn("hold", F.lit(False))
+    else:
+        rows = rows.join(holds.select(F.col("id").alias("bound"), F.lit(True).alias("hold")).distinct(), "bound", "left").na.fill(False, ["hold"])
+    dormant = F.when(F.col("claimed").isNull(), (F.col("bound") != "") & (F.col("code").isin(allowed or []) | F.col("hold"))).otherwise(F.col("all_withheld"))
     verdict = F.when(dormant, "dormant").when(F.col("claimed").isNull(), "stale").otherwise("in-effect")
     return rows.select("record_ord", verdict.alias("verdict"), F.coalesce("claimed", F.lit(0)).alias("claimed"))
 
@@ -199,16 +203,16 @@ def edge_evaluations(sides: DataFrame, judged: DataFrame) -> DataFrame:
     return per.select("edge", F.when(F.col("live") > 0, "live").when(F.col("absent") == F.col("n"), "absent").otherwise("dead").alias("state"), "live", "absent")
 
 
-def text_line() -> Column:
-    return F.format_string("%s:%d:%d: %s %s (%s, %s)", "path", "line", "col", "code", "ref", "severity", "confidence")
+def text_line(said: str = "ref") -> Column:
+    return F.format_string("%s:%d:%d: %s %s (%s, %s)", "path", "line", "col", "code", said, "severity", "confidence")
 
 
-def annotation_line() -> Column:
+def annotation_line(said: str = "ref") -> Column:
     """A workflow command: data and properties escaped, severity as level."""
     level = F.when(F.col("severity") == "deny", "error").when(F.col("severity") == "warn", "warning").otherwise("notice")
     data = lambda c: F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     prop = lambda c: F.replace(F.replace(data(c), F.lit(":"), F.lit("%3A")), F.lit(","), F.lit("%2C"))
-    return F.concat(F.lit("::"), level, F.lit(" file="), prop(F.col("path")), F.lit(",line="), F.col("line").cast("string"), F.lit(",title="), prop(F.col("code")), F.lit("::"), data(F.col("ref")))
+    return F.concat(F.lit("::"), level, F.lit(" file="), prop(F.col("path")), F.lit(",line="), F.col("line").cast("string"), F.lit(",title="), prop(F.col("code")), F.lit("::"), data(F.col(said)))
 
 
 def sarif(findings: DataFrame, pieces: int = 1) -> DataFrame:
@@ -216,7 +220,7 @@ def sarif(findings: DataFrame, pieces: int = 1) -> DataFrame:
     level = F.when(F.col("severity") == "deny", "error").when(F.col("severity") == "warn", "warning").otherwise("note")
     region = F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn"))
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    result = F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(F.col("ref").alias("text")).alias("message"), F.array(location).alias("locations"), F.struct(F.sha2(F.concat_ws("\n", "code", "ref"), 256).alias("symbol/v1")).alias("partialFingerprints"))
+    result = F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(F.col("message" if "message" in findings.columns else "ref").alias("text")).alias("message"), F.array(location).alias("locations"), F.struct(F.sha2(F.concat_ws("\n", "code", "ref"), 256).alias("symbol/v1")).alias("partialFingerprints"))
     keyed = findings.where("not withheld").select(F.struct(*CANONICAL).alias("k"), result.alias("r"))
     dealt = keyed.groupBy(F.pmod(F.xxhash64("k"), F.lit(pieces))) if pieces > 1 else keyed
     listed = dealt.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]).alias("results"))

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from quietus.functions import template as templates
 from quietus.functions.schema import refusals
-from quietus.graph.edges import visibility_reach, write_only
-from quietus.operators import codes, liveness, rules, selfcheck
+from quietus.functions import refs as messages
+from quietus.functions.refs import parameter_holder as refs_of_parts
+from quietus.graph.edges import graph_edges, visibility_reach, write_only
+from quietus.graph.maintain import Maintained
+from quietus.operators import codes, evidence, liveness, rules, selfcheck
 from quietus.session import cut, ship
 
 
@@ -147,51 +150,152 @@ EMITTERS: dict[str, Callable[[dict[str, DataFrame], DataFrame, Config], DataFram
 }
 
 
-def analyze(facts: dict[str, DataFrame], config: Config | None = None) -> Analysis:
-    """Facts: symbols, references, roots, held_seeds, exempt; optionally gates, unanswered, records (exemptions: id, while_live, unanswered), those of FLAG_FACTS, exposed, parts with signatures, calls and callers_unknown,
-    imports, dependencies with needs and ran, written_records, asked and matched roots and declarations, tree, skipped, suppressions, test_used.
-    """
-    config = config or Config()
-    ship(facts["symbols"].sparkSession)
-    symbols, references = facts["symbols"], facts["references"]
+def _seeded(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(held, exempt, gates): the seeds and exemptions of the facts, those of exemption records among them: what their declarations use stays."""
     held, exempt, gates = facts["held_seeds"].select("id"), facts["exempt"].select("id"), facts.get("gates")
-    if "records" in facts:  # exemption records are seeds, too: what their declarations use stays
+    if "records" in facts:
         unanswered = facts["unanswered"] if "unanswered" in facts else held.limit(0)
-        seeds = cut(liveness.seeds_of(facts["records"], symbols, unanswered))
+        seeds = cut(liveness.seeds_of(facts["records"], facts["symbols"], unanswered))
         own = seeds.where("tier <> 'gated'").select("id")
         held, exempt = held.unionByName(own).distinct(), exempt.unionByName(own).distinct()
         more = seeds.where("tier = 'gated'").select("file", "id")
         gates = more if gates is None else gates.select("file", "id").unionByName(more).distinct()
-    reached = cut(liveness.sweep_reach(symbols, references, facts["roots"], held, gates, config.production, config.guessed))
-    judged = cut(liveness.judge(symbols, references, facts["roots"], held, exempt, gates, config.production, reached))
-    components = cut(liveness.numbered(liveness.components(judged, references), config.product))
+    return held, exempt, gates
+
+
+def _derived(facts: dict[str, DataFrame], judged: DataFrame, reached: DataFrame) -> dict[str, DataFrame]:
+    """``facts`` with those that others give: tests of dead code and what tests keep (from test_code and support), exposed types (from carriers and outside), what tests use (from test_seeds)."""
+    facts, dead = dict(facts), judged.where("dead").select("id")
+    edges = facts["references"].select("from_id", "to_id", "test")
+    if "test_code" in facts and "support" in facts:
+        code = facts["test_code"].select("id").unionByName(facts["support"].select("id")).distinct()
+        if "tests_of_dead" not in facts:
+            facts["tests_of_dead"] = cut(liveness.tests_of_dead_code(edges.select("from_id", "to_id"), code, facts["support"].select("id"), dead, judged.where("kind <> 'file'").select("id")))
+        if "kept_by_tests" not in facts:
+            met = facts["test_code"].select("id").join(reached.select(F.col("node").alias("id")), "id", "left_semi")
+            facts["kept_by_tests"] = liveness.kept_by_tests(edges, met, facts["tests_of_dead"])
+    if "exposed" not in facts and "carriers" in facts and "outside" in facts:
+        unread = facts["unread"] if "unread" in facts else dead.limit(0)
+        facts["exposed"] = evidence.exposed_types(facts["symbols"], facts["carriers"], facts["outside"], unread)[0]
+    if "test_used" not in facts and "test_seeds" in facts:
+        facts["test_used"] = liveness.test_used_reach(edges, facts["test_seeds"], dead)
+    return facts
+
+
+@dataclass
+class View:
+    """What one set of seeds makes of the facts."""
+
+    judged: DataFrame
+    components: DataFrame
+    rows: DataFrame
+
+
+def view_of(facts: dict[str, DataFrame], config: Config, reached: DataFrame, exempt: DataFrame, gates: DataFrame | None) -> View:
+    """Findings, dialled but not held against records, of declarations judged under ``reached`` (node, level)."""
+    symbols, references = facts["symbols"], facts["references"]
+    judged = cut(liveness.judge(symbols, references, facts["roots"], facts["held_seeds"], exempt, gates, config.production, reached))
+    facts = _derived(facts, judged, reached)
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows for emit in EMITTERS.values() if (rows := emit(facts, judged, config)) is not None])
     for name, kind in (("path", "string"), ("line", "int"), ("ref", "string"), ("confidence", "string")):
         found = found.withColumn(f"own_{name}", F.col(name) if name in found.columns else F.lit(None).cast(kind)).drop(name)
-    at = judged.select("id", "path", "line", "end_line", F.concat(F.lit("ts://"), F.col("path"), F.lit("#"), F.col("name")).alias("ref"))
+    found = cut(found)
+    # A file that nothing imports takes what it holds with it.
+    gone = found.where("code = 'DS1602'").select("id")
+    components = cut(liveness.numbered(liveness.components_with_files(judged, references, gone), config.product))
+    at = judged.select("id", "path", "line", "end_line", "kind", "name", "exported", "production", "test", F.concat(F.lit("ts://"), F.col("path"), F.lit("#"), F.col("name")).alias("ref"))
     used = facts["test_used"].select("id", F.lit(True).alias("test_used")).distinct() if "test_used" in facts else at.select("id", F.lit(False).alias("test_used")).limit(0)
     part = F.col("own_ref").isNotNull()  # what is no declaration of its own falls with none
     rows = found.join(at, "id", "left").join(components.select("id", F.col("component_id").alias("component"), F.col("root").alias("is_root"), "lines"), "id", "left").join(used, "id", "left")
+    wrote = write_only(references, exempt).select("id", "writes")
+    rows = rows.join(wrote, "id", "left").withColumns({"none": F.lit(0).cast("long"), "reach": F.lit("public"), "part": F.regexp_extract(F.coalesce("own_ref", F.lit("")), r"\(([^()]*)\)$", 1)})
+    said = messages.message("code", "kind", F.when(part, "part").otherwise("name"), "exported", "reach", "relation", "production", "test", "none", "writes", "name")
     rows = rows.select(
         "code", F.col("id").alias("declaration"), "relation", F.coalesce("own_path", "path").alias("path"), F.coalesce("own_line", "line").alias("line"), F.lit(1).alias("col"), F.coalesce("own_ref", "ref").alias("ref"), F.coalesce("own_confidence", F.lit("certain")).alias("confidence"), F.coalesce("test_used", F.lit(False)).alias("test_used"),
+        F.when(part & (F.col("id") != ""), F.col("ref")).alias("holder"), F.coalesce(said, F.coalesce("own_ref", "ref")).alias("message"),
         F.when(part, F.concat(F.lit("own:"), "own_ref")).otherwise(F.coalesce("component", F.concat(F.lit("own:"), F.col("id")))).alias("component"), (part | F.coalesce("is_root", F.lit(True))).alias("is_root"), F.when(part, 0).otherwise(F.coalesce("lines", F.lit(0))).alias("lines"),
         F.when(part, 1).otherwise(F.greatest(F.lit(0), F.col("end_line") - F.col("line")) + 1).alias("subject_lines"),
     )
     if "skipped" in facts:
         rows = codes.outside_skipped(rows, facts["skipped"])
-    rows = cut(rules.withheld(rules.confidence(rows, config.roots_complete), config.least, config.severity))
-    verdicts, stale = None, rows.limit(0).select("code")
+    return View(judged, components, cut(rules.withheld(rules.confidence(rows, config.roots_complete), config.least, config.severity)))
+
+
+#: Codes whose findings a record's mark can take away: those of a liveness relation. Fixed values.
+MARKABLE = ["DS1001", "DS1002", "DS1003", "DS1101", "DS1102", "DS1103", "DS1104", "DS1201", "DS1202", "DS1005", "DS1006", "DS1602", "DS1701"]
+
+
+def decided(would: View, marked: View, records: DataFrame, config: Config, holds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings under the records, verdicts): a record is held against the findings there would be without any record's mark, where a mark can take them away, else against those under the marks."""
+    markable = F.col("code").isin(MARKABLE)
+    against = would.rows.where(markable).unionByName(marked.rows.where(~markable))
+    taken = cut(rules.claims(against, records))
+    verdicts = cut(rules.ledger(against, records, [c for c, s in config.severity.items() if s == "allow"], holds, taken))
+    claimed = taken.select(*rules.POSITION, F.lit(True).alias("suppressed")).distinct()
+    rows = marked.rows.join(claimed, rules.POSITION, "left").withColumn("withheld", F.col("withheld") | F.coalesce("suppressed", F.lit(False))).drop("suppressed")
+    return cut(rows), verdicts
+
+
+def analyze(facts: dict[str, DataFrame], config: Config | None = None) -> Analysis:
+    """Facts: symbols, references, roots, held_seeds, exempt; optionally gates, unanswered, records (exemptions: id, while_live, unanswered), those of FLAG_FACTS and exposed, test_used or what gives them (see ``_derived``), parts with
+    signatures, calls and callers_unknown, imports, dependencies with needs and ran, written_records, asked and matched roots and declarations, tree, skipped, suppressions.
+
+    Declarations that suppressions are bound to are marked: they stay, and what they use stays. The run is judged once under the marks and once under none.
+    """
+    config = config or Config()
+    ship(facts["symbols"].sparkSession)
+    symbols, references = facts["symbols"], facts["references"]
+    held, exempt, gates = _seeded(facts)
+    reached = cut(liveness.sweep_reach(symbols, references, facts["roots"], held, gates, config.production, config.guessed))
+    would = view_of(facts, config, reached, exempt, gates)
+    shown, rows, verdicts, stale = would, would.rows, None, would.rows.limit(0).select("code")
     if "suppressions" in facts:
         records = facts["suppressions"]
-        allowed = [c for c, s in config.severity.items() if s == "allow"]
-        verdicts = cut(rules.ledger(rows, records, allowed))
+        marks = cut(records.where("bound <> ''").select(F.col("bound").alias("id")).join(symbols.select("id"), "id", "left_semi").distinct())
+        if not marks.isEmpty():
+            reached = cut(liveness.sweep_reach(symbols, references, facts["roots"], held.unionByName(marks).distinct(), gates, config.production, config.guessed))
+            shown = view_of(facts, config, reached, exempt.unionByName(marks).distinct(), gates)
+        rows, verdicts = decided(would, shown, records, config, facts.get("unanswered"))
         stale = cut(rules.stale_sites(verdicts, records))
-        key = ["code", "declaration", "path", "line", "col"]
-        claimed = rules.claims(rows, records).select(*key, F.lit(True).alias("suppressed")).distinct()
-        rows = rows.join(claimed, key, "left").withColumn("withheld", F.col("withheld") | F.coalesce("suppressed", F.lit(False))).drop("suppressed")
-    rows = cut(rows)
     published = rules.top(rows.where("not withheld"), config.most, config.sort).drop("place") if config.most else rows
-    return Analysis(judged, reached, components, published, verdicts, stale, rules.verdict(rows, stale, config.fail_on))
+    return Analysis(shown.judged, reached, shown.components, published, verdicts, stale, rules.verdict(rows, stale, config.fail_on))
+
+
+def baseline_write(facts: dict[str, DataFrame], config: Config | None = None, max_rounds: int = 64) -> DataFrame:
+    """(code, ref, path): the rows a baseline settles on, found by repeated analysis from no rows at all.
+
+    A round reads the rows recorded so far: the declarations they are bound to are marked, so what these use stays and its findings go. It records a row for each finding left, and takes out rows that name no finding; a row taken out never returns.
+    The walk is kept up from round to round: only the marks that come and go are walked, and their consequences.
+    """
+    config = config or Config()
+    symbols = facts["symbols"]
+    held, exempt, gates = _seeded(facts)
+    known = symbols.select(F.col("id").alias("node")).distinct()
+    seed = lambda rows, holds: rows.select(F.col("id").alias("node"), F.lit(holds).alias("holds"), F.lit(not holds).alias("passes"))
+    seeds = seed(facts["roots"], False).unionByName(seed(held, True)).join(known, "node", "left_semi").distinct()
+    walked = Maintained(graph_edges(facts["references"], symbols), seeds, liveness.exports_of(symbols), gates, config.production, config.guessed)
+    would = view_of(facts, config, cut(walked.reached()), exempt, gates)
+    key = ["code", "ref", "path"]
+    named = symbols.select("id", "path", F.concat(F.lit("ts://"), F.col("path"), F.lit("#"), F.col("name")).alias("ref"))
+    rows = gone = cut(rules.baseline_rows(would.rows).limit(0))
+    marks = cut(named.select("id").limit(0))
+    for _ in range(max_rounds):
+        bound = evidence.bound_symbols(rows.withColumn("entry", F.struct(*key)), named, refs_of_parts("ref"))
+        records = cut(rows.withColumn("entry", F.struct(*key)).join(bound, "entry", "left").select(F.xxhash64(*key, "bound").alias("record_ord"), "code", F.col("ref").alias("symbol"), "path", F.coalesce("bound", F.lit("")).alias("bound"), F.lit("baseline").alias("mechanism"), F.concat_ws("\u0000", *key).alias("site")))
+        now = cut(records.where("bound <> ''").select(F.col("bound").alias("id")).distinct().join(held, "id", "left_anti"))
+        walked.change(seed(now.join(marks, "id", "left_anti"), True), seed(marks.join(now, "id", "left_anti"), True))
+        marks = now
+        marked = would if rows.isEmpty() else view_of(facts, config, cut(walked.reached()), exempt.unionByName(marks).distinct(), gates)
+        left, verdicts = decided(would, marked, records, config, facts.get("unanswered"))
+        live = records.join(verdicts.where("verdict <> 'stale'"), "record_ord", "left_semi").select("code", F.col("symbol").alias("ref"), "path").distinct()
+        stale = cut(rows.join(live, key, "left_anti"))
+        gone = cut(gone.unionByName(stale).distinct())
+        kept = cut(rows.join(stale, key, "left_anti"))
+        add = cut(rules.baseline_rows(left).join(gone, key, "left_anti").join(kept, key, "left_anti"))
+        if stale.isEmpty() and add.isEmpty():
+            return kept
+        rows = cut(kept.unionByName(add))
+    raise RuntimeError("the baseline did not settle within max_rounds")
 
 
 def explain(analysis: Analysis, name: str) -> DataFrame:
@@ -205,23 +309,15 @@ def explain(analysis: Analysis, name: str) -> DataFrame:
     return rows.select("id", "kind", state.alias("state"), "relation", "component", "depth")
 
 
-def path_to(facts: dict[str, DataFrame], analysis: Analysis, target: str) -> list[str]:
-    """One shortest chain of declarations from a seed to ``target``, by stepping down the depths of the walk; empty if it is not reached."""
-    depth = analysis.reached.select("node", "depth")
-    at = depth.where(F.col("node") == target).first()
-    if at is None:
-        return []
-    chain, left = [target], at["depth"]
-    steps = facts["references"].select(F.col("from_id").alias("node"), "to_id")
-    children = facts["symbols"].where("exported").select(F.col("parent").alias("node"), F.col("id").alias("to_id"))
-    steps = steps.unionByName(children)
-    while left > 0:
-        before = steps.where(F.col("to_id") == chain[0]).join(depth, "node").where(F.col("depth") == left - 1).orderBy("node").first()
-        if before is None:
-            break
-        chain.insert(0, before["node"])
-        left -= 1
-    return chain
+def path_to(facts: dict[str, DataFrame], target: str, production: bool = True) -> list[str]:
+    """One shortest chain of declarations from a seed to ``target`` in the first view that reaches it; empty if none does. ``liveness.explained_paths`` gives those of many targets."""
+    symbols = facts["symbols"]
+    seeds = facts["held_seeds"].select("id", F.lit("record").alias("tier"), F.lit(None).cast("string").alias("file"))
+    if "gates" in facts:
+        seeds = seeds.unionByName(facts["gates"].select("id", F.lit("gated").alias("tier"), F.col("file").cast("string").alias("file")))
+    walked = cut(liveness.tier_walk(symbols, facts["references"], facts["roots"], seeds, production))
+    chain = liveness.explained_paths(walked, symbols.where(F.col("id") == target).select("id")).orderBy("place").collect()
+    return [r["step"] for r in chain]
 
 
 REPORT_SCHEMA = {
@@ -259,11 +355,15 @@ def _json(findings: DataFrame) -> DataFrame:
     return head.unionByName(body).unionByName(tail).orderBy("at", *rules.CANONICAL, "nth").select("value")
 
 
+def _said(findings: DataFrame) -> str:
+    return "message" if "message" in findings.columns else "ref"
+
+
 #: format -> findings -> rows of one column, ``value``.
 RENDERINGS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "json": _json,
-    "text": lambda f: rules.ordered(f.where("not withheld")).select(rules.text_line().alias("value")),
-    "annotations": lambda f: rules.ordered(f.where("not withheld")).select(rules.annotation_line().alias("value")),
+    "text": lambda f: rules.ordered(f.where("not withheld")).select(rules.text_line(_said(f)).alias("value")),
+    "annotations": lambda f: rules.ordered(f.where("not withheld")).select(rules.annotation_line(_said(f)).alias("value")),
     "sarif": lambda f: rules.sarif(f).select(F.col("sarif").alias("value")),
 }
 

@@ -166,7 +166,7 @@ def unmatched_configured_declarations(spark, sf):
     return selfcheck.unmatched_everywhere(found.select(F.col("entry").alias("source")), found.select(F.col("entry").alias("source"), F.col("ids").alias("found")))
 
 
-@query(ctes("typed", "record_entries") + ", d AS (SELECT entry, t.id AS bound FROM record_entries e JOIN typed t ON t.ref = e.ref AND t.path = e.path) SELECT entry, bound, false AS by_holder FROM d UNION ALL SELECT e.entry, t.id, true FROM record_entries e JOIN typed t ON t.path = e.path AND t.ref = CASE WHEN ends_with(e.ref, ')') THEN regexp_replace(e.ref, '\\([^(]*$', '') ELSE e.ref END WHERE e.entry NOT IN (SELECT entry FROM d)")
+@query(ctes("typed", "record_entries") + ", d AS (SELECT entry, t.id AS bound FROM record_entries e JOIN typed t ON t.ref = e.ref AND t.path = e.path) SELECT entry, bound, false AS by_holder FROM d UNION ALL SELECT e.entry, t.id, true FROM record_entries e JOIN typed t ON t.path = e.path AND t.ref = CASE WHEN ends_with(e.ref, ')') THEN regexp_replace(e.ref, '\\([^(]*$', '') ELSE e.ref END WHERE e.code IN ('DS1401', 'DS1403', 'DS1404', 'DS1405', 'DS1406') AND e.entry NOT IN (SELECT entry FROM d)")
 def bound_suppressions(spark, sf):
     return evidence.bound_symbols(fact(spark, sf, "record_entries"), fact(spark, sf, "typed"), refs.parameter_holder("ref"))
 
@@ -205,12 +205,25 @@ def capped_findings(spark, sf):
     return components.agg(F.lit(omitted).cast("long").alias("omitted"), F.count("*").alias("components"))
 
 
+_SUBJECT = "CASE kind WHEN 'class-member' THEN 'class member' WHEN 'export-alias' THEN 're-export' WHEN 'type' THEN 'type alias' ELSE kind END || ' ' || name"
+_VISIBLE = "CASE WHEN visibility LIKE 'private%' THEN 'private ' WHEN visibility = 'protected' THEN 'protected ' ELSE '' END"
+
+
 @query(
-    ctes("message_rows") + ", m AS (SELECT *, list_filter([CASE WHEN production = 1 THEN '1 reference' WHEN production > 1 THEN production || ' references' END, CASE WHEN test = 1 THEN '1 test reference' WHEN test > 1 THEN test || ' test references' END], lambda x: x IS NOT NULL) AS u FROM message_rows)"
-    " SELECT id, replace(kind, '-', ' ') || ' ' || name || ' is ' || CASE code WHEN 'DS1001' THEN 'exported and unused' WHEN 'DS1102' THEN 'used by tests only' WHEN 'DS1503' THEN 'exported, and used in its file only' ELSE 'reported' END || CASE len(u) WHEN 0 THEN '' WHEN 1 THEN ' (' || u[1] || ')' ELSE ' (' || u[1] || ' and ' || u[2] || ')' END AS message FROM m"
+    ctes("message_rows") + f", s AS (SELECT *, {_SUBJECT} AS s, {_VISIBLE} AS v, relation = 'reachability' AS dead_only, test > 0 AND test = evidence AS ev FROM message_rows), q AS (SELECT *, CASE WHEN code = 'DS1003' THEN v || s WHEN kind = 'export-alias' THEN s WHEN exported THEN 'exported ' || s ELSE 'unexported ' || s END AS q FROM s) SELECT id, CASE "
+    "WHEN code IN ('DS1001', 'DS1002', 'DS1003') THEN q || CASE WHEN dead_only THEN ' is referenced only from declarations that are themselves dead' WHEN code = 'DS1001' THEN ' has no reference in the target and none from any loaded consumer' ELSE ' has no reference in the target' END "
+    "WHEN code = 'DS1004' THEN 'import binding ' || name || ' is never read in its file' WHEN code = 'DS1005' THEN 'enum member ' || name || ' is named nowhere' WHEN code = 'DS1006' THEN 'type parameter ' || name || ' is named in neither its signature nor its body' "
+    "WHEN code = 'DS1101' THEN 'exported ' || s || CASE WHEN dead_only THEN ' is referenced only from declarations that are themselves dead' ELSE ' has no reference in the target' END || ', and nothing outside can import the file that declares it' "
+    "WHEN code = 'DS1102' THEN s || CASE WHEN production > 0 AND ev THEN ' is referenced only from declarations that are themselves dead and kept only by evidence in test files' WHEN production > 0 THEN ' is referenced only from test files and from declarations that are themselves dead' WHEN ev THEN ' is referenced from no file and kept only by evidence in test files' ELSE ' is referenced only from test files and never from production code' END "
+    "WHEN code = 'DS1103' THEN s || ' references only target symbols that are reported dead' WHEN code = 'DS1104' THEN 'deprecated ' || s || ' has no production reference' "
+    "WHEN code = 'DS1201' THEN CASE WHEN dead_only THEN s || ' is named as a type only from declarations that are themselves dead' WHEN test > 0 AND production = 0 THEN s || ' is named as a type only from test files' ELSE 'nothing in the target names ' || s || ' as a type' END "
+    "WHEN code = 'DS1202' THEN 'no call site invokes or selects ' || s || ' through the interface' WHEN code = 'DS1301' THEN v || s || ' is written ' || CASE WHEN writes = 1 THEN 'once' ELSE 'at ' || writes || ' positions' END || ' and never read' "
+    "WHEN code = 'DS1401' THEN 'parameter ' || name || ' of ' || holder || ' is never read in the body' WHEN code = 'DS1403' THEN 'result ' || name || ' of ' || holder || ' is discarded at every call site' WHEN code = 'DS1404' THEN 'value written to ' || name || ' in ' || holder || ' is never read' WHEN code = 'DS1405' THEN 'statement of ' || holder || ' is unreachable' "
+    "WHEN code = 'DS1406' THEN 'case ' || name || ' in ' || holder || ' is covered by an earlier case of the same switch' WHEN code = 'DS1501' THEN 'exported ' || s || ' is referenced only inside the package that declares it' WHEN code = 'DS1503' THEN 'exported ' || s || ' is referenced only inside the file that declares it' "
+    "WHEN dead_only THEN 'only code that is itself dead imports file ' || name || ', and no root names it or a declaration in it' ELSE 'no import reaches file ' || name || ' and no root names it or a declaration in it' END AS message FROM q"
 )
 def messages(spark, sf):
-    return fact(spark, sf, "message_rows").select("id", refs.message("code", "kind", "name", "production", "test").alias("message"))
+    return fact(spark, sf, "message_rows").select("id", refs.message("code", "kind", "name", "exported", "visibility", "relation", "production", "test", "evidence", "writes", "holder").alias("message"))
 
 
 _NAMES = "SELECT event_id, event_type AS name, concat(event_type, '''', event_id % 7, chr(92)) AS odd, concat('ts://pkg/src/', event_type, '.ts#') AS module, concat('ts://pkg/src/', event_type, '.ts#f', event_id % 9) AS holder FROM events"
@@ -240,6 +253,10 @@ def graph_edges_by_mode(spark, sf):
     return graph_edges(fact(spark, sf, "refs"), fact(spark, sf, "symbols")).groupBy("reads", "inside").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{m}')" for s, ms in selfcheck.REMEDIES.items() for m in ms) + ") v(subject, mechanism)")
+_MAY = "(VALUES " + ", ".join(f"('{s}', '{m}')" for s, ms in selfcheck.REMEDIES.items() for m in ms) + ") v(subject, mechanism)"
+
+
+@query(ctes("spoken_findings") + f", f AS (SELECT code, CASE WHEN code = 'DS1401' THEN 'part' WHEN code = 'DS1602' THEN 'file' WHEN code LIKE 'DS9%' THEN 'record' ELSE 'declaration' END AS subject FROM spoken_findings) SELECT code, mechanism, count(*) AS findings FROM f JOIN {_MAY} USING (subject) GROUP BY ALL")
 def remedies(spark, sf):
-    return selfcheck.remedies(spark)
+    rows = fact(spark, sf, "spoken_findings").select("code", selfcheck.subject_of("code").alias("subject"))
+    return rows.join(F.broadcast(selfcheck.remedies(spark)), "subject").groupBy("code", "mechanism").agg(F.count("*").alias("findings"))

@@ -14,7 +14,7 @@ from quietus.graph import edges, matrix
 from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
 from quietus.graph.walk import carrier_reach, peer_closure, reach, support_files
-from quietus.operators import codes, exemptions, joins, liveness, rules
+from quietus.operators import carriers, codes, exemptions, joins, liveness, rules
 from quietus.plans import analysis
 from quietus.session import cut
 from quietus.sources import manifests, tree
@@ -178,6 +178,20 @@ def reach_levels(spark, sf):
     return _sweep(spark, sf).select("node", "level", "passing")
 
 
+# The same walk over merged declarations: a whole read of one of them enters what all of them export.
+_GROUPS = "gr AS (SELECT id, parent, ref, block FROM symbols WHERE kind IN ('class', 'enum', 'function') OR block = 'value'), sp AS (SELECT DISTINCT parent, ref FROM gr WHERE block = 'value'), wr AS (SELECT c.parent AS id, c.id AS child FROM symbols c JOIN symbols h ON c.parent = h.id WHERE c.exported AND (h.kind = 'file' OR h.block = 'module') UNION SELECT g.id, c.id FROM symbols c JOIN symbols h ON c.parent = h.id JOIN sp ON sp.parent = h.parent AND sp.ref = h.ref JOIN gr g ON g.parent = h.parent AND g.ref = h.ref WHERE h.kind <> 'file' AND coalesce(h.block, '') <> 'module' AND ((h.block = 'value' AND c.exported) OR (h.kind = 'class' AND c.is_static) OR (h.kind = 'enum' AND c.kind = 'enum-member')))"
+_STEP = "CASE WHEN reads = 'export' THEN level WHEN reads = 'passes' THEN CASE WHEN passing THEN 4 WHEN level >= 2 THEN 3 ELSE 1 END WHEN reads = 'whole' THEN 3 ELSE 1 END"
+
+
+@query(
+    ctes("modules", "module_refs", "module_roots", recursive=True)
+    + f", symbols AS (SELECT * FROM modules), refs AS (SELECT * FROM module_refs){EDGES}, {_GROUPS}, steps AS (SELECT from_id AS node, to_id, reads, test FROM e WHERE inside UNION SELECT id, child, 'export', false FROM wr)"
+    + f", w(node, level, passing) AS (SELECT id, 2, true FROM module_roots UNION SELECT s.to_id, {_STEP}, ({_STEP}) = 4 FROM w JOIN steps s USING (node) WHERE (reads <> 'export' OR level >= 3) AND NOT test) SELECT node, max(level) AS level, bool_or(passing) AS passing FROM w GROUP BY node"
+)
+def reach_of_groups(spark, sf):
+    return liveness.sweep_reach(fact(spark, sf, "modules"), fact(spark, sf, "module_refs"), fact(spark, sf, "module_roots"), fact(spark, sf, "module_roots").limit(0)).select("node", "level", "passing")
+
+
 @query(walk_sql(gates=True) + " SELECT node, level, passing FROM reached")
 def gated_reach(spark, sf):
     return _sweep(spark, sf, gates=True).select("node", "level", "passing")
@@ -343,6 +357,28 @@ def exposed_types(spark, sf):
     return reach(fact(spark, sf, "carriers"), fact(spark, sf, "roots").where("kind = 'published-api'").select(F.col("id").alias("node")), "id", "carried_id").select(F.col("node").alias("id"))
 
 
+@query(
+    ctes("manifests", "dir_peers", "dir_needed", recursive=True)
+    + ", k(dir, name) AS (SELECT dir, name FROM dir_needed UNION SELECT m.dir, m.name FROM k JOIN dir_peers p ON p.dir = k.dir AND p.name = k.name JOIN manifests m ON m.name = p.peer AND (m.dir = '' OR m.dir = k.dir OR starts_with(k.dir, m.dir || '/'))) SELECT dir, name FROM k"
+)
+def peers_of_directories(spark, sf):
+    return carriers.needed_with_peers(fact(spark, sf, "manifests"), fact(spark, sf, "dir_peers"), fact(spark, sf, "dir_needed"))
+
+
+# References inside a member's span are the member's; nothing out of an opaque class, or of a member within one, is followed.
+@query(
+    ctes("symbols", "placed_refs", "roots", "members", "opaque", "schema_reads", "member_reads", recursive=True)
+    + ", own AS (SELECT r.*, coalesce((SELECT arg_max(key, from_line * 100 + from_col) FROM members m WHERE m.within = r.from_id AND (r.line, r.col) >= (from_line, from_col) AND (r.line, r.col) <= (to_line, to_col)), from_id) AS owner FROM placed_refs r WHERE to_id IN (SELECT id FROM symbols))"
+    + ", shut(id) AS (SELECT id FROM opaque UNION SELECT s.id FROM shut JOIN symbols s ON s.parent = shut.id), shut2 AS (SELECT id FROM shut UNION SELECT key FROM members WHERE within IN (SELECT id FROM shut)), nodes AS (SELECT id FROM symbols UNION SELECT key FROM members)"
+    + ", e AS (SELECT owner AS from_id, to_id, consumer = '' AND owner IN (SELECT id FROM nodes) AS inside, CASE WHEN NOT namespace THEN 'whole' WHEN reexport THEN 'passes' ELSE 'none' END AS reads FROM own WHERE use <> 'write' AND NOT test UNION SELECT from_id, to_id, true, 'none' FROM schema_reads UNION SELECT from_id, member, true, 'none' FROM member_reads)"
+    + ", steps AS (SELECT from_id AS node, to_id, reads FROM e WHERE inside AND from_id NOT IN (SELECT id FROM shut2) UNION SELECT f.id, s.id, 'export' FROM symbols s JOIN symbols f ON s.parent = f.id AND f.kind = 'file' WHERE s.exported)"
+    + f", w(node, level, passing) AS (SELECT id, 2, true FROM roots UNION SELECT to_id, CASE WHEN reads = 'passes' THEN 4 WHEN reads = 'whole' THEN 3 ELSE 1 END, reads = 'passes' FROM e WHERE NOT inside AND from_id NOT IN (SELECT id FROM shut2) UNION SELECT s.to_id, {_STEP}, ({_STEP}) = 4 FROM w JOIN steps s USING (node) WHERE reads <> 'export' OR level >= 3) SELECT DISTINCT node AS id, node IN (SELECT key FROM members) AS member FROM w"
+)
+def carried_by_hand(spark, sf):
+    symbols = fact(spark, sf, "symbols")
+    return carriers.carry(symbols, fact(spark, sf, "placed_refs"), edges.whole_reads(symbols), fact(spark, sf, "roots"), *[fact(spark, sf, n) for n in ("members", "opaque", "schema_reads", "member_reads")])
+
+
 @query(ctes("peers", "manifests", recursive=True) + ", k(name) AS (SELECT name FROM manifests WHERE dir = 'src' UNION SELECT peer FROM k JOIN peers USING (name)) SELECT name FROM k")
 def peers_needed(spark, sf):
     return peer_closure(fact(spark, sf, "manifests").where("dir = 'src'"), fact(spark, sf, "peers"))
@@ -375,12 +411,19 @@ def withheld_counts(spark, sf):
     return rules.withheld_counts(_found(spark, sf), "probable")
 
 
-LEDGER = FOUND + ", b AS (SELECT DISTINCT code, symbol, path, bound AS declaration FROM suppressions WHERE bound <> ''), hit AS (SELECT f.code, f.declaration, f.path, f.line, f.withheld, s.record_ord, row_number() OVER (PARTITION BY f.code, f.declaration, f.path, f.line ORDER BY s.record_ord) AS k FROM found f JOIN suppressions s ON f.code = s.code AND f.ref = s.symbol AND f.path = s.path WHERE (f.code, f.ref, f.path, f.declaration) NOT IN (SELECT (code, symbol, path, declaration) FROM b) OR f.declaration = s.bound), n AS (SELECT record_ord, count(*) AS claimed, bool_and(withheld) AS w FROM hit WHERE k = 1 GROUP BY record_ord), ledger AS (SELECT s.record_ord, CASE WHEN claimed IS NULL THEN CASE WHEN bound <> '' AND code = 'DS1003' THEN 'dormant' ELSE 'stale' END WHEN w THEN 'dormant' ELSE 'in-effect' END AS verdict, coalesce(claimed, 0) AS claimed FROM suppressions s LEFT JOIN n USING (record_ord))"
-LEDGER = LEDGER.replace("(f.code, f.ref, f.path, f.declaration) NOT IN (SELECT (code, symbol, path, declaration) FROM b)", "NOT EXISTS (SELECT 1 FROM b WHERE b.code = f.code AND b.symbol = f.ref AND b.path = f.path AND b.declaration = f.declaration)")
+# A record claims, in reading order, what it names and no earlier one took; what is taken is a code at a position.
+LEDGER = (
+    FOUND
+    + ", b AS (SELECT DISTINCT mechanism, site, code, bound FROM suppressions WHERE mechanism <> 'inline' AND bound <> '')"
+    + ", named AS (SELECT DISTINCT f.code, f.path, f.line, f.col, f.declaration, f.ref, f.withheld, s.record_ord FROM found f JOIN suppressions s ON s.code = f.code AND s.path = f.path WHERE CASE WHEN s.mechanism = 'inline' THEN s.bound <> '' AND s.bound = f.declaration ELSE s.symbol = f.ref AND (f.declaration = '' OR f.declaration = s.bound OR NOT EXISTS (SELECT 1 FROM b WHERE b.mechanism = s.mechanism AND b.site = s.site AND b.code = s.code AND b.bound = f.declaration)) END)"
+    + ", took AS (SELECT code, path, line, col, min(record_ord) AS record_ord FROM named GROUP BY ALL), n AS (SELECT record_ord, count(*) AS claimed, bool_and(withheld) AS w FROM named JOIN took USING (code, path, line, col, record_ord) GROUP BY record_ord)"
+    + ", ledger AS (SELECT s.record_ord, CASE WHEN claimed IS NULL THEN CASE WHEN bound <> '' AND (code = 'DS1003' OR bound IN (SELECT id FROM exempt)) THEN 'dormant' ELSE 'stale' END WHEN w THEN 'dormant' ELSE 'in-effect' END AS verdict, coalesce(claimed, 0) AS claimed FROM suppressions s LEFT JOIN n USING (record_ord))"
+)
+LEDGER = LEDGER.replace(ctes("findings", "suppressions"), ctes("findings", "suppressions", "exempt"), 1)
 
 
 def _ledger(spark, sf):
-    return rules.ledger(_found(spark, sf), fact(spark, sf, "suppressions"), ["DS1003"])
+    return rules.ledger(_found(spark, sf), fact(spark, sf, "suppressions"), ["DS1003"], fact(spark, sf, "exempt"))
 
 
 @query(LEDGER + " SELECT record_ord, verdict, claimed FROM ledger")

@@ -127,7 +127,7 @@ def test_analyze_explain_and_renderings(spark, tmp_path):
     assert lines["dead"] == lines["pal"] == lines["memb"] and lines["dead"][1] == 11
     confidence = {r.declaration: r.confidence for r in got.findings.collect()}
     assert confidence["dead"] == "probable" and confidence["t"] == "certain" and got.exit_code == 1
-    assert {r.id: r.state for r in analysis.explain(got, "used").collect()} == {"used": "live"} and analysis.path_to(facts, got, "helper") == ["main", "used", "helper"] and analysis.path_to(facts, got, "dead") == []
+    assert {r.id: r.state for r in analysis.explain(got, "used").collect()} == {"used": "live"} and analysis.path_to(facts, "helper") == ["main", "used", "helper"] and analysis.path_to(facts, "dead") == []
     document = json.loads(analysis.report(got.findings).first()["json"])
     assert not schema.refusals(document, analysis.REPORT_SCHEMA) and len(document["findings"]) == got.findings.where("not withheld").count()
     said = analysis.rendered(got.findings, "{{range .findings}}{{.code}} {{.ref}}\n{{else}}none{{end}}")
@@ -189,17 +189,105 @@ def test_baseline_asks_the_analysis_again_and_raises(spark):
         rules.baseline_fixpoint(lambda now: rows(f"r{next(flips)}"), held, max_rounds=4).collect()
 
 
-def test_suppressing_everything_leaves_no_finding_and_nothing_stale(spark):
+def test_a_written_baseline_leaves_no_finding_and_nothing_stale(spark):
     facts = project(spark)
-    first = analysis.analyze(facts)
-    records = [(k, r.code, r.ref, r.path, r.declaration, "baseline", "s") for k, r in enumerate(first.findings.where("not withheld").collect())]
+    rows = {(r.code, r.ref, r.path) for r in analysis.baseline_write(facts).collect()}
     kind = "record_ord long, code string, symbol string, path string, bound string, mechanism string, site string"
-    again = analysis.analyze(facts | {"suppressions": spark.createDataFrame(records, kind)})
+    bind = lambda rows: [(k, c, r, p, r.split("#")[1], "baseline", r + c) for k, (c, r, p) in enumerate(sorted(rows))]
+    again = analysis.analyze(facts | {"suppressions": spark.createDataFrame(bind(rows), kind)})
     assert again.findings.where("not withheld").isEmpty() and again.stale.isEmpty() and again.exit_code == 0
-    extra = analysis.analyze(facts | {"suppressions": spark.createDataFrame([*records, (99, "DS1001", "ts://f.ts#gone", "f.ts", "", "ignore", "x")], kind)})
+    # The same rounds with a whole analysis each.
+    held, removed = set(), set()
+    for _ in range(20):
+        run = analysis.analyze(facts | {"suppressions": spark.createDataFrame(bind(held), kind)})
+        stale = {(r.code, r.symbol, r.path) for r in spark.createDataFrame(bind(held), kind).join(run.verdicts.where("verdict = 'stale'"), "record_ord").collect()}
+        removed |= stale
+        kept = held - stale
+        add = {(r.code, r.ref, r.path) for r in rules.baseline_rows(run.findings).collect()} - removed - kept
+        if not stale and not add:
+            break
+        held = kept | add
+    assert kept == rows and rows
+    extra = analysis.analyze(facts | {"suppressions": spark.createDataFrame([*bind(rows), (99, "DS1001", "ts://f.ts#gone", "f.ts", "", "ignore", "x")], kind)})
     assert [(r.site, r.codes) for r in extra.stale.collect()] == [("x", "DS1001")] and extra.exit_code == 1
 
 
+def test_an_earlier_entry_may_claim_what_another_entry_is_bound_to(spark):
+    """Two entries with one code, symbol and path, the first bound to d2, the second to d1: the first claims a finding about d1, since no record of its own entry is bound to d1."""
+    found = spark.createDataFrame([("DS1001", "d1", "p", 1, 1, "r", None, False), ("DS1401", "f", "p", 9, 1, "f(x)", "f", False), ("DS1602", "", "q", 1, 1, "q", None, False)], "code string, declaration string, path string, line int, col int, ref string, holder string, withheld boolean")
+    records = [(1, "DS1001", "r", "p", "d2", "ignore", "a"), (2, "DS1001", "r", "p", "d1", "ignore", "b"), (3, "DS1401", "f", "p", "f", "ignore", "c"), (4, "DS1602", "q", "q", "", "inline", "d"), (5, "DS1001", "r", "p", "d3", "ignore", "e")]
+    table = spark.createDataFrame(records, "record_ord long, code string, symbol string, path string, bound string, mechanism string, site string")
+    holds = spark.createDataFrame([("d3",)], "id string")
+    assert pairs(rules.ledger(found, table, [], holds).collect(), "record_ord", "verdict") == {(1, "in-effect"), (2, "stale"), (3, "in-effect"), (4, "stale"), (5, "dormant")}
+
+
+def test_marks_keep_what_a_record_is_bound_to(spark):
+    facts = project(spark)
+    one = spark.createDataFrame([(1, "DS1002", "ts://f.ts#pal", "f.ts", "pal", "ignore", "s")], "record_ord long, code string, symbol string, path string, bound string, mechanism string, site string")
+    got = analysis.analyze(facts | {"suppressions": one})
+    # pal stays, so dead, which it uses, is used; the record is in effect against the run without it.
+    left = {r.declaration: (r.code, r.message) for r in got.findings.where("not withheld").collect()}
+    assert "pal" not in left and left.get("dead", ("DS1503", ""))[0] == "DS1503" and [r.verdict for r in got.verdicts.collect()] == ["in-effect"]
+    assert left["onlytest"] == ("DS1102", "function onlytest is referenced only from test files and never from production code")
+
+
+def test_sentences(spark):
+    from quietus.functions import refs
+
+    kind = "code string, kind string, name string, exported boolean, visibility string, relation string, production long, test long, evidence long, writes long, holder string"
+    rows = [
+        ("DS1001", "function", "f", True, "public", "reference-counting", 0, 0, 0, 0, None, "exported function f has no reference in the target and none from any loaded consumer"),
+        ("DS1002", "type", "T", False, "public", "reachability", 1, 0, 0, 0, None, "unexported type alias T is referenced only from declarations that are themselves dead"),
+        ("DS1003", "method", "m", False, "private", "reference-counting", 0, 0, 0, 0, None, "private method m has no reference in the target"),
+        ("DS1102", "class", "C", True, "public", "reachability", 1, 1, 0, 0, None, "class C is referenced only from test files and from declarations that are themselves dead"),
+        ("DS1102", "class", "C", True, "public", "reference-counting", 0, 2, 2, 0, None, "class C is referenced from no file and kept only by evidence in test files"),
+        ("DS1104", "function", "f", True, "public", "reference-counting", 0, 1, 0, 0, None, "deprecated function f has no production reference"),
+        ("DS1201", "interface", "I", True, "public", "reference-counting", 0, 0, 0, 0, None, "nothing in the target names interface I as a type"),
+        ("DS1301", "class-member", "x", False, "protected", "reference-counting", 0, 0, 0, 3, None, "protected class member x is written at 3 positions and never read"),
+        ("DS1401", "function", "p", False, "public", "reference-counting", 0, 0, 0, 0, "f", "parameter p of f is never read in the body"),
+        ("DS1503", "function", "f", True, "public", "reference-counting", 1, 0, 0, 0, None, "exported function f is referenced only inside the file that declares it"),
+        ("DS7777", "function", "f", True, "public", "reference-counting", 1, 0, 0, 0, None, None),
+    ]
+    got = spark.createDataFrame(rows, kind + ", want string").withColumn("said", refs.message(*[c.split()[0] for c in kind.split(", ")]))
+    assert [(r.said, r.want) for r in got.collect() if r.said != r.want] == []
+
+
+def test_entries_fall_back_to_the_holder_of_parts_only(spark):
+    from quietus.functions import refs
+    from quietus.operators import evidence
+
+    symbols = spark.createDataFrame([("d", "ts://a#f", "a")], "id string, ref string, path string")
+    entries = spark.createDataFrame([("part", "DS1401", "ts://a#f(x)", "a"), ("other", "DS1001", "ts://a#f(x)", "a"), ("own", "DS1001", "ts://a#f", "a")], "entry string, code string, ref string, path string")
+    assert pairs(evidence.bound_symbols(entries, symbols, refs.parameter_holder("ref")).collect(), "entry", "bound", "by_holder") == {("part", "d", True), ("own", "d", False)}
+
+
+def test_members_own_what_is_written_in_them(spark):
+    from quietus.operators import carriers
+
+    symbols = spark.createDataFrame([("g", "file", "", True), ("c", "class", "g", True), ("x", "class", "g", False), ("y", "class", "g", False), ("main", "function", "g", False), ("o", "class", "g", False), ("oo", "method", "o", False), ("z", "class", "g", False)], "id string, kind string, parent string, exported boolean")
+    ref = "ref_ord long, from_id string, to_id string, use string, test boolean, guessed boolean, namespace boolean, reexport boolean, consumer string, line int, col int"
+    row = lambda k, a, b, line, col, use="read", test=False: (k, a, b, use, test, False, True, False, "", line, col)
+    refs_ = spark.createDataFrame([row(1, "main", "c", 1, 1), row(2, "c", "x", 12, 5), row(3, "c", "y", 12, 40), row(4, "main", "o", 1, 1), row(5, "oo", "z", 3, 1), row(6, "main", "z", 2, 2, test=True), row(7, "main", "z", 2, 3, "write")], ref)
+    members = spark.createDataFrame([("c.outer", "c", 10, 1, 20, 1), ("c.inner", "c", 12, 3, 12, 9)], "key string, within string, from_line int, from_col int, to_line int, to_col int")
+    ids = lambda *x, kind="id string": spark.createDataFrame([i if isinstance(i, tuple) else (i,) for i in x], kind)
+    none = ids(kind="id string, child string")
+    run = lambda reads: pairs(carriers.carry(symbols, refs_, none, ids("main"), members, ids("o"), ids(kind="from_id string, to_id string"), ids(*reads, kind="from_id string, member string")).collect(), "id", "member")
+    # What is written in a member is followed once the member is read; an opaque class and its methods are sealed.
+    assert run([]) == {("main", False), ("c", False), ("o", False)}
+    assert run([("main", "c.inner")]) == {("main", False), ("c", False), ("o", False), ("c.inner", True), ("x", False)}
+    assert run([("main", "c.outer"), ("x", "c.inner")]) == {("main", False), ("c", False), ("o", False), ("c.outer", True), ("y", False)}
+
+
+def test_peers_are_looked_for_above_only(spark):
+    from quietus.operators import carriers
+
+    declared = spark.createDataFrame([("", "react"), ("a", "react"), ("a/b", "ui"), ("a/b/c", "react"), ("", "dom"), ("z", "dom")], "dir string, name string")
+    peers = spark.createDataFrame([("a/b", "ui", "react"), ("a", "react", "dom"), ("z", "dom", "react")], "dir string, name string, peer string")
+    needed = spark.createDataFrame([("a/b", "ui"), ("q", "ui")], "dir string, name string")
+    assert pairs(carriers.needed_with_peers(declared, peers, needed).collect(), "dir", "name") == {("a/b", "ui"), ("", "react"), ("a", "react"), ("", "dom")}
+
+
+
 def test_a_new_reference_never_makes_code_dead(spark):
     facts = project(spark)
     before = pairs(liveness.judge(*[facts[n] for n in ("symbols", "references", "roots", "held_seeds", "exempt")]).where("dead").collect(), "id")
