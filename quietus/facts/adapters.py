@@ -25,7 +25,7 @@ FACTS: dict[str, str] = {
         SELECT concat('o', o_orderkey) AS from_id, concat('c', o_custkey) AS to_id, 'read' AS use, o_orderpriority = '1-URGENT' AS test, false AS guessed, false AS namespace, false AS reexport, '' AS consumer, concat('app/m', o_custkey % 40, '.ts') AS path, CAST(o_orderkey % 500 + 1 AS INT) AS line FROM orders
         UNION ALL SELECT concat('o', l_orderkey), concat('p', l_partkey), CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END, l_linenumber = 7, l_linestatus = 'O' AND l_linenumber = 6, false, false, '', concat('app/l', l_orderkey % 40, '.ts'), CAST(l_linenumber AS INT) FROM lineitem
         UNION ALL SELECT concat('o', l_orderkey), concat('s', l_suppkey), 'read', l_linenumber = 5, false, false, false, '', concat('app/l', l_orderkey % 40, '.ts'), CAST(l_linenumber + 50 AS INT) FROM lineitem
-        UNION ALL SELECT concat('p', p_partkey), concat('p', (7 * p_partkey + p_size) % (SELECT count(*) FROM part)), 'read', false, false, p_size % 2 = 0, p_size % 4 = 0, '', concat('lib/', p_brand, '.ts'), CAST(p_partkey % 200 + 2 AS INT) FROM part
+        UNION ALL SELECT concat('p', p_partkey), concat('p', (CAST(floor(p_partkey / 3) AS BIGINT) + p_size) % (SELECT count(*) FROM part)), 'read', false, false, p_size % 2 = 0, p_size % 4 = 0, '', concat('lib/', p_brand, '.ts'), CAST(p_partkey % 200 + 2 AS INT) FROM part
         UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), 'read', false, false, c_custkey % 10 = 0, c_custkey % 20 = 0, '', concat('src/n', c_nationkey, '.ts'), CAST(c_custkey % 300 + 2 AS INT) FROM customer
         UNION ALL SELECT concat('c', o_custkey), concat('o', min(o_orderkey)), 'read', false, false, false, false, '', concat('src/x', o_custkey % 9, '.ts'), 1 FROM orders GROUP BY o_custkey
         UNION ALL SELECT 'outside', concat('c', c_custkey), 'read', false, false, c_custkey % 2 = 0, c_custkey % 2 = 0, 'shop', 'index.ts', 1 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000""",
@@ -64,7 +64,7 @@ FACTS: dict[str, str] = {
     "file_uses": "SELECT DISTINCT r.path AS from_path, s.path AS to_path FROM refs r JOIN symbols s ON r.to_id = s.id WHERE r.path <> s.path AND r.consumer = '' AND (r.from_id NOT LIKE 'p%' OR r.line % 60 = 5) UNION SELECT 'app/m1.ts', concat('lib/', p_brand, '.ts') FROM part WHERE p_partkey % 500 = 3",
     "test_files": "SELECT DISTINCT concat('app/l', o_orderkey % 40, '.ts') AS path FROM orders",
     "root_files": "SELECT concat('src/n', n_nationkey, '.ts') AS path FROM nation WHERE n_nationkey % 12 = 0",
-    "carriers": "SELECT concat('c', c_custkey) AS id, concat('c', (c_custkey * 3 + 1) % (SELECT count(*) FROM customer)) AS carried_id FROM customer",
+    "carriers": "SELECT concat('c', c_custkey) AS id, concat('c', (CAST(floor(c_custkey / 3) AS BIGINT) + c_custkey % 50) % (SELECT count(*) FROM customer)) AS carried_id FROM customer",
     "peers": "SELECT concat('pkg', n_nationkey) AS name, concat('pkg', (n_nationkey * 3 + 2) % 25) AS peer FROM nation WHERE n_nationkey % 6 <> 5",
     "parts_found": "SELECT concat('y', year(l_shipdate)) AS configuration, concat('o', l_partkey) AS declaration, concat('a', l_suppkey % 3) AS name, l_returnflag = 'R' AS in_use FROM lineitem",
     "parts_judging": "SELECT DISTINCT concat('y', year(l_shipdate)) AS configuration, concat('o', l_partkey) AS declaration FROM lineitem",
@@ -136,7 +136,7 @@ FACTS: dict[str, str] = {
         UNION ALL SELECT concat('slim', o_orderkey), concat('o', o_orderkey), 3, 2, 3, 9 FROM orders""",
     "placed_refs": "SELECT row_number() OVER (ORDER BY from_id, to_id, use, path, line, test) AS ref_ord, r.*, CAST(1 + line % 3 AS INT) AS col FROM refs r",
     "opaque": "SELECT concat('c', c_custkey) AS id FROM customer WHERE c_custkey % 13 = 0",
-    "schema_reads": "SELECT concat('p', p_partkey) AS from_id, concat('p', (p_partkey * 11 + 3) % (SELECT count(*) FROM part)) AS to_id FROM part WHERE p_size > 25",
+    "schema_reads": "SELECT concat('p', p_partkey) AS from_id, concat('p', CAST(floor(p_partkey / 4) AS BIGINT) + p_size) AS to_id FROM part",
     "member_reads": "SELECT concat('c', o_custkey) AS from_id, concat('slim', o_orderkey) AS member FROM orders UNION ALL SELECT concat('o', o_orderkey), concat('wide', o_orderkey) FROM orders",
     "dir_peers": "SELECT DISTINCT m.dir, m.name, concat('pkg', (n_nationkey * 3 + 2) % 25) AS peer FROM manifests m JOIN nation ON m.name = concat('pkg', n_nationkey)",
     "dir_needed": "SELECT DISTINCT dir, name FROM manifests WHERE name IN ('pkg1', 'pkg4', 'pkg17')",

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quietus.session import cut
 
 BROADCAST_FRONTIER = 100_000
+#: Steps that are gone in one query where a graph has no more than so many edges: its rounds cost more in queries than in rows.
+HOPS, FEW_STEPS = 3, 5_000_000
 REACHED, USED, WHOLE, PASSED = 1, 2, 3, 4
 
 
@@ -112,18 +114,29 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "from_id", dst: str = "
     if only is not None:
         steps = steps.join(only.select(F.col("node").alias("next")).distinct(), "next", "left_semi")
     steps = cut(steps)
+    hops = HOPS if steps.count() <= FEW_STEPS else 1
     found = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front, size = found, found.count()
     for k in range(1, max_rounds):
         if not size:
             break
-        entered = cut(_joined(front.select("node"), size, steps, "node").select(F.col("next").alias("node")).distinct())
+        # Some steps in one query: what they enter beyond the first is new only if its way there is.
+        hop = _joined(front.select("node"), size, steps, "node").select(F.col("next").alias("node"), F.lit(1).alias("d"))
+        entered = hop
+        for d in range(2, hops + 1):
+            hop = hop.distinct().join(steps, "node").select(F.col("next").alias("node"), F.lit(d).alias("d"))
+            entered = entered.unionByName(hop)
+        entered = cut(entered.groupBy("node").agg(F.min("d").alias("d")))
         size = entered.count()
-        covered = _joined(entered, size, found.select("node"), "node").distinct()
-        front = cut(_without(entered, covered, ["node"], size).withColumn("depth", F.lit(k)))
+        covered = _joined(entered.select("node"), size, found.select("node"), "node").distinct()
+        news_ = _without(entered, covered, ["node"], size)
+        grown = cut(news_.select("node", (F.col("d") + F.lit((k - 1) * hops)).alias("depth"), (F.col("d") == hops).alias("last")))
+        # Nodes that an earlier hop entered have had their own steps taken; only the last hop's are still to go.
+        front = grown.where("last").select("node", "depth")
         size = front.count()
-        if size:
-            found = found.unionByName(front) if k % 8 else cut(found.unionByName(front))
+        if not grown.isEmpty():
+            found = found.unionByName(grown.select("node", "depth"))
+            found = found if k % 8 else cut(found)
     else:
         if size:
             raise RuntimeError("reachability did not settle within max_rounds")
