@@ -209,7 +209,7 @@ def view_of(facts: dict[str, DataFrame], config: Config, reached: DataFrame, exe
     rows = found.join(at, "id", "left").join(components.select("id", F.col("component_id").alias("component"), F.col("root").alias("is_root"), "lines"), "id", "left").join(used, "id", "left")
     wrote = write_only(references, exempt).select("id", "writes")
     rows = rows.join(wrote, "id", "left").withColumns({"none": F.lit(0).cast("long"), "reach": F.lit("public"), "part": F.regexp_extract(F.coalesce("own_ref", F.lit("")), r"\(([^()]*)\)$", 1)})
-    said = messages.message("code", "kind", F.when(part, "part").otherwise("name"), "exported", "reach", "relation", "production", "test", "none", "writes", "name")
+    said = messages.message("code", "kind", F.when(part, F.col("part")).otherwise(F.col("name")), "exported", "reach", "relation", "production", "test", "none", "writes", "name")
     rows = rows.select(
         "code", F.col("id").alias("declaration"), "relation", F.coalesce("own_path", "path").alias("path"), F.coalesce("own_line", "line").alias("line"), F.lit(1).alias("col"), F.coalesce("own_ref", "ref").alias("ref"), F.coalesce("own_confidence", F.lit("certain")).alias("confidence"), F.coalesce("test_used", F.lit(False)).alias("test_used"),
         F.when(part & (F.col("id") != ""), F.col("ref")).alias("holder"), F.coalesce(said, F.coalesce("own_ref", "ref")).alias("message"),
