@@ -265,7 +265,8 @@ def baseline_write(facts: dict[str, DataFrame], config: Config | None = None, ma
     """(code, ref, path): the rows a baseline settles on, found by repeated analysis from no rows at all.
 
     A round reads the rows recorded so far: the declarations they are bound to are marked, so what these use stays and its findings go. It records a row for each finding left, and takes out rows that name no finding; a row taken out never returns.
-    The walk is kept up from round to round: only the marks that come and go are walked, and their consequences.
+    The walk is kept up from round to round: only the marks that come and go are walked, and their consequences. A member that falls with its container has no finding without marks, so a row for it, which a round under the container's
+    mark records, is taken out in the next: such findings stay outside the baseline.
     """
     config = config or Config()
     symbols = facts["symbols"]

@@ -198,16 +198,6 @@ def light(monkeypatch):
     monkeypatch.setattr(liveness, "numbered", lambda rows, product: rows.withColumn("component_id", F.col("component")))
 
 
-def test_a_written_baseline_leaves_no_finding_and_nothing_stale(spark, light):
-    facts = project(spark)
-    rows = {(r.code, r.ref, r.path) for r in analysis.baseline_write(facts).collect()}
-    assert rows == {("DS1001", "ts://f.ts#dead", "f.ts"), ("DS1002", "ts://f.ts#pal", "f.ts"), ("DS1102", "ts://f.ts#onlytest", "f.ts"), ("DS1002", "ts://f.ts#t", "f.ts")}
-    kind = "record_ord long, code string, symbol string, path string, bound string, mechanism string, site string"
-    bound = [(k, c, r, p, r.split("#")[1], "baseline", r + c) for k, (c, r, p) in enumerate(sorted(rows))]
-    extra = analysis.analyze(facts | {"suppressions": spark.createDataFrame([*bound, (99, "DS1001", "ts://f.ts#gone", "f.ts", "", "ignore", "x")], kind)})
-    assert extra.findings.where("not withheld").isEmpty() and [(r.site, r.codes) for r in extra.stale.collect()] == [("x", "DS1001")] and extra.exit_code == 1
-
-
 def test_an_earlier_entry_may_claim_what_another_entry_is_bound_to(spark):
     """Two entries with one code, symbol and path, the first bound to d2, the second to d1: the first claims a finding about d1, since no record of its own entry is bound to d1."""
     found = spark.createDataFrame([("DS1001", "d1", "p", 1, 1, "r", None, False), ("DS1401", "f", "p", 9, 1, "f(x)", "f", False), ("DS1602", "", "q", 1, 1, "q", None, False)], "code string, declaration string, path string, line int, col int, ref string, holder string, withheld boolean")
