@@ -140,6 +140,17 @@ FACTS: dict[str, str] = {
     "member_reads": "SELECT concat('c', o_custkey) AS from_id, concat('slim', o_orderkey) AS member FROM orders UNION ALL SELECT concat('o', o_orderkey), concat('wide', o_orderkey) FROM orders",
     "dir_peers": "SELECT DISTINCT m.dir, m.name, concat('pkg', (n_nationkey * 3 + 2) % 25) AS peer FROM manifests m JOIN nation ON m.name = concat('pkg', n_nationkey)",
     "dir_needed": "SELECT DISTINCT dir, name FROM manifests WHERE name IN ('pkg1', 'pkg4', 'pkg17')",
+    "glob_rows": """
+        SELECT concat('w', o_orderkey) AS pattern, CAST(o_orderkey % 6 AS INT) AS shape, o_custkey % 45 AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'app' WHEN o_orderkey % 6 = 5 THEN 'lib' ELSE '' END AS base,
+        CASE o_orderkey % 6 WHEN 0 THEN concat('m', o_custkey % 45, '.ts') WHEN 1 THEN concat('**/l', o_custkey % 45, '.{ts,tsx}') WHEN 2 THEN concat('app/[lm]', o_custkey % 45, '.ts') WHEN 3 THEN concat('{app,src}/*', o_custkey % 45, '.*')
+        WHEN 4 THEN concat('src/**/n', o_custkey % 45, '*') ELSE concat('*#', o_custkey % 45 % 10, '*') END AS glob FROM orders""",
+    "tool_files": """
+        SELECT concat('pk', o_custkey % 30, CASE WHEN o_custkey % 4 = 0 THEN '/src' ELSE '' END, CASE o_orderkey % 7 WHEN 0 THEN '/app' WHEN 1 THEN '/pages' WHEN 2 THEN '/app/pages' WHEN 3 THEN '/__tests__' WHEN 4 THEN '/.next/cache' ELSE '/lib' END,
+        CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('/d', o_orderkey % 50) ELSE concat('/_d', o_orderkey % 50) END, '/', CASE o_totalprice > 150000 WHEN true THEN 'page' ELSE concat(CASE WHEN o_orderstatus = 'F' THEN '_o' ELSE 'o' END, o_orderkey) END,
+        CASE o_orderpriority WHEN '1-URGENT' THEN '.ts' WHEN '2-HIGH' THEN '.tsx' WHEN '3-MEDIUM' THEN '.test.js' WHEN '4-NOT SPECIFIED' THEN '.vue' ELSE '.astro' END) AS path FROM orders""",
+    "installed_tools": """
+        SELECT DISTINCT concat('pk', c_custkey % 30) AS dir, CASE c_custkey % 4 WHEN 0 THEN 'next' WHEN 1 THEN 'astro' WHEN 2 THEN 'nuxt' ELSE 'jest' END AS name,
+        concat(CASE c_custkey % 4 WHEN 0 THEN 12 + c_custkey % 30 % 6 WHEN 1 THEN 4 + c_custkey % 30 % 5 WHEN 2 THEN 2 + c_custkey % 30 % 4 ELSE 28 + c_custkey % 30 % 3 END, '.', c_custkey % 30 % 7, '.1') AS version FROM customer""",
     "edge_sides": "SELECT concat('e', p_partkey % 700) AS edge, CASE WHEN p_partkey % 2 = 0 THEN 'provides' ELSE 'used_by' END AS side, concat('p', p_partkey * 2) AS symbol FROM part",
 }
 

@@ -69,21 +69,23 @@ def _segment(text: str) -> str:
     return out
 
 
+def alternative_regex(one: str) -> str:
+    """The expression of a glob whose braces are expanded, without its ends."""
+    segments, out = one.split("/"), ""
+    for k, segment in enumerate(segments):
+        last = k == len(segments) - 1
+        if segment == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+        else:
+            out += _segment(segment) + ("" if last else "/")
+    return out
+
+
 def glob_regex(glob: str) -> str:
     """``*`` and ``?`` stay in a segment, ``**`` spans any number of them, ``[...]`` and ``{a,b}`` as usual."""
     if len(glob) > MAX_LENGTH:
         raise PatternError("a pattern is too long")
-    options = []
-    for one in expand_braces(glob):
-        segments, out = one.split("/"), ""
-        for k, segment in enumerate(segments):
-            last = k == len(segments) - 1
-            if segment == "**":
-                out += ".*" if last else "(?:[^/]+/)*"
-            else:
-                out += _segment(segment) + ("" if last else "/")
-        options.append(out)
-    return "^(?:" + "|".join(options) + ")$"
+    return "^(?:" + "|".join(alternative_regex(one) for one in expand_braces(glob)) + ")$"
 
 
 def ref_like(pattern: str) -> str:

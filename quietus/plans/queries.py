@@ -14,10 +14,10 @@ from quietus.graph import edges, matrix
 from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
 from quietus.graph.walk import carrier_reach, peer_closure, reach, support_files
-from quietus.operators import carriers, codes, exemptions, joins, liveness, rules
+from quietus.operators import carriers, codes, exemptions, joins, liveness, patterns, rules
 from quietus.plans import analysis
 from quietus.session import cut
-from quietus.sources import manifests, tree
+from quietus.sources import conventions, manifests, tree
 
 #: Findings that one row of the SARIF log holds, about.
 SARIF_PIECE = 10_000
@@ -609,9 +609,36 @@ def files_named(spark, sf):
 
 @query(ctes("paths") + r" SELECT path, 'runner' AS tool, 'test' AS class FROM paths WHERE path LIKE 'app/m1%.ts'")
 def convention_files(spark, sf):
-    tools = spark.createDataFrame([("runner", "2.4.1"), ("old", "0.9.0")], "tool string, version string")
-    table_ = spark.createDataFrame([("runner", "^2.0.0", "app/m1*.ts", "test"), ("runner", ">=3", "lib/**", "entry"), ("old", "^1.0.0", "src/**", "entry")], "tool string, range string, glob string, class string")
-    return manifests.convention_roots(fact(spark, sf, "paths"), tools, table_)
+    declared = spark.createDataFrame([("", "runner", "2.4.1"), ("", "old", "0.9.0")], "dir string, name string, version string")
+    table_ = spark.createDataFrame([("runner", "runner", "^2.0.0", "test", "app/m1*.ts"), ("runner", "runner", ">=3", "entry", "lib/**"), ("old", "old", "^1.0.0", "entry", "src/**")], "tool string, package string, range string, class string, glob string")
+    return conventions.convention_files(fact(spark, sf, "paths"), declared, table_).select("path", "tool", "class")
+
+
+@query(
+    ctes("glob_rows", "paths")
+    + r""" SELECT path, pattern FROM paths JOIN glob_rows ON CASE shape
+        WHEN 0 THEN path = 'app/m' || k || '.ts' WHEN 1 THEN path = 'l' || k || '.ts' OR path = 'l' || k || '.tsx' OR path LIKE '%/l' || k || '.ts' OR path LIKE '%/l' || k || '.tsx'
+        WHEN 2 THEN path IN ('app/l' || k || '.ts', 'app/m' || k || '.ts') WHEN 3 THEN regexp_matches(path, '^(app|src)/[^/]*' || k || '[.][^/]*$') WHEN 4 THEN regexp_matches(path, '^src/(.*/)?n' || k || '[^/]*$')
+        ELSE regexp_matches(path, '^lib/[^/]*#' || (k % 10) || '[^/]*$') END"""
+)
+def glob_index(spark, sf):
+    return patterns.matched(fact(spark, sf, "paths"), fact(spark, sf, "glob_rows").select("base", "glob", "pattern")).select("path", "pattern")
+
+
+_NEXT = "regexp_matches(rest, '^(src/)?app/(.*/)?(layout|page|loading|not-found|error|route|template|default|forbidden|unauthorized)[.](js|jsx|ts|tsx)$') OR regexp_matches(rest, '^(src/)?pages/(.*/)?[^/]*[.](js|jsx|ts|tsx)$')"
+_ASTRO = "regexp_matches(rest, '^src/pages/(.*/)?[^/]*[.](astro|js|ts)$') AND NOT regexp_matches(rest, '^src/pages/(.*/)?_[^/]*$') AND NOT regexp_matches(rest, '^src/pages/(.*/)?_[^/]*/.*$')"
+
+
+@query(
+    ctes("tool_files", "installed_tools")
+    + f""", j AS (SELECT DISTINCT path, dir, name, CAST(split_part(version, '.', 1) AS INT) AS major, CAST(split_part(version, '.', 2) AS INT) AS minor, substr(path, length(dir) + 2) AS rest FROM tool_files JOIN installed_tools ON starts_with(path, dir || '/'))
+    SELECT path, dir AS base, name AS tool, 'entry' AS class FROM j WHERE CASE name WHEN 'next' THEN (major > 13 AND major < 17 OR major = 13 AND minor >= 4) AND ({_NEXT}) WHEN 'astro' THEN major BETWEEN 5 AND 7 AND {_ASTRO}
+        WHEN 'nuxt' THEN major BETWEEN 3 AND 4 AND regexp_matches(rest, '^(app/)?pages/(.*/)?[^/]*[.](vue|js|jsx|ts|tsx)$') ELSE false END
+    UNION ALL SELECT path, dir, 'jest', 'test' FROM j WHERE name = 'jest' AND major BETWEEN 29 AND 30 AND regexp_matches(rest, '^(.*/)?__tests__/(.*/)?[^/]*[.](js|jsx|ts|tsx)$|^(.*/)?([^/]*[.])?(spec|test)[.](js|jsx|ts|tsx)$')
+    UNION ALL SELECT path, dir, 'next', 'generated' FROM j WHERE name = 'next' AND (major > 13 AND major < 17 OR major = 13 AND minor >= 4) AND starts_with(rest, '.next/')"""
+)
+def framework_files(spark, sf):
+    return conventions.convention_files(fact(spark, sf, "tool_files"), fact(spark, sf, "installed_tools"), conventions.table_of(spark))
 
 
 @query(r"SELECT doc_id, n_chars > 0 AND text LIKE '%License%' AS licensed FROM documents WHERE regexp_matches(text, '(?i)license')")

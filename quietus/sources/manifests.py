@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietus.functions.globs import glob_regex
 from quietus.functions.paths import dirname, normalized, package_of
-from quietus.functions.semver import satisfies_udf
 from quietus.functions.text import shell_words, yaml_json_udf
 
 #: Sections of a manifest that declare dependencies. Fixed values.
@@ -124,17 +122,6 @@ def document_imports(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.explode(F.concat(found, bare)).alias("specifier"))
 
 
-def convention_roots(files: DataFrame, tools: DataFrame, conventions: DataFrame) -> DataFrame:
-    """(path, tool, class): files that an installed tool's convention makes entries, tests or generated code.
-
-    ``tools`` (tool, version) as installed; ``conventions`` (tool, range, glob, class), a bounded table: its globs are translated once on the driver.
-    """
-    rows = conventions.collect()
-    table = files.sparkSession.createDataFrame([(r["tool"], r["range"], glob_regex(r["glob"]), r["class"]) for r in rows], "tool string, range string, regex string, class string")
-    live = table.join(tools, "tool").where(satisfies_udf("version", "range")).select("tool", "regex", "class")
-    return files.select("path").join(F.broadcast(live), F.expr("path rlike regex")).select("path", "tool", "class").distinct()
-
-
 def resolved(layers: list[dict], keyed: tuple[str, ...] = ("severity",)) -> dict[str, tuple]:
     """Setting -> (value, layer number) of layered configuration, the first layer strongest; keyed maps merge member by member."""
     out: dict[str, tuple] = {}
