@@ -151,6 +151,20 @@ FACTS: dict[str, str] = {
     "installed_tools": """
         SELECT DISTINCT concat('pk', c_custkey % 30) AS dir, CASE c_custkey % 4 WHEN 0 THEN 'next' WHEN 1 THEN 'astro' WHEN 2 THEN 'nuxt' ELSE 'jest' END AS name,
         concat(CASE c_custkey % 4 WHEN 0 THEN 12 + c_custkey % 30 % 6 WHEN 1 THEN 4 + c_custkey % 30 % 5 WHEN 2 THEN 2 + c_custkey % 30 % 4 ELSE 28 + c_custkey % 30 % 3 END, '.', c_custkey % 30 % 7, '.1') AS version FROM customer""",
+    "surface_symbols": """
+        SELECT concat('f', n_nationkey) AS id, 'file' AS kind, '' AS parent, concat('s/', n_nationkey, '.ts') AS path, n_name AS name, false AS exported, 'public' AS visibility, false AS type_only, false AS global_block FROM nation
+        UNION ALL SELECT concat('g', r_regionkey), 'namespace', concat('f', r_regionkey), concat('s/', r_regionkey, '.ts'), 'global', false, 'public', false, true FROM region
+        UNION ALL SELECT concat('gm', n_nationkey), CASE WHEN n_nationkey % 4 = 3 THEN 'type-parameter' ELSE 'variable' END, concat('g', n_regionkey), concat('s/', n_regionkey, '.ts'), concat('held', n_nationkey), n_nationkey % 3 = 0, 'public', false, false FROM nation
+        UNION ALL SELECT concat('c', c_custkey), CASE c_custkey % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'interface' WHEN 2 THEN 'namespace' WHEN 3 THEN 'function' ELSE 'type' END, concat('f', c_nationkey), concat('s/', c_nationkey, '.ts'), concat('type', c_custkey % 500), c_acctbal > 0, 'public', false, false FROM customer
+        UNION ALL SELECT concat('p', p_partkey), CASE p_partkey % 6 WHEN 0 THEN 'type-parameter' WHEN 1 THEN 'method' ELSE 'class-member' END, concat('c', c_custkey), concat('s/', c_nationkey, '.ts'), concat('member', p_partkey % 90), p_size % 3 > 0, CASE p_size % 5 WHEN 0 THEN 'private' WHEN 1 THEN 'private-name' WHEN 2 THEN 'protected' ELSE 'public' END, p_size % 10 = 8, false FROM part CROSS JOIN (SELECT count(*) AS n FROM customer) z JOIN customer ON p_partkey % z.n = c_custkey""",
+    "surface_uses": """
+        SELECT concat('p', p_partkey) AS from_id, CASE WHEN p_size % 9 = 5 THEN NULL ELSE concat('c', (p_partkey * 7 + p_size) % (SELECT count(*) FROM customer)) END AS to_id, concat('type', p_partkey % 700) AS name FROM part WHERE p_size % 3 = 1
+        UNION ALL SELECT concat('f', n_nationkey), concat('c', n_nationkey * 31), 'type' FROM nation
+        UNION ALL SELECT concat('c', s_suppkey * 2), concat('gm', s_nationkey), 'held' FROM supplier""",
+    "surface_inferred": "SELECT concat('c', s_suppkey * 3) AS from_id, concat('p', s_suppkey * 5) AS to_id, s_acctbal > 0 AS member FROM supplier",
+    "surface_published": "SELECT concat('f', n_nationkey) AS id FROM nation WHERE n_regionkey = 2",
+    "surface_exports": "SELECT concat('f', c_nationkey) AS file, concat('c', c_custkey) AS id FROM customer WHERE c_acctbal > 8000",
+    "surface_statements": "SELECT concat('c', o_custkey) AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('/** Made by ', o_orderstatus, ' @beta */') WHEN 1 THEN '/** @public */ /** later */' WHEN 2 THEN '/* @public */' WHEN 3 THEN '/** @publicly */' ELSE '' END AS leading FROM orders WHERE o_totalprice > 400000",
     "edge_sides": "SELECT concat('e', p_partkey % 700) AS edge, CASE WHEN p_partkey % 2 = 0 THEN 'provides' ELSE 'used_by' END AS side, concat('p', p_partkey * 2) AS symbol FROM part",
 }
 

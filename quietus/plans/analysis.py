@@ -19,7 +19,7 @@ from quietus.functions import refs as messages
 from quietus.functions.refs import parameter_holder as refs_of_parts
 from quietus.graph.edges import graph_edges, visibility_reach, write_only
 from quietus.graph.maintain import Maintained
-from quietus.operators import codes, evidence, liveness, rules, selfcheck
+from quietus.operators import codes, evidence, liveness, rules, selfcheck, surface
 from quietus.session import cut, ship
 
 
@@ -236,14 +236,29 @@ def decided(would: View, marked: View, records: DataFrame, config: Config, holds
     return cut(rows), verdicts
 
 
+def with_published(facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``facts`` with the roots that a library's published files give: all that a consumer can name (published, published_exports, type_uses; optionally type_symbols, tagged, inferred)."""
+    if "published" not in facts:
+        return facts
+    symbols = facts.get("type_symbols", facts["symbols"])
+    for name, value in (("visibility", F.lit("public")), ("type_only", F.lit(False)), ("global_block", F.lit(False))):
+        if name not in symbols.columns:
+            symbols = symbols.withColumn(name, value)
+    found = surface.published_api(symbols, facts["type_uses"], facts["published"], facts["published_exports"], facts.get("tagged"), facts.get("inferred"))
+    own = facts["published"].select("id").unionByName(found.select("id")).distinct().withColumn("kind", F.lit("published-api"))
+    return facts | {"roots": cut(facts["roots"].select("id", "kind").unionByName(own).distinct())}
+
+
 def analyze(facts: dict[str, DataFrame], config: Config | None = None) -> Analysis:
     """Facts: symbols, references, roots, held_seeds, exempt; optionally gates, unanswered, records (exemptions: id, while_live, unanswered), those of FLAG_FACTS and exposed, test_used or what gives them (see ``_derived``), parts with
-    signatures, calls and callers_unknown, imports, dependencies with needs and ran, written_records, asked and matched roots and declarations, tree, skipped, suppressions.
+    signatures, calls and callers_unknown, imports, dependencies with needs and ran, written_records, asked and matched roots and declarations, tree, skipped, suppressions; published files with
+    what they export and the types that declarations write (see ``with_published``).
 
     Declarations that suppressions are bound to are marked: they stay, and what they use stays. The run is judged once under the marks and once under none.
     """
     config = config or Config()
     ship(facts["symbols"].sparkSession)
+    facts = with_published(facts)
     symbols, references = facts["symbols"], facts["references"]
     held, exempt, gates = _seeded(facts)
     reached = cut(liveness.sweep_reach(symbols, references, facts["roots"], held, gates, config.production, config.guessed))
@@ -269,6 +284,7 @@ def baseline_write(facts: dict[str, DataFrame], config: Config | None = None, ma
     mark records, is taken out in the next: such findings stay outside the baseline.
     """
     config = config or Config()
+    facts = with_published(facts)
     symbols = facts["symbols"]
     held, exempt, gates = _seeded(facts)
     known = symbols.select(F.col("id").alias("node")).distinct()

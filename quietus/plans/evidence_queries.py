@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quietus.facts.adapters import ctes, fact
 from quietus.functions import refs
 from quietus.graph.edges import graph_edges
-from quietus.operators import evidence, exemptions, liveness, rules, selfcheck
+from quietus.operators import evidence, exemptions, liveness, rules, selfcheck, surface
 from quietus.plans.queries import EDGES, JUDGED, _judged, query, table
 from quietus.session import cut
 
@@ -260,3 +260,38 @@ _MAY = "(VALUES " + ", ".join(f"('{s}', '{m}')" for s, ms in selfcheck.REMEDIES.
 def remedies(spark, sf):
     rows = fact(spark, sf, "spoken_findings").select("code", selfcheck.subject_of("code").alias("subject"))
     return rows.join(F.broadcast(selfcheck.remedies(spark)), "subject").groupBy("code", "mechanism").agg(F.count("*").alias("findings"))
+
+
+# --- what a consumer can name ---------------------------------------------------------------------------------------
+
+_SURFACE = """, s AS (SELECT * FROM surface_symbols), u AS (SELECT * FROM surface_uses WHERE from_id NOT IN (SELECT id FROM s WHERE kind = 'file')),
+e AS (SELECT h.id AS a, m.id AS b FROM s m JOIN s h ON m.parent = h.id WHERE m.kind <> 'type-parameter' AND (h.global_block OR NOT m.type_only AND CASE WHEN h.kind IN ('file', 'namespace') THEN m.exported ELSE m.visibility NOT IN ('private', 'private-name') END)
+  UNION SELECT from_id, to_id FROM u WHERE to_id IS NOT NULL UNION SELECT u.from_id, s.id FROM u JOIN s ON u.name = s.name WHERE u.to_id IS NULL
+  UNION SELECT i.from_id, i.to_id FROM surface_inferred i JOIN s ON i.to_id = s.id WHERE NOT i.member OR s.visibility IN ('public', 'protected')
+  UNION SELECT d.id, b.id FROM s d JOIN s b ON d.path = b.path WHERE b.global_block AND d.kind <> 'file'),
+w(id) AS (SELECT id FROM {seeds} WHERE id IN (SELECT id FROM s) UNION SELECT e.b FROM w JOIN e ON w.id = e.a)
+SELECT id, EXISTS (SELECT 1 FROM w g JOIN u ON u.from_id = g.id JOIN s z ON z.name = u.name WHERE u.to_id IS NULL AND z.id = w.id) AS guessed FROM w WHERE id IN (SELECT id FROM s WHERE kind <> 'file')"""
+_SURFACE_FACTS = ("surface_symbols", "surface_uses", "surface_inferred", "surface_published", "surface_exports", "surface_statements")
+_TAGGED = "SELECT DISTINCT t.id FROM surface_statements t JOIN surface_symbols s ON s.id = t.id WHERE s.exported AND t.leading LIKE '%@beta */'"
+
+
+@query(ctes("surface_symbols", "surface_statements") + " " + _TAGGED)
+def release_tags(spark, sf):
+    rows = fact(spark, sf, "surface_statements").where(surface.release_tagged(F.col("leading"))).select("id").distinct()
+    return rows.join(fact(spark, sf, "surface_symbols").where("exported").select("id"), "id", "left_semi")
+
+
+@query(
+    ctes(*_SURFACE_FACTS, recursive=True)
+    + _SURFACE.replace("{seeds}", f"({_TAGGED} UNION SELECT id FROM surface_exports WHERE file IN (SELECT id FROM surface_published) UNION SELECT b.id FROM surface_symbols b WHERE b.global_block AND b.path IN (SELECT path FROM surface_symbols WHERE id IN (SELECT id FROM surface_published)))")
+)
+def published_api(spark, sf):
+    symbols, uses, inferred, files, exports, statements = [fact(spark, sf, n) for n in _SURFACE_FACTS]
+    tagged = statements.where(surface.release_tagged(F.col("leading"))).select("id")
+    return surface.published_api(symbols, uses, files, exports, tagged, inferred)
+
+
+@query(ctes(*_SURFACE_FACTS, recursive=True) + _SURFACE.replace("{seeds}", "(SELECT id FROM surface_exports WHERE id LIKE '%7')"))
+def reached_types(spark, sf):
+    symbols, uses, inferred = [fact(spark, sf, n) for n in _SURFACE_FACTS[:3]]
+    return surface.reached_types(symbols, uses, fact(spark, sf, "surface_exports").where("id like '%7'"), inferred)
