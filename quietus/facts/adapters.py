@@ -165,6 +165,9 @@ FACTS: dict[str, str] = {
     "surface_published": "SELECT concat('f', n_nationkey) AS id FROM nation WHERE n_regionkey = 2",
     "surface_exports": "SELECT concat('f', c_nationkey) AS file, concat('c', c_custkey) AS id FROM customer WHERE c_acctbal > 8000",
     "surface_statements": "SELECT concat('c', o_custkey) AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('/** Made by ', o_orderstatus, ' @beta */') WHEN 1 THEN '/** @public */ /** later */' WHEN 2 THEN '/* @public */' WHEN 3 THEN '/** @publicly */' ELSE '' END AS leading FROM orders WHERE o_totalprice > 400000",
+    "json_docs": """
+        SELECT concat('pk', c_custkey, '/package.json') AS path, concat('{', chr(10), '  "name": "', CASE WHEN c_custkey % 5 = 0 THEN concat('\U0001f600', c_name) ELSE c_name END, '", "dependencies": {', CASE WHEN c_custkey % 2 = 0 THEN chr(10) ELSE '' END, '"dep', c_custkey % 40, '": "^1.', c_custkey, '.0",', CASE WHEN c_custkey % 3 = 0 THEN chr(10) ELSE ' ' END,
+        '"@s/lib', c_nationkey, '": "*"},', CASE WHEN c_custkey % 7 = 0 THEN concat(chr(13), chr(10)) ELSE chr(9) END, '"devDependencies" : { "dev', c_nationkey, CASE WHEN c_custkey % 11 = 0 THEN '" "~2"' ELSE '" : "~2"' END, ' } }') AS text FROM customer""",
     "edge_sides": "SELECT concat('e', p_partkey % 700) AS edge, CASE WHEN p_partkey % 2 = 0 THEN 'provides' ELSE 'used_by' END AS side, concat('p', p_partkey * 2) AS symbol FROM part",
 }
 

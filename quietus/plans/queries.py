@@ -614,6 +614,31 @@ def convention_files(spark, sf):
     return conventions.convention_files(fact(spark, sf, "paths"), declared, table_).select("path", "tool", "class")
 
 
+_BEFORE = "line_of AS (SELECT path, name, section, range, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(string_split(before, chr(10))[-1]) + 1 + CASE WHEN contains(before, chr(128512)) AND NOT contains(substr(before, strpos(before, chr(128512))), chr(10)) THEN 1 ELSE 0 END AS col FROM d)"
+
+
+@query(
+    ctes("json_docs")
+    + """, c AS (SELECT d.path, d.text, c_custkey, c_nationkey FROM json_docs d JOIN customer ON d.path = 'pk' || c_custkey || '/package.json' WHERE c_custkey % 11 <> 0),
+    n AS (SELECT path, text, 'dep' || (c_custkey % 40) AS name, 'dependencies' AS section, '^1.' || c_custkey || '.0' AS range FROM c UNION ALL SELECT path, text, '@s/lib' || c_nationkey, 'dependencies', '*' FROM c UNION ALL SELECT path, text, 'dev' || c_nationkey, 'devDependencies', '~2' FROM c),
+    d AS (SELECT *, substr(text, 1, strpos(text, '"' || name || '"') - 1) AS before FROM n), """
+    + _BEFORE
+    + " SELECT path, name, section, range, CAST(line AS INT) AS line, CAST(col AS INT) AS col FROM line_of"
+)
+def declared_sites(spark, sf):
+    return manifests.declared_sites(fact(spark, sf, "json_docs"))
+
+
+@query(
+    ctes("json_docs")
+    + """, d AS (SELECT d.path, '' AS name, '' AS section, '' AS range, substr(d.text, 1, strpos(d.text, '"~2"') - 1) AS before FROM json_docs d JOIN customer ON d.path = 'pk' || c_custkey || '/package.json' WHERE c_custkey % 11 = 0), """
+    + _BEFORE
+    + " SELECT path, CAST(line AS INT) AS line, CAST(col AS INT) AS col, 'a colon is expected' AS message FROM line_of"
+)
+def json_faults(spark, sf):
+    return manifests.json_faults(fact(spark, sf, "json_docs"))
+
+
 @query(
     ctes("glob_rows", "paths")
     + r""" SELECT path, pattern FROM paths JOIN glob_rows ON CASE shape

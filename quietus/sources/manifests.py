@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietus.functions.jsonpos import placed_udf
 from quietus.functions.paths import dirname, normalized, package_of
 from quietus.functions.text import shell_words, yaml_json_udf
 
@@ -32,6 +33,33 @@ def declared(rows: DataFrame) -> DataFrame:
     return out.select("dir", "name", "section", "range")
 
 
+def json_values(docs: DataFrame) -> DataFrame:
+    """(path, pointer, kind, value, start, end, line, col): every value of the documents that are strict JSON, and where it stands; a member stands where its name does."""
+    read = docs.where("text is not null").select("path", placed_udf("text").alias("p"))
+    return read.select("path", F.explode("p.values").alias("v")).select("path", "v.*")
+
+
+def json_faults(docs: DataFrame) -> DataFrame:
+    """(path, line, col, message): the first fault of each document that is no strict JSON."""
+    return docs.where("text is not null").select("path", placed_udf("text").alias("p")).where("p.fault is not null").select("path", "p.fault.*")
+
+
+def _segment(pointer: str, n: int) -> Column:
+    return F.replace(F.replace(F.get(F.split(pointer, "/"), F.lit(n)), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+
+
+def declared_sites(docs: DataFrame) -> DataFrame:
+    """(path, name, section, range, line, col): each dependency a manifest declares, where its name stands; the range is null where it is no string. An empty name is no dependency."""
+    rows = json_values(docs.where(F.col("path").rlike(r"(^|/)package\.json$"))).where(F.col("pointer").rlike(f"^/({'|'.join(SECTIONS)})/[^/]+$"))
+    return rows.select("path", _segment("pointer", 2).alias("name"), _segment("pointer", 1).alias("section"), F.when(F.col("kind") == "string", F.col("value")).alias("range"), "line", "col")
+
+
+def entry_sites(docs: DataFrame, member: str) -> DataFrame:
+    """(path, record_ord, line, col): where each entry of an ignore or baseline document's list ``member`` stands."""
+    rows = json_values(docs).where(F.col("pointer").rlike(f"^/{member}/[0-9]+$"))
+    return rows.select("path", _segment("pointer", 2).cast("int").alias("record_ord"), "line", "col")
+
+
 def entry_points(rows: DataFrame) -> DataFrame:
     """(dir, kind, target): files a manifest names: main, module, types, browser; bin and exports at every depth."""
     read = rows.where("state = 'read'")
