@@ -5,7 +5,8 @@ All shingles have one order. Sets of similarity 0.8 or more share at least four
 is left of both sets behind the shingle, and the parities of 1024 bins of both sets still admit the similarity; candidates are settled on both whole texts.
 
 Pairs are not emitted for whole groups of near copies. First every text meets two others at each shingle of its prefix (the first of about its size, and the next smaller one):
-a number of candidates in proportion to the texts. What these join is one class; then only texts of different classes are candidates at the shingles they share.
+a number of candidates in proportion to the texts. What these join is one class. Then each text is held against those that stand near it at a shingle, in an order drawn anew
+for every shingle, and the closest two of any two classes are settled. Only then all texts of classes that are still different are candidates at the shingles they share.
 
 The order puts shingles that a sample of texts often holds last, so that lines many texts share are seldom in a prefix. The sample decides the work, never the result.
 
@@ -32,6 +33,8 @@ PARITIES = [f"p{k}" for k in range(16)]
 MOST_BITS = 14
 #: Pairs of whole texts that are settled at once.
 PAIRS = 250
+#: Rows on either side that a text is held against at a shingle, while classes are joined by their closest texts.
+NEAR = 128
 #: Words hashed at once, which bounds a task's memory.
 PIECE = 1 << 14
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -184,6 +187,42 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from step([np.zeros(0, c.dtype) for c in carried], True)
 
 
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h, each with the closest of the NEAR rows on either side that has its shingle and another class, if the two may be similar.
+
+    Only the last NEAR rows of a batch are carried to the next one, whatever the number of rows of a shingle; they are returned with the closest of either batch.
+    """
+    carried = None
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        old = 0 if carried is None else len(carried[0])
+        if old:
+            cols = [np.concatenate([c, x]) for c, x in zip(carried, cols, strict=True)]
+        carried = [c[-NEAR:] for c in cols]
+        h, digest, root = cols[:3]
+        size, place = (c.astype(np.int64) for c in cols[3:5])
+        odd = np.stack(cols[5:], axis=1)
+        least, partner = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
+        for back in range(1, NEAR + 1):
+            y = np.arange(max(old, back), len(h))
+            y = y[h[y] == h[y - back]]
+            if not len(y):
+                break
+            x = y - back
+            both, left = size[x] + size[y], np.minimum(size[x] - place[x], size[y] - place[y])
+            may = (root[x] != root[y]) & (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y])) & (9 * left >= 4 * both)
+            x, y, both = x[may], y[may], both[may]
+            differ = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+            may = 9 * differ <= both
+            for one, other in ((x[may], y[may]), (y[may], x[may])):
+                better = differ[may] < least[one]
+                least[one[better]], partner[one[better]] = differ[may][better], other[better]
+        x = np.flatnonzero(partner >= 0)
+        y = partner[x]
+        a, b = np.where(root[x] < root[y], x, y), np.where(root[x] < root[y], y, x)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (digest[a], digest[b], root[a], root[b], least[x])], names=["digest_a", "digest_b", "root_a", "root_b", "differ"])
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held: dict[int, np.ndarray] = {}
@@ -230,6 +269,18 @@ def _admitted(a: str, b: str) -> Column:
     return _sizes(a, b) & (9 * apart <= sizes)
 
 
+def _unsettled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (h, digest, size, place) at shingles where several classes meet, with what is ``known`` of their texts; ``main`` is a shingle's most frequent class."""
+    rows = rows.join(known.select("digest", "root"), "digest")
+    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("h", "main")
+    return kept(rows.join(main, "h").join(known.drop("root"), "digest"), "rest")
+
+
+def _renamed(known: DataFrame, labels: DataFrame) -> DataFrame:
+    """``known`` with the roots that ``labels`` (root, label) gives."""
+    return cut(known.join(labels, "root", "left").select("digest", F.coalesce("label", "root").alias("root"), *PARITIES))
+
+
 def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
     """(src, dst) over ``root``: links that join what similar texts of different roots join.
 
@@ -243,13 +294,18 @@ def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
     few = met.select(F.explode(F.array("first", "before")).alias("x"), F.col("digest").alias("y")).where("x is not null and x <> y").select(F.least("x", "y").alias("digest_a"), F.greatest("x", "y").alias("digest_b")).distinct()
     few = few.join(side("a"), "digest_a").join(side("b"), "digest_b").where((F.col("root_a") != F.col("root_b")) & _sizes("a", "b"))
     first = _settled(texts, profiles, few)
-    # What is left: pairs of texts that are not known to hang together yet.
-    above = contracted(first).withColumnRenamed("node", "root")
-    known = cut(known.join(above, "root", "left").select("digest", F.coalesce("label", "root").alias("root"), *PARITIES))
-    rows = met.select("h", "digest", "size", "place").join(known.select("digest", "root"), "digest")
+    # What is left: pairs of texts that are not known to hang together yet. A class that another is close to at many texts needs one of these pairs, not all.
+    known = _renamed(known, contracted(first).withColumnRenamed("node", "root"))
+    rows = _unsettled(met.select("h", "digest", "size", "place"), known)
+    # Two late places leave too little of either set. Early ones stand together; of these, texts within a quarter of each other's size are neighbours by chance, at each shingle others.
+    late = 9 * F.col("place") > F.col("size")
+    order = F.log("size") / F.log(F.lit(1.25)) + F.pmod(F.xxhash64("h", "digest"), F.lit(1 << 20)) / (1 << 20)
+    near = rows.select("h", "digest", "root", "size", "place", *PARITIES).repartition("h").sortWithinPartitions("h", late, order).mapInArrow(_closest, "digest_a long, digest_b long, root_a long, root_b long, differ long")
+    near = near.groupBy("root_a", "root_b").agg(F.min(F.struct("differ", "digest_a", "digest_b")).alias("pair")).select("pair.digest_a", "pair.digest_b", "root_a", "root_b")
+    second = _settled(texts, profiles, near)
+    known = _renamed(known, contracted(second).withColumnRenamed("node", "root"))
     # A shingle's rows of its most frequent class need no comparison with each other, so only the others meet all.
-    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("h", "main")
-    rows = kept(rows.join(main, "h").join(known.drop("root"), "digest"), "rest")
+    rows = _unsettled(rows.select("h", "digest", "size", "place"), known)
     columns = ("digest", "root", "size", "place", *PARITIES)
     a = rows.where("root <> main").select("h", *[F.col(c).alias(f"{c}_a") for c in columns])
     b = rows.select("h", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
@@ -257,4 +313,4 @@ def links(texts: DataFrame, n: int, roots: DataFrame) -> DataFrame:
     behind = 9 * left >= 4 * (F.col("size_a") + F.col("size_b"))
     once = (F.col("root_b") == F.col("main")) | (F.col("digest_a") < F.col("digest_b"))
     rest = a.join(b.hint("merge"), (a["h"] == b["h"]) & (F.col("root_a") != F.col("root_b")) & once & behind & _admitted("a", "b"))
-    return first.unionByName(_settled(texts, profiles, rest.select("digest_a", "digest_b", "root_a", "root_b").distinct()))
+    return first.unionByName(second).unionByName(_settled(texts, profiles, rest.select("digest_a", "digest_b", "root_a", "root_b").distinct()))

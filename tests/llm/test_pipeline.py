@@ -56,6 +56,55 @@ def test_dedup_stage_catches_all_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()} == set(root)
 
 
+def test_a_group_of_near_copies_is_not_settled_pair_by_pair(spark, monkeypatch):
+    """Each text is close to a few hundredths of a large group: classes are joined by fewer pairs than all of theirs, and none is lost."""
+    from quietus.graph.components import weak_components
+    from quietus.llm import resemblance
+
+    rng = random.Random(13)
+    base, texts = [f"w{k}" for k in range(80)], []
+    for k in range(400):
+        near = list(base)
+        near[rng.choice([p for p in range(4, 76) if p % 16 < 12])] = f"v{k}"
+        texts.append(" ".join(near))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = components_of(len(texts), alike)
+    assert len(set(root)) > 3 and sum(alike(a, b) for a in range(len(texts)) for b in range(a)) > 10 * len(texts)
+
+    settled, counts = resemblance._settled, []
+    monkeypatch.setattr(resemblance, "_settled", lambda texts, profiles, pairs: (counts.append(pairs.count()), settled(texts, profiles, pairs))[1])
+    table = spark.createDataFrame(list(enumerate(texts)), "digest long, text string").selectExpr("digest", "cast(text as binary) as text")
+    found = weak_components(resemblance.links(table, len(texts), table.selectExpr("digest", "digest as root"))).collect()
+    assert {r.node: r.root for r in found} == {k: g for k, g in enumerate(root) if root.count(g) > 1}
+    assert sum(counts) < 20 * len(texts), counts  # 9520 where all pairs of different labels meet at once
+
+
+def test_closest_rows_meet_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from quietus.llm import resemblance
+
+    rng = np.random.default_rng(14)
+    n, near = 900, resemblance.NEAR
+    h, root, odd = np.sort(rng.integers(0, 3, n)), rng.integers(0, 6, n), rng.integers(0, 2, (n, 16))
+    rows = [pa.array(c) for c in (h, np.arange(n), root, np.full(n, 100, np.int32), np.zeros(n, np.int32), *odd.T.astype(np.int64))]
+    names = ["h", "digest", "root", "size", "place", *resemblance.PARITIES]
+    apart = {(x, y): int((odd[x] != odd[y]).sum()) for y in range(n) for x in range(max(0, y - near), y) if h[x] == h[y] and root[x] != root[y]}
+    least = np.full(n, 99)
+    for (x, y), d in apart.items():
+        least[x], least[y] = min(least[x], d), min(least[y], d)
+    for width in (n, 200, 7, 1):
+        whole = pa.RecordBatch.from_arrays(rows, names=names)
+        got = np.full(n, 99)
+        for batch in resemblance._closest(iter([whole.slice(at, width) for at in range(0, n, width)])):
+            for a, b, root_a, root_b, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                assert root[a] == root_a < root_b == root[b] and apart[min(a, b), max(a, b)] == d
+                got[a], got[b] = min(got[a], d), min(got[b], d)
+        assert (got == least).all(), width
+
+
 def test_secret_stage_masks_and_keeps_all(spark, docs):
     got = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, "").collect()}
     want = {r.doc_id: r.text for r in docs.collect()}
