@@ -127,7 +127,8 @@ def near(words: DataFrame) -> DataFrame:
     first = kept(rarest(words), "rarest")
     # The longer word of a pair, or the larger one of equally long ones, asks for partners of its own length and of one less.
     asks = _meetings(first, 0).unionByName(_meetings(first, 1)).select(F.col("word").alias("other"), "key")
-    pairs = _meetings(first, 0).join(asks, "key").where((F.char_length("other") > F.col("size")) | (F.col("word") < F.col("other")))
+    # Spark sizes exploded rows as their source, which may look small enough to broadcast: the joins of words are sorted ones, whatever it expects.
+    pairs = _meetings(first, 0).join(asks.hint("merge"), "key").where((F.char_length("other") > F.col("size")) | (F.col("word") < F.col("other")))
     return pairs.where(F.levenshtein("word", "other", 1) == 1).select("word", "other").distinct()
 
 
@@ -135,7 +136,7 @@ def roots(forms: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(word, root): where the chain of forms (word, form) ends, by pointer doubling. Each form is more frequent than its word, so chains end."""
     at = cut(forms.select("word", F.col("form").alias("root")))
     for _ in range(max_rounds):
-        further = cut(at.join(at.select(F.col("word").alias("root"), F.col("root").alias("next")), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        further = cut(at.join(at.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         at = further.select("word", "root")
         if further.where("moved").isEmpty():
             return at
@@ -147,13 +148,13 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
     words = kept(counted(docs, id_col, text_col, loss), "words", TEXTS)
     pairs = kept(near(words), "pairs")
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
-    both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")).hint("merge"), "other")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     has = -F.col("best.less") >= F.lit(ratio) * F.col("n")
     found = kept(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("best.form")).alias("form"), F.when(has, -F.col("best.less")).alias("form_n")), "forms")
     ends = roots(found.where("form is not null").select("word", "form"))
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def oracle() -> str:

@@ -161,6 +161,14 @@ def test_variants_of_empty_tables_and_one_word(spark):
     assert {tuple(r) for r in spelling.variants(frame(spark, rows)).collect()} == plain_variants(rows)
 
 
+def test_words_meet_without_a_broadcast_however_small_they_look(spark):
+    words = spark.createDataFrame([("absent", 9), ("absen", 3), ("resent", 4)], "word string, n long")
+    pairs = spelling.near(words)
+    assert {tuple(r) for r in pairs.collect()} == {("absen", "absent")}
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_words_lose_the_stated_code_point():
     hit = next(k for k in range(10_000) if zlib.crc32(f"{k}:café".encode()) % 97 == 0)
     at = zlib.crc32(f"{hit}:café".encode()) % 4
