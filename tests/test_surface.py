@@ -85,3 +85,13 @@ def test_analysis_takes_what_consumers_can_name_as_roots(spark):
     given = {"symbols": symbols, "roots": spark.createDataFrame([], "id string, kind string"), "published": spark.createDataFrame([("f",)], "id string"), "published_exports": spark.createDataFrame([("f", "c")], "file string, id string"), "type_uses": spark.createDataFrame([("c", "t", "T")], "from_id string, to_id string, name string")}
     assert {(r.id, r.kind) for r in analysis.with_published(given)["roots"].collect()} == {("f", "published-api"), ("c", "published-api"), ("t", "published-api")}
     assert analysis.with_published({"symbols": symbols}) == {"symbols": symbols}
+
+
+def test_reach_leaves_the_joins_of_its_edges_alone(spark, monkeypatch):
+    from quietus.graph import walk
+
+    plans, cut = [], walk.cut
+    monkeypatch.setattr(walk, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    edges = spark.sql("SELECT concat('a', x.id) AS from_id, concat('b', y.id) AS to_id FROM {x} x CROSS JOIN (SELECT count(*) AS n FROM {y}) z JOIN {y} y ON x.id % z.n = y.id UNION ALL SELECT 'b1', 'b1'", x=spark.range(9), y=spark.range(5))
+    assert {(r.node, r.depth) for r in walk.reach(edges, spark.createDataFrame([("a6",)], "node string")).collect()} == {("a6", 0), ("b1", 1)}
+    assert "NOT (concat" not in plans[0]
