@@ -11,8 +11,8 @@ from quietus.functions import globs, paths, schema, semver, template, text
 from quietus.graph import edges, matrix
 from quietus.graph.components import weak_components
 from quietus.graph.scc import referenced_cycles, strong_components
-from quietus.graph.walk import reach, support_files, walk
-from quietus.operators import exemptions, joins, liveness, rules, selfcheck
+from quietus.graph.walk import reach, steps_of, support_files, walk
+from quietus.operators import carriers, exemptions, joins, liveness, rules, selfcheck
 from quietus.plans import analysis, queries
 from quietus.sources import manifests, tree
 
@@ -484,3 +484,16 @@ def test_first_claims_are_those_of_all_pairs_without_listing_them(spark, monkeyp
     monkeypatch.setattr(selfcheck, "named", None)  # pairs grow with the square of what shares a reference
     assert {(r.finding, r.record_ord) for r in selfcheck.claimed(findings, records).collect()} == want and len(want) > 50
     assert {(r.finding, r.record_ord) for r in rules.claims(placed, records).collect()} == {(f, m) for f, m in want if owner[at[f]] == m}
+
+
+def test_edges_are_joined_once_for_both_sides_of_a_walk(spark):
+    symbols = spark.createDataFrame([("f", "file", "", False), ("a", "class", "f", True), ("b", "class", "f", False)], "id string, kind string, parent string, exported boolean")
+    refs = spark.createDataFrame([("a", "b"), ("a", "gone"), ("gone", "b"), ("gone", "f"), ("x", "gone")], "from_id string, to_id string").selectExpr("*", "'read' as use", "false as test", "false as guessed", "true as namespace", "true as reexport", "if(from_id = 'x', 'shop', '') as consumer")
+    inner, outer = steps_of(edges.graph_edges(refs, symbols), liveness.exports_of(symbols))
+    assert "Join" not in inner._jdf.queryExecution().optimizedPlan().toString() + outer._jdf.queryExecution().optimizedPlan().toString()
+    # What is no declaration is not reached, and opens no gate.
+    seeds, none = spark.createDataFrame([("a", "configured")], "id string, kind string"), symbols.select("id").limit(0)
+    gates = spark.createDataFrame([("gone", "b"), ("f", "a")], "file string, id string")
+    alone = refs.where("from_id <> 'gone' and to_id <> 'b'")
+    assert pairs(liveness.sweep_reach(symbols, alone, seeds, none, gates).collect(), "node") == {("a",)}
+    assert pairs(liveness.sweep_reach(symbols, refs, seeds, none, gates).collect(), "node") == {("a",), ("b",), ("f",)}
