@@ -497,3 +497,11 @@ def test_edges_are_joined_once_for_both_sides_of_a_walk(spark):
     alone = refs.where("from_id <> 'gone' and to_id <> 'b'")
     assert pairs(liveness.sweep_reach(symbols, alone, seeds, none, gates).collect(), "node") == {("a",)}
     assert pairs(liveness.sweep_reach(symbols, refs, seeds, none, gates).collect(), "node") == {("a",), ("b",), ("f",)}
+
+
+def test_weak_components_hold_no_uncompressed_rounds(spark, monkeypatch):
+    from quietus.graph import components
+
+    monkeypatch.setattr(components, "cut", None)
+    got = components.weak_components(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 4), (1, 2)], "src long, dst long"))
+    assert pairs(got.collect(), "node", "root") == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
