@@ -15,14 +15,15 @@ BLOCK = 64
 def owned_by_members(references: DataFrame, members: DataFrame) -> DataFrame:
     """``references`` with from_id moved to the innermost member of its declaration that the reference is written in: spans nest, so the one that starts last.
 
-    ``references``: ref_ord, from_id, line, col and others. ``members``: key, within (the declaration), from_line, from_col, to_line, to_col. References and members of a declaration meet on blocks of lines.
+    A place within a declaration has one innermost member, whatever is written there. ``references``: from_id, line, col and others. ``members``: key, within (the declaration), from_line, from_col, to_line, to_col. References and members of a declaration meet on blocks of lines.
     """
     span = F.sequence(F.floor(F.col("from_line") / BLOCK), F.floor(F.col("to_line") / BLOCK))
     spans = members.select("key", F.col("within").alias("from_id"), "from_line", "from_col", "to_line", "to_col", F.explode(span).alias("block"))
-    at = references.select("ref_ord", "from_id", "line", "col", F.floor(F.col("line") / BLOCK).alias("block"))
+    place = ["from_id", "line", "col"]
+    at = references.select(*place, F.floor(F.col("line") / BLOCK).alias("block")).distinct()
     inside = (F.struct("line", "col") >= F.struct("from_line", "from_col")) & (F.struct("line", "col") <= F.struct("to_line", "to_col"))
-    owner = at.join(spans, ["from_id", "block"]).where(inside).groupBy("ref_ord").agg(F.max_by("key", F.struct("from_line", "from_col", "key")).alias("owner"))
-    return references.join(owner, "ref_ord", "left").withColumn("from_id", F.coalesce("owner", "from_id")).drop("owner")
+    owner = at.join(spans, ["from_id", "block"]).where(inside).groupBy(*place).agg(F.max_by("key", F.struct("from_line", "from_col", "key")).alias("owner"))
+    return references.join(owner, place, "left").withColumn("from_id", F.coalesce("owner", "from_id")).drop("owner")
 
 
 def sealed_by(symbols: DataFrame, opaque: DataFrame) -> DataFrame:

@@ -505,3 +505,12 @@ def test_weak_components_hold_no_uncompressed_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "cut", None)
     got = components.weak_components(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 4), (1, 2)], "src long, dst long"))
     assert pairs(got.collect(), "node", "root") == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
+def test_members_own_places_without_an_order_of_all_references(spark):
+    refs = spark.createDataFrame([("a", "t1", 3, 1), ("a", "t2", 3, 1), ("a", "t3", 4, 1), ("b", "t1", 3, 1), ("a", "t4", 70, 2)], "from_id string, to_id string, line int, col int")
+    members = spark.createDataFrame([("wide", "a", 2, 1, 70, 1), ("slim", "a", 3, 1, 3, 9)], "key string, within string, from_line int, from_col int, to_line int, to_col int")
+    numbered = refs.selectExpr("row_number() OVER (ORDER BY from_id, to_id) AS ref_ord", "*")
+    own = carriers.owned_by_members(numbered, members)
+    assert pairs(own.collect(), "from_id", "to_id") == {("slim", "t1"), ("slim", "t2"), ("wide", "t3"), ("b", "t1"), ("a", "t4")}
+    assert "Window" not in own.drop("ref_ord")._jdf.queryExecution().optimizedPlan().toString()
